@@ -474,3 +474,157 @@ SELECT count(*) AS n_samples, CAST(5 AS BIGINT) AS n_features, 'o_orderstatus' A
        'classification' AS problem_type FROM orders""")
 def q_q10(spark, sf):
     return P.dataset_summary(load_table(spark, sf, "orders"), "o_orderstatus")
+
+
+# ---------------------------------------------------------------------------
+# S: sources and sinks
+# ---------------------------------------------------------------------------
+
+@register("s1_read_dataset", "SELECT * FROM orders")
+def q_s1(spark, sf):
+    from veritab.sources.readers import read_dataset
+    return read_dataset(spark, "Orders Dataset", sf)
+
+
+@register("s2_read_records", """
+SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def q_s2(spark, sf):
+    from veritab.sources.readers import read_records
+    ev = load_table(spark, sf, "events")
+    return read_records(spark, ev, column="props", keep=["event_id", "event_type"])
+
+
+@register("s3_list_datasets")
+def q_s3(spark, sf):
+    from veritab.sources.readers import list_datasets
+    return list_datasets(spark, sf, pattern="*.parquet")
+
+
+ORDERS_SPLIT_SQL = """
+SELECT o_orderkey, CASE WHEN ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT
+                         < 0.8 * 4294967296 THEN 'train' ELSE 'test' END AS split
+FROM orders"""
+
+
+@register("s5_save_load_prepared", ORDERS_SPLIT_SQL)
+def q_s5(spark, sf):
+    from veritab.operators.prep import train_test_split
+    from veritab.sources.storage import load_prepared, save_prepared
+    o = train_test_split(load_table(spark, sf, "orders").select("o_orderkey"), 0.8, key="o_orderkey")
+    name = "orders_split_" + sf.rstrip("/").rsplit("/", 1)[-1].replace(".", "_")
+    save_prepared(o, name)
+    return load_prepared(spark, name).select("o_orderkey", "split")
+
+
+# ---------------------------------------------------------------------------
+# P: preparation
+# ---------------------------------------------------------------------------
+
+@register("p1_drop_nulls", f"SELECT * FROM {LI_NULLED} WHERE l_discount IS NOT NULL")
+def q_p1(spark, sf):
+    from veritab.operators.prep import drop_nulls
+    return drop_nulls(lineitem_nulled(spark, sf))
+
+
+def _z(c: str) -> str:
+    return f"round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) AS {c}"
+
+
+@register("p2_standardize", f"""
+SELECT l_orderkey, l_linenumber, {_z('l_quantity')}, {_z('l_extendedprice')}, {_z('l_discount')},
+       l_returnflag
+FROM {LI_NULLED}""")
+def q_p2(spark, sf):
+    from veritab.operators.prep import standardize
+    li = lineitem_nulled(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity",
+                                           "l_extendedprice", "l_discount", "l_returnflag")
+    return rnd(standardize(li, ["l_quantity", "l_extendedprice", "l_discount"]), 6)
+
+
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _dummies(col: str, cats: list[str]) -> str:
+    return ", ".join(f"CAST(coalesce({col} = '{v}', false) AS DOUBLE) AS \"{col}_{v}\"" for v in cats)
+
+
+@register("p3_one_hot", f"""
+SELECT p_partkey, p_name, p_brand, p_size, p_retailprice, {_dummies('p_type', PART_TYPES)} FROM part""")
+def q_p3(spark, sf):
+    from veritab.operators.prep import one_hot
+    return one_hot(load_table(spark, sf, "part"), ["p_type"])
+
+
+@register("p4_one_hot_drop_first", f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+       {_dummies('o_orderpriority', PRIORITIES[1:])} FROM orders""")
+def q_p4(spark, sf):
+    from veritab.operators.prep import one_hot_drop_first
+    return one_hot_drop_first(load_table(spark, sf, "orders"), ["o_orderpriority"])
+
+
+@register("p5_label_encode", """
+SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS c_mktsegment
+FROM customer""")
+def q_p5(spark, sf):
+    from veritab.operators.prep import label_encode
+    return label_encode(load_table(spark, sf, "customer").select("c_custkey", "c_mktsegment"),
+                        "c_mktsegment")[0]
+
+
+@register("p6_train_test_split", ORDERS_SPLIT_SQL)
+def q_p6(spark, sf):
+    from veritab.operators.prep import train_test_split
+    return train_test_split(load_table(spark, sf, "orders").select("o_orderkey"), 0.8, key="o_orderkey")
+
+
+@register("p6_train_test_split_exact", """
+SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY h, o_orderkey)
+                             <= count(*) OVER () - ceil(0.2 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT o_orderkey, ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT AS h
+      FROM orders) t""")
+def q_p6x(spark, sf):
+    from veritab.operators.prep import train_test_split
+    return train_test_split(load_table(spark, sf, "orders").select("o_orderkey"), 0.8,
+                            key="o_orderkey", exact=True)
+
+
+def _z_pop(c: str, src: str) -> str:
+    return (f"round(({c} - (SELECT avg({c}) FROM {src})) / "
+            f"coalesce(nullif((SELECT stddev_pop({c}) FROM {src}), 0), 1), 6) AS {c}")
+
+
+ORDERS_PREP_SRC = "(SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus FROM orders)"
+
+
+@register("p7_prepare", f"""
+SELECT {_z_pop('o_orderkey', ORDERS_PREP_SRC)}, {_z_pop('o_custkey', ORDERS_PREP_SRC)},
+       {_z_pop('o_totalprice', ORDERS_PREP_SRC)}, {_dummies('o_orderpriority', PRIORITIES)},
+       CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus,
+       CASE WHEN ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT
+                 < 0.8 * 4294967296 THEN 'train' ELSE 'test' END AS split
+FROM {ORDERS_PREP_SRC} o""")
+def q_p7(spark, sf):
+    from veritab.plans.prepare import prepare
+    o = load_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
+                                               "o_orderpriority", "o_orderstatus")
+    return rnd(prepare(o, ratio=0.8, key="o_orderkey").data, 6)
+
+
+@register("p7_dataset_stats", """
+SELECT count(*) AS rows, CAST(5 AS BIGINT) AS columns,
+       count(*) FILTER (WHERE ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT
+                        < 0.8 * 4294967296) AS train_size,
+       count(*) FILTER (WHERE ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT
+                        >= 0.8 * 4294967296) AS test_size,
+       'o_orderkey|o_custkey|o_totalprice|o_orderpriority_1-URGENT|o_orderpriority_2-HIGH|o_orderpriority_3-MEDIUM|o_orderpriority_4-NOT SPECIFIED|o_orderpriority_5-LOW' AS features,
+       'o_orderstatus' AS target, CAST(8 AS BIGINT) AS num_features,
+       CAST(1 AS BIGINT) AS categorical_features, CAST(3 AS BIGINT) AS numerical_features
+FROM orders""")
+def q_p7s(spark, sf):
+    from veritab.plans.prepare import prepare
+    o = load_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
+                                               "o_orderpriority", "o_orderstatus")
+    st = prepare(o, ratio=0.8, key="o_orderkey").stats
+    return st.withColumn("features", F.array_join("features", "|"))

@@ -215,7 +215,7 @@ def train_test_split(df: DataFrame, ratio: float = 0.8, seed: int = 42, key: str
         return df.withColumn(split_col, F.when(h < F.lit(ratio * TWO_POW_32), "train").otherwise("test"))
 
     tagged = df.withColumn("__h", h)
-    hi = tagged.groupBy((F.col("__h") >> 16).alias("b")).count().collect()
+    hi = tagged.groupBy(F.shiftright("__h", 16).alias("b")).count().collect()
     n = sum(r["count"] for r in hi)
     want = train_size_for(n, ratio)
     if want <= 0 or want >= n:
@@ -228,8 +228,8 @@ def train_test_split(df: DataFrame, ratio: float = 0.8, seed: int = 42, key: str
             break
         cum += r["count"]
     need = want - cum
-    lo = (tagged.where((F.col("__h") >> 16) == bucket)
-          .groupBy((F.col("__h") & 0xFFFF).alias("l")).count().collect())
+    lo = (tagged.where(F.shiftright("__h", 16) == bucket)
+          .groupBy(F.col("__h").bitwiseAND(0xFFFF).alias("l")).count().collect())
     cum2 = 0
     hval = None
     for r in sorted(lo, key=lambda r: r["l"]):
