@@ -628,3 +628,302 @@ def q_p7s(spark, sf):
                                                "o_orderpriority", "o_orderstatus")
     st = prepare(o, ratio=0.8, key="o_orderkey").stats
     return st.withColumn("features", F.array_join("features", "|"))
+
+
+# ---------------------------------------------------------------------------
+# E: evaluation (deterministic predictions made from the data itself)
+# ---------------------------------------------------------------------------
+
+ORDER_PRED_SQL = """(SELECT o_orderkey, o_orderstatus AS label,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'P' WHEN o_orderkey % 7 = 0 THEN 'F' ELSE o_orderstatus END AS prediction
+  FROM orders)"""
+LINE_PRED_SQL = """(SELECT l_extendedprice AS label,
+  l_extendedprice * (0.9 + 0.2 * l_tax) + l_quantity AS prediction FROM lineitem)"""
+
+
+def order_predictions(spark, sf):
+    o = load_table(spark, sf, "orders")
+    pred = (F.when(F.col("o_orderkey") % 5 == 0, F.lit("P"))
+            .when(F.col("o_orderkey") % 7 == 0, F.lit("F")).otherwise(F.col("o_orderstatus")))
+    return o.select("o_orderkey", F.col("o_orderstatus").alias("label"), pred.alias("prediction"))
+
+
+def line_predictions(spark, sf):
+    li = load_table(spark, sf, "lineitem")
+    return li.select(F.col("l_extendedprice").alias("label"),
+                     (F.col("l_extendedprice") * (0.9 + 0.2 * F.col("l_tax")) + F.col("l_quantity"))
+                     .alias("prediction"))
+
+
+PER_CLASS_SQL = f"""
+SELECT class, coalesce(a.n, 0) AS support, coalesce(p.n, 0) AS predicted, coalesce(t.n, 0) AS tp,
+       coalesce(coalesce(t.n, 0) / nullif(coalesce(p.n, 0), 0), 0.0) AS precision,
+       coalesce(coalesce(t.n, 0) / nullif(coalesce(a.n, 0), 0), 0.0) AS recall
+FROM (SELECT label AS class, count(*) AS n FROM {ORDER_PRED_SQL} GROUP BY 1) a
+FULL OUTER JOIN (SELECT prediction AS class, count(*) AS n FROM {ORDER_PRED_SQL} GROUP BY 1) p USING (class)
+LEFT JOIN (SELECT label AS class, count(*) AS n FROM {ORDER_PRED_SQL} WHERE label = prediction GROUP BY 1) t
+  USING (class)"""
+
+PER_CLASS_F1_SQL = f"""SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1
+FROM ({PER_CLASS_SQL}) pc"""
+
+
+@register("e1_accuracy", f"""
+SELECT round(avg(CAST(coalesce(label = prediction, false) AS DOUBLE)), 10) AS accuracy FROM {ORDER_PRED_SQL}""")
+def q_e1(spark, sf):
+    from veritab.operators.evaluate import accuracy
+    return rnd(accuracy(order_predictions(spark, sf)), 10)
+
+
+@register("e2_per_class_metrics", f"""
+SELECT class, support, predicted, tp, round(precision, 10) AS precision, round(recall, 10) AS recall,
+       round(f1, 10) AS f1 FROM ({PER_CLASS_F1_SQL}) x""")
+def q_e2c(spark, sf):
+    from veritab.operators.evaluate import per_class_metrics
+    return rnd(per_class_metrics(order_predictions(spark, sf)), 10)
+
+
+@register("e2_macro_precision_recall_f1", f"""
+SELECT round(avg(precision), 10) AS precision, round(avg(recall), 10) AS recall, round(avg(f1), 10) AS f1
+FROM ({PER_CLASS_F1_SQL}) x""")
+def q_e2(spark, sf):
+    from veritab.operators.evaluate import macro_precision_recall_f1
+    return rnd(macro_precision_recall_f1(order_predictions(spark, sf)), 10)
+
+
+CLASS_METRICS_SQL = f"""
+SELECT 'Accuracy' AS name, avg(CAST(coalesce(label = prediction, false) AS DOUBLE)) AS value FROM {ORDER_PRED_SQL}
+UNION ALL SELECT 'Precision', avg(precision) FROM ({PER_CLASS_F1_SQL}) x
+UNION ALL SELECT 'Recall', avg(recall) FROM ({PER_CLASS_F1_SQL}) x
+UNION ALL SELECT 'F1 Score', avg(f1) FROM ({PER_CLASS_F1_SQL}) x"""
+
+
+@register("e2_classification_metrics", f"SELECT name, round(value, 10) AS value FROM ({CLASS_METRICS_SQL}) m")
+def q_e2m(spark, sf):
+    from veritab.operators.evaluate import classification_metrics
+    return rnd(classification_metrics(order_predictions(spark, sf)), 10)
+
+
+@register("e3_confusion_matrix", f"""
+WITH c AS (SELECT label AS c FROM {ORDER_PRED_SQL} UNION SELECT prediction FROM {ORDER_PRED_SQL}),
+n AS (SELECT label, prediction, count(*) AS n FROM {ORDER_PRED_SQL} GROUP BY 1, 2)
+SELECT a.c AS label, b.c AS prediction, coalesce(n.n, 0) AS count
+FROM c a CROSS JOIN c b LEFT JOIN n ON n.label = a.c AND n.prediction = b.c
+WHERE a.c IS NOT NULL AND b.c IS NOT NULL""")
+def q_e3(spark, sf):
+    from veritab.operators.evaluate import confusion_matrix
+    return confusion_matrix(order_predictions(spark, sf))
+
+
+@register("e4_regression_metrics", f"""
+WITH a AS (SELECT avg(pow(label - prediction, 2)) AS mse, avg(abs(label - prediction)) AS mae,
+                  var_pop(label) AS vy FROM {LINE_PRED_SQL})
+SELECT 'MSE' AS name, round(mse, 6) AS value FROM a
+UNION ALL SELECT 'RMSE', round(sqrt(mse), 6) FROM a
+UNION ALL SELECT 'MAE', round(mae, 6) FROM a
+UNION ALL SELECT 'R² Score', round(CASE WHEN vy = 0 THEN CASE WHEN mse = 0 THEN 1.0 ELSE 0.0 END
+                                   ELSE 1 - mse / vy END, 6) FROM a""")
+def q_e4(spark, sf):
+    from veritab.operators.evaluate import regression_metrics
+    return rnd(regression_metrics(line_predictions(spark, sf)), 6)
+
+
+ROC_SQL = """
+WITH g AS (SELECT floor(o_totalprice / 1000) AS s, count(*) FILTER (WHERE o_orderstatus = 'F') AS pos,
+                  count(*) FILTER (WHERE o_orderstatus <> 'F' OR o_orderstatus IS NULL) AS neg
+           FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1),
+p AS (SELECT s AS threshold,
+             coalesce(sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                      / nullif(sum(neg) OVER (), 0), 0.0) AS fpr,
+             coalesce(sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                      / nullif(sum(pos) OVER (), 0), 0.0) AS tpr
+      FROM g
+      UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0)"""
+
+
+def order_scores(spark, sf):
+    o = load_table(spark, sf, "orders")
+    return o.select((F.col("o_orderstatus") == "F").cast("int").alias("label"),
+                    F.floor(F.col("o_totalprice") / 1000).cast("double").alias("score"))
+
+
+@register("e6_roc_curve", ROC_SQL + """
+SELECT threshold, round(fpr, 10) AS fpr, round(tpr, 10) AS tpr FROM p""")
+def q_e6(spark, sf):
+    from veritab.operators.evaluate import roc_points
+    return rnd(roc_points(order_scores(spark, sf), "label", "score", positive=1), 10)
+
+
+@register("e6_roc_auc", ROC_SQL + """
+SELECT round(coalesce(sum(a), 0.0), 10) AS roc_auc FROM (
+  SELECT (fpr - lag(fpr, 1, 0.0) OVER (ORDER BY threshold DESC))
+         * (tpr + lag(tpr, 1, 0.0) OVER (ORDER BY threshold DESC)) / 2 AS a FROM p) t""")
+def q_e6a(spark, sf):
+    from veritab.operators.evaluate import roc_auc, roc_points
+    return rnd(roc_auc(roc_points(order_scores(spark, sf), "label", "score", positive=1)), 10)
+
+
+# ---------------------------------------------------------------------------
+# T: tuning
+# ---------------------------------------------------------------------------
+
+@register("t2_assign_folds", """
+SELECT o_orderkey, CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT % 3 AS INTEGER)
+       AS fold FROM orders""")
+def q_t2(spark, sf):
+    from veritab.operators.tuning import assign_folds
+    return assign_folds(load_table(spark, sf, "orders").select("o_orderkey"), 3, key="o_orderkey")
+
+
+@register("t4_rank_results", """
+WITH s AS (SELECT l_linenumber AS combo, l_orderkey % 3 AS fold, avg(l_discount) AS score
+           FROM lineitem GROUP BY 1, 2),
+a AS (SELECT combo, avg(score) AS m, stddev_pop(score) AS sd FROM s GROUP BY 1)
+SELECT combo, round(m, 10) AS mean_test_score, round(sd, 10) AS std_test_score,
+       CAST(rank() OVER (ORDER BY m DESC) AS INTEGER) AS rank_test_score FROM a""")
+def q_t4(spark, sf):
+    from veritab.operators.tuning import rank_results
+    li = load_table(spark, sf, "lineitem")
+    scores = (li.groupBy(F.col("l_linenumber").alias("combo"), (F.col("l_orderkey") % 3).alias("fold"))
+              .agg(F.avg("l_discount").alias("score")))
+    return rnd(rank_results(scores), 10)
+
+
+# ---------------------------------------------------------------------------
+# G: gates and test suites
+# ---------------------------------------------------------------------------
+
+REQUIREMENTS = [("Accuracy", 0.9, "Model must achieve at least 90% accuracy"),
+                ("Precision", 0.5, "Macro precision at least 0.5"),
+                ("Latency", 100.0, "Model inference time must be under 100ms")]
+
+
+def requirements_frame(spark):
+    return spark.createDataFrame(REQUIREMENTS, "name string, threshold double, description string")
+
+
+REQ_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({t} AS DOUBLE) AS threshold, '{d}' AS description"
+                             for n, t, d in REQUIREMENTS)
+
+
+@register("g1_check_requirements", f"""
+SELECT r.name, r.threshold, CASE WHEN r.name IN ('Latency', 'Latency (ms)', 'MSE', 'RMSE', 'MAE') THEN '<='
+       ELSE '>=' END AS direction, r.description, round(m.value, 10) AS value,
+       CASE WHEN m.value IS NULL THEN 'unknown'
+            WHEN (CASE WHEN r.name IN ('Latency', 'Latency (ms)', 'MSE', 'RMSE', 'MAE') THEN m.value <= r.threshold
+                       ELSE m.value >= r.threshold END) THEN 'met' ELSE 'not-met' END AS status
+FROM ({REQ_SQL}) r LEFT JOIN ({CLASS_METRICS_SQL}) m USING (name)""")
+def q_g1(spark, sf):
+    from veritab.operators.evaluate import classification_metrics
+    from veritab.operators.gates import check_requirements
+    m = classification_metrics(order_predictions(spark, sf))
+    return rnd(check_requirements(m, requirements_frame(spark)), 10)
+
+
+@register("g2_evaluation_gate", f"""
+SELECT name, round(value, 10) AS value,
+       CAST(CASE name WHEN 'Accuracy' THEN 0.9 WHEN 'Precision' THEN 0.85 WHEN 'Recall' THEN 0.8
+                 WHEN 'F1 Score' THEN 0.85 WHEN 'Latency (ms)' THEN 100.0 ELSE 0.8 END AS DOUBLE) AS target,
+       '>=' AS direction,
+       value >= CASE name WHEN 'Accuracy' THEN 0.9 WHEN 'Precision' THEN 0.85 WHEN 'Recall' THEN 0.8
+                 WHEN 'F1 Score' THEN 0.85 WHEN 'Latency (ms)' THEN 100.0 ELSE 0.8 END AS passed
+FROM ({CLASS_METRICS_SQL}) m""")
+def q_g2(spark, sf):
+    from veritab.operators.evaluate import classification_metrics
+    from veritab.operators.gates import evaluation_gate
+    return rnd(evaluation_gate(classification_metrics(order_predictions(spark, sf))), 10)
+
+
+def _details(total: str, failed: str) -> str:
+    return (f"CASE WHEN {failed} > 0 THEN 'Ran ' || {total} || ' test cases with ' || {failed} || ' failures.' "
+            f"ELSE 'All ' || {total} || ' test cases passed successfully.' END")
+
+
+def _summ(name: str, cases_sql: str) -> str:
+    return f"""SELECT '{name}' AS name, count(*) FILTER (WHERE NOT coalesce(passed, false)) = 0 AS passed,
+  count(*) AS total_cases, count(*) FILTER (WHERE NOT coalesce(passed, false)) AS failed_cases,
+  {_details('count(*)', "count(*) FILTER (WHERE NOT coalesce(passed, false))")} AS details
+FROM ({cases_sql}) c"""
+
+
+G4_CASES = ("SELECT " + " UNION ALL SELECT ".join(
+    [f"(count(*) - count({c})) * 100.0 / count(*) <= 5.0 AS passed FROM {LI_NULLED} t" for c in LI_ALL])
+    + f" UNION ALL SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {LI_NULLED}) d)) * 100.0 "
+      f"/ count(*) <= 5.0 FROM {LI_NULLED} t2")
+
+G5_CASES = f"""SELECT coalesce(m.value >= t.lim, false) AS passed
+FROM (SELECT 'Accuracy' AS name, 0.8 AS lim UNION ALL SELECT 'Precision', 0.75 UNION ALL SELECT 'Recall', 0.7
+      UNION ALL SELECT 'F1 Score', 0.75) t LEFT JOIN ({CLASS_METRICS_SQL}) m USING (name)"""
+
+G6_CASES = f"SELECT NOT drift_detected AS passed FROM ({sql_drift_report(LI_R, LI_C, LINE_NUM, LINE_CAT)}) r"
+
+FAIR_SRC = """(SELECT d.lang AS grp, l.quality AS label, l.toxic AS prediction
+               FROM labels l JOIN documents d USING (doc_id))"""
+G7_CASES = f"""WITH g AS (SELECT grp, avg(CAST(prediction = 1 AS DOUBLE)) AS sr,
+    count(*) FILTER (WHERE label = 1 AND prediction = 1) / nullif(count(*) FILTER (WHERE label = 1), 0) AS tpr,
+    avg(CAST(label = prediction AS DOUBLE)) AS acc FROM {FAIR_SRC} GROUP BY grp)
+SELECT coalesce(max(sr) - min(sr) <= 0.1, true) AS passed FROM g
+UNION ALL SELECT coalesce(max(tpr) - min(tpr) <= 0.1, true) FROM g
+UNION ALL SELECT coalesce(max(acc) - min(acc) <= 0.1, true) FROM g"""
+
+
+def fairness_input(spark, sf):
+    lab = load_table(spark, sf, "labels")
+    docs = load_table(spark, sf, "documents").select("doc_id", "lang")
+    # labels covers a subset of documents; both sides are keyed by doc_id, so
+    # this is a plain equi-join that Spark plans by size (AQE may broadcast).
+    return lab.join(docs, "doc_id").select(F.col("lang"), F.col("quality").alias("label"),
+                                           F.col("toxic").alias("prediction"))
+
+
+@register("g3_suite_summary", f"""
+WITH r AS ({_summ('DataQualityTest', G4_CASES)} UNION ALL {_summ('ModelPerformanceTest', G5_CASES)}
+           UNION ALL {_summ('DataDriftTest', G6_CASES)} UNION ALL {_summ('BiasTest', G7_CASES)})
+SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed,
+       CASE WHEN count(*) FILTER (WHERE NOT passed) = 0 THEN 'passed' ELSE 'failed' END AS status FROM r""")
+def q_g3(spark, sf):
+    from veritab.operators import gates as G
+    from veritab.operators.evaluate import classification_metrics
+    r, c = lineitem_halves(spark, sf)
+    results = (G.data_quality_test(lineitem_nulled(spark, sf))
+               .unionByName(G.performance_test(classification_metrics(order_predictions(spark, sf))))
+               .unionByName(G.drift_test(r, c, LINE_DRIFT_COLS))
+               .unionByName(G.fairness_test(fairness_input(spark, sf), "lang")))
+    return G.suite_summary(results)
+
+
+@register("g4_data_quality_test", _summ("DataQualityTest", G4_CASES))
+def q_g4(spark, sf):
+    from veritab.operators.gates import data_quality_test
+    return data_quality_test(lineitem_nulled(spark, sf))
+
+
+@register("g5_performance_test", _summ("ModelPerformanceTest", G5_CASES))
+def q_g5(spark, sf):
+    from veritab.operators.evaluate import classification_metrics
+    from veritab.operators.gates import performance_test
+    return performance_test(classification_metrics(order_predictions(spark, sf)))
+
+
+@register("g6_drift_test", _summ("DataDriftTest", G6_CASES))
+def q_g6(spark, sf):
+    from veritab.operators.gates import drift_test
+    r, c = lineitem_halves(spark, sf)
+    return drift_test(r, c, LINE_DRIFT_COLS)
+
+
+@register("g7_fairness_by_group", f"""
+SELECT grp AS "group", count(*) AS n, round(avg(CAST(prediction = 1 AS DOUBLE)), 10) AS selection_rate,
+  round(count(*) FILTER (WHERE label = 1 AND prediction = 1) / nullif(count(*) FILTER (WHERE label = 1), 0), 10)
+    AS true_positive_rate,
+  round(avg(CAST(label = prediction AS DOUBLE)), 10) AS accuracy
+FROM {FAIR_SRC} GROUP BY grp""")
+def q_g7g(spark, sf):
+    from veritab.operators.gates import fairness_by_group
+    return rnd(fairness_by_group(fairness_input(spark, sf), "lang"), 10)
+
+
+@register("g7_fairness_test", _summ("BiasTest", G7_CASES))
+def q_g7(spark, sf):
+    from veritab.operators.gates import fairness_test
+    return fairness_test(fairness_input(spark, sf), "lang")
