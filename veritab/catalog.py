@@ -927,3 +927,175 @@ def q_g7g(spark, sf):
 def q_g7(spark, sf):
     from veritab.operators.gates import fairness_test
     return fairness_test(fairness_input(spark, sf), "lang")
+
+
+# ---------------------------------------------------------------------------
+# M / E5 / E7 / T3 / T5 / T6 / G8 / Q11 / S6: model work (rows-only checks;
+# tree ensembles and gradient training have no SQL twin)
+# ---------------------------------------------------------------------------
+
+LINE_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_REG_FEATS = ["l_quantity", "l_discount", "l_tax"]
+FOREST = {"n_estimators": 20, "max_depth": 8, "min_samples_split": 2}
+
+
+def line_class_table(spark, sf, target="l_returnflag"):
+    return load_table(spark, sf, "lineitem").select(*LINE_FEATS, target)
+
+
+def line_reg_table(spark, sf):
+    return load_table(spark, sf, "lineitem").select(*LINE_REG_FEATS, "l_extendedprice")
+
+
+def embedding_table(spark, sf, dims: int = 64):
+    e = load_table(spark, sf, "embeddings")
+    return e.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)],
+                    F.col("label"))
+
+
+def _fit(spark, sf, table, model_type, params, **kw):
+    from veritab.plans.train import train_dataset
+    return train_dataset(table, model_type, params, log=False, **kw)
+
+
+@register("m1_random_forest_classifier")
+def q_m1(spark, sf):
+    return _fit(spark, sf, line_class_table(spark, sf), "random_forest", FOREST).predictions
+
+
+@register("m2_random_forest_regressor")
+def q_m2(spark, sf):
+    return _fit(spark, sf, line_reg_table(spark, sf), "random_forest", FOREST).predictions
+
+
+@register("m3_svm_classifier")
+def q_m3(spark, sf):
+    t = line_class_table(spark, sf, "l_linestatus")
+    return _fit(spark, sf, t, "svm", {"C": 1.0, "kernel": "rbf", "max_iter": 50}).predictions
+
+
+@register("m4_svm_regressor")
+def q_m4(spark, sf):
+    return _fit(spark, sf, line_reg_table(spark, sf), "svm",
+                {"C": 1.0, "kernel": "linear", "max_iter": 100}).predictions
+
+
+@register("m5_mlp_classifier")
+def q_m5(spark, sf):
+    return _fit(spark, sf, embedding_table(spark, sf), "neural_network",
+                {"hidden_layer_sizes": "32", "activation": "logistic", "max_iter": 100},
+                steps=("drop_nulls",)).predictions
+
+
+@register("m5_mlp_classifier_relu")
+def q_m5r(spark, sf):
+    return _fit(spark, sf, embedding_table(spark, sf), "neural_network",
+                {"hidden_layer_sizes": "32", "activation": "relu", "max_iter": 100, "lr": 0.01},
+                steps=("drop_nulls",)).predictions
+
+
+@register("m6_mlp_regressor")
+def q_m6(spark, sf):
+    return _fit(spark, sf, line_reg_table(spark, sf), "neural_network",
+                {"hidden_layer_sizes": "32", "activation": "relu", "max_iter": 100,
+                 "lr": 0.01}).predictions
+
+
+@register("m7_predict")
+def q_m7(spark, sf):
+    from veritab.operators.models import predict
+    res = _fit(spark, sf, line_class_table(spark, sf), "random_forest", FOREST)
+    return predict(res.model, res.prepared.data).select("split", "l_returnflag", "prediction")
+
+
+@register("m8_assemble", f"""
+SELECT {', '.join(LINE_FEATS)}, [{', '.join(LINE_FEATS)}] AS features FROM lineitem""")
+def q_m8(spark, sf):
+    from veritab.operators.models import features_array
+    return features_array(load_table(spark, sf, "lineitem").select(*LINE_FEATS), LINE_FEATS)
+
+
+@register("m9_train")
+def q_m9(spark, sf):
+    from veritab.plans.train import train_dataset
+    return train_dataset(line_class_table(spark, sf), "random_forest", FOREST,
+                         dataset_name="lineitem_m9").metrics
+
+
+@register("s6_log_run")
+def q_s6(spark, sf):
+    from veritab.plans.train import train_dataset
+    from veritab.sources.storage import load_runs
+    res = train_dataset(line_reg_table(spark, sf), "random_forest", FOREST, dataset_name="lineitem_s6")
+    return (load_runs(spark).where(F.col("model_id") == res.model_id)
+            .select("model_id", "model_type", "dataset", "framework", "params",
+                    F.to_json("metrics").alias("metrics")))
+
+
+@register("e5_evaluation_report")
+def q_e5(spark, sf):
+    from veritab.plans.report import evaluation_report
+    res = _fit(spark, sf, line_class_table(spark, sf), "random_forest", FOREST)
+    rep = evaluation_report(res.predictions, res.prepared.data, res.prepared.features, res.task)
+    dq = rep["data_quality"]
+    dq_long = dq.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
+                                           for c in dq.columns])))
+    ms = rep["mean_shift"].select(F.concat(F.col("column_name"), F.lit("_mean_diff_pct")).alias("name"),
+                                  F.col("shift_pct").alias("value"))
+    return (rep["metrics"].select(F.lit("quality").alias("section"), "name", "value")
+            .unionByName(dq_long.select(F.lit("data_quality").alias("section"), "name", "value"))
+            .unionByName(ms.select(F.lit("data_drift").alias("section"), "name", "value")))
+
+
+@register("e7_feature_importance")
+def q_e7(spark, sf):
+    from veritab.operators.evaluate import feature_importance
+    res = _fit(spark, sf, line_class_table(spark, sf), "random_forest", FOREST)
+    return feature_importance(res.model.stages[-1], res.prepared.features)
+
+
+SMALL_GRID = {"n_estimators": [10, 20], "max_depth": [4, 8]}
+
+
+def _search(spark, sf):
+    from veritab.plans.prepare import prepare
+    from veritab.plans.search import grid_search
+    p = prepare(line_class_table(spark, sf), ("drop_nulls", "normalize"))
+    return grid_search(p.data, p.features, p.target, "random_forest", "classification", SMALL_GRID, k=3)
+
+
+@register("t3_grid_search")
+def q_t3(spark, sf):
+    return _search(spark, sf).results
+
+
+@register("t5_cross_val_score")
+def q_t5(spark, sf):
+    from veritab.plans.search import cross_val_score
+    s = _search(spark, sf)
+    return s.results.where(F.col("rank_test_score") == 1).select(
+        F.lit(cross_val_score(s)).alias("cv_score"), F.to_json("params").alias("params")).limit(1)
+
+
+@register("t6_random_search")
+def q_t6(spark, sf):
+    from veritab.plans.prepare import prepare
+    from veritab.plans.search import random_search
+    p = prepare(line_class_table(spark, sf), ("drop_nulls", "normalize"))
+    return random_search(p.data, p.features, p.target, "random_forest", "classification", 2,
+                         SMALL_GRID, k=3, objective="f1").results
+
+
+@register("g8_robustness_test")
+def q_g8(spark, sf):
+    from veritab.operators.gates import robustness_test
+    res = _fit(spark, sf, line_class_table(spark, sf), "random_forest", FOREST)
+    test = res.prepared.data.where(F.col("split") == "test")
+    return robustness_test(res.model.stages[-1], test, res.prepared.features, noise=0.1, max_flip=0.1)
+
+
+@register("q11_profile_report")
+def q_q11(spark, sf):
+    from veritab.plans.report import profile_report
+    rep = profile_report(load_table(spark, sf, "part"), "p_retailprice")
+    return rnd(rep["features"].join(F.broadcast(rep["correlations"]), "column_name", "left"), 6)

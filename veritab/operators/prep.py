@@ -178,8 +178,10 @@ def label_encode(df: DataFrame, col: str, out_col: str | None = None,
     """Replace ``col`` by its index among the sorted distinct values (P5)."""
     labels = labels if labels is not None else fit_labels(df, col)
     out_col = out_col or col
-    cols = [label_expr(qcol(c), labels).alias(out_col) if c == col else qcol(c) for c in df.columns]
-    if out_col != col:
+    if out_col == col:
+        cols = [label_expr(qcol(c), labels).alias(c) if c == col else qcol(c) for c in df.columns]
+    else:
+        cols = [qcol(c) for c in df.columns if c != out_col]
         cols.append(label_expr(qcol(col), labels).alias(out_col))
     return df.select(*cols), labels
 
