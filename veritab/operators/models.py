@@ -276,7 +276,10 @@ class GradientModel:
         hidden = parse_hidden(hidden)
         data = df.select(*[as_double(c, df.schema[c].dataType).alias(f"x{i}")
                            for i, c in enumerate(features)],
-                         qcol(label).cast("double").alias("y")).na.drop()
+                         qcol(label).cast("double").alias("y"))
+        # Rows with a missing value are skipped inside the tasks (a wide
+        # na.drop over aliased columns inflates Catalyst's constraint sets).
+        data = data.where(qcol("y").isNotNull())
         data = data.persist()
         try:
             d = len(features)
@@ -321,6 +324,9 @@ class GradientModel:
                     tot = [np.zeros_like(w) for w in ws]
                     lsum = 0.0
                     for pdf in batches:
+                        if len(pdf) == 0:
+                            continue
+                        pdf = pdf.dropna()
                         if len(pdf) == 0:
                             continue
                         X = (pdf[[f"x{i}" for i in range(len(mu))]].to_numpy() - mu) / sd

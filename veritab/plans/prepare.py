@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veritab.functions.exprs import is_numeric_type, qcol
 from veritab.operators import prep
 from veritab.operators.schema import feature_list_label, infer_roles, normalize_missing
+from veritab.session import guard_wide_plan
 
 # Step names the reference's preparation accepts.
 STEP_DROP_NULLS = ("drop_nulls", "handle_missing_values")
@@ -53,6 +54,7 @@ def prepare(df: DataFrame, steps=("drop_nulls", "normalize", "one_hot_encode"),
     if fit_on not in ("all", "train"):
         raise ValueError("fit_on must be 'all' or 'train'")
     raw = df
+    guard_wide_plan(df.sparkSession, len(df.columns))
     df = normalize_missing(df)
     roles = infer_roles(df, target)
     tgt = roles.target

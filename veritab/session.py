@@ -16,8 +16,20 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Wide prepared tables (dozens of aliased, null-filtered columns) make
+    # Catalyst's constraint inference grow combinatorially; the filters it
+    # would infer are not needed by these plans.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
+WIDE_PLAN_COLUMNS = 32
+
+
+def guard_wide_plan(spark: SparkSession, n_columns: int) -> None:
+    """Turn constraint propagation off for plans over many columns."""
+    if n_columns > WIDE_PLAN_COLUMNS:
+        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
 
 def get_spark(master: str | None = None, app_name: str = "veritab",
               shuffle_partitions: int | None = None,
