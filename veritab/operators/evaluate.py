@@ -30,11 +30,21 @@ def _cls(c: str):
     return qcol(c).cast("string")
 
 
+def _pair(df: DataFrame, label: str, prediction: str):
+    """Label and prediction as comparable class strings: numeric pairs (an
+    integer label against a double prediction) are compared as doubles."""
+    from veritab.functions.exprs import is_numeric_type
+    if is_numeric_type(df.schema[label].dataType) and is_numeric_type(df.schema[prediction].dataType):
+        return (qcol(label).cast("double").cast("string"), qcol(prediction).cast("double").cast("string"))
+    return _cls(label), _cls(prediction)
+
+
 # E1 -------------------------------------------------------------------------
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Share of rows where label equals prediction."""
-    hit = F.coalesce(_cls(label) == _cls(prediction), F.lit(False)).cast("double")
+    y, p = _pair(df, label, prediction)
+    hit = F.coalesce(y == p, F.lit(False)).cast("double")
     return df.agg(F.avg(hit).alias("accuracy"))
 
 
@@ -47,7 +57,7 @@ def per_class_metrics(df: DataFrame, label: str = "label", prediction: str = "pr
     Each row is expanded to (label,'a'), (prediction,'p') and, when equal,
     (label,'t'); one grouped count gives all three counts per class.
     """
-    y, p = _cls(label), _cls(prediction)
+    y, p = _pair(df, label, prediction)
     tagged = df.select(F.inline(F.array(
         F.struct(y.alias("class"), F.lit("a").alias("k")),
         F.struct(p.alias("class"), F.lit("p").alias("k")),
@@ -91,7 +101,7 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     The class set is bounded by the number of classes; it is squared and
     broadcast, the pair counts come from one partial aggregation.
     """
-    y, p = _cls(label), _cls(prediction)
+    y, p = _pair(df, label, prediction)
     pairs = (df.select(y.alias("label"), p.alias("prediction"))
              .groupBy("label", "prediction").agg(F.count("*").alias("count")))
     classes = (pairs.select(F.explode(F.array("label", "prediction")).alias("c"))
@@ -135,7 +145,11 @@ def roc_points(df: DataFrame, label: str, score: str, positive=1,
     binned to ``max_points`` equal-width buckets. The cumulative window then
     runs on that bounded table only. Ties share one point.
     """
-    y = F.coalesce(qcol(label).cast("string") == F.lit(str(positive)), F.lit(False))
+    from veritab.functions.exprs import is_numeric_type
+    if is_numeric_type(df.schema[label].dataType) and not isinstance(positive, str):
+        y = F.coalesce(qcol(label).cast("double") == F.lit(float(positive)), F.lit(False))
+    else:
+        y = F.coalesce(qcol(label).cast("string") == F.lit(str(positive)), F.lit(False))
     s = qcol(score).cast("double")
     base = df.select(s.alias("s"), y.alias("y")).where(F.col("s").isNotNull())
     grouped = base.groupBy("s").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))

@@ -183,7 +183,12 @@ def fairness_by_group(df: DataFrame, group: str, label: str = "label",
     """Per group: n, selection_rate, true_positive_rate, accuracy (one group-by)."""
     y = qcol(label).cast("string") == F.lit(str(positive))
     p = qcol(prediction).cast("string") == F.lit(str(positive))
-    eq = qcol(label).cast("string") == qcol(prediction).cast("string")
+    if is_numeric_type(df.schema[label].dataType) and is_numeric_type(df.schema[prediction].dataType):
+        y = qcol(label).cast("double") == F.lit(float(positive))
+        p = qcol(prediction).cast("double") == F.lit(float(positive))
+    eq = (qcol(label).cast("double") == qcol(prediction).cast("double")
+          if is_numeric_type(df.schema[label].dataType) and is_numeric_type(df.schema[prediction].dataType)
+          else qcol(label).cast("string") == qcol(prediction).cast("string"))
     return (df.groupBy(as_category(group, df.schema[group].dataType).alias("group"))
             .agg(F.count("*").alias("n"),
                  F.avg(p.cast("double")).alias("selection_rate"),

@@ -80,10 +80,10 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
         x = qcol(c)
         present = x.isNotNull()
         checks += [
-            F.count_if(present & F.try_cast(x, "bigint").isNull()).alias(f"nl{i}"),
-            F.count_if(present & F.try_cast(x, "double").isNull()).alias(f"nd{i}"),
+            F.count_if(present & x.try_cast("bigint").isNull()).alias(f"nl{i}"),
+            F.count_if(present & x.try_cast("double").isNull()).alias(f"nd{i}"),
             F.count_if(present & ~F.lower(x).isin("true", "false")).alias(f"nb{i}"),
-            F.max(F.abs(F.try_cast(x, "bigint"))).alias(f"mx{i}"),
+            F.max(F.abs(x.try_cast("bigint"))).alias(f"mx{i}"),
             F.count(x).alias(f"n{i}"),
         ]
     stats = df.agg(*checks).first()
