@@ -9,7 +9,7 @@ pre-aggregated counts however many columns there are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,14 +26,76 @@ WIDE_CHUNK = 200  # columns per aggregate, so one plan stays within code generat
 
 
 def _median(x: Column, mode: str) -> Column:
-    if mode == "exact":
+    """Single-aggregate median: Spark's exact ``percentile`` or the sketch."""
+    if mode == "exact_agg":
         return F.percentile(x, F.lit(0.5))
     return F.percentile_approx(x, F.lit(0.5), F.lit(APPROX_ACCURACY)).cast("double")
 
 
+MEDIAN_BUCKETS = 1024
+
+
+def exact_medians(df: DataFrame, columns: list[str], buckets: int = MEDIAN_BUCKETS) -> DataFrame:
+    """Exact (interpolated) median per column: (column_name, median).
+
+    No global sort and no per-column buffer of all distinct values:
+
+    1. one code-generated aggregate gives n, min and max per column (one row);
+    2. every value gets an equal-width bucket between its column's min and
+       max; a partial hash aggregation counts (column, bucket) pairs, so at
+       most ``columns x buckets`` small rows are shuffled;
+    3. a running sum over those (at most ``buckets`` rows per column) finds
+       the one or two buckets holding the middle ranks;
+    4. only values inside those buckets are counted per distinct value and
+       ranked, which gives the exact middle value(s).
+
+    The one-row range table and the target table (at most two rows per
+    column) are broadcast; no join involves a table that grows with the data.
+    """
+    spark = df.sparkSession
+    if not columns:
+        return spark.createDataFrame([], "column_name string, median double")
+    xs = [as_double(c, df.schema[c].dataType) for c in columns]
+    rng = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                 *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
+                 *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)])
+    with_rng = df.crossJoin(F.broadcast(rng))
+
+    def bucket(i: int, x: Column) -> Column:
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        b = F.least(F.floor((x - lo) / (hi - lo) * buckets), F.lit(buckets - 1))
+        return F.when(hi > lo, b).otherwise(F.lit(0)).cast("int")
+
+    tagged = with_rng.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("k"), bucket(i, x).alias("b"), x.alias("x"))
+        for i, x in enumerate(xs)]))).where(F.col("x").isNotNull())
+    hist = tagged.groupBy("k", "b").agg(F.count("*").alias("cnt"))
+    cum = (hist.withColumn("c_end", F.sum("cnt").over(Window.partitionBy("k").orderBy("b")))
+           .withColumn("c_start", F.col("c_end") - F.col("cnt")))
+    ranks = rng.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("k"), F.floor((F.col(f"n{i}") - 1) / 2).alias("r_lo"),
+                 F.ceil((F.col(f"n{i}") - 1) / 2).alias("r_hi")) for i in range(len(xs))])))
+    inside = lambda r, s, e: (F.col(r) >= F.col(s)) & (F.col(r) < F.col(e))
+    targets = (cum.join(F.broadcast(ranks), "k")
+               .where(inside("r_lo", "c_start", "c_end") | inside("r_hi", "c_start", "c_end"))
+               .select("k", "b", "c_start"))
+    vals = (tagged.join(F.broadcast(targets), ["k", "b"])
+            .groupBy("k", "b", "c_start", "x").agg(F.count("*").alias("cnt")))
+    ranked = (vals.withColumn("v_end", F.col("c_start")
+                              + F.sum("cnt").over(Window.partitionBy("k", "b").orderBy("x")))
+              .withColumn("v_start", F.col("v_end") - F.col("cnt"))
+              .join(F.broadcast(ranks), "k"))
+    picked = ranked.groupBy("k").agg(
+        F.max(F.when(inside("r_lo", "v_start", "v_end"), F.col("x"))).alias("a"),
+        F.max(F.when(inside("r_hi", "v_start", "v_end"), F.col("x"))).alias("z"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("k") + 1)
+    return picked.select(name.alias("column_name"),
+                         (F.col("a") + (F.col("z") - F.col("a")) * 0.5).alias("median"))
+
+
 def resolve_median_mode(df: DataFrame, median: str) -> str:
     """'exact' or 'approx'; 'auto' looks at the row count."""
-    if median in ("exact", "approx"):
+    if median in ("exact", "approx", "exact_agg"):
         return median
     if median != "auto":
         raise ValueError(f"median must be exact, approx or auto, got {median!r}")
@@ -71,7 +133,7 @@ def profile_numeric(df: DataFrame, target: str | None = None, columns: list[str]
     for chunk in _chunks(columns, WIDE_CHUNK):
         if not chunk:
             continue
-        aggs, structs = [], []
+        aggs, med_aggs, structs = [], [], []
         for i, c in enumerate(chunk):
             x = as_double(c, df.schema[c].dataType)
             if not with_corr or target is None:
@@ -81,14 +143,26 @@ def profile_numeric(df: DataFrame, target: str | None = None, columns: list[str]
             else:
                 corr = F.lit(0.0)
             aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-                     F.avg(x).alias(f"av{i}"), _median(x, mode).alias(f"md{i}"),
+                     F.avg(x).alias(f"av{i}"),
                      F.stddev_samp(x).alias(f"sd{i}"), corrected_skew(x).alias(f"sk{i}"),
                      F.count_if(x.isNull()).alias(f"ms{i}"), corr.alias(f"cr{i}")]
+            med_aggs.append(_median(x, mode).alias(f"md{i}"))
             structs.append(F.struct(
                 F.lit(c).alias("column_name"),
                 *[F.col(f"{p}{i}").alias(n) for p, n in
                   zip(["mn", "mx", "av", "md", "sd", "sk", "ms", "cr"], NUMERIC_PROFILE_COLS)]))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
+        # The moments are declarative aggregates (code-generated hash
+        # aggregation). Medians are a separate plan: the exact one is
+        # ``exact_medians``; sketch medians need object buffers, which would
+        # drag every aggregate of the same node into the interpreted
+        # object-hash path, so they are their own one-row aggregate.
+        if mode == "exact":
+            meds = exact_medians(df, chunk)
+            wide = meds.agg(*[F.max(F.when(F.col("column_name") == c, F.col("median"))).alias(f"md{i}")
+                              for i, c in enumerate(chunk)])
+        else:
+            wide = df.agg(*med_aggs)
+        parts.append(df.agg(*aggs).crossJoin(wide).select(F.inline(F.array(*structs))))
     if not parts:
         return df.sparkSession.createDataFrame(
             [], "column_name string, min double, max double, mean double, median double, "
@@ -126,12 +200,20 @@ def profile_categorical(df: DataFrame, columns: list[str] | None = None,
                 "most_common_count bigint")
     vc = value_counts(df, columns)
     present = F.col("value").isNotNull()
-    return (vc.groupBy("column_name").agg(
+    per_col = vc.groupBy("column_name").agg(
         F.count_if(present).alias("n_distinct"),
         F.coalesce(F.sum(F.when(~present, F.col("cnt"))), F.lit(0)).cast("bigint").alias("missing"),
         F.min_by(F.when(present, F.col("value")),
                  F.when(present, F.struct(-F.col("cnt"), F.col("value")))).alias("most_common"),
-        F.max(F.when(present, F.col("cnt"))).alias("most_common_count")))
+        F.max(F.when(present, F.col("cnt"))).alias("most_common_count"))
+    # One row per requested column even for an empty table (bounded by the
+    # column count, so the per-column table is broadcast).
+    names = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
+    return (names.join(F.broadcast(per_col), "column_name", "left")
+            .select("column_name", F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct"),
+                    F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing"),
+                    "most_common", "most_common_count"))
 
 
 # Q3 -------------------------------------------------------------------------
