@@ -240,13 +240,32 @@ def train_test_split(df: DataFrame, ratio: float = 0.8, seed: int = 42, key: str
             break
         cum2 += r["count"]
     ties_needed = need - cum2
-    order_key = qcol(key) if key else whole_row_key(df)
     # Only the rows that share the boundary hash value are ranked; everything
     # else is decided by a comparison, with no shuffle.
     rest = tagged.where(F.col("__h") != hval).withColumn(
         split_col, F.when(F.col("__h") < hval, "train").otherwise("test"))
-    ties = (tagged.where(F.col("__h") == hval)
-            .withColumn("__rn", F.row_number().over(Window.orderBy(order_key)))
-            .withColumn(split_col, F.when(F.col("__rn") <= ties_needed, "train").otherwise("test"))
-            .drop("__rn"))
+    tie_rows = tagged.where(F.col("__h") == hval)
+    if key:
+        # Distinct keys: a handful of 32-bit hash collisions, ranked by key.
+        ties = tie_rows.withColumn("__rn", F.row_number().over(Window.orderBy(qcol(key))))
+        take = F.lit(ties_needed)
+    else:
+        # Whole-row hashing: the tie group is one set of identical rows and can
+        # be huge. Identical rows are interchangeable, so each input partition
+        # contributes a quota (collected per partition: bounded by the
+        # partition count) and rows are numbered within their own partition.
+        tie_rows = (tie_rows.withColumn("__p", F.spark_partition_id())
+                    .withColumn("__i", F.monotonically_increasing_id()))
+        per_part = sorted((r["__p"], r["count"]) for r in tie_rows.groupBy("__p").count().collect())
+        quota, left = [], ties_needed
+        for pid, cnt in per_part:
+            q = max(0, min(left, cnt))
+            quota += [F.lit(pid), F.lit(q)]
+            left -= q
+        take = F.coalesce(F.element_at(F.create_map(*quota), F.col("__p")), F.lit(0)) \
+            if quota else F.lit(0)
+        ties = tie_rows.withColumn("__rn", F.row_number().over(
+            Window.partitionBy("__p").orderBy("__i"))).drop("__i")
+    ties = (ties.withColumn(split_col, F.when(F.col("__rn") <= take, "train").otherwise("test"))
+            .drop("__rn", "__p"))
     return rest.unionByName(ties).drop("__h")
