@@ -89,3 +89,19 @@ def test_empty_table(spark):
     assert P.quality_counts(e).first()["row_count"] == 0
     assert P.profile_numeric(e, None, ["x"]).first()["mean"] is None
     assert P.profile_categorical(e, ["s"]).first()["n_distinct"] == 0
+
+
+def test_exact_median_bucket_path_matches_percentile(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(20001).select(
+        (F.col("id") % 97).cast("double").alias("ties"),
+        F.when(F.col("id") % 500 == 0, F.lit(1e12)).otherwise(F.col("id") * 1e-3).alias("outliers"),
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.sin(F.col("id").cast("double"))).alias("holes"),
+        F.lit(7.0).alias("const"))
+    cols = df.columns
+    want = df.agg(*[F.percentile(c, 0.5).alias(c) for c in cols]).first().asDict()
+    got = P.exact_medians(df, cols, buckets=16, collect_max=50, agg_max_rows=0)
+    assert got == want
+    even = df.where(F.col("ties") != 96.0)   # drops 206 rows: an even count
+    want2 = even.agg(*[F.percentile(c, 0.5).alias(c) for c in cols]).first().asDict()
+    assert P.exact_medians(even, cols, buckets=8, collect_max=10, agg_max_rows=0) == want2

@@ -23,6 +23,7 @@ from veritab.operators.schema import infer_roles
 EXACT_MEDIAN_MAX_ROWS = 10_000_000
 APPROX_ACCURACY = 10_000
 WIDE_CHUNK = 200  # columns per aggregate, so one plan stays within code generation
+MOMENT_CHUNK = 2  # numeric-profile columns per aggregate node (see profile_numeric)
 
 
 def _median(x: Column, mode: str) -> Column:
@@ -33,64 +34,118 @@ def _median(x: Column, mode: str) -> Column:
 
 
 MEDIAN_BUCKETS = 1024
-
-
-def exact_medians(df: DataFrame, columns: list[str], buckets: int = MEDIAN_BUCKETS) -> DataFrame:
-    """Exact (interpolated) median per column: (column_name, median).
-
-    No global sort and no per-column buffer of all distinct values:
-
-    1. one code-generated aggregate gives n, min and max per column (one row);
-    2. every value gets an equal-width bucket between its column's min and
-       max; a partial hash aggregation counts (column, bucket) pairs, so at
-       most ``columns x buckets`` small rows are shuffled;
-    3. a running sum over those (at most ``buckets`` rows per column) finds
-       the one or two buckets holding the middle ranks;
-    4. only values inside those buckets are counted per distinct value and
-       ranked, which gives the exact middle value(s).
-
-    The one-row range table and the target table (at most two rows per
-    column) are broadcast; no join involves a table that grows with the data.
+MEDIAN_COLLECT_MAX = 100_000
+MEDIAN_MAX_LEVELS = 16
+# Up to this many values per column Spark's exact ``percentile`` aggregate is
+# used (its buffer holds the distinct values of a column, which is bounded
+# by this count); above it, the bucket refinement below.
+MEDIAN_AGG_MAX_ROWS = 5_000_000
+
+
+def exact_medians(df: DataFrame, columns: list[str], buckets: int = MEDIAN_BUCKETS,
+                  collect_max: int = MEDIAN_COLLECT_MAX,
+                  agg_max_rows: int = MEDIAN_AGG_MAX_ROWS) -> dict[str, float | None]:
+    """Exact (interpolated, as pandas) median of every column.
+
+    One aggregate gives n, min and max per column. Small columns (at most
+    ``agg_max_rows`` values) then use Spark's exact ``percentile``. Larger
+    ones never build a per-column buffer, sort a column or window over it;
+    each refinement round is one job whose shuffle is bounded by
+    ``intervals x buckets`` rows:
+
+    * values are stacked as (column, value) and joined to a broadcast table
+      of open intervals (two per column at most);
+    * inside its interval a value gets an equal-width bucket and a partial
+      hash aggregation returns count, min and max per bucket;
+    * the bucket holding the middle rank becomes the next interval, bounded
+      by that bucket's own min and max (bucketing is monotone, so the bucket
+      is exactly the values in [min, max]); outliers therefore cannot keep
+      the mass in one bucket;
+    * a bucket with one distinct value is the answer; one with at most
+      ``collect_max`` values is counted per distinct value and ranked.
     """
     spark = df.sparkSession
+    out: dict[str, float | None] = {c: None for c in columns}
     if not columns:
-        return spark.createDataFrame([], "column_name string, median double")
+        return out
     xs = [as_double(c, df.schema[c].dataType) for c in columns]
-    rng = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
-                 *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
-                 *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)])
-    with_rng = df.crossJoin(F.broadcast(rng))
-
-    def bucket(i: int, x: Column) -> Column:
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        b = F.least(F.floor((x - lo) / (hi - lo) * buckets), F.lit(buckets - 1))
-        return F.when(hi > lo, b).otherwise(F.lit(0)).cast("int")
-
-    tagged = with_rng.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("k"), bucket(i, x).alias("b"), x.alias("x"))
-        for i, x in enumerate(xs)]))).where(F.col("x").isNotNull())
-    hist = tagged.groupBy("k", "b").agg(F.count("*").alias("cnt"))
-    cum = (hist.withColumn("c_end", F.sum("cnt").over(Window.partitionBy("k").orderBy("b")))
-           .withColumn("c_start", F.col("c_end") - F.col("cnt")))
-    ranks = rng.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("k"), F.floor((F.col(f"n{i}") - 1) / 2).alias("r_lo"),
-                 F.ceil((F.col(f"n{i}") - 1) / 2).alias("r_hi")) for i in range(len(xs))])))
-    inside = lambda r, s, e: (F.col(r) >= F.col(s)) & (F.col(r) < F.col(e))
-    targets = (cum.join(F.broadcast(ranks), "k")
-               .where(inside("r_lo", "c_start", "c_end") | inside("r_hi", "c_start", "c_end"))
-               .select("k", "b", "c_start"))
-    vals = (tagged.join(F.broadcast(targets), ["k", "b"])
-            .groupBy("k", "b", "c_start", "x").agg(F.count("*").alias("cnt")))
-    ranked = (vals.withColumn("v_end", F.col("c_start")
-                              + F.sum("cnt").over(Window.partitionBy("k", "b").orderBy("x")))
-              .withColumn("v_start", F.col("v_end") - F.col("cnt"))
-              .join(F.broadcast(ranks), "k"))
-    picked = ranked.groupBy("k").agg(
-        F.max(F.when(inside("r_lo", "v_start", "v_end"), F.col("x"))).alias("a"),
-        F.max(F.when(inside("r_hi", "v_start", "v_end"), F.col("x"))).alias("z"))
-    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("k") + 1)
-    return picked.select(name.alias("column_name"),
-                         (F.col("a") + (F.col("z") - F.col("a")) * 0.5).alias("median"))
+    st = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
+                *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).first()
+    small = [i for i in range(len(columns)) if st[f"n{i}"] and st[f"n{i}"] <= agg_max_rows]
+    if small:
+        row = df.agg(*[F.percentile(xs[i], F.lit(0.5)).alias(f"m{i}") for i in small]).first()
+        for i in small:
+            out[columns[i]] = row[f"m{i}"]
+    searches = []   # one per (large column, middle rank)
+    for i in range(len(columns)):
+        n = st[f"n{i}"]
+        if not n or i in small:
+            continue
+        for r in sorted({(n - 1) // 2, n // 2}):
+            lo, hi = st[f"lo{i}"], st[f"hi{i}"]
+            searches.append({"i": i, "r": r, "lo": lo, "hi": hi, "value": lo if lo == hi else None})
+    if searches:
+        stacked = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), x.alias("x"))
+                                                for i, x in enumerate(xs)]))).where(F.col("x").isNotNull())
+        x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+
+        def open_intervals(items):
+            groups: dict[tuple, list] = {}
+            for s in items:
+                groups.setdefault((s["i"], s["lo"], s["hi"]), []).append(s)
+            params = spark.createDataFrame([(g, i, float(a), float(b)) for g, (i, a, b) in enumerate(groups)],
+                                           "g int, k int, lo double, hi double")
+            sel = stacked.join(F.broadcast(params), "k").where(x.between(lo, hi))
+            return list(groups.values()), sel
+
+        for _ in range(MEDIAN_MAX_LEVELS):
+            active = [s for s in searches if s["value"] is None]
+            if not active:
+                break
+            groups, sel = open_intervals(active)
+            b = F.least(F.floor((x - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
+            hist: dict[int, list] = {}
+            for r in (sel.groupBy("g", b.alias("b"))
+                      .agg(F.count("*").alias("cnt"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+                      .collect()):
+                hist.setdefault(r["g"], []).append(r)
+            finals = []
+            for g, members in enumerate(groups):
+                rows = sorted(hist.get(g, []), key=lambda r: r["b"])
+                for s in members:
+                    below = 0
+                    for row in rows:
+                        if below + row["cnt"] > s["r"]:
+                            break
+                        below += row["cnt"]
+                    s["r"] -= below
+                    s["lo"], s["hi"] = row["mn"], row["mx"]
+                    if row["mn"] == row["mx"]:
+                        s["value"] = row["mn"]
+                    elif row["cnt"] <= collect_max:
+                        finals.append(s)
+            if finals:
+                fgroups, fsel = open_intervals(finals)
+                counts: dict[int, list] = {}
+                for r in fsel.groupBy("g", "x").agg(F.count("*").alias("cnt")).collect():
+                    counts.setdefault(r["g"], []).append((r["x"], r["cnt"]))
+                for g, members in enumerate(fgroups):
+                    ordered = sorted(counts.get(g, []))
+                    for s in members:
+                        seen = 0
+                        for v, cnt in ordered:
+                            if seen + cnt > s["r"]:
+                                s["value"] = v
+                                break
+                            seen += cnt
+        picked: dict[int, list] = {}
+        for s in searches:
+            picked.setdefault(s["i"], []).append(s["value"])
+        for i, vals in picked.items():
+            a, z = vals[0], vals[-1]
+            out[columns[i]] = None if a is None or z is None else a + (z - a) * 0.5
+    return out
 
 
 def resolve_median_mode(df: DataFrame, median: str) -> str:
@@ -129,8 +184,15 @@ def profile_numeric(df: DataFrame, target: str | None = None, columns: list[str]
     if with_corr and target is not None:
         tgt_numeric = is_numeric_type(df.schema[target].dataType)
         tgt = as_double(target, df.schema[target].dataType) if tgt_numeric else None
+    # Exact medians for all columns first (a few bounded jobs, see
+    # ``exact_medians``); they enter the per-chunk rows as literals.
+    meds = exact_medians(df, columns) if mode == "exact" else {}
     parts = []
-    for chunk in _chunks(columns, WIDE_CHUNK):
+    # A handful of columns per aggregate: ~10 aggregate functions per column,
+    # and one generated method per aggregate node; past ~20 functions the
+    # method outgrows the JIT's size limit and runs interpreted (several
+    # times slower). Each chunk reads only its own columns from the scan.
+    for chunk in _chunks(columns, MOMENT_CHUNK):
         if not chunk:
             continue
         aggs, med_aggs, structs = [], [], []
@@ -151,18 +213,15 @@ def profile_numeric(df: DataFrame, target: str | None = None, columns: list[str]
                 F.lit(c).alias("column_name"),
                 *[F.col(f"{p}{i}").alias(n) for p, n in
                   zip(["mn", "mx", "av", "md", "sd", "sk", "ms", "cr"], NUMERIC_PROFILE_COLS)]))
-        # The moments are declarative aggregates (code-generated hash
-        # aggregation). Medians are a separate plan: the exact one is
-        # ``exact_medians``; sketch medians need object buffers, which would
-        # drag every aggregate of the same node into the interpreted
-        # object-hash path, so they are their own one-row aggregate.
         if mode == "exact":
-            meds = exact_medians(df, chunk)
-            wide = meds.agg(*[F.max(F.when(F.col("column_name") == c, F.col("median"))).alias(f"md{i}")
-                              for i, c in enumerate(chunk)])
+            moments = df.agg(*aggs, *[F.lit(meds[c]).cast("double").alias(f"md{i}")
+                                      for i, c in enumerate(chunk)])
         else:
-            wide = df.agg(*med_aggs)
-        parts.append(df.agg(*aggs).crossJoin(wide).select(F.inline(F.array(*structs))))
+            # Sketch medians need object buffers, which would drag every
+            # aggregate of the same node into the interpreted object-hash
+            # path, so they are their own one-row aggregate.
+            moments = df.agg(*aggs).crossJoin(df.agg(*med_aggs))
+        parts.append(moments.select(F.inline(F.array(*structs))))
     if not parts:
         return df.sparkSession.createDataFrame(
             [], "column_name string, min double, max double, mean double, median double, "
