@@ -55,3 +55,9 @@ def test_roc_binning_bounded(spark):
     auc = E.roc_auc(pts).first()[0]
     exact = E.roc_auc(E.roc_points(df, "label", "score")).first()[0]
     assert auc == pytest.approx(exact, abs=0.02)
+
+
+def test_confusion_matrix_guard(spark):
+    df = spark.range(50).select(F.col("id").alias("label"), (F.col("id") + 1).alias("prediction"))
+    with pytest.raises(ValueError):
+        E.confusion_matrix(df, max_classes=10)

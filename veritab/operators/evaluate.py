@@ -18,6 +18,7 @@ ACCURACY, PRECISION, RECALL, F1 = "Accuracy", "Precision", "Recall", "F1 Score"
 MSE, RMSE, MAE, R2 = "MSE", "RMSE", "MAE", "R² Score"
 
 ROC_MAX_POINTS = 10_000
+MAX_CLASSES = 1_000  # size guard for the square confusion matrix
 
 
 def _name_value(pairs) -> "Column":
@@ -94,7 +95,8 @@ def classification_metrics(df: DataFrame, label: str = "label",
 
 # E3 -------------------------------------------------------------------------
 
-def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                     max_classes: int = MAX_CLASSES) -> DataFrame:
     """Long confusion matrix (label, prediction, count) over the square of all
     classes seen in either column, zeros kept (E3).
 
@@ -106,6 +108,9 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
              .groupBy("label", "prediction").agg(F.count("*").alias("count")))
     classes = (pairs.select(F.explode(F.array("label", "prediction")).alias("c"))
                .where(F.col("c").isNotNull()).distinct())
+    # The square is classes x classes: check the class count before building it.
+    if classes.limit(max_classes + 1).count() > max_classes:
+        raise ValueError(f"more than {max_classes} classes: not a classification result")
     square = classes.select(F.col("c").alias("label")).crossJoin(
         F.broadcast(classes.select(F.col("c").alias("prediction"))))
     return (square.join(F.broadcast(pairs), ["label", "prediction"], "left")
