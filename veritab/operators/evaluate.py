@@ -34,8 +34,14 @@ def _cls(c: str):
 def _pair(df: DataFrame, label: str, prediction: str):
     """Label and prediction as comparable class strings: numeric pairs (an
     integer label against a double prediction) are compared as doubles."""
+    from pyspark.sql import types as T
+
     from veritab.functions.exprs import is_numeric_type
-    if is_numeric_type(df.schema[label].dataType) and is_numeric_type(df.schema[prediction].dataType):
+    lt, pt = df.schema[label].dataType, df.schema[prediction].dataType
+    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if isinstance(lt, integral) and isinstance(pt, integral):
+        return _cls(label), _cls(prediction)
+    if is_numeric_type(lt) and is_numeric_type(pt):
         return (qcol(label).cast("double").cast("string"), qcol(prediction).cast("double").cast("string"))
     return _cls(label), _cls(prediction)
 
