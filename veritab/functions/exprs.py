@@ -85,6 +85,11 @@ def row_hash32(key: Column, seed: int = 42) -> Column:
     return F.conv(hexpart, 16, 10).cast("bigint")
 
 
+def whole_row_hash32(df: DataFrame, seed: int = 42) -> Column:
+    """32-bit hash of the whole row (equal rows share it), JVM-native xxhash64."""
+    return F.pmod(F.xxhash64(*[qcol(c) for c in df.columns], F.lit(seed)), F.lit(1 << 32))
+
+
 def whole_row_key(df: DataFrame) -> Column:
     """A string key of the whole row (equal rows share it)."""
     return F.to_json(F.struct(*[qcol(c) for c in df.columns]))

@@ -416,7 +416,9 @@ def predict(model, df: DataFrame) -> DataFrame:
 def train(df: DataFrame, features: list[str], label: str, model_type: str, task: str,
           params: dict | None = None):
     """Dispatch by family: random_forest, svm, neural_network."""
+    from veritab.session import spread_for_iterations
     params = dict(params or {})
+    df = spread_for_iterations(df)
     if model_type == "random_forest":
         return train_random_forest(df, features, label, task, **params)
     if model_type == "svm":

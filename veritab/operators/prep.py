@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritab.functions.exprs import TWO_POW_32, as_category, as_double, qcol, row_hash32, whole_row_key
+from veritab.functions.exprs import (TWO_POW_32, as_category, as_double, qcol, row_hash32,
+                                     whole_row_hash32)
 from veritab.operators.schema import normalize_missing
 
 MAX_CATEGORIES = 1000   # per column, for dense one-hot columns
@@ -189,8 +190,8 @@ def label_encode(df: DataFrame, col: str, out_col: str | None = None,
 # P6 -------------------------------------------------------------------------
 
 def split_hash(df: DataFrame, key: str | None = None, seed: int = 42) -> Column:
-    k = qcol(key) if key else whole_row_key(df)
-    return row_hash32(k, seed)
+    """md5-based hash of ``key`` (checkable in SQL), else a native hash of the row."""
+    return row_hash32(qcol(key), seed) if key else whole_row_hash32(df, seed)
 
 
 def train_size_for(n: int, ratio: float) -> int:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.functions.exprs import qcol, row_hash32, whole_row_key
+from veritab.functions.exprs import qcol, row_hash32, whole_row_hash32
 
 # Default grids of the reference (API defaults), per family.
 DEFAULT_GRIDS = {
@@ -75,8 +75,8 @@ def assign_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int =
     No shuffle; each class lands in every fold in proportion (stratified in
     expectation), and the column feeds ``CrossValidator(foldCol=...)``.
     """
-    kcol = qcol(key) if key else whole_row_key(df)
-    return df.withColumn(fold_col, F.pmod(row_hash32(kcol, seed), F.lit(k)).cast("int"))
+    h = row_hash32(qcol(key), seed) if key else whole_row_hash32(df, seed)
+    return df.withColumn(fold_col, F.pmod(h, F.lit(k)).cast("int"))
 
 
 # T4 -------------------------------------------------------------------------

@@ -62,8 +62,10 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
                    combos: list[dict], k: int = 3, key: str | None = None, seed: int = 42,
                    objective: str | None = None, parallelism: int = 4) -> SearchResult:
     objective = objective or ("accuracy" if task == "classification" else "neg_mean_squared_error")
-    data = assign_folds(df.select(*features, label, *([key] if key and key not in features else [])),
-                        k, key, seed).persist()
+    from veritab.session import spread_for_iterations
+    data = spread_for_iterations(
+        assign_folds(df.select(*features, label, *([key] if key and key not in features else [])),
+                     k, key, seed)).persist()
     try:
         def run(job):
             ci, f = job

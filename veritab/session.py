@@ -69,3 +69,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a materialised intermediate table under the checkpoint dir."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def spread_for_iterations(df):
+    """Input of an iterative fit (forests, SVMs, gradient models, search),
+    spread over at least the cluster's default parallelism.
+
+    A scan of a few large row groups can yield fewer non-empty partitions than
+    cores, and every training pass would then run on those few tasks. When
+    the scan already has enough partitions (the normal case at scale) the
+    frame is returned unchanged, so no shuffle is added.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
