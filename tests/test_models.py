@@ -78,3 +78,12 @@ def test_robustness_no_noise_no_flip(spark, iris):
     test = res.prepared.data.where(F.col("split") == "test")
     r = robustness_test(res.model.stages[-1], test, res.prepared.features, noise=0.0).first()
     assert r["passed"] is True and r["failed_cases"] == 0
+
+
+def test_gradient_sum_tree_equals_collect(spark):
+    parts = spark.createDataFrame([([1.0, 2.0], 1.0), ([3.0, 4.0], 2.0), ([5.0, 6.0], 3.0)],
+                                  "g array<double>, l double").repartition(3)
+    tree = M.sum_partial_gradients(parts, 2, fanout=2)
+    flat = M.sum_partial_gradients(parts, 2, n_partitions=3)
+    assert list(tree["g"]) == [9.0, 12.0] and tree["l"] == 6.0
+    assert list(flat["g"]) == [9.0, 12.0] and flat["l"] == 6.0

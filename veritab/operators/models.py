@@ -251,6 +251,38 @@ def _batch_grad(weights, X, y, activation, loss, epsilon, n_out):
     return grads, lsum
 
 
+GRADIENT_FANOUT = 64
+
+
+def _array_sum(col: str, size: int) -> Column:
+    """Element-wise sum of the arrays collected in one group."""
+    return F.aggregate(F.collect_list(col), F.array_repeat(F.lit(0.0), size),
+                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+
+
+GRADIENT_COLLECT_MAX_PARTITIONS = 256
+
+
+def sum_partial_gradients(parts: DataFrame, size: int, fanout: int = GRADIENT_FANOUT,
+                          n_partitions: int | None = None):
+    """Sum the one-row-per-partition gradients.
+
+    Up to ``GRADIENT_COLLECT_MAX_PARTITIONS`` partitions the partial arrays
+    are collected and summed on the driver (a proven bound of that many
+    arrays). Above it they are summed on the executors as a two-level tree:
+    groups of partitions first (each group holds at most partitions / fanout
+    arrays), then the ``fanout`` group sums, so only one array of ``size``
+    doubles reaches the driver.
+    """
+    if n_partitions is not None and n_partitions <= GRADIENT_COLLECT_MAX_PARTITIONS:
+        rows = parts.collect()
+        return {"g": np.sum([np.array(r["g"]) for r in rows], axis=0) if rows else np.zeros(size),
+                "l": sum(r["l"] for r in rows)}
+    level1 = (parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(fanout)).alias("t"))
+              .agg(_array_sum("g", size).alias("g"), F.sum("l").alias("l")))
+    return level1.agg(_array_sum("g", size).alias("g"), F.sum("l").alias("l")).first()
+
+
 @dataclass
 class GradientModel:
     """Distributed full-batch gradient model (linear when ``hidden`` is empty)."""
@@ -314,6 +346,8 @@ class GradientModel:
             history = []
             schema = "g array<double>, l double"
             shapes = [w.shape for w in weights]
+            n_params = int(sum(np.prod(shp) for shp in shapes))
+            n_parts = data.rdd.getNumPartitions()
             for it in range(1, max_iter + 1):
                 bw = spark.sparkContext.broadcast([w for w in weights])
                 act, lss, mu, sd, ym, ys = activation, loss, mean, std, y_mean, y_std
@@ -337,10 +371,11 @@ class GradientModel:
                     flat = np.concatenate([t.ravel() for t in tot])
                     yield pd.DataFrame({"g": [flat.tolist()], "l": [lsum]})
 
-                parts = data.mapInPandas(part_grad, schema).collect()
+                total = sum_partial_gradients(data.mapInPandas(part_grad, schema), n_params,
+                                              n_partitions=n_parts)
                 bw.unpersist()
-                flat = np.sum([np.array(r["g"]) for r in parts], axis=0)
-                lsum = sum(r["l"] for r in parts)
+                flat = np.array(total["g"])
+                lsum = total["l"]
                 grads, off = [], 0
                 for shp in shapes:
                     size = int(np.prod(shp))
