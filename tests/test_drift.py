@@ -87,3 +87,14 @@ def test_mean_shift(spark):
     assert r["shift_pct"] == pytest.approx(30.0, rel=1e-9)
     assert r["shifted"] is True
     assert D.mean_shift_detected(D.mean_shift(df, ["x"])).first()["drift_detected"] is True
+
+
+def test_target_drift_data(spark, demo):
+    ref, cur = demo
+    d = D.target_drift_data(ref, cur, "feature1", bins=4)
+    assert d["drift"].first()["column_type"] == "numeric"
+    assert d["reference_histogram"].agg(F.sum("count")).first()[0] == 5
+    a = spark.createDataFrame([("x",), ("y",)], "t string")
+    b = spark.createDataFrame([("y",)], "t string")
+    f = {r["value"]: (r["ref_freq"], r["cur_freq"]) for r in D.target_drift_data(a, b, "t")["frequencies"].collect()}
+    assert f == {"x": (0.5, 0.0), "y": (0.5, 1.0)}

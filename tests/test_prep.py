@@ -95,3 +95,10 @@ def test_prepare_fit_on_train(spark):
     p = prepare(df, steps=("normalize",), fit_on="train", key=None)
     tr = p.data.where(F.col("split") == "train").agg(F.avg("f")).first()[0]
     assert tr == pytest.approx(0.0, abs=1e-9)
+
+
+def test_label_inverse(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",)], "y string")
+    enc, labels = prep.label_encode(df, "y", "idx")
+    back = enc.select("y", prep.inverse_label_expr(F.col("idx"), labels).alias("back")).collect()
+    assert all(r["y"] == r["back"] for r in back)

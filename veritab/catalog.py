@@ -1094,7 +1094,20 @@ def q_g8(spark, sf):
     return robustness_test(res.model.stages[-1], test, res.prepared.features, noise=0.1, max_flip=0.1)
 
 
-@register("q11_profile_report")
+@register("q11_profile_report", f"""
+SELECT f.*, c.abs_corr FROM (
+  SELECT column_name, min, max, mean, median, std, skew, missing, 'numeric' AS type,
+         CAST(NULL AS BIGINT) AS n_distinct, CAST(NULL AS VARCHAR) AS most_common,
+         CAST(NULL AS BIGINT) AS most_common_count
+  FROM ({sql_numeric_profile('part', ['p_partkey', 'p_size'], None)})
+  UNION ALL
+  SELECT column_name, NULL, NULL, NULL, NULL, NULL, NULL, missing, 'categorical', n_distinct, most_common,
+         most_common_count
+  FROM ({_sql_cat_profile('part', ['p_name', 'p_brand', 'p_type'])})) f
+LEFT JOIN (
+  SELECT 'p_partkey' AS column_name, round(abs({sql_corr('p_partkey', 'p_retailprice')}), 6) AS abs_corr FROM part
+  UNION ALL
+  SELECT 'p_size', round(abs({sql_corr('p_size', 'p_retailprice')}), 6) FROM part) c USING (column_name)""")
 def q_q11(spark, sf):
     from veritab.plans.report import profile_report
     rep = profile_report(load_table(spark, sf, "part"), "p_retailprice")

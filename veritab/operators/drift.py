@@ -205,6 +205,21 @@ def target_drift(ref: DataFrame, cur: DataFrame, target: str,
     return drift_report(ref, cur, [target], threshold)
 
 
+def target_drift_data(ref: DataFrame, cur: DataFrame, target: str, bins: int = 30,
+                      threshold: float = DRIFT_THRESHOLD) -> dict[str, DataFrame]:
+    """D5 in full: the drift row plus the distribution data of both sides —
+    equal-width histograms (numeric target, bins over each side's own range,
+    as the reference plots them) or category frequencies (categorical)."""
+    from veritab.operators.profile import category_frequencies, histogram
+    out = {"drift": target_drift(ref, cur, target, threshold)}
+    if is_numeric_type(ref.schema[target].dataType) and is_numeric_type(cur.schema[target].dataType):
+        out["reference_histogram"] = histogram(ref, target, bins)
+        out["current_histogram"] = histogram(cur, target, bins)
+    else:
+        out["frequencies"] = category_frequencies(ref, cur, target)
+    return out
+
+
 # D7 -------------------------------------------------------------------------
 
 def compare_quality(ref: DataFrame, cur: DataFrame) -> DataFrame:

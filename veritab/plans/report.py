@@ -44,6 +44,13 @@ def evaluation_report(predictions: DataFrame, split_table: DataFrame, features:
     if task == "classification" and "ClassificationQuality" in sections:
         out["metrics"] = E.classification_metrics(predictions, label, prediction)
         out["confusion_matrix"] = E.confusion_matrix(predictions, label, prediction)
+    if (task == "classification" and "ProbClassificationQuality" in sections
+            and "probability" in predictions.columns):
+        from pyspark.ml.functions import vector_to_array
+        scored = predictions.withColumn("__p1", vector_to_array("probability")[1])
+        if predictions.select(label).distinct().limit(3).count() <= 2:
+            out["roc_curve"] = E.roc_points(scored, label, "__p1", positive=1)
+            out["roc_auc"] = E.roc_auc(out["roc_curve"])
     if task != "classification" and "RegressionQuality" in sections:
         out["metrics"] = E.regression_metrics(predictions, label, prediction)
     if "DataQuality" in sections:
