@@ -68,11 +68,19 @@ def compare(spark, con, sf_dir, name, q, sql):
 
 
 def main():
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    pats = sys.argv[2:]
-    from veritab.session import get_spark
+    args = [a for a in sys.argv[1:] if a != "--plain"]
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    pats = args[1:]
     import __spark_entry__ as E
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    if "--plain" in sys.argv:
+        # A session as an outside harness would build it: no library defaults.
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]")
+                 .config("spark.sql.shuffle.partitions", "8").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        from veritab.session import get_spark
+        spark = get_spark("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
     qs, oracles = E.queries(), E.oracle_sql()
     bad = 0

@@ -161,7 +161,6 @@ def train_svm(df: DataFrame, features: list[str], label: str = "label",
         cols = features if proj is None else None
         base = df if proj is None else df.select("*", *proj)
         fcols = cols or [f"rff_{k}" for k in range(n_components)]
-        n = df.count()
         gm = GradientModel.fit(base, fcols, label, loss="epsilon_insensitive", hidden=(),
                                alpha=1.0 / C, max_iter=max_iter, seed=seed,
                                epsilon=epsilon)
