@@ -303,7 +303,9 @@ class GradientModel:
             lr: float = 1e-3, seed: int = 42, epsilon: float = 0.1, n_classes: int | None = None,
             tol: float = 1e-6) -> "GradientModel":
         """Adam on the full-batch gradient; one Spark job per iteration."""
+        from veritab.session import ship_package
         spark = df.sparkSession
+        ship_package(spark)
         hidden = parse_hidden(hidden)
         data = df.select(*[as_double(c, df.schema[c].dataType).alias(f"x{i}")
                            for i, c in enumerate(features)],
@@ -398,7 +400,9 @@ class GradientModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` (class index for softmax) with an Arrow UDF."""
+        from veritab.session import ship_package
         spark = df.sparkSession
+        ship_package(spark)
         bw = spark.sparkContext.broadcast(self.weights)
         act, loss, mu, sd = self.activation, self.loss, self.x_mean, self.x_std
         ym, ys = self.y_mean, self.y_std

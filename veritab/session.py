@@ -84,3 +84,40 @@ def spread_for_iterations(df):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``veritab`` importable in the Python workers (once per application).
+
+    Python tasks (``mapInPandas``, pandas UDFs) unpickle references to
+    functions of this package. On a cluster the package is shipped at submit
+    time (``--py-files`` or the image). For a local or driver-launched
+    session whose checkpoint folder is on a file system this process can
+    write, the package is zipped there and added with ``addPyFile``; with a
+    remote checkpoint folder nothing is done.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    base = checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        _SHIPPED.add(sc.applicationId)
+        return
+    base = base[len("file:"):] if base.startswith("file:") else base
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out_dir = os.path.join(base, "pyfiles", sc.applicationId)
+    os.makedirs(out_dir, exist_ok=True)
+    zpath = os.path.join(out_dir, "veritab.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)

@@ -142,6 +142,8 @@ def read_records(spark: SparkSession, source, column: str | None = None,
         return (r.schema(schema) if schema is not None else r).json(source)
     df: DataFrame = source
     if schema is None:
+        from veritab.session import ship_package
+        ship_package(spark)
         schema = spark.read.json(df.select(qcol(column)).where(qcol(column).isNotNull())
                                  .rdd.map(lambda r: r[0])).schema
     parsed = F.from_json(qcol(column), schema)
