@@ -88,3 +88,16 @@ def test_data_quality_and_drift_tests(spark, demo):
     q = spark.createDataFrame([(1, None), (2, "a")], "x int, s string")
     dq = G.data_quality_test(q, max_missing_pct=10.0).first()
     assert dq["failed_cases"] == 1 and dq["total_cases"] == 3
+
+
+def test_stratified_folds_exact_balance(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"),
+                                  F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 10 < 9, "b")
+                                  .otherwise("c").alias("y"))
+    f = T.assign_folds(df, 3, key="k", stratify="y")
+    assert f.count() == 1000 and f.select("k").distinct().count() == 1000
+    sizes = {}
+    for r in f.groupBy("y", "fold").count().collect():
+        sizes.setdefault(r["y"], []).append(r["count"])
+    for y, c in sizes.items():
+        assert len(c) == 3 and max(c) - min(c) <= 1, (y, c)

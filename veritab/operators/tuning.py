@@ -68,15 +68,50 @@ def param_grid(spark: SparkSession, model_type: str, ranges: dict | None = None)
 
 # T2 -------------------------------------------------------------------------
 
-def assign_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int = 42,
-                 fold_col: str = "fold") -> DataFrame:
-    """Add an integer ``fold`` in [0, k) from the md5 hash of ``key``.
+STRATIFY_BUCKETS = 65_536
+STRATIFY_CELLS = 1_000_000
+MAX_STRATA = 1000
+
 
-    No shuffle; each class lands in every fold in proportion (stratified in
-    expectation), and the column feeds ``CrossValidator(foldCol=...)``.
+def assign_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int = 42,
+                 fold_col: str = "fold", stratify: str | None = None) -> DataFrame:
+    """Add an integer ``fold`` in [0, k) (T2); the column feeds
+    ``CrossValidator(foldCol=...)`` or ``plans.search``.
+
+    Default: the md5 hash of ``key`` (or a hash of the whole row) modulo k —
+    no shuffle; classes are balanced across folds in expectation.
+
+    ``stratify=col``: exactly stratified, as scikit-learn's classifier folds
+    (per class, fold sizes differ by at most one). A row's rank inside its
+    class, in hash order, is found without ranking a class in one task: a
+    (class, hash bucket) count table (about a million rows at most; classes
+    guarded) gives every bucket its starting rank, and rows are numbered only
+    inside their (class, bucket) cell. fold = rank mod k. Rows with equal
+    hashes (equal keys, or equal rows without a key) share a cell; give a
+    unique ``key`` when large groups of identical rows are expected.
     """
     h = row_hash32(qcol(key), seed) if key else whole_row_hash32(df, seed)
-    return df.withColumn(fold_col, F.pmod(h, F.lit(k)).cast("int"))
+    if stratify is None:
+        return df.withColumn(fold_col, F.pmod(h, F.lit(k)).cast("int"))
+    n_classes = df.select(qcol(stratify)).distinct().limit(MAX_STRATA + 1).count()
+    if n_classes > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} classes in {stratify!r}")
+    # As many hash buckets as keep the (class, bucket) start table at about a
+    # million rows: cells stay small, the table stays broadcastable.
+    nb = max(256, min(STRATIFY_BUCKETS, STRATIFY_CELLS // max(n_classes, 1)))
+    tagged = df.withColumn("__h", h).withColumn("__s", qcol(stratify).cast("string")) \
+        .withColumn("__b", F.floor(F.col("__h") * nb / F.lit(float(1 << 32))).cast("int"))
+    cells = tagged.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
+    starts = cells.withColumn(
+        "__c0", F.sum("__n").over(Window.partitionBy("__s").orderBy("__b")) - F.col("__n")).drop("__n")
+    # Rows sharing a hash value (equal keys / equal rows) are numbered in an
+    # arbitrary but fixed order: by the hash, then by the input position.
+    within = Window.partitionBy("__s", "__b").orderBy("__h", "__i")
+    out = (tagged.withColumn("__i", F.monotonically_increasing_id())
+           .join(F.broadcast(starts), ["__s", "__b"])
+           .withColumn(fold_col, F.pmod(F.col("__c0") + F.row_number().over(within) - 1,
+                                        F.lit(k)).cast("int")))
+    return out.drop("__h", "__s", "__b", "__c0", "__i")
 
 
 # T4 -------------------------------------------------------------------------

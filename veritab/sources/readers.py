@@ -111,7 +111,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         df = spark.read.option("header", True).schema(schema).csv(path)
         return df
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    nulls = raw.select(*[F.when(F.trim(qcol(c)).isin(NA_TOKENS), None).otherwise(qcol(c)).alias(c)
+    nulls = raw.select(*[F.when(qcol(c).isin(NA_TOKENS), None).otherwise(qcol(c)).alias(c)
                          for c in raw.columns])
     return infer_csv_types(nulls)
 
