@@ -775,6 +775,17 @@ def q_t2(spark, sf):
     return assign_folds(load_table(spark, sf, "orders").select("o_orderkey"), 3, key="o_orderkey")
 
 
+@register("t2_assign_folds_stratified", """
+SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY h, o_orderkey) - 1) % 3 AS INTEGER)
+       AS fold
+FROM (SELECT o_orderkey, o_orderstatus,
+             ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT AS h FROM orders) t""")
+def q_t2s(spark, sf):
+    from veritab.operators.tuning import assign_folds
+    o = load_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return assign_folds(o, 3, key="o_orderkey", stratify="o_orderstatus").select("o_orderkey", "fold")
+
+
 @register("t4_rank_results", """
 WITH s AS (SELECT l_linenumber AS combo, l_orderkey % 3 AS fold, avg(l_discount) AS score
            FROM lineitem GROUP BY 1, 2),

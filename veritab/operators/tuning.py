@@ -104,9 +104,9 @@ def assign_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int =
     cells = tagged.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
     starts = cells.withColumn(
         "__c0", F.sum("__n").over(Window.partitionBy("__s").orderBy("__b")) - F.col("__n")).drop("__n")
-    # Rows sharing a hash value (equal keys / equal rows) are numbered in an
-    # arbitrary but fixed order: by the hash, then by the input position.
-    within = Window.partitionBy("__s", "__b").orderBy("__h", "__i")
+    # Rows are numbered in hash order, ties by key (or, without a key, by
+    # input position: such ties are equal rows).
+    within = Window.partitionBy("__s", "__b").orderBy("__h", qcol(key) if key else F.col("__i"))
     out = (tagged.withColumn("__i", F.monotonically_increasing_id())
            .join(F.broadcast(starts), ["__s", "__b"])
            .withColumn(fold_col, F.pmod(F.col("__c0") + F.row_number().over(within) - 1,

@@ -65,8 +65,11 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
     from veritab.session import spread_for_iterations
     data = spread_for_iterations(
         assign_folds(df.select(*features, label, *([key] if key and key not in features else [])),
-                     k, key, seed)).persist()
+                     k, key, seed, stratify=label if task == "classification" else None)).persist()
     try:
+        # Materialise once before the concurrent fits, so the threads do not
+        # each recompute the uncached lineage.
+        data.count()
         def run(job):
             ci, f = job
             tr = data.where(F.col("fold") != f)
