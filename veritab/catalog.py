@@ -1123,3 +1123,40 @@ def q_q11(spark, sf):
     from veritab.plans.report import profile_report
     rep = profile_report(load_table(spark, sf, "part"), "p_retailprice")
     return rnd(rep["features"].join(F.broadcast(rep["correlations"]), "column_name", "left"), 6)
+
+
+# ---------------------------------------------------------------------------
+# Extra coverage: NULL category in one-hot, integer labels in per-class metrics
+# ---------------------------------------------------------------------------
+
+@register("p3_one_hot_null_category", """
+SELECT l_orderkey, l_linenumber,
+       CAST(coalesce(nullif(l_linestatus, 'O') = 'F', false) AS DOUBLE) AS l_linestatus_F,
+       CAST(nullif(l_linestatus, 'O') IS NULL AS DOUBLE) AS l_linestatus_nan
+FROM lineitem""")
+def q_p3n(spark, sf):
+    from veritab.operators.prep import one_hot
+    li = load_table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.nullif(F.col("l_linestatus"), F.lit("O")).alias("l_linestatus"))
+    return one_hot(li, ["l_linestatus"])
+
+
+@register("e2_per_class_metrics_int_labels", """
+WITH p AS (SELECT quality AS label, toxic AS prediction FROM labels)
+SELECT class, coalesce(a.n, 0) AS support, coalesce(q.n, 0) AS predicted, coalesce(t.n, 0) AS tp,
+       round(coalesce(coalesce(t.n, 0) / nullif(coalesce(q.n, 0), 0), 0.0), 10) AS precision,
+       round(coalesce(coalesce(t.n, 0) / nullif(coalesce(a.n, 0), 0), 0.0), 10) AS recall,
+       round(coalesce(2 * coalesce(coalesce(t.n, 0) / nullif(coalesce(q.n, 0), 0), 0.0)
+                        * coalesce(coalesce(t.n, 0) / nullif(coalesce(a.n, 0), 0), 0.0)
+                      / nullif(coalesce(coalesce(t.n, 0) / nullif(coalesce(q.n, 0), 0), 0.0)
+                               + coalesce(coalesce(t.n, 0) / nullif(coalesce(a.n, 0), 0), 0.0), 0), 0.0), 10) AS f1
+FROM (SELECT CAST(label AS VARCHAR) AS class, count(*) AS n FROM p WHERE label IS NOT NULL GROUP BY 1) a
+FULL OUTER JOIN (SELECT CAST(prediction AS VARCHAR) AS class, count(*) AS n FROM p
+                 WHERE prediction IS NOT NULL GROUP BY 1) q USING (class)
+LEFT JOIN (SELECT CAST(label AS VARCHAR) AS class, count(*) AS n FROM p WHERE label = prediction GROUP BY 1) t
+  USING (class)""")
+def q_e2i(spark, sf):
+    from veritab.operators.evaluate import per_class_metrics
+    lab = load_table(spark, sf, "labels").select(F.col("quality").alias("label"),
+                                                 F.col("toxic").alias("prediction"))
+    return rnd(per_class_metrics(lab), 10)
