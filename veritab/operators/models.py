@@ -5,8 +5,9 @@ estimators. Spark ML has no kernel SVM and no MLP regressor; for those
 (M4, M6 and relu/tanh M5) ``GradientModel`` runs data-parallel full-batch
 training: the training rows are persisted once, each iteration broadcasts
 the current weights, every partition returns one partial gradient (a
-``mapInPandas`` task, numpy inside), and the few partial gradients (one per
-partition) are summed on the driver. The RBF kernel is approximated with
+``mapInPandas`` task, numpy inside), and the partial gradients are summed
+(on the driver up to 256 partitions, else as a two-level tree on the
+executors, see ``sum_partial_gradients``). The RBF kernel is approximated with
 seeded random Fourier features (Rahimi & Recht, 2007), computed as plain
 column expressions.
 """

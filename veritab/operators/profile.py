@@ -1,10 +1,11 @@
 """Profiling aggregations: operators Q1-Q10.
 
-Numeric profiles are one wide aggregate (partial aggregation on every
-executor, a single small row to the driver side), reshaped to long form with
-``inline``. Categorical profiles stack all categorical columns into
-(column_name, value) rows and group once, so the cost is one shuffle of
-pre-aggregated counts however many columns there are.
+Numeric profiles are one-row aggregates (partial aggregation on every
+executor, a single small row per chunk of columns), reshaped to long form
+with ``inline``; exact medians come from ``exact_medians``. Categorical
+profiles stack all categorical columns into (column_name, value) rows and
+group once, so the cost is one shuffle of pre-aggregated counts however many
+columns there are.
 """
 
 from __future__ import annotations
