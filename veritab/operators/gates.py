@@ -33,6 +33,8 @@ TEST_DRIFT = "DataDriftTest"
 TEST_BIAS = "BiasTest"
 TEST_ADVERSARIAL = "AdversarialTest"
 
+QUALITY_CHUNK = 32  # columns per aggregate in the data-quality cases
+
 
 def _direction(name: Column) -> Column:
     return F.when(name.isin(LOWER_IS_BETTER), F.lit("<=")).otherwise(F.lit(">="))
@@ -124,12 +126,23 @@ def data_quality_cases(df: DataFrame, max_missing_pct: float = 5.0,
     """One case per column (missing share within the limit) plus one for
     duplicate rows; all from one aggregate and one distinct."""
     n = F.count("*")
-    structs = [F.struct(F.lit(f"missing:{f.name}").alias("case"),
-                        (F.try_divide(F.count_if(as_category(f.name, f.dataType).isNull()), n) * 100)
-                        .alias("value"))
-               for f in df.schema.fields]
-    per_col = df.agg(F.array(*structs).alias("a")).select(F.inline("a")) \
-        .withColumn("limit", F.lit(float(max_missing_pct)))
+    fields = df.schema.fields
+    per_col = None
+    # A bounded number of aggregate functions per aggregate node keeps each
+    # generated method small enough for the JIT on wide tables.
+    for start in range(0, max(len(fields), 1), QUALITY_CHUNK):
+        chunk = fields[start:start + QUALITY_CHUNK]
+        if not chunk:
+            break
+        structs = [F.struct(F.lit(f"missing:{f.name}").alias("case"),
+                            (F.try_divide(F.count_if(as_category(f.name, f.dataType).isNull()), n) * 100)
+                            .alias("value"))
+                   for f in chunk]
+        part = df.agg(F.array(*structs).alias("a")).select(F.inline("a"))
+        per_col = part if per_col is None else per_col.unionByName(part)
+    if per_col is None:
+        per_col = df.sparkSession.createDataFrame([], "case string, value double")
+    per_col = per_col.withColumn("limit", F.lit(float(max_missing_pct)))
     dup = (df.agg(n.alias("n")).crossJoin(df.distinct().agg(F.count("*").alias("d")))
            .select(F.lit("duplicate_rows").alias("case"),
                    (F.try_divide(F.col("n") - F.col("d"), F.col("n")) * 100).alias("value"),
