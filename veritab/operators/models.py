@@ -302,8 +302,13 @@ class GradientModel:
     def fit(df: DataFrame, features: list[str], label: str, loss: str = "squared",
             hidden=(100,), activation: str = "relu", alpha: float = 1e-4, max_iter: int = 200,
             lr: float = 1e-3, seed: int = 42, epsilon: float = 0.1, n_classes: int | None = None,
-            tol: float = 1e-6) -> "GradientModel":
-        """Adam on the full-batch gradient; one Spark job per iteration."""
+            tol: float = 1e-4, n_iter_no_change: int = 10) -> "GradientModel":
+        """Adam on the full-batch gradient; one Spark job per iteration.
+
+        Stops after ``max_iter`` iterations, or when the loss has not improved
+        by at least ``tol`` for ``n_iter_no_change`` iterations in a row (the
+        stopping rule of scikit-learn's MLP estimators, same defaults).
+        """
         from veritab.session import ship_package
         spark = df.sparkSession
         ship_package(spark)
@@ -346,6 +351,7 @@ class GradientModel:
             v = [np.zeros_like(w) for w in weights]
             b1, b2, eps = 0.9, 0.999, 1e-8
             history = []
+            best, stale = float("inf"), 0
             schema = "g array<double>, l double"
             shapes = [w.shape for w in weights]
             n_params = int(sum(np.prod(shp) for shp in shapes))
@@ -392,8 +398,13 @@ class GradientModel:
                     mh = m[i] / (1 - b1 ** it)
                     vh = v[i] / (1 - b2 ** it)
                     weights[i] = weights[i] - lr * mh / (np.sqrt(vh) + eps)
-                if it > 10 and abs(history[-2] - history[-1]) < tol * max(1.0, abs(history[-2])):
-                    break
+                if history[-1] > best - tol:
+                    stale += 1
+                    if stale >= n_iter_no_change:
+                        break
+                else:
+                    stale = 0
+                best = min(best, history[-1])
         finally:
             data.unpersist()
         return GradientModel(features, weights, activation, loss, k, mean, std, history=history,
