@@ -133,8 +133,9 @@ def one_hot_drop_first(df: DataFrame, cols: list[str], max_categories: int = MAX
 def one_hot_vector(df: DataFrame, cols: list[str], drop_last: bool = False) -> DataFrame:
     """Wide-column path of P3: ``StringIndexer`` + ``OneHotEncoder`` sparse vectors.
 
-    Category order is alphabetical, unseen/NULL values are kept as an extra
-    index. Adds ``<col>_vec`` and drops the originals.
+    Category order is alphabetical; NULL and values unseen at fit time share
+    one extra last slot (the dense path keeps NULL as ``<col>_nan`` and maps
+    unseen values to all zeros). Adds ``<col>_vec`` and drops the originals.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
@@ -142,7 +143,7 @@ def one_hot_vector(df: DataFrame, cols: list[str], drop_last: bool = False) -> D
     idx = [StringIndexer(inputCol=f"{c}__s", outputCol=f"{c}__i", stringOrderType="alphabetAsc",
                          handleInvalid="keep") for c in cols]
     enc = OneHotEncoder(inputCols=[f"{c}__i" for c in cols], outputCols=[f"{c}_vec" for c in cols],
-                        dropLast=drop_last, handleInvalid="keep")
+                        dropLast=drop_last, handleInvalid="error")
     model = Pipeline(stages=[*idx, enc]).fit(tmp)
     out = model.transform(tmp)
     return out.drop(*cols, *[f"{c}__s" for c in cols], *[f"{c}__i" for c in cols])
