@@ -63,13 +63,19 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
                    objective: str | None = None, parallelism: int = 4) -> SearchResult:
     objective = objective or ("accuracy" if task == "classification" else "neg_mean_squared_error")
     from veritab.session import spread_for_iterations
-    data = spread_for_iterations(
-        assign_folds(df.select(*features, label, *([key] if key and key not in features else [])),
-                     k, key, seed, stratify=label if task == "classification" else None)).persist()
+    stratify = label if task == "classification" else None
+    base = df.select(*features, label, *([key] if key and key not in features else []))
+    if stratify is not None:
+        # Stratified folds read the input three times (class count, cell
+        # counts, numbering); keep it for those passes only.
+        base = base.persist()
+    data = spread_for_iterations(assign_folds(base, k, key, seed, stratify=stratify)).persist()
     try:
         # Materialise once before the concurrent fits, so the threads do not
         # each recompute the uncached lineage.
         data.count()
+        if stratify is not None:
+            base.unpersist()
         def run(job):
             ci, f = job
             tr = data.where(F.col("fold") != f)
