@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veritab.sources.tables import load_table
 
-from . import chat, dedup, mixing
+from . import chat, dedup, jaccard, mixing, packing, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,23 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 @register("op10_exact_dedup", DEDUP_SQL)
 def op10_exact_dedup(spark, sf_dir):
     return dedup.mark_duplicates(load_table(spark, sf_dir, "documents"))
+
+
+@register("op5_ngram_jaccard_join")
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(load_table(spark, sf_dir, "documents"))
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
+@register("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(load_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@register("op9_secret_scan")
+def op9_secret_scan(spark, sf_dir):
+    return secret_scan.scan_secrets(load_table(spark, sf_dir, "documents"))
