@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veritab.sources.tables import load_table
 
-from . import chat, dedup, jaccard, mixing, packing, secret_scan, toxicity
+from . import chat, dedup, jaccard, language_model, mixing, packing, quality_rules, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,11 @@ FROM spent GROUP BY doc_id, size, source_size, target
 """
 
 
+@register("op1_quality_classifier")
+def op1_quality_classifier(spark, sf_dir):
+    return language_model.score_quality(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
 @register("op3_source_mixing", MIX_SQL)
 def op3_source_mixing(spark, sf_dir):
     return mixing.mix_sources(load_table(spark, sf_dir, "documents")).select(
@@ -116,6 +121,11 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
 
 
+@register("op7_quality_rules")
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.score_rules(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
 @register("op8_best_fit_packing")
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(load_table(spark, sf_dir, "documents"), with_ids=False)
