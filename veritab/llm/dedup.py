@@ -135,18 +135,22 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_duplicates_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           quotient_bits: int = QUOTIENT_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns: of equal texts one
-    row, the one with the largest id. Rows that repeat text and id are dealt
-    by the first of them in the order of the whole row's hash."""
-    fps = docs.select(F.xxhash64(lower_ascii(F.coalesce(col(text_col), F.lit("")))).alias("fp"))
-    groups = duplicate_groups(docs, fps, id_col, text_col, quotient_bits)
-    rows = docs.select(row_struct(docs).alias("row"), col(id_col).alias("doc_id"),
-                       F.sha2(lower_ascii(F.coalesce(col(text_col), F.lit(""))), 256).alias("text_sha256"))
-    marked = rows.join(groups, "text_sha256", "left").where(
-        F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    single = marked.where(F.col("group_size").isNull()).select("row")
-    # Of a repeated text all rows with the largest id are left: one row, or a
-    # few if a row itself was repeated; the first by hash is combined before
-    # the shuffle.
-    chosen = (marked.where(F.col("group_size").isNotNull()).groupBy("text_sha256")
-              .agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
-    return single.unionByName(chosen).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    row, the one with the largest id. Of rows that repeat both text and id the
+    one with the smallest hash of the whole row stays."""
+    sha = F.sha2(lower_ascii(F.coalesce(col(text_col), F.lit(""))), 256).alias("text_sha256")
+    narrow = materialize(docs.select(col(id_col).alias("doc_id"), sha, F.xxhash64(
+        lower_ascii(F.coalesce(col(text_col), F.lit("")))).alias("fp")), "dedup-ids")
+    groups = duplicate_groups(docs, narrow, id_col, text_col, quotient_bits)
+    stay = (docs.select(row_struct(docs).alias("row"), col(id_col).alias("doc_id"), sha)
+            .join(groups, "text_sha256", "left")
+            .where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+    again = materialize(narrow.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                        .select("text_sha256", F.col("doc_id").alias("again")), "dedup-again")
+    if again.isEmpty():  # ids tell all rows apart
+        kept = stay.select("row")
+    else:
+        same = [stay["text_sha256"] == again["text_sha256"], stay["doc_id"].eqNullSafe(again["again"])]
+        kept = (stay.join(again, same, "left_anti").select("row")
+                .union(stay.join(again, same, "left_semi").groupBy("text_sha256")
+                       .agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

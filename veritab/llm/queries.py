@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veritab.sources.tables import load_table
 
-from . import chat, dedup, jaccard, language_model, mixing, packing, quality_rules, secret_scan, toxicity
+from . import (chat, dedup, html_extraction, jaccard, language_model, mixing, packing, quality_rules, secret_scan,
+               toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +62,11 @@ def op1_quality_classifier(spark, sf_dir):
     return language_model.score_quality(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
 
 
+@register("op2_html_extraction")
+def op2_html_extraction(spark, sf_dir):
+    return html_extraction.extract_text(load_table(spark, sf_dir, "pages"))
+
+
 @register("op3_source_mixing", MIX_SQL)
 def op3_source_mixing(spark, sf_dir):
     return mixing.mix_sources(load_table(spark, sf_dir, "documents")).select(

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, python_ready
@@ -128,22 +128,33 @@ def _selected(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[
                                          names=["doc_id", "label", "terms"])
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: FactorizationMachine) -> Iterator[pa.RecordBatch]:
+def _text_scores(batches: Iterator[pa.RecordBatch], model: FactorizationMachine,
+                 text_col: str) -> Iterator[tuple[pa.RecordBatch, list[float]]]:
     shares: dict[str, np.ndarray | None] = {}
     for batch in batches:
         out = []
-        for text in batch.column("text").to_pylist():
-            words = text_words(text)
+        for text in batch.column(text_col).to_pylist():
+            words = text_words(text or "")
             if len(shares) > CACHE_WORDS:
                 shares = {}
             for w in words.difference(shares):
                 shares[w] = model.word_share(w)
             # a fixed order of the words makes the sum the same in every run
             out.append(model.score([shares[w] for w in sorted(words) if shares[w] is not None]))
+        yield batch, out
+
+
+def _scores(batches: Iterator[pa.RecordBatch], model: FactorizationMachine) -> Iterator[pa.RecordBatch]:
+    for batch, out in _text_scores(batches, model, "text"):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())],
                                          names=["doc_id", "score"])
 
 
+def _harmless(batches: Iterator[pa.RecordBatch], model: FactorizationMachine, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch, out in _text_scores(batches, model, text_col):
+        yield batch.filter(pa.array([s < 0.5 for s in out], pa.bool_()))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, label, text`` of at most ``limit`` labelled documents. The
     bounded label table is broadcast; documents are read where they are."""
@@ -191,13 +202,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     classes every score is the (clipped) share of label 1, 0.001 if there are
     none. An empty table gives no rows. Other columns are not read.
     """
-    key = col(id_col)
-    fold = F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5))
-    source = docs.select(key.alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    seen = labels.select(key.alias("doc_id"), col(label_col).alias("label"), fold.alias("fold")).where("fold <> 0")
-    model = fit_toxicity(source, seen.select("doc_id", "label"), limit)
+    source, model = _fitted(docs, labels, id_col, text_col, label_col, limit)
     kind = source.schema["doc_id"].dataType.simpleString()
     return (source.mapInArrow(lambda it: _scores(it, model), f"doc_id {kind}, score double")
-            .select("doc_id", (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
-                                      F.lit(5)) == 0).alias("held_out"),
+            .select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"),
                     "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")))
+
+
+def fold_of(key: Column) -> Column:
+    """crc32 of the id as text, modulo 5; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
+            limit: int) -> tuple[DataFrame, FactorizationMachine]:
+    source = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    seen = labels.select(col(id_col).alias("doc_id"), col(label_col).alias("label"))
+    return source, fit_toxicity(source, seen.where(fold_of(F.col("doc_id")) != 0), limit)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               label_col: str = "toxic", limit: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with all its columns; they
+    pass through the scoring and are not joined. Fitted as in ``score_toxicity``."""
+    _, model = _fitted(docs, labels, id_col, text_col, label_col, limit)
+    return docs.mapInArrow(lambda it: _harmless(it, model, text_col), docs.schema)
