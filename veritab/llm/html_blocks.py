@@ -65,7 +65,7 @@ def leaf_blocks(html: str) -> list[Block]:
             continue
         elif m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag not in INLINE:
+            if tag not in INLINE and (depth is not None or tag == "p"):
                 flush()
             if depth is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[depth:])):
                 del stack[depth:]
