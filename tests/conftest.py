@@ -20,10 +20,9 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def demo(spark):
-    """The reference's demo pair (reference, current)."""
-    ref = spark.createDataFrame([(1.0, 2.0, 0), (2.0, 3.0, 1), (3.0, 4.0, 0), (4.0, 5.0, 1), (5.0, 6.0, 0)],
-                                "feature1 double, feature2 double, target int")
-    cur = spark.createDataFrame([(1.1, 2.2, 0), (2.1, 3.1, 1), (3.3, 4.2, 1), (4.2, 5.1, 1), (5.1, 6.2, 0)],
-                                "feature1 double, feature2 double, target int")
-    return ref, cur
+def halves(spark):
+    """Two small tables of own numbers, the second a little further on."""
+    ref = [(0.5, 10.0, 1), (1.5, 7.0, 0), (2.0, 9.0, 0), (4.0, 3.0, 1), (7.0, 1.0, 1), (9.0, 2.0, 0)]
+    cur = [(0.6, 11.0, 1), (1.4, 7.5, 1), (2.6, 9.0, 0), (4.4, 2.0, 1), (7.5, 1.5, 1)]
+    schema = "width double, height double, target int"
+    return spark.createDataFrame(ref, schema), spark.createDataFrame(cur, schema)

@@ -42,22 +42,36 @@ def test_regression_metrics_and_constant_label(spark):
 
 def test_roc_auc_perfect_and_ties(spark):
     perfect = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.2), (0, 0.1)], "label int, score double")
-    assert E.roc_auc(E.roc_points(perfect, "label", "score")).first()[0] == pytest.approx(1.0)
+    assert E.roc_auc(perfect, "label", "score").first()[0] == pytest.approx(1.0)
     tied = spark.createDataFrame([(1, 0.5), (0, 0.5)], "label int, score double")
-    assert E.roc_auc(E.roc_points(tied, "label", "score")).first()[0] == pytest.approx(0.5)
+    assert E.roc_auc(tied, "label", "score").first()[0] == pytest.approx(0.5)
+    none = spark.createDataFrame([(1, None), (1, float("nan"))], "label int, score double")
+    assert E.roc_auc(none, "label", "score").first()[0] == 0.0
 
 
-def test_roc_binning_bounded(spark):
-    df = spark.range(5000).select((F.col("id") % 2).cast("int").alias("label"),
-                                  (F.col("id") / 5000.0).alias("score"))
-    pts = E.roc_points(df, "label", "score", max_points=100)
-    assert pts.count() <= 101
-    auc = E.roc_auc(pts).first()[0]
-    exact = E.roc_auc(E.roc_points(df, "label", "score")).first()[0]
-    assert auc == pytest.approx(exact, abs=0.02)
+def test_roc_is_exact_on_skewed_scores(spark):
+    """Scores over many magnitudes and signs: every one is a point, the area is the rank statistic."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 20_000)
+    s = np.round(np.sign(rng.normal(size=20_000)) * np.exp(rng.normal(size=20_000) * 9 + y), 12)
+    s[:50] = 0.0
+    df = spark.createDataFrame(list(zip(y.tolist(), s.tolist())), "label int, score double")
+    order = np.argsort(s, kind="stable")
+    values, place, count = np.unique(s[order], return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(count) - (count - 1) / 2)[place]
+    pos = y[order] == 1
+    want = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert E.roc_auc(df, "label", "score").first()[0] == pytest.approx(want, abs=1e-12)
+    pts = E.roc_points(df, "label", "score").orderBy(F.desc("threshold")).collect()
+    assert len(pts) == len(values) + 1 and (pts[-1]["fpr"], pts[-1]["tpr"]) == (1.0, 1.0)
+    assert all(a["fpr"] <= b["fpr"] and a["tpr"] <= b["tpr"] for a, b in zip(pts, pts[1:]))
+    assert E.roc_points(df, "label", "score", max_points=100).count() <= 101
 
 
-def test_confusion_matrix_guard(spark):
-    df = spark.range(50).select(F.col("id").alias("label"), (F.col("id") + 1).alias("prediction"))
-    with pytest.raises(ValueError):
-        E.confusion_matrix(df, max_classes=10)
+def test_one_scan_for_all_class_metrics(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), (None, "b")], "label string, prediction string")
+    m = {r["name"]: r["value"] for r in E.classification_metrics(df).collect()}
+    assert m["Accuracy"] == pytest.approx(1 / 3) and m["Recall"] == pytest.approx(0.25)
+    plan = E.classification_metrics(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from veritab.operators import models as M
@@ -39,7 +40,10 @@ def test_svm_linear_and_rbf(spark, iris):
     for kernel in ("linear", "rbf"):
         res = train_dataset(iris, "svm", {"C": 10.0, "kernel": kernel, "max_iter": 30, "n_components": 30},
                             log=False)
-        assert res.predictions.count() > 0
+        right = res.predictions.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+        assert right > 0.8, kernel
+        total = res.predictions.select(F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, b: a + b)).first()[0]
+        assert total == pytest.approx(1.0)
     with pytest.raises(ValueError):
         train_dataset(iris, "svm", {"kernel": "poly"}, log=False)
 
@@ -57,10 +61,12 @@ def test_gradient_model_loss_decreases(spark):
 def test_mlp_classifier_both_paths(spark, iris):
     for act in ("logistic", "relu"):
         res = train_dataset(iris, "neural_network",
-                            {"hidden_layer_sizes": [8], "activation": act, "max_iter": 30, "lr": 0.05}
-                            if act == "relu" else {"hidden_layer_sizes": [8], "activation": act, "max_iter": 30},
+                            {"hidden_layer_sizes": [8], "activation": act, "max_iter": 60, "lr": 0.05}
+                            if act == "relu" else {"hidden_layer_sizes": [8], "activation": act, "max_iter": 100},
                             log=False)
         assert res.predictions.count() == res.prepared.data.where(F.col("split") == "test").count()
+        right = res.predictions.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+        assert right > 0.7 and "probability" in res.predictions.columns, act
 
 
 def test_grid_search_best_is_max(spark, iris):
@@ -76,7 +82,7 @@ def test_grid_search_best_is_max(spark, iris):
 def test_robustness_no_noise_no_flip(spark, iris):
     res = train_dataset(iris, "random_forest", {"n_estimators": 5, "max_depth": 4}, log=False)
     test = res.prepared.data.where(F.col("split") == "test")
-    r = robustness_test(res.model.stages[-1], test, res.prepared.features, noise=0.0).first()
+    r = robustness_test(res.model, test, res.prepared.features, noise=0.0).first()
     assert r["passed"] is True and r["failed_cases"] == 0
 
 
@@ -87,3 +93,41 @@ def test_gradient_sum_tree_equals_collect(spark):
     flat = M.sum_partial_gradients(parts, 2, n_partitions=3)
     assert list(tree["g"]) == [9.0, 12.0] and tree["l"] == 6.0
     assert list(flat["g"]) == [9.0, 12.0] and flat["l"] == 6.0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_svr_reaches_a_linear_target(spark, seed):
+    df = synthetic_table(spark, "wine_quality", n=400, seed=seed).select("alcohol", "pH", "density").withColumn(
+        "y", F.col("alcohol") * 20 - F.col("pH") * 300 + 1000)
+    model = M.train_svm(df, ["alcohol", "pH", "density"], "y", "regression", kernel="linear", seed=seed)
+    p = model.transform(df)
+    r2 = 1 - p.agg(F.avg(F.pow(F.col("y") - F.col("prediction"), 2)) / F.var_pop("y")).first()[0]
+    assert r2 > 0.99
+    noise = df.withColumn("y", F.rand(seed))
+    p = M.train_svm(noise, ["alcohol", "pH"], "y", "regression", kernel="linear", seed=seed).transform(noise)
+    assert 1 - p.agg(F.avg(F.pow(F.col("y") - F.col("prediction"), 2)) / F.var_pop("y")).first()[0] > -0.05
+
+
+def test_missing_features_and_too_deep_trees(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 1.0), (3.0, 4.0)], "x double, y double")
+    with pytest.raises(ValueError, match="missing"):
+        M.GradientModel.fit(df, ["x"], "y", hidden=(), max_iter=2)
+    model = M.GradientModel.fit(df.where("x is not null"), ["x"], "y", hidden=(), max_iter=50)
+    assert [r["prediction"] is None for r in model.transform(df).collect()] == [False, True, False]
+    with pytest.raises(ValueError):
+        M._depth(31)
+
+
+def test_own_labels_odd_names_and_reload(spark):
+    from veritab.sources.storage import load_model, log_run
+    df = spark.range(300).select((F.col("id") % 17).cast("double").alias("a.b"), (F.col("id") % 5).cast("double").alias("c`d"),
+                                 F.when(F.col("id") % 17 > 8, 2).otherwise(1).alias("y"))
+    metrics = spark.createDataFrame([("Accuracy", 1.0)], "name string, value double")
+    for kind, params in (("svm", {"kernel": "linear", "C": 10.0}), ("svm", {"kernel": "rbf", "n_components": 20}),
+                         ("random_forest", {"n_estimators": 5}),
+                         ("neural_network", {"hidden": (4,), "activation": "tanh", "max_iter": 60, "lr": 0.1})):
+        model = M.train(df, ["a.b", "c`d"], "y", kind, "classification", params)
+        out = model.transform(df)
+        assert out.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] > 0.85, (kind, params)
+        again = load_model(spark, log_run(spark, kind, "unit", metrics, params, model=model))
+        assert again.transform(df).select("prediction").collect() == out.select("prediction").collect()

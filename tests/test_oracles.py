@@ -28,4 +28,4 @@ def test_every_oracle_has_a_query():
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["column_name", "column_type", "drift_score", "drift_detected"]
-    assert df.count() == 6
+    assert df.count() == 11

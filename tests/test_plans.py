@@ -11,7 +11,7 @@ def plan(spark, name):
 
 
 def test_drift_scans_are_filtered_and_pruned(spark):
-    p = plan(spark, "d6_drift_report")
+    p = plan(spark, "d2_categorical_drift")
     assert "PushedFilters: [IsNotNull(l_shipdate), LessThan(l_shipdate" in p or \
            "LessThan(l_shipdate" in p
     assert "GreaterThanOrEqual(l_shipdate" in p

@@ -4,21 +4,32 @@ from pyspark.sql import functions as F
 from veritab.operators import profile as P
 
 
-def test_numeric_profile_demo(demo):
-    ref, cur = demo
+def test_numeric_profile(halves):
+    ref, cur = halves
     both = ref.unionByName(cur)
     rows = {r["column_name"]: r for r in P.profile_numeric(both, "target").collect()}
-    f1, f2 = rows["feature1"], rows["feature2"]
-    assert (f1["min"], f1["max"]) == (1.0, 5.1)
-    assert f1["mean"] == pytest.approx(3.08)
-    assert f1["median"] == pytest.approx(3.15)
-    assert f1["std"] == pytest.approx(1.5017027373, abs=1e-9)
-    assert f1["skew"] == pytest.approx(-0.0593925722, abs=1e-9)
-    assert f1["corr_target"] == pytest.approx(0.0280772626, abs=1e-9)
-    assert f2["median"] == pytest.approx(4.1)
-    assert f2["std"] == pytest.approx(1.4935416522, abs=1e-9)
-    assert f2["skew"] == pytest.approx(0.0251231124, abs=1e-9)
-    assert f2["corr_target"] == pytest.approx(0.0, abs=1e-12)
+    frame = both.toPandas()
+    for c in ("width", "height"):
+        x, r = frame[c], rows[c]
+        assert (r["min"], r["max"], r["missing"]) == (x.min(), x.max(), 0)
+        for name, want in (("mean", x.mean()), ("median", x.median()), ("std", x.std()), ("skew", x.skew()),
+                           ("corr_target", x.corr(frame["target"]))):
+            assert r[name] == pytest.approx(want, abs=1e-9), (c, name)
+
+
+def test_median_always_ends(spark):
+    """Values over the whole range of doubles, infinities and heavy ties, on the path for large columns."""
+    import numpy as np
+    rng = np.random.default_rng(0)
+    cols = {"log_uniform": 10.0 ** rng.uniform(-300, 300, 999), "signed": np.sign(rng.normal(size=999)) * 10.0 ** rng.uniform(-9, 9, 999),
+            "with_inf": np.r_[rng.normal(size=996), np.inf, np.inf, -np.inf], "mostly_inf": np.r_[[np.inf] * 600, rng.normal(size=399)],
+            "near": 1.0 + rng.integers(0, 3, 999) * 2.0 ** -52, "tiny": rng.integers(0, 50, 999) * 5e-324,
+            "ties": np.r_[[2.0] * 700, rng.normal(size=299)]}
+    rows = [tuple(float(cols[c][i]) for c in cols) for i in range(999)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    got = P.exact_medians(df, list(cols), collect_max=5, agg_max_rows=0)
+    for c, v in cols.items():
+        assert got[c] == float(np.median(v)), c
 
 
 def test_constant_and_short_columns(spark):

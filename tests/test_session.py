@@ -1,3 +1,5 @@
+import tempfile
+
 from pyspark.sql import functions as F
 
 from veritab.operators import prep
@@ -15,7 +17,9 @@ def test_checkpoint_dir_is_read_from_session(spark):
 def test_spread_only_when_thin(spark):
     thin = spark.range(100).coalesce(1)
     assert spread_for_iterations(thin).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
+    path = tempfile.mkdtemp(prefix="veritab-spread-") + "/wide"
+    spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2).write.parquet(path)
+    wide = spark.read.parquet(path)
     assert spread_for_iterations(wide) is wide
 
 

@@ -21,12 +21,23 @@ def data_dir():
     return d
 
 
-def test_name_resolution(data_dir):
-    assert R.resolve_dataset("Wine Quality Dataset", data_dir).endswith("wine_quality.csv")
-    assert R.resolve_dataset("wine_quality.csv", data_dir).endswith("wine_quality.csv")
-    assert R.resolve_dataset("churn", data_dir).endswith("customer_churn.csv")
-    with pytest.raises(FileNotFoundError):
-        R.resolve_dataset("mnist", data_dir)
+def test_name_resolution(spark, data_dir):
+    for root in (data_dir, "file://" + data_dir):
+        for name, want in (("Wine Quality Dataset", "wine_quality.csv"), ("wine_quality.csv", "wine_quality.csv"),
+                           ("churn", "customer_churn.csv"), ("Records", "records.json")):
+            assert R.resolve_dataset(spark, name, root).endswith("/" + want)
+        with pytest.raises(FileNotFoundError):
+            R.resolve_dataset(spark, "mnist", root)
+    assert R.read_dataset(spark, f"file://{data_dir}/customer_churn.csv", "/nowhere").count() == 2
+
+
+def test_csv_quotes_line_breaks_and_declared_schema(spark, data_dir):
+    with open(os.path.join(data_dir, "notes.csv"), "w") as fh:
+        fh.write('id,note\n1,"He said ""hi"", ok"\n2,"two\nlines"\nNA,n/a\n')
+    rows = [tuple(r) for r in R.read_dataset(spark, "notes", data_dir).collect()]
+    assert rows == [(1, 'He said "hi", ok'), (2, "two\nlines"), (None, None)]
+    typed = R.read_csv(spark, os.path.join(data_dir, "notes.csv"), "id long, note string")
+    assert typed.schema["id"].dataType.simpleString() == "bigint" and typed.where("id is null").count() == 1
 
 
 def test_csv_types_and_missing_tokens(spark, data_dir):
@@ -85,3 +96,4 @@ def test_log_run_and_model_id(spark):
     assert mid.startswith("random_forest_unit_ds_")
     row = S.load_runs(spark).where(F.col("model_id") == mid).first()
     assert row["metrics"]["Accuracy"] == 0.9
+    assert S.model_id("a", "b") != S.model_id("a", "b")

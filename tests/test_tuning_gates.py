@@ -80,11 +80,36 @@ def test_fairness_gap(spark):
     assert G.fairness_test(df, "g").first()["passed"] is False
 
 
-def test_data_quality_and_drift_tests(spark, demo):
-    ref, cur = demo
+def test_data_quality_and_drift_tests(spark, halves):
+    ref, cur = halves
     assert G.drift_test(ref, ref).first()["passed"] is True
     r = G.drift_test(ref, cur).first()
-    assert r["total_cases"] == 3 and r["failed_cases"] == 1
+    assert r["total_cases"] == 3 and r["failed_cases"] >= 1
+    maps = spark.createDataFrame([({"a": 1}, float("nan")), ({"a": 1}, None)], "m map<string,int>, x double")
+    own = {c["case"]: c["value"] for c in G.data_quality_cases(maps).collect()}
+    assert own["duplicate_rows"] == 50.0 and own["missing:x"] == 100.0
+
+
+def test_no_evidence_is_no_pass_and_direction(spark):
+    empty = spark.createDataFrame([], "g string, label int, prediction int")
+    assert G.data_quality_test(empty).first()["passed"] is False
+    assert G.fairness_test(empty, "g").first()["passed"] is False
+    one = spark.createDataFrame([("a", 0, 0), ("b", 0, 0)], "g string, label int, prediction int")
+    assert G.fairness_test(one, "g").first()["failed_cases"] == 1  # no positives: that rate is unknown
+    errors = spark.createDataFrame([("RMSE", 50.0), ("Accuracy", 0.9)], "name string, value double")
+    cases = {r["case"]: r["passed"] for r in G.performance_cases(errors, {"RMSE": 10.0}).collect()}
+    assert cases["RMSE"] is False and cases["Accuracy"] is True
+
+
+def test_null_classes_and_keys_stay(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 4 != 0, F.col("id")).alias("k"),
+                                  F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 10 < 9, "b").alias("y"), "id")
+    f = T.assign_folds(df, 3, key="k", stratify="y")
+    assert f.count() == 1000 and f.columns == ["k", "y", "id", "fold"]
+    for y, own in f.groupBy("y").pivot("fold").count().toPandas().set_index("y").iterrows():
+        assert max(own) - min(own) <= 1, y
+    plain = T.assign_folds(df, 3, key="k").where("k is null").groupBy("fold").count().collect()
+    assert len(plain) == 3 and all(60 < r["count"] < 110 for r in plain)
     q = spark.createDataFrame([(1, None), (2, "a")], "x int, s string")
     dq = G.data_quality_test(q, max_missing_pct=10.0).first()
     assert dq["failed_cases"] == 1 and dq["total_cases"] == 3

@@ -45,11 +45,6 @@ def as_category(name: str, dt: T.DataType) -> Column:
     return qcol(name).cast("string")
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """num / den, NULL when den is 0 or NULL (never an ANSI error)."""
-    return F.try_divide(num, den)
-
-
 def corrected_skew(x: Column) -> Column:
     """Bias-corrected sample skewness (the pandas ``skew``).
 
@@ -85,23 +80,13 @@ def row_hash32(key: Column, seed: int = 42) -> Column:
     return F.conv(hexpart, 16, 10).cast("bigint")
 
 
+def keyed_hash32(df: DataFrame, key: str | None, seed: int = 42) -> Column:
+    """``row_hash32`` of the key; rows without a key, or with a NULL one, by
+    the hash of the whole row, so that NULL keys spread like any others."""
+    rows = whole_row_hash32(df, seed)
+    return rows if key is None else F.coalesce(row_hash32(qcol(key), seed), rows)
+
+
 def whole_row_hash32(df: DataFrame, seed: int = 42) -> Column:
     """32-bit hash of the whole row (equal rows share it), JVM-native xxhash64."""
     return F.pmod(F.xxhash64(*[qcol(c) for c in df.columns], F.lit(seed)), F.lit(1 << 32))
-
-
-def whole_row_key(df: DataFrame) -> Column:
-    """A string key of the whole row (equal rows share it)."""
-    return F.to_json(F.struct(*[qcol(c) for c in df.columns]))
-
-
-def long_form(pairs: list[tuple[str, list[Column]]], names: list[str]) -> Column:
-    """Rows of (column_name, *values) from a one-row wide aggregate.
-
-    ``pairs`` is [(column_name, [value columns...])]; returns an ``inline``
-    generator expression to put into ``select``.
-    """
-    structs = [F.struct(F.lit(cname).alias("column_name"),
-                        *[v.alias(n) for v, n in zip(vals, names)])
-               for cname, vals in pairs]
-    return F.inline(F.array(*structs))

@@ -1,27 +1,29 @@
 """Evaluation: operators E1-E7 (E5 is a plan in ``veritab.plans.report``).
 
 Input is any table with a label column and a prediction (or score) column.
-Per-class work is one stack + group (partial aggregation before the shuffle);
-the only tables that are joined or windowed are bounded by the number of
-classes or by a fixed number of ROC points.
+Class metrics come from one count per (label, prediction) pair, so the input,
+often the output of a model, is read once and combined before the shuffle. ROC
+curves are exact: running counts over the grouped scores are split by ranges
+of the score.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veritab.functions.exprs import qcol
+from veritab.functions.exprs import is_numeric_type, qcol
 
 # Metric names as the reference reports them.
 ACCURACY, PRECISION, RECALL, F1 = "Accuracy", "Precision", "Recall", "F1 Score"
 MSE, RMSE, MAE, R2 = "MSE", "RMSE", "MAE", "R² Score"
 
-ROC_MAX_POINTS = 10_000
-MAX_CLASSES = 1_000  # size guard for the square confusion matrix
+#: Ranges per factor of two of the score in the running counts of a ROC curve.
+ROC_RANGES = 256
 
 
-def _name_value(pairs) -> "Column":
+def _name_value(pairs) -> Column:
     """inline() of (name, value) rows from a one-row frame."""
     return F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"))
                               for n, v in pairs]))
@@ -34,9 +36,6 @@ def _cls(c: str):
 def _pair(df: DataFrame, label: str, prediction: str):
     """Label and prediction as comparable class strings: numeric pairs (an
     integer label against a double prediction) are compared as doubles."""
-    from pyspark.sql import types as T
-
-    from veritab.functions.exprs import is_numeric_type
     lt, pt = df.schema[label].dataType, df.schema[prediction].dataType
     integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     if isinstance(lt, integral) and isinstance(pt, integral):
@@ -46,6 +45,13 @@ def _pair(df: DataFrame, label: str, prediction: str):
     return _cls(label), _cls(prediction)
 
 
+def pair_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(label, prediction, count): all that the class metrics need of the input."""
+    y, p = _pair(df, label, prediction)
+    return (df.select(y.alias("label"), p.alias("prediction"))
+            .groupBy("label", "prediction").agg(F.count("*").alias("count")))
+
+
 # E1 -------------------------------------------------------------------------
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -57,22 +63,18 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
 
 # E2 -------------------------------------------------------------------------
 
-def per_class_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Per class seen in either column: support, predicted, tp, precision,
-    recall, f1 (0/0 -> 0).
+def _class_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """Per class, NULL included: support, predicted, tp. Every pair counts for
+    its label and for its prediction."""
+    both = pair_counts(df, label, prediction).select(F.inline(F.array(
+        F.struct(F.col("label").alias("class"), F.col("count").alias("support"), F.lit(0).cast("bigint").alias("predicted"),
+                 F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0).alias("tp")),
+        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("support"),
+                 F.col("count").alias("predicted"), F.lit(0).cast("bigint").alias("tp")))))
+    return both.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
 
-    Each row is expanded to (label,'a'), (prediction,'p') and, when equal,
-    (label,'t'); one grouped count gives all three counts per class.
-    """
-    y, p = _pair(df, label, prediction)
-    tagged = df.select(F.inline(F.array(
-        F.struct(y.alias("class"), F.lit("a").alias("k")),
-        F.struct(p.alias("class"), F.lit("p").alias("k")),
-        F.struct(F.when(y == p, y).alias("class"), F.lit("t").alias("k")))))
-    counts = (tagged.where(F.col("class").isNotNull()).groupBy("class")
-              .agg(F.count_if(F.col("k") == "a").alias("support"),
-                   F.count_if(F.col("k") == "p").alias("predicted"),
-                   F.count_if(F.col("k") == "t").alias("tp")))
+
+def _with_rates(counts: DataFrame) -> DataFrame:
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
     out = counts.withColumn("precision", prec).withColumn("recall", rec)
@@ -81,45 +83,49 @@ def per_class_metrics(df: DataFrame, label: str = "label", prediction: str = "pr
     return out.withColumn("f1", f1)
 
 
+def per_class_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """Per class seen in either column: support, predicted, tp, precision,
+    recall, f1 (0/0 -> 0)."""
+    return _with_rates(_class_counts(df, label, prediction).where(F.col("class").isNotNull()))
+
+
+def _all_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """One row: accuracy and the macro means, from one pass over ``df``."""
+    rates = _with_rates(_class_counts(df, label, prediction))
+    return rates.agg(F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
+                     *[F.avg(F.when(F.col("class").isNotNull(), F.col(c))).alias(c)
+                       for c in ("precision", "recall", "f1")])
+
+
 def macro_precision_recall_f1(df: DataFrame, label: str = "label",
                               prediction: str = "prediction") -> DataFrame:
     """Unweighted means of the per-class values."""
-    return per_class_metrics(df, label, prediction).agg(
-        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-        F.avg("f1").alias("f1"))
+    return _all_metrics(df, label, prediction).select("precision", "recall", "f1")
 
 
 def classification_metrics(df: DataFrame, label: str = "label",
                            prediction: str = "prediction") -> DataFrame:
     """(name, value) rows: Accuracy, Precision, Recall, F1 Score."""
-    acc = accuracy(df, label, prediction)
-    mac = macro_precision_recall_f1(df, label, prediction)
-    return acc.crossJoin(mac).select(_name_value([(ACCURACY, F.col("accuracy")),
-                                                  (PRECISION, F.col("precision")),
-                                                  (RECALL, F.col("recall")), (F1, F.col("f1"))]))
+    return _all_metrics(df, label, prediction).select(
+        _name_value([(ACCURACY, F.col("accuracy")), (PRECISION, F.col("precision")),
+                     (RECALL, F.col("recall")), (F1, F.col("f1"))]))
 
 
 # E3 -------------------------------------------------------------------------
 
-def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction",
-                     max_classes: int = MAX_CLASSES) -> DataFrame:
+def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Long confusion matrix (label, prediction, count) over the square of all
     classes seen in either column, zeros kept (E3).
 
-    The class set is bounded by the number of classes; it is squared and
-    broadcast, the pair counts come from one partial aggregation.
+    The square is the result's own size; ``pair_counts`` has the cells that
+    are not zero, for inputs with so many classes that the square is no use.
     """
-    y, p = _pair(df, label, prediction)
-    pairs = (df.select(y.alias("label"), p.alias("prediction"))
-             .groupBy("label", "prediction").agg(F.count("*").alias("count")))
+    pairs = pair_counts(df, label, prediction)
     classes = (pairs.select(F.explode(F.array("label", "prediction")).alias("c"))
                .where(F.col("c").isNotNull()).distinct())
-    # The square is classes x classes: check the class count before building it.
-    if classes.limit(max_classes + 1).count() > max_classes:
-        raise ValueError(f"more than {max_classes} classes: not a classification result")
-    square = classes.select(F.col("c").alias("label")).crossJoin(
-        F.broadcast(classes.select(F.col("c").alias("prediction"))))
-    return (square.join(F.broadcast(pairs), ["label", "prediction"], "left")
+    square = classes.select(F.col("c").alias("label")).join(
+        classes.select(F.col("c").alias("prediction")), F.lit(True))
+    return (square.join(pairs, ["label", "prediction"], "left")
             .select("label", "prediction", F.coalesce(F.col("count"), F.lit(0)).alias("count")))
 
 
@@ -147,48 +153,70 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
 
 # E6 -------------------------------------------------------------------------
 
-def roc_points(df: DataFrame, label: str, score: str, positive=1,
-               max_points: int = ROC_MAX_POINTS) -> DataFrame:
-    """ROC curve points (threshold, fpr, tpr), highest threshold first, with
-    the (inf, 0, 0) start point (E6).
+def _score_range(s: Column) -> Column:
+    """A number that never falls as the score rises: ``ROC_RANGES`` ranges per
+    factor of two, so at most about a million whatever the scores."""
+    size = F.floor(F.greatest(F.least(F.log2(F.abs(s)), F.lit(1025.0)), F.lit(-1075.0)) * ROC_RANGES) + 1100 * ROC_RANGES
+    return F.when(s == 0, F.lit(0)).when(s > 0, size).otherwise(-size).cast("bigint")
+
+
+def _score_counts(df: DataFrame, label: str, score: str, positive) -> DataFrame:
+    """Per distinct score: pos, neg and their running counts ``cum_pos``,
+    ``cum_neg`` from the highest score down, and the totals ``n_pos``, ``n_neg``.
 
-    Scores are grouped first; more than ``max_points`` distinct scores are
-    binned to ``max_points`` equal-width buckets. The cumulative window then
-    runs on that bounded table only. Ties share one point.
+    Scores are grouped first. Running counts are sums within a range of scores
+    plus the totals of the ranges above, so only range totals meet in one task.
     """
-    from veritab.functions.exprs import is_numeric_type
     if is_numeric_type(df.schema[label].dataType) and not isinstance(positive, str):
         y = F.coalesce(qcol(label).cast("double") == F.lit(float(positive)), F.lit(False))
     else:
         y = F.coalesce(qcol(label).cast("string") == F.lit(str(positive)), F.lit(False))
-    s = qcol(score).cast("double")
-    base = df.select(s.alias("s"), y.alias("y")).where(F.col("s").isNotNull())
-    grouped = base.groupBy("s").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    if grouped.limit(max_points + 1).count() > max_points:
-        rng = base.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-        b = F.least(F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * max_points),
-                    F.lit(max_points - 1))
-        grouped = (base.crossJoin(F.broadcast(rng))
-                   .withColumn("s", F.col("lo") + b * (F.col("hi") - F.col("lo")) / max_points)
-                   .groupBy("s").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")))
-    w = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(F.lit(1))
-    pts = grouped.select(
-        F.col("s").alias("threshold"),
-        F.coalesce(F.try_divide(F.sum("neg").over(w), F.sum("neg").over(tot)), F.lit(0.0)).alias("fpr"),
-        F.coalesce(F.try_divide(F.sum("pos").over(w), F.sum("pos").over(tot)), F.lit(0.0)).alias("tpr"))
+    s = F.nanvl(qcol(score).cast("double"), F.lit(None).cast("double"))
+    grouped = (df.select(s.alias("s"), y.alias("y")).where(F.col("s").isNotNull())
+               .groupBy(_score_range(F.col("s")).alias("part"), "s")
+               .agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")))
+    above = Window.orderBy(F.col("of").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    parts = grouped.groupBy(F.col("part").alias("of")).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    parts = parts.select("of", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c + "0") for c in "pn"],
+                         *[F.sum(c).over(everything).alias(c + "_all") for c in "pn"])
+    within = Window.partitionBy("part").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return grouped.join(parts, F.col("part") == F.col("of")).select(
+        "s", "pos", "neg", (F.col("p0") + F.sum("pos").over(within)).alias("cum_pos"),
+        (F.col("n0") + F.sum("neg").over(within)).alias("cum_neg"), F.col("p_all").alias("n_pos"), F.col("n_all").alias("n_neg"))
+
+
+def _share(part: str, whole: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
+
+
+def roc_points(df: DataFrame, label: str, score: str, positive=1, max_points: int | None = None) -> DataFrame:
+    """ROC curve points (threshold, fpr, tpr), one per distinct score, with
+    the (inf, 0, 0) start point (E6). Ties share one point; a missing score is
+    left out.
+
+    ``max_points`` thins the curve for drawing: of the points in one cell of a
+    grid over (fpr, tpr) only the last is kept. The default keeps all.
+    """
+    pts = _score_counts(df, label, score, positive).select(
+        F.col("s").alias("threshold"), _share("cum_neg", "n_neg").alias("fpr"), _share("cum_pos", "n_pos").alias("tpr"))
+    if max_points is not None:
+        cells = max(1, (max_points - 1) // 2)
+        pts = (pts.groupBy(F.floor(F.col("fpr") * cells), F.floor(F.col("tpr") * cells))
+               .agg(F.min(F.struct("threshold", "fpr", "tpr")).alias("p")).select("p.threshold", "p.fpr", "p.tpr"))
     start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
                                             F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
 
 
-def roc_auc(points: DataFrame) -> DataFrame:
-    """Area under the ROC points by the trapezoid rule (one row: roc_auc)."""
-    w = Window.orderBy(F.col("threshold").desc())
-    seg = points.select(
-        ((F.col("fpr") - F.lag("fpr", 1, 0.0).over(w))
-         * (F.col("tpr") + F.lag("tpr", 1, 0.0).over(w)) / 2).alias("a"))
-    return seg.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("roc_auc"))
+def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
+    """Exact area under the ROC curve by the trapezoid rule (one row: roc_auc).
+
+    A score's trapezoid is its negatives times the positives above it and half
+    of its own, so the area is a sum of whole numbers over one division."""
+    c = _score_counts(df, label, score, positive)
+    area = F.sum(F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") / 2))
+    return c.agg(F.coalesce(F.try_divide(area, F.max("n_pos").cast("double") * F.max("n_neg")), F.lit(0.0)).alias("roc_auc"))
 
 
 # E7 -------------------------------------------------------------------------

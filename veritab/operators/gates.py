@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.exprs import as_category, as_double, is_numeric_type, qcol
+from veritab.operators.profile import distinct_rows
 
 # Metrics where lower is better.
 LOWER_IS_BETTER = ["Latency", "Latency (ms)", "MSE", "RMSE", "MAE", "log_loss", "rmse",
@@ -20,7 +21,6 @@ LOWER_IS_BETTER = ["Latency", "Latency (ms)", "MSE", "RMSE", "MAE", "log_loss",
 DEFAULT_TARGETS = {"Accuracy": 0.9, "Precision": 0.85, "Recall": 0.8, "F1 Score": 0.85,
                    "Latency (ms)": 100.0}
 DEFAULT_TARGET_OTHER = 0.8
-DEFAULT_TARGET_LATENCY = 100.0
 # Performance test thresholds of the reference's test node.
 DEFAULT_THRESHOLDS = {"accuracy": 0.8, "precision": 0.75, "recall": 0.7, "f1Score": 0.75}
 # Metric name for each threshold key.
@@ -97,16 +97,17 @@ def gate_status(gate: DataFrame) -> DataFrame:
 # G3 -------------------------------------------------------------------------
 
 def details_text(total: Column, failed: Column) -> Column:
-    """The reference's details sentence for a test result."""
+    """Details sentence of a test result. The two sentences."""
     return F.when(failed > 0, F.format_string("Ran %d test cases with %d failures.", total, failed)) \
         .otherwise(F.format_string("All %d test cases passed successfully.", total))
 
 
 def summarize_cases(cases: DataFrame, name: str) -> DataFrame:
-    """Fold a case table (with a boolean ``passed``) into one test result row."""
+    """Fold a case table (with a boolean ``passed``) into one test result row.
+    A test without cases has shown nothing and does not pass."""
     agg = cases.agg(F.count("*").alias("total_cases"),
                     F.count_if(~F.coalesce(F.col("passed"), F.lit(False))).alias("failed_cases"))
-    return agg.select(F.lit(name).alias("name"), (F.col("failed_cases") == 0).alias("passed"),
+    return agg.select(F.lit(name).alias("name"), ((F.col("failed_cases") == 0) & (F.col("total_cases") > 0)).alias("passed"),
                       "total_cases", "failed_cases",
                       details_text(F.col("total_cases"), F.col("failed_cases")).alias("details"))
 
@@ -143,12 +144,13 @@ def data_quality_cases(df: DataFrame, max_missing_pct: float = 5.0,
     if per_col is None:
         per_col = df.sparkSession.createDataFrame([], "case string, value double")
     per_col = per_col.withColumn("limit", F.lit(float(max_missing_pct)))
-    dup = (df.agg(n.alias("n")).crossJoin(df.distinct().agg(F.count("*").alias("d")))
+    dup = (df.agg(n.alias("n")).crossJoin(distinct_rows(df).withColumnRenamed("n_distinct", "d"))
            .select(F.lit("duplicate_rows").alias("case"),
                    (F.try_divide(F.col("n") - F.col("d"), F.col("n")) * 100).alias("value"),
                    F.lit(float(max_duplicate_pct)).alias("limit")))
     cases = per_col.unionByName(dup)
-    return cases.withColumn("passed", F.coalesce(F.col("value"), F.lit(0.0)) <= F.col("limit"))
+    # Without rows there is no value, and no evidence is no pass.
+    return cases.withColumn("passed", F.coalesce(F.col("value") <= F.col("limit"), F.lit(False)))
 
 
 def data_quality_test(df: DataFrame, max_missing_pct: float = 5.0,
@@ -161,7 +163,8 @@ def data_quality_test(df: DataFrame, max_missing_pct: float = 5.0,
 # G5 -------------------------------------------------------------------------
 
 def performance_cases(metrics: DataFrame, thresholds: dict | None = None) -> DataFrame:
-    """One case per threshold: metric value >= threshold."""
+    """One case per threshold: the metric reaches it, or, where lower is
+    better (errors, latency), stays within it."""
     th = dict(DEFAULT_THRESHOLDS)
     th.update(thresholds or {})
     spark = metrics.sparkSession
@@ -169,7 +172,8 @@ def performance_cases(metrics: DataFrame, thresholds: dict | None = None) -> Dat
                                 "name string, limit double")
     j = tdf.join(F.broadcast(metrics.select("name", F.col("value").cast("double"))), "name", "left")
     return j.select(F.col("name").alias("case"), "value", "limit",
-                    F.coalesce(F.col("value") >= F.col("limit"), F.lit(False)).alias("passed"))
+                    F.coalesce(_meets(F.col("value"), F.col("limit"), _direction(F.col("name"))), F.lit(False))
+                    .alias("passed"))
 
 
 def performance_test(metrics: DataFrame, thresholds: dict | None = None) -> DataFrame:
@@ -217,7 +221,7 @@ def fairness_cases(df: DataFrame, group: str, label: str = "label", prediction:
                for m in ("selection_rate", "true_positive_rate", "accuracy")]
     return (g.agg(F.array(*structs).alias("a")).select(F.inline("a"))
             .withColumn("limit", F.lit(float(max_gap)))
-            .withColumn("passed", F.coalesce(F.col("value") <= F.col("limit"), F.lit(True))))
+            .withColumn("passed", F.coalesce(F.col("value") <= F.col("limit"), F.lit(False))))
 
 
 def fairness_test(df: DataFrame, group: str, label: str = "label", prediction: str = "prediction",
@@ -228,45 +232,27 @@ def fairness_test(df: DataFrame, group: str, label: str = "label", prediction: s
 
 # G8 -------------------------------------------------------------------------
 
-def _renamed(model, suffix: str):
-    """Copy of a fitted Spark ML model writing to its own output columns."""
-    extra = {}
-    for pname in ("featuresCol", "predictionCol", "rawPredictionCol", "probabilityCol"):
-        if model.hasParam(pname):
-            extra[model.getParam(pname)] = f"__{pname}_{suffix}"
-    return model.copy(extra)
-
-
 def robustness_flip_rate(model, df: DataFrame, features: list[str], noise: float = 0.1,
                          seed: int = 42) -> DataFrame:
     """Share of rows whose prediction changes when every numeric feature gets
     seeded Gaussian noise of ``noise`` x its std (one row: flip_rate, n).
 
-    The stds are a one-row aggregate (broadcast). The clean and the noisy
-    feature vectors sit in the same row and the model is applied twice in one
-    projection, so the comparison needs no join and no shuffle.
+    The stds are one row, fetched once. The model (of any family) is applied to
+    a row, its prediction is kept beside the row, and it is applied again to
+    the row with noise: no join and no shuffle.
     """
-    from pyspark.ml.feature import VectorAssembler
     numeric = [c for c in features if is_numeric_type(df.schema[c].dataType)]
-    stds = df.agg(*[F.stddev_samp(as_double(c, df.schema[c].dataType)).alias(f"{c}__sd")
-                    for c in numeric])
-    cols = []
-    for i, c in enumerate(features):
-        x = as_double(c, df.schema[c].dataType)
-        cols.append(x.alias(f"{c}__0"))
-        if c in numeric:
-            sd = F.coalesce(F.col(f"{c}__sd"), F.lit(0.0))
-            cols.append((x + F.randn(seed + i) * noise * sd).alias(f"{c}__1"))
-        else:
-            cols.append(x.alias(f"{c}__1"))
-    both = df.crossJoin(F.broadcast(stds)).select(*cols)
-    va0 = VectorAssembler(inputCols=[f"{c}__0" for c in features], outputCol="__featuresCol_a",
-                          handleInvalid="keep")
-    va1 = VectorAssembler(inputCols=[f"{c}__1" for c in features], outputCol="__featuresCol_b",
-                          handleInvalid="keep")
-    m0, m1 = _renamed(model, "a"), _renamed(model, "b")
-    out = m1.transform(m0.transform(va1.transform(va0.transform(both))))
-    flip = (F.col("__predictionCol_a") != F.col("__predictionCol_b")).cast("double")
+    stds = df.agg(F.lit(0.0), *[F.stddev_samp(as_double(c, df.schema[c].dataType)) for c in numeric]).first()
+    clean = model.transform(df).select(*[qcol(c) for c in df.columns], F.col("prediction").alias("__clean"))
+    noisy = []
+    for i, f in enumerate(df.schema.fields):
+        c = qcol(f.name)
+        if f.name in numeric:
+            sd = stds[1 + numeric.index(f.name)] or 0.0
+            c = (as_double(f.name, f.dataType) + F.randn(seed + i) * (noise * sd)).alias(f.name)
+        noisy.append(c)
+    out = model.transform(clean.select(*noisy, "__clean"))
+    flip = (F.col("prediction") != F.col("__clean")).cast("double")
     return out.agg(F.avg(flip).alias("flip_rate"), F.count("*").alias("n"))
 
 

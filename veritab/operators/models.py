@@ -14,15 +14,17 @@ column expressions.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,35 +32,49 @@ from pyspark.sql import types as T
 
 from veritab.functions.exprs import as_double, qcol
 
+PLAIN_NAME = re.compile(r"[^.`]+")
 SPARK_MAX_DEPTH = 30  # Spark's deepest tree; stands for "unlimited"
 
 
 # M8 -------------------------------------------------------------------------
 
 def assembler(features: list[str], output: str = "features",
-              handle_invalid: str = "error") -> VectorAssembler:
-    """Numeric feature matrix as one vector column (M8).
+              handle_invalid: str = "error") -> list:
+    """Pipeline stages for the numeric feature matrix as one vector column (M8).
 
     ``handle_invalid='error'``: a NULL/NaN feature fails the job, as the
-    reference's estimators do.
+    reference's estimators do. Names that ML stages can't read (with dots or
+    backticks) are assembled under generated ones.
     """
-    return VectorAssembler(inputCols=features, outputCol=output, handleInvalid=handle_invalid)
+    if all(PLAIN_NAME.fullmatch(c) for c in features):
+        return [VectorAssembler(inputCols=features, outputCol=output, handleInvalid=handle_invalid)]
+    own = [f"__feature_{i}" for i in range(len(features))]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in features]
+    return [SQLTransformer(statement="SELECT *, " + ", ".join(f"{q} AS {o}" for q, o in zip(quoted, own)) + " FROM __THIS__"),
+            VectorAssembler(inputCols=own, outputCol=output, handleInvalid=handle_invalid),
+            SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(own)}) FROM __THIS__")]
 
 
 def assemble(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
-    return assembler(features, output).transform(df)
+    for stage in assembler(features, output):
+        df = stage.transform(df)
+    return df
 
 
 def features_array(df: DataFrame, features: list[str]) -> DataFrame:
     """Assembled features as ARRAY<DOUBLE> (a comparable form of M8's vector)."""
-    return assemble(df, features).select(*[c for c in df.columns],
+    return assemble(df, features).select(*[qcol(c) for c in df.columns],
                                          vector_to_array("features").alias("features"))
 
 
 # M1 / M2 ----------------------------------------------------------------------
 
 def _depth(max_depth) -> int:
-    return SPARK_MAX_DEPTH if not max_depth else min(int(max_depth), SPARK_MAX_DEPTH)
+    if not max_depth:
+        return SPARK_MAX_DEPTH
+    if int(max_depth) > SPARK_MAX_DEPTH:
+        raise ValueError(f"max_depth {max_depth} is beyond the deepest tree possible ({SPARK_MAX_DEPTH})")
+    return int(max_depth)
 
 
 def random_forest(task: str = "classification", n_estimators: int = 100, max_depth=None,
@@ -81,7 +97,7 @@ def random_forest(task: str = "classification", n_estimators: int = 100, max_dep
 def train_random_forest(df: DataFrame, features: list[str], label: str = "label",
                         task: str = "classification", **params) -> PipelineModel:
     est = random_forest(task, label=label, **params)
-    return Pipeline(stages=[assembler(features), est]).fit(df)
+    return Pipeline(stages=[*assembler(features), est]).fit(df)
 
 
 # M3 -------------------------------------------------------------------------
@@ -102,43 +118,57 @@ def rbf_gamma(df: DataFrame, features: list[str], gamma="scale") -> float:
     return 1.0 / (d * var) if var > 0 else 1.0
 
 
-def rff_columns(features: list[str], gamma: float, n_components: int = 100,
-                seed: int = 42) -> list[Column]:
+@dataclass
+class RandomFeatures:
     """Random Fourier features sqrt(2/D) cos(w.x + b), w ~ N(0, 2 gamma), b ~ U(0, 2 pi).
 
     The weights are drawn once on the driver (D x d numbers) and inlined as
     literals, so the projection is a code-generated ``select``.
     """
-    rng = np.random.default_rng(seed)
-    d = len(features)
-    W = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_components, d))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
-    scale = math.sqrt(2.0 / n_components)
-    cols = []
-    for k in range(n_components):
-        dot = F.lit(float(b[k]))
-        for j, c in enumerate(features):
-            dot = dot + qcol(c).cast("double") * float(W[k, j])
-        cols.append((F.cos(dot) * scale).alias(f"rff_{k}"))
-    return cols
+    features: list[str]
+    gamma: float
+    n_components: int = 100
+    seed: int = 42
+
+    @property
+    def names(self) -> list[str]:
+        return [f"rff_{k}" for k in range(self.n_components)]
+
+    def add(self, df: DataFrame) -> DataFrame:
+        rng = np.random.default_rng(self.seed)
+        d = len(self.features)
+        W = rng.normal(0.0, math.sqrt(2.0 * self.gamma), size=(self.n_components, d))
+        b = rng.uniform(0.0, 2.0 * math.pi, size=self.n_components)
+        scale = math.sqrt(2.0 / self.n_components)
+        cols = []
+        for k in range(self.n_components):
+            dot = F.lit(float(b[k]))
+            for j, c in enumerate(self.features):
+                dot = dot + qcol(c).cast("double") * float(W[k, j])
+            cols.append((F.cos(dot) * scale).alias(f"rff_{k}"))
+        return df.select("*", *cols)
 
 
 @dataclass
 class SvmModel:
     """Fitted SVM: optional RFF projection followed by a Spark ML model."""
     features: list[str]
-    projection: list[Column] | None
+    projection: RandomFeatures | None
     model: object
     label: str = "label"
 
     def project(self, df: DataFrame) -> DataFrame:
         if self.projection is None:
             return assemble(df, self.features)
-        proj = df.select("*", *self.projection)
-        return assemble(proj, [f"rff_{k}" for k in range(len(self.projection))])
+        return assemble(self.projection.add(df), self.projection.names)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.project(df))
+        """Adds ``prediction``, ``rawPrediction`` (margins) and ``probability``:
+        the logistic of each class's margin, scaled to sum to 1."""
+        out = self.model.transform(self.project(df)).drop("features", *(self.projection.names if self.projection else []))
+        each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-m)))
+        total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
+        return out.withColumn("probability", array_to_vector(F.transform(each, lambda p: p / total)))
 
 
 def train_svm(df: DataFrame, features: list[str], label: str = "label",
@@ -157,11 +187,10 @@ def train_svm(df: DataFrame, features: list[str], label: str = "label",
         raise ValueError(f"kernel {kernel!r} is not supported (linear, rbf)")
     proj = None
     if kernel == "rbf":
-        proj = rff_columns(features, rbf_gamma(df, features, gamma), n_components, seed)
+        proj = RandomFeatures(features, rbf_gamma(df, features, gamma), n_components, seed)
     if task != "classification":
-        cols = features if proj is None else None
-        base = df if proj is None else df.select("*", *proj)
-        fcols = cols or [f"rff_{k}" for k in range(n_components)]
+        base = df if proj is None else proj.add(df)
+        fcols = features if proj is None else proj.names
         gm = GradientModel.fit(base, fcols, label, loss="epsilon_insensitive", hidden=(),
                                alpha=1.0 / C, max_iter=max_iter, seed=seed,
                                epsilon=epsilon)
@@ -172,7 +201,8 @@ def train_svm(df: DataFrame, features: list[str], label: str = "label",
                     standardization=False, maxIter=max_iter)
     tmp = SvmModel(features, proj, None, label)
     data = tmp.project(df)
-    est = (OneVsRest(classifier=svc, featuresCol="features", labelCol=label, parallelism=4)
+    est = (OneVsRest(classifier=svc, featuresCol="features", labelCol=label, rawPredictionCol="rawPrediction",
+                     parallelism=4)
            if n_classes > 2 else svc)
     tmp.model = est.fit(data)
     return tmp
@@ -180,12 +210,11 @@ def train_svm(df: DataFrame, features: list[str], label: str = "label",
 
 @dataclass
 class RffGradientModel:
-    projection: list[Column]
-    model: "GradientModel"
+    projection: RandomFeatures
+    model: GradientModel
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df.select("*", *self.projection)).drop(
-            *[f"rff_{k}" for k in range(len(self.projection))])
+        return self.model.transform(self.projection.add(df)).drop(*self.projection.names)
 
 
 # M5 / M6 ----------------------------------------------------------------------
@@ -301,10 +330,14 @@ class GradientModel:
     @staticmethod
     def fit(df: DataFrame, features: list[str], label: str, loss: str = "squared",
             hidden=(100,), activation: str = "relu", alpha: float = 1e-4, max_iter: int = 200,
-            lr: float = 1e-3, seed: int = 42, epsilon: float = 0.1, n_classes: int | None = None,
+            lr: float | None = None, seed: int = 42, epsilon: float = 0.1, n_classes: int | None = None,
             tol: float = 1e-4, n_iter_no_change: int = 10) -> "GradientModel":
         """Adam on the full-batch gradient; one Spark job per iteration.
 
+        Networks start at random weights with rate 0.001; linear models start
+        at zero with rate 0.1, which falls to zero along a cosine, so they get
+        to the optimum wherever it lies. A missing feature is an error.
+
         Stops after ``max_iter`` iterations, or when the loss has not improved
         by at least ``tol`` for ``n_iter_no_change`` iterations in a row (the
         stopping rule of scikit-learn's MLP estimators, same defaults).
@@ -316,17 +349,20 @@ class GradientModel:
         data = df.select(*[as_double(c, df.schema[c].dataType).alias(f"x{i}")
                            for i, c in enumerate(features)],
                          qcol(label).cast("double").alias("y"))
-        # Rows with a missing value are skipped inside the tasks (a wide
-        # na.drop over aliased columns inflates Catalyst's constraint sets).
-        data = data.where(qcol("y").isNotNull())
-        data = data.persist()
+        data = data.where(qcol("y").isNotNull()).persist()
+        rate = lr if lr is not None else 1e-3 if hidden else 0.1
         try:
             d = len(features)
-            stats = data.agg(F.count("*").alias("n"),
+            stats = data.agg(F.count("*").alias("n"), *[F.count(f"x{i}").alias(f"c{i}") for i in range(d)],
                              *[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)],
                              *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(d)],
                              F.avg("y").alias("ym"), F.stddev_pop("y").alias("ys")).first()
             n = stats["n"]
+            holes = [features[i] for i in range(d) if stats[f"c{i}"] < n]
+            if holes:
+                raise ValueError(f"features with missing values: {holes}; drop or fill them first")
+            if not n:
+                raise ValueError("no rows with a label")
             mean = np.array([stats[f"m{i}"] or 0.0 for i in range(d)])
             std = np.array([stats[f"s{i}"] or 0.0 for i in range(d)])
             std[std == 0] = 1.0
@@ -346,7 +382,7 @@ class GradientModel:
             weights = []
             for a, b in zip(sizes[:-1], sizes[1:]):
                 bound = math.sqrt(6.0 / (a + b))
-                weights += [rng.uniform(-bound, bound, size=(a, b)), np.zeros(b)]
+                weights += [rng.uniform(-bound, bound, size=(a, b)) if hidden else np.zeros((a, b)), np.zeros(b)]
             m = [np.zeros_like(w) for w in weights]
             v = [np.zeros_like(w) for w in weights]
             b1, b2, eps = 0.9, 0.999, 1e-8
@@ -366,9 +402,6 @@ class GradientModel:
                     tot = [np.zeros_like(w) for w in ws]
                     lsum = 0.0
                     for pdf in batches:
-                        if len(pdf) == 0:
-                            continue
-                        pdf = pdf.dropna()
                         if len(pdf) == 0:
                             continue
                         X = (pdf[[f"x{i}" for i in range(len(mu))]].to_numpy() - mu) / sd
@@ -397,8 +430,9 @@ class GradientModel:
                     v[i] = b2 * v[i] + (1 - b2) * g * g
                     mh = m[i] / (1 - b1 ** it)
                     vh = v[i] / (1 - b2 ** it)
-                    weights[i] = weights[i] - lr * mh / (np.sqrt(vh) + eps)
-                if history[-1] > best - tol:
+                    step = rate if hidden else rate * 0.5 * (1 + math.cos(math.pi * it / max_iter))
+                    weights[i] = weights[i] - step * mh / (np.sqrt(vh) + eps)
+                if hidden and history[-1] > best - tol:
                     stale += 1
                     if stale >= n_iter_no_change:
                         break
@@ -411,30 +445,36 @@ class GradientModel:
                              y_mean=y_mean, y_std=y_std)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction`` (class index for softmax) with an Arrow UDF."""
+        """Add ``prediction`` with an Arrow UDF; for softmax the class index,
+        and ``probability``. A row with a missing feature gets NULL."""
         from veritab.session import ship_package
         spark = df.sparkSession
         ship_package(spark)
         bw = spark.sparkContext.broadcast(self.weights)
-        act, loss, mu, sd = self.activation, self.loss, self.x_mean, self.x_std
-        ym, ys = self.y_mean, self.y_std
+        act, mu, sd = self.activation, self.x_mean, self.x_std
 
-        @F.pandas_udf(T.DoubleType())
-        def predict(*cols):
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def outputs(*cols):
             import pandas as pd
             X = (np.column_stack([c.to_numpy(dtype=float) for c in cols]) - mu) / sd
             _, out = _forward(bw.value, X, act)
-            if loss == "softmax":
-                return pd.Series(out.argmax(axis=1).astype(float))
-            return pd.Series(out[:, 0] * ys + ym)
+            return pd.Series([None if bad else row for bad, row in zip(np.isnan(X).any(axis=1), out.tolist())])
 
         xs = [as_double(c, df.schema[c].dataType) for c in self.features]
-        return df.withColumn(self.prediction, predict(*xs))
+        out = df.withColumn("__out", outputs(*xs))
+        if self.loss != "softmax":
+            return out.withColumn(self.prediction, F.col("__out")[0] * self.y_std + self.y_mean).drop("__out")
+        each = F.transform("__out", lambda z: F.exp(z - F.array_max("__out")))
+        total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
+        return (out.withColumn(self.prediction, (F.array_position("__out", F.array_max("__out")) - 1).cast("double"))
+                .withColumn("probability", F.when(F.col("__out").isNotNull(),
+                                                  array_to_vector(F.transform(each, lambda p: p / total))))
+                .drop("__out"))
 
 
 def train_mlp(df: DataFrame, features: list[str], label: str = "label",
               task: str = "classification", hidden="100,50", activation: str = "relu",
-              max_iter: int = 200, alpha: float = 1e-4, seed: int = 42, lr: float = 1e-3):
+              max_iter: int = 200, alpha: float = 1e-4, seed: int = 42, lr: float | None = None):
     """Multi-layer perceptron (M5 classification, M6 regression).
 
     Classification with the sigmoid/logistic activation is Spark ML's
@@ -448,7 +488,7 @@ def train_mlp(df: DataFrame, features: list[str], label: str = "label",
             mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label,
                                                  layers=[len(features), *hidden, k],
                                                  maxIter=max_iter, seed=seed)
-            return Pipeline(stages=[assembler(features), mlp]).fit(df)
+            return Pipeline(stages=[*assembler(features), mlp]).fit(df)
         return GradientModel.fit(df, features, label, loss="softmax", hidden=hidden,
                                  activation=activation, alpha=alpha, max_iter=max_iter,
                                  lr=lr, seed=seed, n_classes=k)
@@ -456,6 +496,59 @@ def train_mlp(df: DataFrame, features: list[str], label: str = "label",
                              activation=activation, alpha=alpha, max_iter=max_iter, lr=lr, seed=seed)
 
 
+# Saving ----------------------------------------------------------------------
+
+def model_to_json(model) -> tuple[str, object | None]:
+    """(JSON of what this module's classes hold, the Spark ML model inside or None)."""
+    def spec(m):
+        if isinstance(m, RandomFeatures):
+            return {"kind": "features", **vars(m)}, None
+        if isinstance(m, LabelledModel):
+            inner, ml = spec(m.model)
+            return {"kind": "labelled", "labels": m.labels, "model": inner}, ml
+        if isinstance(m, SvmModel):
+            return {"kind": "svm", "features": m.features, "label": m.label,
+                    "projection": spec(m.projection)[0] if m.projection else None}, m.model
+        if isinstance(m, RffGradientModel):
+            return {"kind": "rff_gradient", "projection": spec(m.projection)[0], "model": spec(m.model)[0]}, None
+        if isinstance(m, GradientModel):
+            own = vars(m) | {"weights": [w.tolist() for w in m.weights], "x_mean": m.x_mean.tolist(), "x_std": m.x_std.tolist()}
+            return {"kind": "gradient", **own}, None
+        return {"kind": "ml"}, m
+
+    out, ml = spec(model)
+    if ml is not None:
+        out["ml_class"] = type(ml).__name__
+    return json.dumps(out), ml
+
+
+def model_from_json(text: str, ml_path: str):
+    """The inverse of ``model_to_json``; the Spark ML part is read from ``ml_path``."""
+    from pyspark.ml.classification import LinearSVCModel, OneVsRestModel
+    readers = {"PipelineModel": PipelineModel, "LinearSVCModel": LinearSVCModel, "OneVsRestModel": OneVsRestModel}
+    top = json.loads(text)
+
+    def build(d):
+        d = dict(d)
+        kind = d.pop("kind")
+        d.pop("ml_class", None)
+        if kind == "features":
+            return RandomFeatures(**d)
+        if kind == "labelled":
+            return LabelledModel(build(d["model"]), d["labels"])
+        if kind == "svm":
+            return SvmModel(d["features"], build(d["projection"]) if d["projection"] else None,
+                            readers[top["ml_class"]].load(ml_path), d["label"])
+        if kind == "rff_gradient":
+            return RffGradientModel(build(d["projection"]), build(d["model"]))
+        if kind == "gradient":
+            return GradientModel(**d | {"weights": [np.array(w) for w in d["weights"]], "x_mean": np.array(d["x_mean"]),
+                                        "x_std": np.array(d["x_std"])})
+        return readers[top["ml_class"]].load(ml_path)
+
+    return build(top)
+
+
 # M7 -------------------------------------------------------------------------
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -463,12 +556,36 @@ def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
+@dataclass
+class LabelledModel:
+    """A classifier trained on indices 0..k-1 that predicts the own labels."""
+    model: object
+    labels: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(df)
+        return out.withColumn("prediction", F.element_at(F.array(*[F.lit(float(v)) for v in self.labels]),
+                                                         F.col("prediction").cast("int") + 1))
+
+
 def train(df: DataFrame, features: list[str], label: str, model_type: str, task: str,
           params: dict | None = None):
-    """Dispatch by family: random_forest, svm, neural_network."""
+    """Dispatch by family: random_forest, svm, neural_network. Numeric classes
+    other than 0..k-1 are indexed for the fit; predictions are the own labels."""
     from veritab.session import spread_for_iterations
     params = dict(params or {})
     df = spread_for_iterations(df)
+    if task == "classification":
+        labels = sorted(r[0] for r in df.select(qcol(label).cast("double")).where(qcol(label).isNotNull()).distinct().collect())
+        if labels != [float(i) for i in range(len(labels))]:
+            index = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, float(i))]),
+                                 qcol(label).cast("double"))
+            own = df.select(*[index.alias(c) if c == label else qcol(c) for c in df.columns])
+            return LabelledModel(_train(own, features, label, model_type, task, params), labels)
+    return _train(df, features, label, model_type, task, params)
+
+
+def _train(df: DataFrame, features: list[str], label: str, model_type: str, task: str, params: dict):
     if model_type == "random_forest":
         return train_random_forest(df, features, label, task, **params)
     if model_type == "svm":

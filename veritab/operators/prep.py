@@ -13,8 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritab.functions.exprs import (TWO_POW_32, as_category, as_double, qcol, row_hash32,
-                                     whole_row_hash32)
+from veritab.functions.exprs import TWO_POW_32, as_category, as_double, keyed_hash32, qcol
 from veritab.operators.schema import normalize_missing
 
 MAX_CATEGORIES = 1000   # per column, for dense one-hot columns
@@ -42,20 +41,18 @@ def fit_standardizer(df: DataFrame, cols: list[str]) -> DataFrame:
 def apply_standardizer(df: DataFrame, params: DataFrame, cols: list[str]) -> DataFrame:
     """z = (x - mean) / std, std 0 -> divide by 1; NULL stays NULL.
 
-    ``params`` is one row, so the cross join is a broadcast of a single row.
+    ``params`` is one row; it is fetched once and its values become literals,
+    so later actions don't compute it again.
     """
-    pcols = [F.col(f"{c}__mean") for c in cols] + [F.col(f"{c}__std") for c in cols]
-    joined = df.crossJoin(F.broadcast(params.select(*pcols)))
+    fitted = params.select(*[qcol(f"{c}__{kind}") for c in cols for kind in ("mean", "std")]).first()
     out = []
     for f in df.schema.fields:
         if f.name in cols:
-            x = as_double(f.name, f.dataType)
-            sd = F.col(f"{f.name}__std")
-            sd = F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd)
-            out.append(((x - F.col(f"{f.name}__mean")) / sd).alias(f.name))
+            mean, sd = fitted[2 * cols.index(f.name)], fitted[2 * cols.index(f.name) + 1]
+            out.append(((as_double(f.name, f.dataType) - F.lit(mean).cast("double")) / F.lit(sd or 1.0)).alias(f.name))
         else:
             out.append(qcol(f.name))
-    return joined.select(*out)
+    return df.select(*out)
 
 
 def standardize(df: DataFrame, cols: list[str], fit_df: DataFrame | None = None) -> DataFrame:
@@ -79,13 +76,14 @@ def fit_categories(df: DataFrame, cols: list[str],
         return {}
     arr = F.array(*[F.struct(F.lit(c).alias("k"), as_category(c, df.schema[c].dataType).alias("v"))
                     for c in cols])
-    cap = max_categories * len(cols) + 1
-    rows = df.select(F.inline(arr)).distinct().limit(cap).collect()
+    first = F.row_number().over(Window.partitionBy("k").orderBy("v"))
+    rows = (df.select(F.inline(arr)).distinct().withColumn("nth", first)
+            .where(F.col("nth") <= max_categories + 1).collect())
     out: dict[str, list] = {c: [] for c in cols}
     for r in rows:
         out[r["k"]].append(r["v"])
     for c, vals in out.items():
-        if len(vals) > max_categories or len(rows) >= cap:
+        if len(vals) > max_categories:
             raise ValueError(f"column {c!r} has more than {max_categories} categories; "
                              f"use one_hot_vector for wide columns")
         present = sorted(v for v in vals if v is not None)
@@ -93,8 +91,14 @@ def fit_categories(df: DataFrame, cols: list[str],
     return out
 
 
-def _dummy_name(col: str, cat) -> str:
-    return f"{col}_{'nan' if cat is None else cat}"
+def _dummy_names(col: str, cats: list) -> list[str]:
+    """One name per category; a NULL next to the text 'nan' gets underscores
+    until its name is free."""
+    names = [f"{col}_{c}" for c in cats if c is not None]
+    missing = f"{col}_nan"
+    while missing in names:
+        missing += "_"
+    return [missing if c is None else f"{col}_{c}" for c in cats]
 
 
 def apply_one_hot(df: DataFrame, categories: dict[str, list], drop_first: bool = False) -> DataFrame:
@@ -112,9 +116,9 @@ def apply_one_hot(df: DataFrame, categories: dict[str, list], drop_first: bool =
         cats = categories[c]
         if drop_first:
             cats = [x for x in cats if x is not None][1:]
-        for cat in cats:
+        for cat, name in zip(cats, _dummy_names(c, cats)):
             hit = v.isNull() if cat is None else (v == F.lit(cat))
-            new.append(F.coalesce(hit, F.lit(False)).cast("double").alias(_dummy_name(c, cat)))
+            new.append(F.coalesce(hit, F.lit(False)).cast("double").alias(name))
     return df.select(*keep, *new)
 
 
@@ -191,8 +195,9 @@ def label_encode(df: DataFrame, col: str, out_col: str | None = None,
 # P6 -------------------------------------------------------------------------
 
 def split_hash(df: DataFrame, key: str | None = None, seed: int = 42) -> Column:
-    """md5-based hash of ``key`` (checkable in SQL), else a native hash of the row."""
-    return row_hash32(qcol(key), seed) if key else whole_row_hash32(df, seed)
+    """md5-based hash of ``key`` (checkable in SQL), else, and for a NULL key,
+    a native hash of the row."""
+    return keyed_hash32(df, key, seed)
 
 
 def train_size_for(n: int, ratio: float) -> int:
@@ -212,7 +217,7 @@ def train_test_split(df: DataFrame, ratio: float = 0.8, seed: int = 42, key: str
     a 65,536-bucket histogram of the hash (a partial aggregate, collected:
     bounded by 65,536 rows) finds the boundary bucket, a second histogram of
     the low 16 bits inside it finds the boundary hash value, and only the
-    rows sharing that one hash value are ranked by key.
+    rows sharing that one hash value are told apart by key.
     """
     h = split_hash(df, key, seed)
     if not exact:
@@ -246,28 +251,30 @@ def train_test_split(df: DataFrame, ratio: float = 0.8, seed: int = 42, key: str
     # else is decided by a comparison, with no shuffle.
     rest = tagged.where(F.col("__h") != hval).withColumn(
         split_col, F.when(F.col("__h") < hval, "train").otherwise("test"))
-    tie_rows = tagged.where(F.col("__h") == hval)
+    # Tied rows go by key: the keys of one 32-bit hash value are a handful, so
+    # their counts are collected. Rows of the last key taken (or, without keys,
+    # identical rows) may be a third of the table; they are interchangeable, so
+    # each input partition contributes a quota and numbers its own rows.
+    ties = tagged.where(F.col("__h") == hval)
+    same, before, left = F.lit(True), F.lit(False), ties_needed
     if key:
-        # Distinct keys: a handful of 32-bit hash collisions, ranked by key.
-        ties = tie_rows.withColumn("__rn", F.row_number().over(Window.orderBy(qcol(key))))
-        take = F.lit(ties_needed)
-    else:
-        # Whole-row hashing: the tie group is one set of identical rows and can
-        # be huge. Identical rows are interchangeable, so each input partition
-        # contributes a quota (collected per partition: bounded by the
-        # partition count) and rows are numbered within their own partition.
-        tie_rows = (tie_rows.withColumn("__p", F.spark_partition_id())
-                    .withColumn("__i", F.monotonically_increasing_id()))
-        per_part = sorted((r["__p"], r["count"]) for r in tie_rows.groupBy("__p").count().collect())
-        quota, left = [], ties_needed
-        for pid, cnt in per_part:
-            q = max(0, min(left, cnt))
-            quota += [F.lit(pid), F.lit(q)]
-            left -= q
-        take = F.coalesce(F.element_at(F.create_map(*quota), F.col("__p")), F.lit(0)) \
-            if quota else F.lit(0)
-        ties = tie_rows.withColumn("__rn", F.row_number().over(
-            Window.partitionBy("__p").orderBy("__i"))).drop("__i")
-    ties = (ties.withColumn(split_col, F.when(F.col("__rn") <= take, "train").otherwise("test"))
-            .drop("__rn", "__p"))
-    return rest.unionByName(ties).drop("__h")
+        counts = ties.groupBy(qcol(key).alias("k")).count().orderBy(F.col("k").asc_nulls_first()).collect()
+        for r in counts:
+            if r["count"] >= left:
+                break
+            left -= r["count"]
+        same = qcol(key).eqNullSafe(F.lit(r["k"]))
+        before = F.lit(False) if r["k"] is None else qcol(key).isNull() | (qcol(key) < F.lit(r["k"]))
+    settled = ties.where(~same).withColumn(split_col, F.when(before, "train").otherwise("test"))
+    last = (ties.where(same).withColumn("__p", F.spark_partition_id())
+            .withColumn("__i", F.monotonically_increasing_id()))
+    quota = []
+    for r in last.groupBy("__p").count().orderBy("__p").collect():
+        quota.append((r["__p"], min(left, r["count"])))
+        left -= quota[-1][1]
+    shares = df.sparkSession.createDataFrame(quota, "__p int, __q long")
+    last = (last.withColumn("__rn", F.row_number().over(Window.partitionBy("__p").orderBy("__i")))
+            .join(F.broadcast(shares), "__p")
+            .withColumn(split_col, F.when(F.col("__rn") <= F.col("__q"), "train").otherwise("test")))
+    names = [qcol(c) for c in [*df.columns, split_col]]
+    return rest.select(*names).union(settled.select(*names)).union(last.select(*names))

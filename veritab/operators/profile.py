@@ -16,14 +16,9 @@ from pyspark.sql import types as T
 
 from veritab.functions.exprs import (as_category, as_double, corrected_skew,
                                      is_numeric_type, pairwise_corr, qcol)
-from veritab.operators.schema import infer_roles
-
-# Above this many rows, median="auto" switches from the exact percentile
-# (which keeps every distinct value of a column in one buffer) to
-# percentile_approx.
-EXACT_MEDIAN_MAX_ROWS = 10_000_000
-APPROX_ACCURACY = 10_000
-WIDE_CHUNK = 200  # columns per aggregate, so one plan stays within code generation
+from veritab.operators.schema import infer_roles, normalize_missing
+
+APPROX_ACCURACY = 10_000  # of median="approx"
 MOMENT_CHUNK = 2  # numeric-profile columns per aggregate node (see profile_numeric)
 
 
@@ -36,11 +31,11 @@ def _median(x: Column, mode: str) -> Column:
 
 MEDIAN_BUCKETS = 1024
 MEDIAN_COLLECT_MAX = 100_000
-MEDIAN_MAX_LEVELS = 16
+MEDIAN_RANGES = 64  # ranges per factor of two in the first round
 # Up to this many values per column Spark's exact ``percentile`` aggregate is
 # used (its buffer holds the distinct values of a column, which is bounded
 # by this count); above it, the bucket refinement below.
-MEDIAN_AGG_MAX_ROWS = 5_000_000
+MEDIAN_AGG_MAX_ROWS = 1_000_000
 
 
 def exact_medians(df: DataFrame, columns: list[str], buckets: int = MEDIAN_BUCKETS,
@@ -56,8 +51,10 @@ def exact_medians(df: DataFrame, columns: list[str], buckets: int = MEDIAN_BUCKE
 
     * values are stacked as (column, value) and joined to a broadcast table
       of open intervals (two per column at most);
-    * inside its interval a value gets an equal-width bucket and a partial
-      hash aggregation returns count, min and max per bucket;
+    * in the first round a value's bucket is its sign and its logarithm in
+      steps of 1/64 octave (infinities have their own), whatever the range;
+      later it is an equal-width bucket inside the interval. A partial hash
+      aggregation returns count, min and max per bucket;
     * the bucket holding the middle rank becomes the next interval, bounded
       by that bucket's own min and max (bucketing is monotone, so the bucket
       is exactly the values in [min, max]); outliers therefore cannot keep
@@ -100,12 +97,14 @@ def exact_medians(df: DataFrame, columns: list[str], buckets: int = MEDIAN_BUCKE
             sel = stacked.join(F.broadcast(params), "k").where(x.between(lo, hi))
             return list(groups.values()), sel
 
-        for _ in range(MEDIAN_MAX_LEVELS):
-            active = [s for s in searches if s["value"] is None]
-            if not active:
-                break
+        size = F.floor(F.greatest(F.least(F.log2(F.abs(x)), F.lit(1025.0)), F.lit(-1075.0)) * MEDIAN_RANGES)
+        size = size + 1100 * MEDIAN_RANGES
+        first = F.when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("int")
+        wide = True
+        while active := [s for s in searches if s["value"] is None]:
             groups, sel = open_intervals(active)
-            b = F.least(F.floor((x - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
+            b = first if wide else F.least(F.floor((x - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
+            wide = False
             hist: dict[int, list] = {}
             for r in (sel.groupBy("g", b.alias("b"))
                       .agg(F.count("*").alias("cnt"), F.min("x").alias("mn"), F.max("x").alias("mx"))
@@ -145,17 +144,15 @@ def exact_medians(df: DataFrame, columns: list[str], buckets: int = MEDIAN_BUCKE
             picked.setdefault(s["i"], []).append(s["value"])
         for i, vals in picked.items():
             a, z = vals[0], vals[-1]
-            out[columns[i]] = None if a is None or z is None else a + (z - a) * 0.5
+            out[columns[i]] = a if a == z else a + (z - a) * 0.5
     return out
 
 
-def resolve_median_mode(df: DataFrame, median: str) -> str:
-    """'exact' or 'approx'; 'auto' looks at the row count."""
-    if median in ("exact", "approx", "exact_agg"):
-        return median
-    if median != "auto":
+def resolve_median_mode(median: str) -> str:
+    """'exact' ('auto' is the same) or, only where asked for, 'approx'."""
+    if median not in ("exact", "approx", "exact_agg", "auto"):
         raise ValueError(f"median must be exact, approx or auto, got {median!r}")
-    return "exact" if df.count() <= EXACT_MEDIAN_MAX_ROWS else "approx"
+    return "exact" if median == "auto" else median
 
 
 def _chunks(seq: list, n: int) -> list[list]:
@@ -179,7 +176,7 @@ def profile_numeric(df: DataFrame, target: str | None = None, columns: list[str]
     if columns is None:
         roles = infer_roles(df, target)
         columns = roles.numeric
-    mode = resolve_median_mode(df, median)
+    mode = resolve_median_mode(median)
     tgt = None
     tgt_numeric = False
     if with_corr and target is not None:
@@ -376,22 +373,35 @@ def category_frequencies(ref: DataFrame, cur: DataFrame, column: str) -> DataFra
 
 # Q9 -------------------------------------------------------------------------
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """One row: n_distinct, the number of different rows, missing values (NULL
+    and NaN) being equal. Two independent 64-bit hashes of a row stand for it;
+    each column is hashed with a mark of its being missing, since a hash of
+    several columns passes over NULLs. Maps are compared by their JSON text."""
+    parts = []
+    for f in normalize_missing(df.limit(0)).schema.fields:
+        c = qcol(f.name)
+        parts += [c.isNull(), F.to_json(c) if isinstance(f.dataType, T.MapType) else c]
+    base = normalize_missing(df)
+    if not parts:
+        return base.agg(F.least(F.count("*"), F.lit(1)).alias("n_distinct"))
+    return (base.select(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(7), *parts[::-1]).alias("b")).distinct()
+            .agg(F.count("*").alias("n_distinct")))
+
+
 def quality_counts(df: DataFrame) -> DataFrame:
     """row_count, column_count, missing_cells, missing_pct, duplicate_rows (Q9).
 
-    NaN counts as missing. Duplicates = rows - distinct rows, with NULLs equal;
-    the distinct is a hash aggregation with map-side combine, so a row that is
-    repeated a billion times crosses the shuffle once per partition.
+    NaN counts as missing. Duplicates = rows - distinct rows, with missing
+    values equal; rows are told apart by two 64-bit hashes, so 16 bytes of a
+    row are shuffled, once per task for a row that is repeated a billion times.
     """
     ncols = len(df.columns)
     miss = [as_category(f.name, f.dataType).isNull().cast("int") for f in df.schema.fields]
     missing_expr = sum(miss[1:], miss[0]) if miss else F.lit(0)
     base = df.agg(F.count("*").alias("row_count"),
                   F.coalesce(F.sum(missing_expr), F.lit(0)).cast("bigint").alias("missing_cells"))
-    # Map columns cannot be grouped on; those (only) are compared by their JSON text.
-    keyed = df.select(*[F.to_json(qcol(f.name)).alias(f.name) if isinstance(f.dataType, T.MapType)
-                        else qcol(f.name) for f in df.schema.fields])
-    distinct = keyed.distinct().agg(F.count("*").alias("n_distinct"))
+    distinct = distinct_rows(df)
     return base.crossJoin(distinct).select(
         "row_count", F.lit(ncols).cast("bigint").alias("column_count"), "missing_cells",
         (F.try_divide(F.col("missing_cells"), F.col("row_count") * ncols) * 100).alias("missing_pct"),

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.functions.exprs import qcol, row_hash32, whole_row_hash32
+from veritab.functions.exprs import keyed_hash32, qcol, whole_row_hash32
 
 # Default grids of the reference (API defaults), per family.
 DEFAULT_GRIDS = {
@@ -29,7 +29,6 @@ DEFAULT_RANGES = {
     "max_depth": {"min": 3, "max": 10, "step": 1},
     "min_samples_split": {"min": 2, "max": 10, "step": 2},
 }
-MAX_GRID = 100_000
 
 
 # T1 -------------------------------------------------------------------------
@@ -52,10 +51,7 @@ def grid_dict(model_type: str, ranges: dict | None = None) -> dict[str, list]:
 def grid_combinations(grid: dict[str, list]) -> list[dict]:
     """Cartesian product, keys sorted, last key varying fastest."""
     keys = sorted(grid)
-    combos = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
-    if len(combos) > MAX_GRID:
-        raise ValueError(f"grid has {len(combos)} combinations (> {MAX_GRID})")
-    return combos
+    return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
 
 
 def param_grid(spark: SparkSession, model_type: str, ranges: dict | None = None) -> DataFrame:
@@ -68,9 +64,8 @@ def param_grid(spark: SparkSession, model_type: str, ranges: dict | None = None)
 
 # T2 -------------------------------------------------------------------------
 
-STRATIFY_BUCKETS = 65_536
-STRATIFY_CELLS = 1_000_000
-MAX_STRATA = 1000
+#: Hash buckets of a class in stratified folds.
+STRATIFY_BUCKETS = 4096
 
 
 def assign_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int = 42,
@@ -78,40 +73,33 @@ def assign_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int =
     """Add an integer ``fold`` in [0, k) (T2); the column feeds
     ``CrossValidator(foldCol=...)`` or ``plans.search``.
 
-    Default: the md5 hash of ``key`` (or a hash of the whole row) modulo k —
-    no shuffle; classes are balanced across folds in expectation.
+    Default: the md5 hash of ``key`` modulo k (of the whole row without a key
+    or where it is NULL) — no shuffle; classes are balanced across folds in
+    expectation.
 
     ``stratify=col``: exactly stratified, as scikit-learn's classifier folds
-    (per class, fold sizes differ by at most one). A row's rank inside its
-    class, in hash order, is found without ranking a class in one task: a
-    (class, hash bucket) count table (about a million rows at most; classes
-    guarded) gives every bucket its starting rank, and rows are numbered only
-    inside their (class, bucket) cell. fold = rank mod k. Rows with equal
-    hashes (equal keys, or equal rows without a key) share a cell; give a
-    unique ``key`` when large groups of identical rows are expected.
+    (per class, fold sizes differ by at most one; NULL is a class of its own).
+    A row's rank inside its class, in hash order, is found without ranking a
+    class in one task: counts per (class, hash bucket) give every bucket its
+    starting rank, and rows are numbered only inside their bucket. fold = rank
+    mod k. Rows that share a key, and so a hash, are numbered by the hash of
+    the whole row; a large group of them is one cell, sorted with spilling.
     """
-    h = row_hash32(qcol(key), seed) if key else whole_row_hash32(df, seed)
+    h = keyed_hash32(df, key, seed)
     if stratify is None:
         return df.withColumn(fold_col, F.pmod(h, F.lit(k)).cast("int"))
-    n_classes = df.select(qcol(stratify)).distinct().limit(MAX_STRATA + 1).count()
-    if n_classes > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} classes in {stratify!r}")
-    # As many hash buckets as keep the (class, bucket) start table at about a
-    # million rows: cells stay small, the table stays broadcastable.
-    nb = max(256, min(STRATIFY_BUCKETS, STRATIFY_CELLS // max(n_classes, 1)))
-    tagged = df.withColumn("__h", h).withColumn("__s", qcol(stratify).cast("string")) \
-        .withColumn("__b", F.floor(F.col("__h") * nb / F.lit(float(1 << 32))).cast("int"))
+    cls = qcol(stratify).cast("string")
+    tagged = (df.withColumn("__h", h).withColumn("__t", whole_row_hash32(df, seed + 1))
+              .withColumn("__s", F.coalesce(F.concat(F.lit("="), cls), F.lit("")))
+              .withColumn("__b", F.shiftright("__h", 20).cast("int")))
     cells = tagged.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
     starts = cells.withColumn(
         "__c0", F.sum("__n").over(Window.partitionBy("__s").orderBy("__b")) - F.col("__n")).drop("__n")
-    # Rows are numbered in hash order, ties by key (or, without a key, by
-    # input position: such ties are equal rows).
-    within = Window.partitionBy("__s", "__b").orderBy("__h", qcol(key) if key else F.col("__i"))
-    out = (tagged.withColumn("__i", F.monotonically_increasing_id())
-           .join(F.broadcast(starts), ["__s", "__b"])
+    within = Window.partitionBy("__s", "__b").orderBy("__h", *([qcol(key)] if key else []), "__t")
+    out = (tagged.join(starts, ["__s", "__b"])
            .withColumn(fold_col, F.pmod(F.col("__c0") + F.row_number().over(within) - 1,
                                         F.lit(k)).cast("int")))
-    return out.drop("__h", "__s", "__b", "__c0", "__i")
+    return out.select(*[qcol(c) for c in df.columns if c != fold_col], fold_col)
 
 
 # T4 -------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.exprs import is_numeric_type
+from veritab.functions.exprs import is_numeric_type, qcol
 from veritab.operators import drift as D
 from veritab.operators import evaluate as E
 from veritab.operators import profile as P
@@ -37,9 +37,10 @@ def profile_report(df: DataFrame, target: str | None = None, bins: int = 30,
 
 def evaluation_report(predictions: DataFrame, split_table: DataFrame, features: list[str],
                       task: str, label: str = "label", prediction: str = "prediction",
-                      sections=SECTIONS) -> dict[str, DataFrame]:
-    """Metrics, confusion matrix, data quality of the test features and the
-    train/test mean shift of the first five numeric features (E5)."""
+                      sections=SECTIONS, shift_columns: int | None = None) -> dict[str, DataFrame]:
+    """Metrics, confusion matrix, ROC of two-class probabilities, data quality
+    of the test features and the train/test mean shift of the numeric features
+    (the first ``shift_columns`` of them if given) (E5)."""
     out = {}
     if task == "classification" and "ClassificationQuality" in sections:
         out["metrics"] = E.classification_metrics(predictions, label, prediction)
@@ -50,14 +51,15 @@ def evaluation_report(predictions: DataFrame, split_table: DataFrame, features:
         scored = predictions.withColumn("__p1", vector_to_array("probability")[1])
         if predictions.select(label).distinct().limit(3).count() <= 2:
             out["roc_curve"] = E.roc_points(scored, label, "__p1", positive=1)
-            out["roc_auc"] = E.roc_auc(out["roc_curve"])
+            out["roc_auc"] = E.roc_auc(scored, label, "__p1", positive=1)
     if task != "classification" and "RegressionQuality" in sections:
         out["metrics"] = E.regression_metrics(predictions, label, prediction)
     if "DataQuality" in sections:
-        test = split_table.where(F.col("split") == "test").select(*features)
+        test = split_table.where(F.col("split") == "test").select(*map(qcol, features))
         out["data_quality"] = P.quality_counts(test)
     if "DataDrift" in sections:
-        cols = first_n_numeric(split_table.select(*features), 5)
+        own = split_table.select(*map(qcol, features))
+        cols = first_n_numeric(own, len(features) if shift_columns is None else shift_columns)
         shifts = D.mean_shift(split_table, cols)
         out["mean_shift"] = shifts
         out["drift_detected"] = D.mean_shift_detected(shifts)

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritab.functions.exprs import qcol
 from veritab.operators import evaluate as E
 from veritab.operators.models import train
 from veritab.operators.tuning import (assign_folds, grid_combinations, grid_dict, rank_results,
@@ -49,11 +50,11 @@ def score_predictions(pred: DataFrame, label: str, objective: str) -> float:
             from pyspark.ml.functions import vector_to_array
             p = pred.withColumn("__s", vector_to_array("probability")[1])
             sc = "__s"
-        return E.roc_auc(E.roc_points(p, label, sc, positive=1)).first()[0]
+        return E.roc_auc(p, label, sc, positive=1).first()[0]
     if objective == "log_loss":
         from pyspark.ml.functions import vector_to_array
         pr = vector_to_array("probability")
-        p = F.element_at(pr, F.col(label).cast("int") + 1)
+        p = F.element_at(pr, qcol(label).cast("int") + 1)
         return -pred.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15))))).first()[0]
     raise ValueError(f"unknown objective {objective!r}")
 
@@ -64,7 +65,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
     objective = objective or ("accuracy" if task == "classification" else "neg_mean_squared_error")
     from veritab.session import spread_for_iterations
     stratify = label if task == "classification" else None
-    base = df.select(*features, label, *([key] if key and key not in features else []))
+    base = df.select(*map(qcol, dict.fromkeys([*features, label, *([key] if key else [])])))
     if stratify is not None:
         # Stratified folds read the input three times (class count, cell
         # counts, numbering); keep it for those passes only.

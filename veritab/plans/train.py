@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritab.functions.exprs import qcol
 from veritab.operators import evaluate as E
 from veritab.operators.models import train
 from veritab.operators.schema import infer_task
@@ -36,12 +37,12 @@ def train_dataset(df: DataFrame, model_type: str, params: dict | None = None,
     train_df = data.where(F.col("split") == "train")
     test_df = data.where(F.col("split") == "test")
     model = train(train_df, prep.features, prep.target, model_type, task, params)
-    pred = model.transform(test_df).select(F.col(prep.target).alias("label"), "prediction")
+    out = model.transform(test_df)
+    pred = out.select(qcol(prep.target).alias("label"), "prediction",
+                      *(["probability"] if "probability" in out.columns else []))
     metrics = (E.classification_metrics(pred) if task == "classification"
                else E.regression_metrics(pred))
     mid = None
     if log:
-        spark_model = model if hasattr(model, "write") else None
-        mid = log_run(df.sparkSession, model_type, dataset_name, metrics, params or {},
-                      model=spark_model)
+        mid = log_run(df.sparkSession, model_type, dataset_name, metrics, params or {}, model=model)
     return TrainResult(mid, model, task, metrics, pred, prep)

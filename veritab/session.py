@@ -56,34 +56,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator of the cluster sets it to shared storage and it
-    is used as is. Only when it is unset (local tests) a scratch folder is made.
+    is used as is. Only a local session without it gets a scratch folder;
+    elsewhere the driver's disk is not the executors', so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="veritab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for a materialised intermediate table under the checkpoint dir."""
-    return os.path.join(checkpoint_dir(spark), name)
-
-
 def spread_for_iterations(df):
     """Input of an iterative fit (forests, SVMs, gradient models, search),
     spread over at least the cluster's default parallelism.
 
-    A scan of a few large row groups can yield fewer non-empty partitions than
-    cores, and every training pass would then run on those few tasks. When
-    the scan already has enough partitions (the normal case at scale) the
-    frame is returned unchanged, so no shuffle is added.
+    A scan of a few files can yield fewer partitions than cores, and every
+    training pass would then run on those few tasks. With at least as many
+    input files (the normal case at scale) the frame is returned unchanged, so
+    no shuffle is added. Looking at the files runs no job.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    return df if len(df.inputFiles()) >= target else df.repartition(target)
 
 
 _SHIPPED: set[str] = set()

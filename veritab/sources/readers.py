@@ -9,7 +9,6 @@ over the file on the executors; no sample is pulled to the driver.
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,66 +26,75 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 BUILT_IN_DATASETS = ["MNIST", "CIFAR-10", "Boston Housing", "Wine Quality", "Iris",
                      "Customer Churn"]
 
-FILE_EXTS = (".csv", ".parquet", ".json", ".txt")
+#: Endings by which a file counts as a dataset, in order of preference.
+DATASET_ENDINGS = ("csv", "parquet", "json", "txt")
+#: Words of a request that name no dataset.
+GENERIC_WORDS = {"dataset", "data", "table", "the"}
 
 
-def clean_dataset_name(name: str) -> str:
-    """Lower-case, drop a .csv/.txt extension, drop ' dataset', strip."""
-    n = name.strip().lower()
-    if n.endswith(".csv") or n.endswith(".txt"):
-        n = n.rsplit(".", 1)[0]
-    return n.replace(" dataset", "").strip()
+def name_words(name: str) -> frozenset[str]:
+    """The words of a dataset's name: letters and digits, lower case, without
+    a file ending and without generic words."""
+    stem, dot, ending = name.rpartition(".")
+    words = re.findall(r"[a-z0-9]+", (stem if dot and ending.lower() in DATASET_ENDINGS else name).lower())
+    return frozenset(w for w in words if w not in GENERIC_WORDS) or frozenset(words)
 
 
-def _base(fname: str) -> str:
-    b = fname.lower()
-    for ext in FILE_EXTS:
-        if b.endswith(ext):
-            b = b[: -len(ext)]
-    return b.replace("_", " ")
+def list_folder(spark: SparkSession, folder: str) -> list[str]:
+    """Paths in a folder of any file system that Spark can read."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(str(f.getPath()) for f in fs.listStatus(path)) if fs.exists(path) else []
 
 
-def resolve_dataset(name: str, root: str) -> str:
-    """Path of the dataset ``name`` under ``root``.
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-    Exact path -> ``<name>.csv`` / ``<name>.parquet`` -> first file (sorted)
-    whose base name (underscores as blanks) contains, or is contained in, the
-    cleaned name.
+
+def resolve_dataset(spark: SparkSession, name: str, root: str) -> str:
+    """Path of the dataset ``name``: itself if it is a path, else the file
+    under ``root`` whose name shares the most words with it.
+
+    Names are compared as sets of words. One set has to hold the other, so a
+    single word of a name will do and words too many do no harm; among several
+    the closest set wins, then the preferred ending, then the name.
     """
-    if os.path.exists(name):
+    if "/" in name and path_exists(spark, name):
         return name
-    cleaned = clean_dataset_name(name)
-    for ext in (".csv", ".parquet", ".json"):
-        for cand in (cleaned, cleaned.replace(" ", "_")):
-            p = os.path.join(root, cand + ext)
-            if os.path.exists(p):
-                return p
-    key = cleaned.replace("_", " ")
-    if os.path.isdir(root):
-        for f in sorted(os.listdir(root)):
-            if not f.lower().endswith(FILE_EXTS):
-                continue
-            b = _base(f)
-            if key and (key in b or b in key):
-                return os.path.join(root, f)
-    raise FileNotFoundError(f"dataset {name!r} not found under {root}")
+    want = name_words(name)
+    found = []
+    for path in list_folder(spark, root):
+        ending = path.rpartition(".")[2].lower()
+        own = name_words(path.rpartition("/")[2])
+        if ending in DATASET_ENDINGS and want and own and len(want & own) == min(len(want), len(own)):
+            found.append((-len(want & own) / len(want | own), DATASET_ENDINGS.index(ending), path))
+    if not found:
+        raise FileNotFoundError(f"dataset {name!r} not found under {root}")
+    return min(found)[2]
+
+
+TYPING_COLUMNS = 20  # columns per typing aggregate
 
 
 def infer_csv_types(df: DataFrame) -> DataFrame:
     """Cast all-string columns to int / bigint / double / boolean where every
     present value allows it (one aggregate pass)."""
-    checks = []
-    for i, c in enumerate(df.columns):
-        x = qcol(c)
-        present = x.isNotNull()
-        checks += [
-            F.count_if(present & x.try_cast("bigint").isNull()).alias(f"nl{i}"),
-            F.count_if(present & x.try_cast("double").isNull()).alias(f"nd{i}"),
-            F.count_if(present & ~F.lower(x).isin("true", "false")).alias(f"nb{i}"),
-            F.max(F.abs(x.try_cast("bigint"))).alias(f"mx{i}"),
-            F.count(x).alias(f"n{i}"),
-        ]
-    stats = df.agg(*checks).first()
+    stats = {}
+    for start in range(0, len(df.columns), TYPING_COLUMNS):
+        checks = []
+        for i, c in list(enumerate(df.columns))[start:start + TYPING_COLUMNS]:
+            x = qcol(c)
+            present = x.isNotNull()
+            checks += [
+                F.count_if(present & x.try_cast("bigint").isNull()).alias(f"nl{i}"),
+                F.count_if(present & x.try_cast("double").isNull()).alias(f"nd{i}"),
+                F.count_if(present & ~F.lower(x).isin("true", "false")).alias(f"nb{i}"),
+                F.max(F.abs(x.try_cast("bigint"))).alias(f"mx{i}"),
+                F.count(x).alias(f"n{i}"),
+            ]
+        stats |= df.agg(*checks).first().asDict()
     out = []
     for i, c in enumerate(df.columns):
         x = qcol(c)
@@ -104,28 +112,33 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with header; missing tokens -> NULL; pandas-like types unless a
-    schema is given (a declared schema is preferred at scale: no typing pass)."""
-    if schema is not None:
-        df = spark.read.option("header", True).schema(schema).csv(path)
-        return df
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+             multi_line: bool = True) -> DataFrame:
+    """CSV with header; quotes in quoted fields are doubled; missing tokens ->
+    NULL; pandas-like types unless a schema is given (a declared schema is
+    preferred at scale: no typing pass). ``multi_line`` allows line breaks in
+    quoted fields; without them in the data, False lets large files be split."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+           .option("multiLine", multi_line).csv(path))
     nulls = raw.select(*[F.when(qcol(c).isin(NA_TOKENS), None).otherwise(qcol(c)).alias(c)
                          for c in raw.columns])
-    return infer_csv_types(nulls)
+    if schema is None:
+        return infer_csv_types(nulls)
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return nulls.select(*[qcol(have).cast(f.dataType).alias(f.name)
+                          for have, f in zip(nulls.columns, declared.fields)])
 
 
 def read_dataset(spark: SparkSession, name: str, root: str,
                  schema: T.StructType | str | None = None) -> DataFrame:
     """Resolve ``name`` under ``root`` and read it (S1). CSV, Parquet or JSON."""
-    path = resolve_dataset(name, root)
-    low = path.lower()
-    if low.endswith(".parquet") or (os.path.isdir(path) and not low.endswith(".csv")):
-        return spark.read.parquet(path)
-    if low.endswith(".json"):
+    path = resolve_dataset(spark, name, root)
+    ending = path.rstrip("/").rpartition(".")[2].lower()
+    if ending == "json":
         return read_records(spark, path, schema=schema)
-    return read_csv(spark, path, schema)
+    if ending in ("csv", "txt"):
+        return read_csv(spark, path, schema)
+    return spark.read.parquet(path)
 
 
 def read_records(spark: SparkSession, source, column: str | None = None,
@@ -138,28 +151,20 @@ def read_records(spark: SparkSession, source, column: str | None = None,
     reads the JSON text on the executors.
     """
     if isinstance(source, str):
-        r = spark.read.option("multiLine", _is_json_array(source))
+        r = spark.read.option("multiLine", _is_json_array(spark, source))
         return (r.schema(schema) if schema is not None else r).json(source)
     df: DataFrame = source
     if schema is None:
-        from veritab.session import ship_package
-        ship_package(spark)
-        schema = spark.read.json(df.select(qcol(column)).where(qcol(column).isNotNull())
-                                 .rdd.map(lambda r: r[0])).schema
+        kinds = df.agg(F.schema_of_variant_agg(F.try_parse_json(qcol(column))).alias("s")).first()["s"] or ""
+        schema = kinds.replace("OBJECT<", "STRUCT<").replace(": VOID", ": STRING") if kinds.startswith("OBJECT<") else "STRUCT<>"
     parsed = F.from_json(qcol(column), schema)
     return df.select(*[qcol(k) for k in (keep or [])], parsed.alias("__rec")).select(
         *[qcol(k) for k in (keep or [])], "__rec.*")
 
 
-def _is_json_array(path: str) -> bool:
-    if os.path.isdir(path):
-        return False
-    try:
-        with open(path, "rb") as fh:
-            head = fh.read(64).lstrip()
-        return head[:1] == b"["
-    except OSError:
-        return False
+def _is_json_array(spark: SparkSession, path: str) -> bool:
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    return first is not None and first["value"].lstrip().startswith("[")
 
 
 def list_datasets(spark: SparkSession, root: str, pattern: str = "*.csv",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,10 @@ def load_params(spark: SparkSession, name: str, pname: str, root: str | None = N
 
 
 def model_id(model_type: str, dataset: str, when: datetime | None = None) -> str:
-    """``<type>_<dataset>_<yyyymmdd_hhmmss>``."""
+    """``<type>_<dataset>_<yyyymmdd_hhmmss>_<random>``; the last part keeps the
+    runs of one second apart."""
     when = when or datetime.now(timezone.utc)
-    return f"{model_type}_{dataset}_{when.strftime('%Y%m%d_%H%M%S')}"
+    return f"{model_type}_{dataset}_{when.strftime('%Y%m%d_%H%M%S')}_{uuid.uuid4().hex[:8]}"
 
 
 def log_run(spark: SparkSession, model_type: str, dataset: str, metrics: DataFrame,
@@ -72,14 +74,27 @@ def log_run(spark: SparkSession, model_type: str, dataset: str, metrics: DataFra
                    "metrics", F.current_timestamp().alias("created_at")))
     row.write.mode("append").parquet(os.path.join(base, "runs"))
     if model is not None:
-        model.write().overwrite().save(os.path.join(base, "models", mid))
+        save_model(spark, model, os.path.join(base, "models", mid))
     return mid
 
 
-def load_runs(spark: SparkSession, root: str | None = None) -> DataFrame:
-    return spark.read.parquet(os.path.join(store_root(spark, root), "runs"))
+def save_model(spark: SparkSession, model, path: str) -> None:
+    """Save a model of any family: Spark ML models with their own writer, in
+    ``ml``; the rest of it (weights, feature names, the random features'
+    parameters, labels) as one JSON row beside it."""
+    from veritab.operators import models as M
+    text, ml = M.model_to_json(model)
+    spark.createDataFrame([(text,)], "model string").coalesce(1).write.mode("overwrite").parquet(path + "/spec")
+    if ml is not None:
+        ml.write().overwrite().save(path + "/ml")
+
 
+def load_model(spark: SparkSession, mid: str, root: str | None = None):
+    """The model of a logged run."""
+    from veritab.operators import models as M
+    path = os.path.join(store_root(spark, root), "models", mid)
+    return M.model_from_json(spark.read.parquet(path + "/spec").first()["model"], path + "/ml")
 
-def load_model(spark: SparkSession, mid: str, loader, root: str | None = None):
-    """Load a saved model with its Spark ML class (e.g. ``RandomForestClassificationModel``)."""
-    return loader.load(os.path.join(store_root(spark, root), "models", mid))
+
+def load_runs(spark: SparkSession, root: str | None = None) -> DataFrame:
+    return spark.read.parquet(os.path.join(store_root(spark, root), "runs"))
