@@ -117,7 +117,31 @@ def op10_exact_dedup(spark, sf_dir):
     return dedup.mark_duplicates(load_table(spark, sf_dir, "documents"))
 
 
-@register("op5_ngram_jaccard_join")
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 2),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * shared.n >= 90 * (p.n + q.n - shared.n)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.a, l.y FROM reach r JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) l ON r.b = l.x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least AS component_id
+FROM (SELECT a, min(b) AS least FROM reach GROUP BY a) c JOIN documents ON doc_id = a LEFT JOIN sizes USING (doc_id)
+"""
+
+
+@register("op5_ngram_jaccard_join", JACCARD_SQL)
 def op5_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(load_table(spark, sf_dir, "documents"))
 
