@@ -102,3 +102,27 @@ def test_label_inverse(spark):
     enc, labels = prep.label_encode(df, "y", "idx")
     back = enc.select("y", prep.inverse_label_expr(F.col("idx"), labels).alias("back")).collect()
     assert all(r["y"] == r["back"] for r in back)
+
+
+def test_wide_columns_become_sparse_vectors(spark):
+    from pyspark.ml.functions import vector_to_array
+    from veritab.plans.prepare import prepare
+    df = spark.range(400).select(F.concat(F.lit("v."), (F.col("id") % 150).cast("string")).alias("a.wide"),
+                                 F.when(F.col("id") % 3 > 0, F.concat(F.lit("n"), (F.col("id") % 3).cast("string"))).alias("narrow"),
+                                 F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("y"))
+    p = prepare(df, ("normalize", "one_hot_encode"), target="y", max_categories=100)
+    assert p.features == ["x", "narrow_n1", "narrow_n2", "narrow_nan", "a.wide_vec"]
+    rows = p.data.select(vector_to_array("`a.wide_vec`").alias("v"), "x").collect()
+    assert len(rows) == 400 and all(len(r["v"]) == 151 and sum(r["v"]) == 1.0 for r in rows)
+    slot = {}
+    for r in sorted(rows, key=lambda r: r["x"]):
+        slot.setdefault(len(slot) if len(slot) < 150 else None, r["v"].index(1.0))
+    assert len({r["v"].index(1.0) for r in rows}) == 150 and 150 not in {r["v"].index(1.0) for r in rows}
+    from veritab.operators.models import train
+    model = train(p.data.where("split = 'train'"), p.features, "y", "random_forest", "classification", {"n_estimators": 3})
+    assert model.transform(p.data.where("split = 'test'")).where("prediction is null").count() == 0
+
+
+def test_null_next_to_the_text_nan(spark):
+    df = spark.createDataFrame([("nan",), (None,), ("a",)], "c string")
+    assert prep.one_hot(df, ["c"]).columns == ["c_a", "c_nan", "c_nan_"]

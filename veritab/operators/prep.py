@@ -64,31 +64,30 @@ def standardize(df: DataFrame, cols: list[str], fit_df: DataFrame | None = None)
 
 # P3 / P4 ---------------------------------------------------------------------
 
-def fit_categories(df: DataFrame, cols: list[str],
-                   max_categories: int = MAX_CATEGORIES) -> dict[str, list]:
+def fit_categories(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES,
+                   on_wide: str = "raise") -> dict[str, list]:
     """Sorted distinct categories per column, NULL last (as ``None``).
 
-    One stack + distinct job. The result is collected under a guard of
-    ``max_categories`` per column: the job is bounded before it reaches the
-    driver (``limit``), and a wider column raises instead of growing the plan.
+    A sketch of the distinct counts keeps columns that are far too wide out of
+    the one stack + distinct job, whose result is therefore bounded. Columns
+    with more than ``max_categories`` raise, or with ``on_wide='skip'`` are
+    left out for ``one_hot_vector``.
     """
     if not cols:
         return {}
-    arr = F.array(*[F.struct(F.lit(c).alias("k"), as_category(c, df.schema[c].dataType).alias("v"))
-                    for c in cols])
-    first = F.row_number().over(Window.partitionBy("k").orderBy("v"))
-    rows = (df.select(F.inline(arr)).distinct().withColumn("nth", first)
-            .where(F.col("nth") <= max_categories + 1).collect())
-    out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        out[r["k"]].append(r["v"])
-    for c, vals in out.items():
-        if len(vals) > max_categories:
-            raise ValueError(f"column {c!r} has more than {max_categories} categories; "
-                             f"use one_hot_vector for wide columns")
-        present = sorted(v for v in vals if v is not None)
-        out[c] = present + ([None] if any(v is None for v in vals) else [])
-    return out
+    values = {c: as_category(c, df.schema[c].dataType) for c in cols}
+    sketch = df.agg(*[F.approx_count_distinct(v, 0.02).alias(f"n{i}") for i, v in enumerate(values.values())]).first()
+    out: dict[str, list] = {c: [] for i, c in enumerate(cols) if sketch[i] <= 1.5 * max_categories}
+    if out:
+        arr = F.array(*[F.struct(F.lit(c).alias("k"), values[c].alias("v")) for c in out])
+        for r in df.select(F.inline(arr)).distinct().collect():
+            out[r["k"]].append(r["v"])
+    out = {c: vals for c, vals in out.items() if len(vals) <= max_categories}
+    wide = [c for c in cols if c not in out]
+    if wide and on_wide == "raise":
+        raise ValueError(f"columns {wide} have more than {max_categories} categories; "
+                         f"use one_hot_vector for wide columns")
+    return {c: sorted(v for v in vals if v is not None) + [None] * (None in vals) for c, vals in out.items()}
 
 
 def _dummy_names(col: str, cats: list) -> list[str]:
@@ -134,23 +133,46 @@ def one_hot_drop_first(df: DataFrame, cols: list[str], max_categories: int = MAX
     return apply_one_hot(df, fit_categories(df, cols, max_categories), drop_first=True)
 
 
-def one_hot_vector(df: DataFrame, cols: list[str], drop_last: bool = False) -> DataFrame:
-    """Wide-column path of P3: ``StringIndexer`` + ``OneHotEncoder`` sparse vectors.
+CODE_BUCKETS = 4096  # hash buckets in which the values of a wide column are numbered
 
-    Category order is alphabetical; NULL and values unseen at fit time share
-    one extra last slot (the dense path keeps NULL as ``<col>_nan`` and maps
-    unseen values to all zeros). Adds ``<col>_vec`` and drops the originals.
+
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): a number 0..k-1 for every distinct non-missing value.
+
+    Values are numbered inside hash buckets, and counts per bucket give each
+    bucket its first number, so no task and no driver sees all of them.
+    """
+    values = (df.select(as_category(column, df.schema[column].dataType).alias("value"))
+              .where(F.col("value").isNotNull()).distinct()
+              .withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(CODE_BUCKETS))))
+    starts = (values.groupBy("bucket").agg(F.count("*").alias("n"))
+              .select(F.col("bucket").alias("of"), (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start")))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("value"))
+    return values.join(starts, F.col("bucket") == F.col("of")).select("value", (F.col("start") + nth - 1).alias("code"))
+
+
+def one_hot_vector(df: DataFrame, cols: list[str], drop_last: bool = False,
+                   fit_df: DataFrame | None = None) -> DataFrame:
+    """Wide-column path of P3: sparse one-hot vectors ``<col>_vec`` in place of
+    the columns.
+
+    Codes come from ``category_codes`` of ``fit_df`` (default: ``df``) and are
+    joined by value; they are as many as the values, whatever their number.
+    NULL and values unseen at fit time share one extra last slot.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    tmp = df.select("*", *[as_category(c, df.schema[c].dataType).alias(f"{c}__s") for c in cols])
-    idx = [StringIndexer(inputCol=f"{c}__s", outputCol=f"{c}__i", stringOrderType="alphabetAsc",
-                         handleInvalid="keep") for c in cols]
-    enc = OneHotEncoder(inputCols=[f"{c}__i" for c in cols], outputCols=[f"{c}_vec" for c in cols],
-                        dropLast=drop_last, handleInvalid="error")
-    model = Pipeline(stages=[*idx, enc]).fit(tmp)
-    out = model.transform(tmp)
-    return out.drop(*cols, *[f"{c}__s" for c in cols], *[f"{c}__i" for c in cols])
+    from pyspark.ml.feature import OneHotEncoder
+    out, keep = df, [c for c in df.columns if c not in cols]
+    for i, c in enumerate(cols):
+        source = fit_df if fit_df is not None else df
+        codes = category_codes(source, c).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
+        n = codes.count()
+        slots = {"ml_attr": {"type": "nominal", "num_vals": n + 1, "name": f"__i{i}"}}
+        out = (out.join(codes, as_category(c, df.schema[c].dataType) == F.col(f"__v{i}"), "left")
+               .withColumn(f"__i{i}", F.coalesce(F.col(f"__c{i}"), F.lit(n)).cast("double")).withMetadata(f"__i{i}", slots))
+    encoder = OneHotEncoder(inputCols=[f"__i{i}" for i in range(len(cols))], outputCols=[f"__o{i}" for i in range(len(cols))],
+                            dropLast=drop_last, handleInvalid="error")
+    return encoder.fit(out).transform(out).select(*[qcol(c) for c in keep],
+                                                  *[F.col(f"__o{i}").alias(f"{c}_vec") for i, c in enumerate(cols)])
 
 
 # P5 -------------------------------------------------------------------------

@@ -46,6 +46,8 @@ def prepare(df: DataFrame, steps=("drop_nulls", "normalize", "one_hot_encode"),
 
     ``fit_on='all'`` fits scaler and encoder on all rows before the split (the
     reference's behaviour); ``fit_on='train'`` fits on the train rows only.
+    Categorical columns with more than ``max_categories`` values become one
+    sparse vector column ``<col>_vec`` each instead of that many columns.
     Unknown step names raise.
     """
     unknown = [s for s in steps if s not in KNOWN_STEPS]
@@ -72,8 +74,11 @@ def prepare(df: DataFrame, steps=("drop_nulls", "normalize", "one_hot_encode"),
         df = prep.apply_standardizer(df, scaler, roles.numeric)
     categories = {}
     if any(s in STEP_ONE_HOT for s in steps) and roles.categorical:
-        categories = prep.fit_categories(fit_df, roles.categorical, max_categories)
+        categories = prep.fit_categories(fit_df, roles.categorical, max_categories, on_wide="skip")
+        wide = [c for c in roles.categorical if c not in categories]
         df = prep.apply_one_hot(df, categories)
+        if wide:
+            df = prep.one_hot_vector(df, wide, fit_df=fit_df)
 
     labels = None
     if not is_numeric_type(df.schema[tgt].dataType):

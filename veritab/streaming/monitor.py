@@ -27,8 +27,8 @@ def drift_monitor(reference: DataFrame, stream: DataFrame, out_dir: str, name: s
     against ``reference`` to ``<out_dir>/drift`` and the quality counts to
     ``<out_dir>/quality``. Returns the ``StreamingQuery``.
 
-    ``reference`` is reduced afresh in every batch; persist it (or point it
-    at a small, already-aggregated table) when batches are frequent.
+    A batch is kept while its two reports are made. ``reference`` is reduced
+    afresh in every batch; point it at a small table when batches are frequent.
     """
     spark = stream.sparkSession
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
@@ -36,11 +36,15 @@ def drift_monitor(reference: DataFrame, stream: DataFrame, out_dir: str, name: s
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # Written with an idempotent layout: a re-run batch overwrites its own
         # partition, so a retried batch never duplicates rows.
-        rep = drift_report(reference, batch, columns, threshold).withColumn("batch_id", F.lit(batch_id))
-        q = quality_counts(batch).withColumn("batch_id", F.lit(batch_id))
-        for df, sub in ((rep, "drift"), (q, "quality")):
-            (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(os.path.join(out_dir, sub)))
+        batch = batch.persist()
+        try:
+            rep = drift_report(reference, batch, columns, threshold).withColumn("batch_id", F.lit(batch_id))
+            q = quality_counts(batch).withColumn("batch_id", F.lit(batch_id))
+            for df, sub in ((rep, "drift"), (q, "quality")):
+                (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy("batch_id").parquet(os.path.join(out_dir, sub)))
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     w = w.trigger(**(trigger or {"availableNow": True}))
