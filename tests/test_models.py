@@ -131,3 +131,13 @@ def test_own_labels_odd_names_and_reload(spark):
         assert out.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] > 0.85, (kind, params)
         again = load_model(spark, log_run(spark, kind, "unit", metrics, params, model=model))
         assert again.transform(df).select("prediction").collect() == out.select("prediction").collect()
+
+
+def test_load_or_prepare(spark, iris):
+    import uuid
+    name = "iris_" + uuid.uuid4().hex
+    first = train_dataset(iris, "random_forest", {"n_estimators": 5, "max_depth": 4}, log=False, stored_as=name)
+    again = train_dataset(iris.limit(0), "random_forest", {"n_estimators": 5, "max_depth": 4}, log=False, stored_as=name)
+    assert again.prepared.task_labels == ["setosa", "versicolor", "virginica"]
+    assert again.prepared.features == first.prepared.features
+    assert again.predictions.count() == first.predictions.count() > 0

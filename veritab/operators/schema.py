@@ -97,16 +97,19 @@ def task_frame(df: DataFrame, target: str, max_classes: int = 10) -> DataFrame:
     """One row (target, n_distinct_capped, task) as a lazy DataFrame.
 
     Classification if the target is non-numeric or has at most ``max_classes``
-    distinct non-null values. The distinct scan stops being useful after
-    ``max_classes + 1`` values, so the count is capped there: the result is
-    bounded and exact at the threshold.
+    distinct non-null values. The count is capped at ``max_classes + 1`` and
+    exact up to there. A numeric target is sketched first: one with many times
+    more values (a continuous one) never has them shuffled.
     """
     dt = df.schema[target].dataType
     numeric = is_numeric_type(dt)
     vals = df.select(qcol(target).alias("v")).where(F.col("v").isNotNull())
     if isinstance(dt, FLOAT_TYPES):
         vals = vals.where(~F.isnan("v"))
-    capped = vals.distinct().limit(max_classes + 1).agg(F.count("*").alias("n_distinct_capped"))
+    if numeric and vals.agg(F.approx_count_distinct("v", 0.02)).first()[0] > 4 * max_classes + 100:
+        capped = df.sparkSession.range(1).select(F.lit(max_classes + 1).cast("bigint").alias("n_distinct_capped"))
+    else:
+        capped = vals.distinct().limit(max_classes + 1).agg(F.count("*").alias("n_distinct_capped"))
     task = (F.lit("classification") if not numeric else
             F.when(F.col("n_distinct_capped") <= max_classes, "classification")
             .otherwise("regression"))

@@ -12,7 +12,7 @@ from veritab.operators import evaluate as E
 from veritab.operators.models import train
 from veritab.operators.schema import infer_task
 from veritab.plans.prepare import Prepared, prepare
-from veritab.sources.storage import log_run
+from veritab.sources.storage import load_params, load_prepared, load_spec, log_run, save_prepared
 
 
 @dataclass
@@ -28,10 +28,13 @@ class TrainResult:
 def train_dataset(df: DataFrame, model_type: str, params: dict | None = None,
                   target: str | None = None, ratio: float = 0.8, key: str | None = None,
                   steps=("drop_nulls", "normalize", "one_hot_encode"), dataset_name: str = "dataset",
-                  log: bool = True, max_classes: int = 10) -> TrainResult:
+                  log: bool = True, max_classes: int = 10, stored_as: str | None = None) -> TrainResult:
     """Prepare (P7), fit on the train split, predict the test split, compute
-    the metrics (E1-E4) and append the run to the runs table (S6)."""
-    prep = prepare(df, steps, ratio, target, key)
+    the metrics (E1-E4) and append the run to the runs table (S6).
+
+    With ``stored_as`` the prepared table of that name is loaded if there is
+    one, and else prepared from ``df`` and stored under it (S5)."""
+    prep = load_or_prepare(df, stored_as, steps, ratio, target, key)
     data = prep.data
     task = infer_task(data, prep.target, max_classes)
     train_df = data.where(F.col("split") == "train")
@@ -46,3 +49,18 @@ def train_dataset(df: DataFrame, model_type: str, params: dict | None = None,
     if log:
         mid = log_run(df.sparkSession, model_type, dataset_name, metrics, params or {}, model=model)
     return TrainResult(mid, model, task, metrics, pred, prep)
+
+
+def load_or_prepare(df: DataFrame, stored_as: str | None, steps, ratio: float, target: str | None,
+                    key: str | None) -> Prepared:
+    spark = df.sparkSession
+    spec = load_spec(spark, stored_as) if stored_as else None
+    if spec is None:
+        prep = prepare(df, steps, ratio, target, key)
+        if not stored_as:
+            return prep
+        spec = {f: getattr(prep, f) for f in ("target", "features", "numeric", "categorical", "task_labels", "categories")}
+        save_prepared(prep.data, stored_as, {"stats": prep.stats} | ({"scaler": prep.scaler} if prep.scaler is not None else {}),
+                      spec=spec)
+    data = load_prepared(spark, stored_as)
+    return Prepared(data, load_params(spark, stored_as, "stats"), **spec)

@@ -23,9 +23,10 @@ def store_root(spark: SparkSession, root: str | None = None) -> str:
 
 
 def save_prepared(df: DataFrame, name: str, params: dict[str, DataFrame] | None = None,
-                  root: str | None = None, split_col: str = "split") -> str:
+                  root: str | None = None, split_col: str = "split", spec: dict | None = None) -> str:
     """Write the split table partitioned by ``split`` plus its fitted
-    parameter tables beside it (S5). Returns the folder."""
+    parameter tables and ``spec`` (target, features, label classes, categories;
+    anything that JSON holds) beside it (S5). Returns the folder."""
     spark = df.sparkSession
     base = os.path.join(store_root(spark, root), "prepared", name)
     w = df.write.mode("overwrite")
@@ -34,9 +35,19 @@ def save_prepared(df: DataFrame, name: str, params: dict[str, DataFrame] | None
     w.parquet(os.path.join(base, "data"))
     for pname, pdf in (params or {}).items():
         pdf.coalesce(1).write.mode("overwrite").parquet(os.path.join(base, "params", pname))
+    if spec is not None:  # last, so that it marks a complete table
+        spark.createDataFrame([(json.dumps(spec),)], "spec string").coalesce(1).write.mode("overwrite").parquet(
+            os.path.join(base, "spec"))
     return base
 
 
+def load_spec(spark: SparkSession, name: str, root: str | None = None) -> dict | None:
+    """The ``spec`` of a prepared table, None if there is no such table."""
+    from veritab.sources.readers import path_exists
+    base = os.path.join(store_root(spark, root), "prepared", name, "spec")
+    return json.loads(spark.read.parquet(base).first()["spec"]) if path_exists(spark, base) else None
+
+
 def load_prepared(spark: SparkSession, name: str, root: str | None = None,
                   split: str | None = None) -> DataFrame:
     """Read a prepared table; ``split='train'`` prunes to one partition folder."""
