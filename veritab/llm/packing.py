@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -21,7 +22,8 @@ END_ID = 2
 #: (that of full pieces) is no single task.
 RANK_BUCKETS = 1024
 #: Words whose ids a Python worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
+PUNCTUATION = ".,;:!?%&$#*|()"
 
 
 class WordCachedTokenizer:
@@ -29,12 +31,12 @@ class WordCachedTokenizer:
 
     In this byte-level BPE a blank before a character that is no white space
     always starts a new pre-token, so a text may be cut there and each cut
-    tokenised alone and remembered. Cuts in runs of white space are not made.
-    A text with a special token goes to the tokenizer whole.
+    tokenised alone and remembered, by the word behind its blank. Cuts in runs
+    of white space are not made. A text with a special token goes to the
+    tokenizer whole.
     """
 
     def __init__(self, tokenizer, specials: Iterable[str] = ()):
-        import re
         self.tokenizer, self.specials = tokenizer, tuple(specials)
         self.run = re.compile(r" \s| \Z")
         self.cache: dict[str, bytes] = {}
@@ -53,40 +55,61 @@ class WordCachedTokenizer:
         return [np.asarray(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, text: str) -> list[str] | None:
-        """The cuts of a text, or None if it has to stay whole."""
+    def cuts(self, text: str) -> tuple[str, list[str]]:
+        """The start of a text up to the first cut, and the words behind the
+        blanks at which it is cut."""
         if any(s in text for s in self.specials):
-            return None
+            return text, []
         parts = text.split(" ")
         if self.run.search(text):
-            cuts = parts[:1]
+            joined = parts[:1]
             for p in parts[1:]:
                 if not p or p[0].isspace():
-                    cuts[-1] += " " + p
+                    joined[-1] += " " + p
                 else:
-                    cuts.append(" " + p)
-        else:
-            cuts = [parts[0], *[" " + p for p in parts[1:]]]
-        return cuts
+                    joined.append(p)
+            parts = joined
+        return parts[0], parts[1:]
+
+    @staticmethod
+    def pieces(word: str) -> list[str]:
+        """A word as keys of the cache. Punctuation behind a letter and a single
+        newline within the word are pre-tokens of their own as well."""
+        left, newline, right = word.partition("\n")
+        if newline and (not left or not right or "\n" in right or left[-1].isspace() or right[0].isspace()):
+            return [word]
+        keys = []
+        for part, lead in ((left, ""), (right, "\n")) if newline else ((word, ""),):
+            stem = part.rstrip(PUNCTUATION)
+            if stem and stem != part and stem[-1].isalpha():
+                keys += [lead + stem, "\t" + part[len(stem):]]
+            else:
+                keys.append(lead + part)
+        return keys
+
+    @staticmethod
+    def spelled(key: str) -> str:
+        return key[1:] if key[:1] == "\t" else key if key[:1] == "\n" else " " + key
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
+        cuts = [self.cuts(t) for t in texts]
+        seen: set[str] = set()
+        for _, words in cuts:
+            seen.update(words)
         cache = self.cache
-        cuts = [self.words(t) for t in texts]
-        missing = list({w for c in cuts if c for w in c if w not in cache})
-        extra = {}
-        for w, ids in zip(missing, self.raw(missing)):
-            (cache if len(w) <= CACHE_CHARS else extra)[w] = ids
-        out = []
-        for text, c in zip(texts, cuts):
-            if c is None:
-                out.append(self.raw([text])[0])
-            elif extra:
-                out.append(b"".join([cache[w] if w in cache else extra[w] for w in c]))
-            else:
-                out.append(b"".join([cache[w] for w in c]))
+        if len(cache) > CACHE_WORDS:  # what this batch needs stays
+            cache = self.cache = {w: cache[w] for w in seen if w in cache}
+        new = {w: self.pieces(w) for w in seen.difference(cache)}
+        keys = list({k for own in new.values() for k in own}.difference(cache))
+        cache.update(zip(keys, self.raw([self.spelled(k) for k in keys])))
+        for w, own in new.items():
+            if len(own) > 1:
+                cache[w] = b"".join([cache[k] for k in own])
+        find = cache.__getitem__
+        out = [start + b"".join(map(find, words)) for start, (_, words) in zip(self.raw([c[0] for c in cuts]), cuts)]
+        for w in {w for w in (*keys, *new) if len(w) > CACHE_CHARS}:
+            del cache[w]
         return out
 
 
