@@ -20,10 +20,8 @@ SHINGLE_WORDS = 3
 PERCENT = 90
 #: Counters of the frequency sketch (2 ** bits); it only orders the shingles,
 #: so its size bears on the length of the lists, never on the links.
-SKETCH_BITS = 20
-SKETCH_BLOCK = 1 << 14
-
-SET_ID = "a 64-bit hash of the sorted set"
+SKETCH_BITS = 24
+SKETCH_BLOCK = 1 << 16
 
 
 def _set_id(own: np.ndarray) -> int:
@@ -34,8 +32,13 @@ def _set_id(own: np.ndarray) -> int:
 def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row per document (kind 0: id, set id, size); then the partition's part of the
     sketch in blocks (kind 1: block number, compressed counters)."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     kind_of_id = None
+
+    def count(sets: list[np.ndarray]) -> None:
+        at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+        counts[at] += n.astype(np.uint32)
+
     for batch in batches:
         kind_of_id = batch.column("doc_id").type
         ids, sizes, gathered, pending = [], [], [], 0
@@ -45,10 +48,10 @@ def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             gathered.append(own)
             pending += len(own)
             if pending > 1 << 19:
-                counts += np.bincount(np.concatenate(gathered) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
+                count(gathered)
                 gathered, pending = [], 0
         if gathered:
-            counts += np.bincount(np.concatenate(gathered) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
+            count(gathered)
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()),
@@ -56,7 +59,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     blocks = [b for b in range(len(counts) // SKETCH_BLOCK) if counts[b * SKETCH_BLOCK:(b + 1) * SKETCH_BLOCK].any()]
     if blocks:
         n = len(blocks)
-        packed = [zlib.compress(counts[b * SKETCH_BLOCK:(b + 1) * SKETCH_BLOCK].astype("<i8").tobytes(), 1)
+        packed = [zlib.compress(np.minimum(counts[b * SKETCH_BLOCK:(b + 1) * SKETCH_BLOCK], 65535).astype("<u2").tobytes(), 1)
                   for b in blocks]
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(n, kind_of_id), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(blocks, pa.int32()),
@@ -66,13 +69,13 @@ def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 def _add_blocks(pdf):
     total = np.zeros(SKETCH_BLOCK, np.int64)
     for raw in pdf["counters"]:
-        total += np.frombuffer(zlib.decompress(raw), "<i8")
+        total += np.frombuffer(zlib.decompress(raw), "<u2")
     return pdf.head(1)[["block"]].assign(counters=[_ranks(total).tobytes()])
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
-    """Counters on a logarithmic scale of 16 bits."""
-    return np.floor(np.log2(counts + 1.0) * 1024).astype("<u2")
+    """Counters on a logarithmic scale of 7 bits."""
+    return np.minimum(np.floor(np.log2(counts + 1.0) * 4), 127).astype(np.uint8)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -81,30 +84,42 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: bytes) -> Iterator[pa.RecordBatch]:
-    """Index rows (token, sid, n, pos) of each different set of the partition:
-    its prefix in the order (sketched frequency, hash), rare shingles first."""
-    ranks = np.frombuffer(sketch, "<u2").astype(np.uint64)
+def _parities(own: np.ndarray, bits: int) -> list[int]:
+    """A bitmap whose bits are the parities of the elements hashed to them;
+    two bitmaps differ in at most as many bits as the sets in elements."""
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
+
+
+def _index_rows(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: bytes) -> Iterator[pa.RecordBatch]:
+    """(sid, n, tokens, bits, half) of each different set of the partition:
+    its prefix in the order (sketched frequency, hash), rare shingles first,
+    and parity bitmaps of a size by that of the set and of half that size.
+
+    A token holds the frequency rank over 56 bits of the hash; sets that share
+    a shingle share its token, and tokens order as numbers.
+    """
+    ranks = np.frombuffer(sketch, np.uint8)
     seen: set[int] = set()
+    low = np.uint64((1 << 56) - 1)
     for batch in batches:
-        tokens, owners, sizes, places = [], [], [], []
+        rows = []
         for own in shingle_sets(batch.column("text"), k):
             if not len(own) or (sid := _set_id(own)) in seen:
                 continue
             seen.add(sid)
             n = len(own)
-            # own is sorted, so a stable sort breaks ties by the whole hash
-            key = (ranks[own >> np.uint64(64 - SKETCH_BITS)] << np.uint64(48)) | (own >> np.uint64(16))
+            tokens = (ranks[own >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (own & low)
             p = prefix_length(n, percent)
-            tokens.append(own[np.argsort(key, kind="stable")[:p]])
-            owners.append(np.full(p, sid, np.int64))
-            sizes.append(np.full(p, n, np.int32))
-            places.append(np.arange(p, dtype=np.int32))
-        if tokens:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)),
-                 pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
-                names=["token", "sid", "n", "pos"])
+            tokens = np.sort(np.partition(tokens, p - 1)[:p]).view(np.int64)
+            bits = 128
+            while bits < n * (100 - percent) / 20:
+                bits *= 2
+            rows.append((sid, n, tokens, _parities(own, bits), _parities(own, bits // 2)))
+        if rows:
+            kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                             names=["sid", "n", "tokens", "bits", "half"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -127,6 +142,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                        (100 * F.col("both") >= percent * union).alias("linked"))
 
 
+def _bitmap_near(a: str, b: str, percent: int):
+    """Whether the bitmaps allow that the sets link: their differing bits are
+    no more than the elements in which linked sets of these sizes can differ."""
+    def bits(x: str, y: str):
+        return F.when(F.size(f"{x}bits") > F.size(f"{y}bits"), F.col(f"{x}half")).otherwise(F.col(f"{x}bits"))
+
+    differ = F.aggregate(F.zip_with(bits(a, b), bits(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0),
+                         lambda total, n: total + n)
+    return (100 + percent) * differ <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
+def _members(source: DataFrame, groups: DataFrame, sids: DataFrame, shingle_words: int) -> DataFrame:
+    """The whole sets of ``sids``, from one document of each."""
+    wanted = sids.join(groups, "sid").select(F.col("least_id").alias("doc_id")).distinct()
+    return materialize(source.join(small_side(materialize(wanted, "jaccard-wanted")), "doc_id", "left_semi")
+                       .mapInArrow(lambda it: _full_sets(it, shingle_words), "sid long, members array<long>")
+                       .join(small_side(sids), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-members")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs``: the size of
@@ -138,14 +172,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     2. Index: each set's prefix in that order, rare shingles first. Lists are
        sorted by position, and the set at the front of a list, the one with
        the fewest rare shingles, is its pivot.
-    3. Every set of a list is compared with the pivot. A set that links to it
-       shares its answers: of two sets connected already no pair is made.
+    3. Every set of a list is compared with the pivot, by size and parity
+       bitmap and then exactly. A set that links to it shares its answers: of
+       two sets that are connected already no pair is made.
     4. Pairs left in a list are those of sets not connected yet. They are
        skipped by size, by position in the list (the elements behind the
-       common one bound the intersection) and by the known distances to the
-       pivot, since Jaccard distance is a metric and |d(x,p) - d(y,p)| bounds
-       d(x,y); the rest is compared exactly. No link between different
-       components can be lost.
+       common one bound the intersection), by bitmap and by the known
+       distances to the pivot: Jaccard distance is a metric, so
+       |d(x,p) - d(y,p)| bounds d(x,y). The rest is compared exactly. Every
+       skip is a bound, so no link between different components is lost.
     5. Components by distributed star steps.
 
     A null, empty or blank text has an empty set, links with nothing and is
@@ -162,57 +197,69 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = first.where("block is null").select("doc_id", "sid", "n")
     groups = rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("least_id"))
 
-    sketch = bytearray(2 << SKETCH_BITS)  # 2 MB, whatever the input
+    sketch = bytearray(1 << SKETCH_BITS)  # 16 MB, whatever the input
     for r in (first.where("block is not null").select("block", "counters").groupBy("block")
               .applyInPandas(_add_blocks, "block int, counters binary").collect()):
-        at = r["block"] * SKETCH_BLOCK * 2
-        sketch[at:at + SKETCH_BLOCK * 2] = r["counters"]
+        at = r["block"] * SKETCH_BLOCK
+        sketch[at:at + SKETCH_BLOCK] = r["counters"]
     shared = spark.sparkContext.broadcast(bytes(sketch))
-    index = source.where("doc_id is not null").mapInArrow(
-        lambda it: _prefixes(it, shingle_words, percent, shared.value), "token long, sid long, n int, pos int")
+    index = materialize(source.where("doc_id is not null").mapInArrow(
+        lambda it: _index_rows(it, shingle_words, percent, shared.value),
+        "sid long, n int, tokens array<long>, bits array<long>, half array<long>"), "jaccard-index")
     one = W.partitionBy("token")
-    lists = (index.withColumn("pivot", F.min(F.struct("pos", "sid", "n")).over(one))
-             .withColumn("last", F.max("sid").over(one)).withColumn("front", F.min("sid").over(one))
-             .where("front <> last").dropDuplicates(["token", "sid"])
-             .select("token", "sid", "n", "pos", F.col("pivot.sid").alias("p"), F.col("pivot.n").alias("pn")))
-    lists = materialize(lists, "jaccard-lists")
-
-    wanted = lists.select("sid").distinct().join(groups, "sid").select(F.col("least_id").alias("doc_id")).distinct()
-    sets = materialize(source.join(small_side(wanted), "doc_id", "left_semi")
-                       .mapInArrow(lambda it: _full_sets(it, shingle_words), "sid long, members array<long>")
-                       .dropDuplicates(["sid"]), "jaccard-members")
+    lists = materialize(index.select("sid", "n", F.posexplode("tokens").alias("pos", "token"))
+                        .withColumn("front", F.min("sid").over(one)).withColumn("last", F.max("sid").over(one))
+                        .withColumn("p", F.min(F.struct("pos", "sid", "n")).over(one))
+                        .withColumn("long", F.count(F.lit(1)).over(one) > 2)
+                        .where("front <> last").dropDuplicates(["token", "sid"])
+                        .select("token", "sid", "n", "pos", "long", F.col("p.sid").alias("p_sid"), F.col("p.n").alias("p_n")),
+                        "jaccard-lists")
+    bitmaps = materialize(index.select("sid", "bits", "half").join(lists.select("sid").distinct(), "sid", "left_semi")
+                          .dropDuplicates(["sid"]), "jaccard-bitmaps")
 
     def near_size(a: str, b: str):
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    star = lists.where((F.col("sid") != F.col("p")) & near_size("n", "pn")).select(
-        F.col("sid").alias("x"), F.col("p").alias("y")).distinct()
-    tested = materialize(_verified(star, sets, percent), "jaccard-star")
+    def with_bitmap(df: DataFrame, prefix: str, key: str) -> DataFrame:
+        return df.join(bitmaps.select(F.col("sid").alias(key), F.col("bits").alias(prefix + "bits"),
+                                      F.col("half").alias(prefix + "half")), key)
+
+    star = (lists.where((F.col("sid") != F.col("p_sid")) & near_size("n", "p_n"))
+            .select(F.col("sid").alias("x"), F.col("n").alias("x_n"), F.col("p_sid").alias("y"), F.col("p_n").alias("y_n")).distinct())
+    star = materialize(with_bitmap(with_bitmap(star, "x_", "x"), "y_", "y").where(_bitmap_near("x_", "y_", percent))
+                       .select("x", "y"), "jaccard-pairs")
+    sids = materialize(star.select("x").union(star.select("y")).distinct().toDF("sid"), "jaccard-sids")
+    tested = materialize(_verified(star, _members(source, groups, sids, shingle_words), percent), "jaccard-star")
     links = tested.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     roots = materialize(connected_components(links), "jaccard-roots")
 
-    placed = (lists.join(tested.select(F.col("x").alias("sid"), F.col("y").alias("p"), "distance"), ["sid", "p"], "left")
-              .withColumn("distance", F.when(F.col("sid") == F.col("p"), 0.0).otherwise(F.col("distance")))
+    # Where the pivot's bitmap already excludes a link the distance is unknown.
+    # A list of two has been dealt with: its one pair is that with the pivot.
+    placed = (lists.join(
+                tested.select(F.col("x").alias("sid"), F.col("y").alias("p_sid"), "distance"), ["sid", "p_sid"], "left")
               .join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
-              .join(roots.select(F.col("node").alias("p"), F.col("root").alias("p_root")), "p", "left")
+              .join(roots.select(F.col("node").alias("p_sid"), F.col("root").alias("p_root")), "p_sid", "left")
+              .where("sid <> p_sid and long")
               .select("token", "sid", "n", "pos", "distance", F.coalesce("root", "sid").alias("root"),
-                      (F.coalesce("root", "sid") != F.coalesce("p_root", "p")).alias("open")))
-    placed = materialize(placed, "jaccard-placed")
-    a = placed.where("open").select("token", *[F.col(c).alias("a_" + c) for c in ("sid", "n", "pos", "distance", "root")])
-    b = placed.where((F.col("distance").isNull()) | (F.col("distance") > 0)).select(
-        "token", *[F.col(c).alias("b_" + c) for c in ("sid", "n", "pos", "distance", "root", "open")])
-    most = (F.least("a_pos", "b_pos") + 1
-            + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1)
+                      (F.coalesce("root", "sid") != F.coalesce("p_root", "p_sid")).alias("open")))
+    placed = with_bitmap(materialize(placed, "jaccard-placed"), "", "sid")
+    names = ("sid", "n", "pos", "bits", "half", "distance", "root", "open")
+    a = placed.where("open").select("token", *[F.col(c).alias("a_" + c) for c in names])
+    b = placed.select(F.col("token").alias("b_token"), *[F.col(c).alias("b_" + c) for c in names])
+    most = F.least("a_pos", "b_pos") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     limit = 1 - percent / 100 + 1e-9
-    rest = (a.join(b, "token")
-            .where((F.col("a_root") != F.col("b_root")) & (~F.col("b_open") | (F.col("a_sid") < F.col("b_sid")))
-                   & near_size("a_n", "b_n")
-                   & (100 * most >= percent * (F.col("a_n") + F.col("b_n") - most))
-                   & F.coalesce(F.abs(F.col("a_distance") - F.col("b_distance")) <= limit, F.lit(True)))
-            .select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y")).distinct())
-    more = _verified(rest, sets, percent).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    found = connected_components(materialize(
-        roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "jaccard-links"))
+    rest = materialize(a.join(b, (F.col("token") == F.col("b_token")) & (F.col("a_root") != F.col("b_root"))
+                              & (~F.col("b_open") | (F.col("a_sid") < F.col("b_sid"))) & near_size("a_n", "b_n")
+                              & (100 * most >= percent * (F.col("a_n") + F.col("b_n") - most))
+                              & F.coalesce(F.abs(F.col("a_distance") - F.col("b_distance")) <= limit, F.lit(True))
+                              & _bitmap_near("a_", "b_", percent))
+                       .select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y")).distinct(), "jaccard-rest")
+    links = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if not rest.isEmpty():
+        sids = materialize(rest.select("x").union(rest.select("y")).distinct().toDF("sid"), "jaccard-sids")
+        more = _verified(rest, _members(source, groups, sids, shingle_words), percent).where("linked")
+        links = materialize(links.union(more.select(F.col("x").alias("u"), F.col("y").alias("v"))), "jaccard-links")
+    found = connected_components(links)
 
     joined = groups.join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn(
         "root", F.coalesce("root", "sid"))
