@@ -83,14 +83,23 @@ def _block_bytes(pdf):
 class KneserNey:
     """Interpolated modified Kneser-Ney: p_k(w | c) = found_k[c w] +
     backoff_k[c] * p_{k-1}(w | c without its first byte), p_0 uniform. The
-    tables are dense arrays by n-gram and by context."""
+    tables are arrays by n-gram and by context; ``blocks`` has their packed
+    parts by (order, kind, block), which workers unpack."""
 
-    found: dict[int, bytes]
-    backoff: dict[int, bytes]
+    blocks: dict[tuple[int, str, int], bytes]
+
+    def table(self, k: int, kind: str) -> np.ndarray:
+        bits = (CONTEXT_BITS + 8 if k == ORDER else 8 * k) - (0 if kind == "found" else 8)
+        table = np.full(1 << bits, 0.0 if kind == "found" else 1.0, np.float32)
+        for (order, own, block), packed in self.blocks.items():
+            if (order, own) == (k, kind):
+                values = np.frombuffer(zlib.decompress(packed), np.float32)
+                part = table[block * BLOCK:(block + 1) * BLOCK]
+                np.copyto(part, values[:len(part)], where=values[:len(part)] > 0)
+        return table
 
     def tables(self) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
-        return tuple({k: np.frombuffer(zlib.decompress(v), np.float32) for k, v in t.items()}
-                     for t in (self.found, self.backoff))
+        return tuple({k: self.table(k, kind) for k in range(1, ORDER + 1)} for kind in ("found", "backoff"))
 
 
 def gram_ids(k: int):
@@ -110,7 +119,6 @@ def fit_kneser_ney(texts: DataFrame) -> KneserNey:
     the discounts D1, D2, D3+ come from the counts of counts of each order."""
     counts = materialize(texts.mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")),
                          "lm-counts")
-    found, backoff = {}, {}
     parts = []
     level = counts
     for k in range(ORDER, 0, -1):
@@ -136,17 +144,7 @@ def fit_kneser_ney(texts: DataFrame) -> KneserNey:
     blocks = (every.withColumn("block", F.floor(F.col("id") / BLOCK).cast("int"))
               .groupBy("order", "kind", "block").applyInPandas(_block_bytes, "order int, kind string, block int, values binary")
               .collect())
-    for k in range(1, ORDER + 1):
-        bits = CONTEXT_BITS + 8 if k == ORDER else 8 * k
-        for kind, into, size, empty in (("found", found, 1 << bits, 0.0), ("backoff", backoff, 1 << (bits - 8), 1.0)):
-            table = np.full(max(size, 1), empty, np.float32)
-            for r in blocks:
-                if r["order"] == k and r["kind"] == kind:
-                    values = np.frombuffer(zlib.decompress(r["values"]), np.float32)
-                    part = table[r["block"] * BLOCK:r["block"] * BLOCK + BLOCK]
-                    part[:] = np.where(values[:len(part)] > 0, values[:len(part)], empty)
-            into[k] = zlib.compress(table.tobytes(), 1)
-    return KneserNey(found, backoff)
+    return KneserNey({(r["order"], r["kind"], r["block"]): r["values"] for r in blocks})
 
 
 def text_log_probs(column: pa.Array, found: dict[int, np.ndarray], backoff: dict[int, np.ndarray]) -> Iterator[tuple[float, int]]:
