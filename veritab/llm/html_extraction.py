@@ -322,8 +322,11 @@ def fit_labeller(pages: DataFrame, html: str = "html", limit: int = TRAIN_PAGES)
     """Fit on a bounded sample of ``pages`` (page_id, html) and a few variants of
     each page. The labels come from the pages' own landmarks; variants let the
     labeller meet layouts and parts that the sample does not have."""
-    sample = (pages.where((F.length(html) > 0) & (F.length(html) <= TRAIN_CHARS))
-              .orderBy(F.xxhash64("page_id", html)).limit(limit).select(html).collect())
+    fit = pages.where((F.length(html) > 0) & (F.length(html) <= TRAIN_CHARS)).withColumn("pick", F.xxhash64("page_id", html))
+    # Only hashes are ranked, so that what reaches the driver is the sample.
+    picks = {r["pick"] for r in fit.select("pick").orderBy("pick").limit(limit).collect()}
+    sample = (fit.where(F.col("pick").isin(*picks)).groupBy("pick").agg(F.min(html).alias(html))
+              .orderBy("pick").select(html).collect()) if picks else []
     rng = random.Random(3)
     own = []
     for r in sample:
