@@ -22,6 +22,8 @@ PERCENT = 90
 #: so its size bears on the length of the lists, never on the links.
 SKETCH_BITS = 24
 SKETCH_BLOCK = 1 << 16
+#: Documents that a worker holds as sets at a time.
+PART_ROWS = 512
 
 
 def _set_id(own: np.ndarray) -> int:
@@ -32,12 +34,12 @@ def _set_id(own: np.ndarray) -> int:
 def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row per document (kind 0: id, set id, size); then the partition's part of the
     sketch in blocks (kind 1: block number, compressed counters)."""
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint16)  # of one partition, up to 65,535
     kind_of_id = None
 
     def count(sets: list[np.ndarray]) -> None:
         at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-        counts[at] += n.astype(np.uint32)
+        counts[at] = np.minimum(counts[at] + n, 65535)
 
     for batch in batches:
         kind_of_id = batch.column("doc_id").type
@@ -59,7 +61,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     blocks = [b for b in range(len(counts) // SKETCH_BLOCK) if counts[b * SKETCH_BLOCK:(b + 1) * SKETCH_BLOCK].any()]
     if blocks:
         n = len(blocks)
-        packed = [zlib.compress(np.minimum(counts[b * SKETCH_BLOCK:(b + 1) * SKETCH_BLOCK], 65535).astype("<u2").tobytes(), 1)
+        packed = [zlib.compress(counts[b * SKETCH_BLOCK:(b + 1) * SKETCH_BLOCK].astype("<u2").tobytes(), 1)
                   for b in blocks]
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(n, kind_of_id), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(blocks, pa.int32()),
@@ -102,33 +104,35 @@ def _index_rows(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch:
     ranks = np.frombuffer(sketch, np.uint8)
     seen: set[int] = set()
     low = np.uint64((1 << 56) - 1)
+    kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
     for batch in batches:
-        rows = []
-        for own in shingle_sets(batch.column("text"), k):
-            if not len(own) or (sid := _set_id(own)) in seen:
-                continue
-            seen.add(sid)
-            n = len(own)
-            tokens = (ranks[own >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (own & low)
-            p = prefix_length(n, percent)
-            tokens = np.sort(np.partition(tokens, p - 1)[:p]).view(np.int64)
-            bits = 128
-            while bits < n * (100 - percent) / 20:
-                bits *= 2
-            rows.append((sid, n, tokens, _parities(own, bits), _parities(own, bits // 2)))
-        if rows:
-            kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                             names=["sid", "n", "tokens", "bits", "half"])
+        for at in range(0, batch.num_rows, PART_ROWS):
+            rows = []
+            for own in shingle_sets(batch.column("text").slice(at, PART_ROWS), k):
+                if not len(own) or (sid := _set_id(own)) in seen:
+                    continue
+                seen.add(sid)
+                n = len(own)
+                tokens = (ranks[own >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (own & low)
+                p = prefix_length(n, percent)
+                tokens = np.sort(np.partition(tokens, p - 1)[:p]).view(np.int64)
+                bits = 128
+                while bits < n * (100 - percent) / 20:
+                    bits *= 2
+                rows.append((sid, n, tokens, _parities(own, bits), _parities(own, bits // 2)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                                 names=["sid", "n", "tokens", "bits", "half"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s for s in shingle_sets(batch.column("text"), k) if len(s)]
-        if sets:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_set_id(s) for s in sets], pa.int64()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "members"])
+        for at in range(0, batch.num_rows, PART_ROWS):
+            sets = [s for s in shingle_sets(batch.column("text").slice(at, PART_ROWS), k) if len(s)]
+            if sets:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_set_id(s) for s in sets], pa.int64()),
+                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "members"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
