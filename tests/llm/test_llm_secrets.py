@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,5 +59,26 @@ def test_guesses_add_to_base_spans(spark):
     assert found == ["x7Kq2vR9zLmW4", "fG7kP2qLx9vB"] and r["n_assign"] == 0
 
 
+def test_short_random_values_and_numbers_are_secrets_and_prose_is_not():
+    model, rng = S.GuessCost(["river", "mountain", "there", "required"]), random.Random(5)
+    for value in ("x7Kq2vR9", "kqzvxwpj", "xK9$mQ2z", "9f3a7c1b2", "493027", "83920175"):
+        assert model.secret(value), value
+    letters = string.ascii_letters + string.digits
+    for n in (8, 9, 10):
+        for chars in (string.ascii_lowercase, letters, letters + "!#$%*+-_"):
+            values = ["".join(rng.choice(chars) for _ in range(n)) for _ in range(200)]
+            assert sum(map(model.secret, values)) >= 190, (n, chars)
+    for value in ("mountain", "Required", "password1", "20240131", "12345678", "there2024", "aaaaaaaa", "qwertyui", "kittens", "Schatten"):
+        assert not model.secret(value), value
+
+
+def test_short_values_in_every_context(spark):
+    text = ("pwd: kqzvxwpj pin: 4821 pin: 493027 passphrase = xK9$mQ2z auth: Bearer 9f3a7c1b2 login: required "
+            "amqp://joe:x7Kq2vR9@host pin: 2024 pin: 1234 the required mountain")
+    r = S.scan_secrets(docs_table(spark, [(1, text, "en", "a")])).first()
+    found = [text[int(a):int(b)] for _, a, b in (s.split(":") for s in r["spans"].split(","))]
+    assert found == ["kqzvxwpj", "4821", "493027", "xK9$mQ2z", "9f3a7c1b2", "x7Kq2vR9"]
+
+
 def test_empty_table(spark):
     assert S.scan_secrets(docs_table(spark, [])).count() == 0

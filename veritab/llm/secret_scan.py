@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +29,17 @@ CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|cred|auth(?:orization)?|login"""
     r"""|(?:api|access|private|client|signing|encryption)[_-]?(?:key|secret|token))["']?[\x20\t]{0,8}(?:=>|[:=])[\x20\t]{0,8}"""
     r"""(?:(?:bearer|basic)[\x20\t]{1,8})?["']?([^\s"'<>,;]{6,})"""
-    r"""|\bbearer[\x20\t]{1,8}([^\s"'<>,;]{6,})|://[^\s/:@]{1,64}:([^\s/@]{6,})@""", re.IGNORECASE | re.ASCII)
+    r"""|\bbearer[\x20\t]{1,8}([^\s"'<>,;]{6,})|://[^\s/:@]{1,64}:([^\s/@]{6,})@"""
+    r"""|\b(?:pin|pass[_-]?code)["']?[\x20\t]{0,8}(?:=>|[:=])[\x20\t]{0,8}["']?([0-9]{4,5})(?![^\s"'<>.,;:!?)\]}])""",
+    re.IGNORECASE | re.ASCII)
+#: The group of CONTEXT with numbers of four or five digits.
+SHORT_PIN = 4
 CONTEXT_STEMS = ("pass", "pwd", "pin", "secret", "token", "cred", "auth", "login", "key", "bearer", "://")
-#: Bits of guessing work from which a value is a secret.
+#: Bits of guessing work from which a value is a secret, whatever its length.
 MIN_BITS = 40.0
+#: A value with fewer bits is one as well when no way to guess it costs less
+#: than this share of brute force.
+NEAR_BRUTE = 0.85
 #: How many of the corpus's most frequent words the dictionary holds.
 DICTIONARY_WORDS = 4096
 MAX_WORD = 24
@@ -40,6 +48,11 @@ MAX_WORD = 24
 COMMON = ("password 123456 qwerty letmein admin welcome monkey dragon master login abc123 iloveyou football baseball "
           "sunshine princess shadow superman michael trustno1 passw0rd hello freedom whatever secret changeme test "
           "guest root default example user demo sample temp none null true false your here token key value").split()
+# Frequent letter pairs of European languages, frequent ones first, for corpora with few words.
+PAIRS = ("th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld "
+         "ur ch ei ie un ge be sc ic di da ne li me el la ma ri ro co ta no us tr il ss ll ec om ce ho ac io pr pe ca qu ue "
+         "ui ut im em am ad id od up op ap po pa pl sh wh wo ow ke ck ki gh ht ly ry ty ay ey fo fi fe fa ff ee oo so mo mi "
+         "mu su lu ru do du lo ol ul vi va bl br bo ba bu cr cl cu ct rt rs ns ls ts nc ir im ab ag ig").split()
 # The rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 
@@ -57,6 +70,9 @@ NEAR = _neighbours()
 DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
                   r"|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
 YEAR = re.compile(r"(?:19|20)\d\d")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Bits for a word that the dictionary lacks: a language has about a million.
+UNKNOWN_BITS = 20.0
 DATE_BITS, YEAR_BITS = math.log2(366 * 120), math.log2(120)
 #: Bits for telling where a segment ends and of which sort it is.
 SEGMENT_BITS = 2.0
@@ -70,6 +86,16 @@ def _char_bits(ch: str) -> float:
     return math.log2(33)
 
 
+def _letter_runs(value: str) -> Iterator[tuple[int, int]]:
+    """Where runs of four or more letters are, cut before a capital that follows a small letter."""
+    for m in LETTERS.finditer(value):
+        cuts = [k for k in range(m.start() + 1, m.end()) if value[k].isupper() and value[k - 1].islower()]
+        for i, j in zip([m.start(), *cuts], [*cuts, m.end()]):
+            rest = value[i + 1:j]
+            if j - i >= 4 and (rest.islower() or value[i:j].isupper()):
+                yield i, j
+
+
 class GuessCost:
     """The cheapest way to guess a value, in bits: a segmentation into words
     (cost by rank), dates, repeats, keyboard walks, alphabetical or numerical
@@ -79,6 +105,12 @@ class GuessCost:
         ranked = dict.fromkeys([*COMMON, *words])
         self.rank = {w: k + 1 for k, w in enumerate(ranked) if len(w) > 1}
         self.longest = min(MAX_WORD, max(map(len, self.rank)))
+        self.pairs = Counter({pair: 300 // (k + 10) + 1 for k, pair in enumerate(PAIRS)})
+        for w in self.rank:
+            self.pairs.update(map("".join, zip(w, w[1:])))
+        self.after = Counter()
+        for pair, n in self.pairs.items():
+            self.after[pair[0]] += n
 
     def word_bits(self, piece: str) -> float | None:
         rank = self.rank.get(piece.lower())
@@ -88,9 +120,29 @@ class GuessCost:
         shape = 0 if not upper else 1 if upper == len(piece) or piece[0].isupper() and upper == 1 else upper + 1
         return math.log2(rank + 1) + shape
 
-    def bits(self, value: str) -> float:
+    def unknown_word_bits(self, piece: str) -> float:
+        """Of a word that the dictionary lacks: its letter pairs are as in the
+        dictionary's words, so that spelling it costs less than brute force."""
+        low = piece.lower()
+        spelled = brute = _char_bits(low[0])
+        for a, b in zip(low, low[1:]):
+            each = _char_bits(b)
+            brute += each
+            spelled -= math.log2((self.pairs[a + b] + 4 * 2.0 ** -each) / (self.after[a] + 4))
+        return min(spelled, UNKNOWN_BITS) + (piece != low) if spelled < brute else math.inf
+
+    def secret(self, value: str, min_bits: float = MIN_BITS) -> bool:
+        """Whether a value costs ``min_bits`` or, if it is too short for that,
+        about what brute force does; words that the dictionary lacks are no
+        brute force."""
+        brute = sum(map(_char_bits, value)) + SEGMENT_BITS
+        cost = self.bits(value)
+        return cost >= min_bits or min(cost, self.bits(value, unknown=True)) >= NEAR_BRUTE * brute
+
+    def bits(self, value: str, unknown: bool = False) -> float:
         """Linear in the value but for the word length: runs are found once,
-        and any part of a run may be a segment that ends with it."""
+        and any part of a run may be a segment that ends with it. With
+        ``unknown``, words that the dictionary lacks are segments, too."""
         n = len(value)
         low = value.lower()
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
@@ -104,6 +156,8 @@ class GuessCost:
             if (m := YEAR.match(value, i)) is not None:
                 ends[m.end()].append((i, YEAR_BITS))
         self._runs(low, ends)
+        for i, j in _letter_runs(value) if unknown else ():
+            ends[j].append((i, self.unknown_word_bits(value[i:j])))
         best = [0.0] + [math.inf] * n
         brute = [0.0]
         for ch in value:
@@ -174,8 +228,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def guessed_spans(text: str, base: list[tuple[int, int, str]], model: GuessCost,
                   min_bits: float = MIN_BITS) -> list[tuple[int, int, str]]:
-    """Values in a credential's context that cost at least ``min_bits`` to
-    guess and don't touch a base span, as kind ``guess``."""
+    """Values in a credential's context that are secrets by their guess cost
+    and don't touch a base span, as kind ``guess``."""
     low = text.lower()
     if not any(s in low for s in CONTEXT_STEMS):
         return []
@@ -185,7 +239,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, str]], model: GuessCost,
         start, end = m.span(group)
         value = text[start:end].rstrip(".,;:!?)]}'\"")
         end = start + len(value)
-        if len(value) >= 6 and not any(a < end and start < b for a, b, _ in base) and model.bits(value) >= min_bits:
+        if (len(value) >= 6 or group == SHORT_PIN) and not any(a < end and start < b for a, b, _ in base) and model.secret(value, min_bits):
             found.append((start, end, "guess"))
     return found
 
@@ -211,11 +265,16 @@ def _scan(batches: Iterator[pa.RecordBatch], words: list[str], min_bits: float)
                 columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
+#: What a value looks like to the dictionary's word count (Java syntax).
+VALUE = r"""(?:[:=]>?|(?i:bearer))["']?[ \t]+\S+"""
+
+
 def frequent_words(docs: DataFrame, text_col: str = "text", n: int = DICTIONARY_WORDS) -> list[str]:
     """The ``n`` most frequent words of letters of all documents, most frequent first, then by code point;
-    they are the dictionary of the guess cost. Counted over the whole corpus, combined before the shuffle."""
+    they are the dictionary of the guess cost. Counted over the whole corpus, combined before the shuffle. What
+    follows a colon, an equals sign or "bearer" is not counted, so that no value is in its own dictionary."""
     word = F.lower(F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    counts = (docs.select(F.explode(F.split(col(text_col), BLANK)).alias("word")).groupBy("word")
+    counts = (docs.select(F.explode(F.split(F.regexp_replace(col(text_col), VALUE, " "), BLANK)).alias("word")).groupBy("word")
               .agg(F.count(F.lit(1)).alias("n")).select(word.alias("word"), "n")
               .where((F.length("word") > 1) & (F.length("word") <= MAX_WORD) & ~F.col("word").rlike(r"[^\p{L}]"))
               .groupBy("word").agg(F.sum("n").alias("n")))
@@ -228,9 +287,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Base spans are whole matches of the three patterns in code points;
     ``spans`` adds kind ``guess``: values in a credential's context whose guess
-    cost is ``min_bits`` or more. The cost's dictionary is the corpus's own
-    ``dictionary_words`` most frequent words behind a fixed list of common
-    passwords, so prose after a colon is cheap and random text is not.
+    cost is ``min_bits`` or more or near that of brute force. The cost's
+    dictionary is the corpus's own ``dictionary_words`` most frequent words
+    behind a fixed list of common passwords, so prose after a colon is cheap
+    and random text is not.
 
     A null or empty text has no spans; rows are independent, so repeated rows
     get equal results and ids may be null. An empty table gives no rows.
