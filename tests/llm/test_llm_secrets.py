@@ -80,5 +80,14 @@ def test_short_values_in_every_context(spark):
     assert found == ["kqzvxwpj", "4821", "493027", "xK9$mQ2z", "9f3a7c1b2", "x7Kq2vR9"]
 
 
+def test_values_longer_than_their_base_span_are_whole(spark):
+    text = "password: Summer24#xK!9qLw$Rt7 and token=abcdef|gh; secret: hunter22x. api_key=A1b2C3d4"
+    r = S.scan_secrets(docs_table(spark, [(1, text, "en", "a")])).first()
+    spans = [(k, text[int(a):int(b)]) for k, a, b in (s.split(":") for s in r["spans"].split(","))]
+    assert [v for k, v in spans if k == "guess"] == ["Summer24#xK!9qLw$Rt7", "abcdef|gh"]
+    assert [v for k, v in spans if k == "assign"] == ["password: Summer24", "token=abcdef", "secret: hunter22x.", "api_key=A1b2C3d4"]
+    assert r["base_sha256"] == hashlib.sha256(",".join(base(text)).encode()).hexdigest()
+
+
 def test_empty_table(spark):
     assert S.scan_secrets(docs_table(spark, [])).count() == 0

@@ -228,8 +228,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def guessed_spans(text: str, base: list[tuple[int, int, str]], model: GuessCost,
                   min_bits: float = MIN_BITS) -> list[tuple[int, int, str]]:
-    """Values in a credential's context that are secrets by their guess cost
-    and don't touch a base span, as kind ``guess``."""
+    """Values in a credential's context, as kind ``guess``, that are secrets by
+    their guess cost or because a base span covers a part of them; not those
+    that a base span covers as a whole."""
     low = text.lower()
     if not any(s in low for s in CONTEXT_STEMS):
         return []
@@ -239,7 +240,9 @@ def guessed_spans(text: str, base: list[tuple[int, int, str]], model: GuessCost,
         start, end = m.span(group)
         value = text[start:end].rstrip(".,;:!?)]}'\"")
         end = start + len(value)
-        if (len(value) >= 6 or group == SHORT_PIN) and not any(a < end and start < b for a, b, _ in base) and model.secret(value, min_bits):
+        if len(value) < 6 and group != SHORT_PIN or any(a <= start and end <= b for a, b, _ in base):
+            continue
+        if any(a < end and start < b for a, b, _ in base) or model.secret(value, min_bits):
             found.append((start, end, "guess"))
     return found
 
@@ -287,10 +290,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Base spans are whole matches of the three patterns in code points;
     ``spans`` adds kind ``guess``: values in a credential's context whose guess
-    cost is ``min_bits`` or more or near that of brute force. The cost's
-    dictionary is the corpus's own ``dictionary_words`` most frequent words
-    behind a fixed list of common passwords, so prose after a colon is cheap
-    and random text is not.
+    cost is ``min_bits`` or more or near that of brute force, and whole values
+    of which a base span holds only a part. The cost's dictionary is the
+    corpus's own ``dictionary_words`` most frequent words behind a fixed list
+    of common passwords, so prose after a colon is cheap and random text is not.
 
     A null or empty text has no spans; rows are independent, so repeated rows
     get equal results and ids may be null. An empty table gives no rows.
