@@ -56,6 +56,29 @@ def test_probabilities_match_the_definition(spark):
         assert n == len(text.encode()) and total == pytest.approx(want, rel=1e-4)
 
 
+def test_blocks_find_what_the_whole_model_has(spark):
+    rng = np.random.default_rng(3)  # random bytes: far more contexts than 65,536
+    texts = ["".join(map(chr, rng.integers(32, 1000, 3000))) for _ in range(60)] + TEXTS + [""]
+    source = spark.createDataFrame([(i, t, "x", True) for i, t in enumerate(texts)], "doc_id long, text string, lang string, trusted boolean")
+    model = L.fit_kneser_ney(source.select("text").limit(50))
+    keys = model.tables()[0]
+    assert np.all(keys[1:] > keys[:-1]) and np.sum(keys >> np.uint64(L.LEVEL) == L.ORDER - 1) > 1 << 16
+    want = [-s / n if n else float("nan") for s, n in L.text_log_probs(pa.array(texts), *model.tables())]
+    got = {r["doc_id"]: r["log_perplexity"] for r in L.score_texts(source, model).collect()}
+    assert len(got) == len(texts) and got[len(texts) - 1] is None
+    assert [got[i] for i in range(len(texts) - 1)] == pytest.approx(want[:-1], rel=1e-5)
+
+
+def test_shuffled_words_are_not_trusted_text(spark):
+    sf = SF_SMALL.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    good = docs.join(labels.where("quality = 1 and doc_id % 2 = 0").select("doc_id"), "doc_id").select("doc_id", "text", "lang").limit(300).collect()
+    mixed = [(-1 - i, " ".join(np.random.default_rng(i).permutation(r["text"].split(" "))), r["lang"]) for i, r in enumerate(good)]
+    every = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(mixed, "doc_id long, text string, lang string"))
+    out = L.score_quality(every, labels.where("doc_id % 2 = 1")).where("doc_id < 0").collect()
+    assert np.mean([r["kept"] for r in out]) < 0.4
+
+
 def test_separates_quality_on_labels(spark):
     sf = SF_SMALL.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
