@@ -27,6 +27,24 @@ def test_blocks():
     assert leaf_blocks("&lt;p&gt;")[0].text == "<p>"
 
 
+def test_unclosed_and_self_closing_elements_lose_no_text():
+    def texts(html):
+        return [b.text for b in leaf_blocks(html)]
+
+    assert texts('<p>icon <svg class="i" /> two</p><p>three</p>') == ["icon two", "three"]
+    assert texts('<p>a <svg/> b</p><p>c</p><p><svg><title>t</title><svg/><path/></svg>d</p>') == ["a b", "c", "d"]
+    assert texts("<p>a<svg><path></p><p>b</p>") == ["a", "b"]
+    for tag in ("select", "object", "noscript", "template", "iframe"):
+        assert texts(f"<p>a</p><{tag}><p>b</p><p>c</p>") == ["a", "b", "c"], tag
+    assert texts("<p>a</p><noscript>b</noscript><object>c</object><p>d</p>") == ["a", "b", "c", "d"]
+    assert texts("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == ["so x=2 holds"]
+    assert texts("<p>so <math/> holds</p><p>e</p>") == ["so holds", "e"]
+    assert texts("<p>a<svg><path></p><p>b</p><svg>x</svg><iframe>y</iframe><p>c</p><template>z</template>") == ["a", "b", "c"]
+    assert len(texts("<svg><iframe>x" * 20_000)) == 20_000  # in one pass
+    for tag in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>a</p><{tag}>b") == ["a"] and texts(f"<p>a</p><{tag}/>b</{tag}><p>c</p>") == ["a", "c"], tag
+
+
 def test_gradients():
     blocks = leaf_blocks(PAGE)
     model = H.BlockLabeller()

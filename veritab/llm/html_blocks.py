@@ -8,9 +8,19 @@ from html import unescape
 
 # Element names of HTML by what they do to the text flow.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math object select".split())
+#: Their text is no text of the page; without an end tag it reaches to the page's end.
+RAW = set("script style textarea title".split())
+#: Drawings, inert and embedded parts: skipped up to their end tag, if there is one.
+#: An element of the page that can't be in a drawing ends it, as in browsers.
+SKIPPED = set("svg template iframe".split())
+END = {t: re.compile(rf"</{t}\s*>", re.I) for t in (RAW | SKIPPED | {"head"}) - {"svg"}}
+END["svg"] = re.compile(r"</svg\s*>|(?=</?(?:body|p|div|ul|ol|li|dl|table|tr|td|h[1-6]|blockquote|pre|article|section|main|nav"
+                        r"|header|footer|aside|form)[\s/>])", re.I)
+#: MathML: a formula is part of the text around it.
+MATH = set("math mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr "
+           "mtd mspace mstyle mpadded mphantom menclose merror semantics annotation".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp "
-             "small span strike strong sub sup time tt u var".split())
+             "small span strike strong sub sup time tt u var".split()) | MATH
 #: An opening tag closes an open element of these names, up to the given boundary.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -41,6 +51,7 @@ def leaf_blocks(html: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = 0
+    endless: set[str] = set()  # elements that no end tag follows any more
 
     def flush() -> None:
         nonlocal parts, linked
@@ -69,10 +80,15 @@ def leaf_blocks(html: str) -> list[Block]:
                 flush()
             if depth is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[depth:])):
                 del stack[depth:]
-        elif tag in RAW or tag == "head":
-            flush() if tag not in ("svg", "math") else None
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else at if tag == "head" else len(html)
+        elif tag in RAW or tag in SKIPPED or tag == "head":
+            if tag == "svg" and m[3].endswith("/"):
+                continue
+            flush() if tag != "svg" else None
+            if tag not in endless:
+                end = END[tag].search(html, at)
+                if end is None:
+                    endless.add(tag)
+                at = end.end() if end else len(html) if tag in RAW else at
         elif tag == "br":
             parts.append(" ")
         elif tag in VOID:
@@ -90,7 +106,7 @@ def leaf_blocks(html: str) -> list[Block]:
                     if stack[i][0] in names:
                         del stack[i:]
                         break
-            if not m[3].endswith("/") or tag in INLINE:
+            if not m[3].endswith("/") or tag in INLINE and tag not in MATH:
                 stack.append((tag, path_tokens(tag, m[3])))
     flush()
     return blocks
