@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veritab.sources.tables import load_table
 
 from . import (chat, dedup, html_extraction, jaccard, language_model, mixing, packing, quality_rules, secret_scan,
-               toxicity)
+               sentence_pieces, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,9 @@ def op8_best_fit_packing(spark, sf_dir):
 @register("op9_secret_scan")
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(load_table(spark, sf_dir, "documents"))
+
+
+@register("op12_sentencepiece")
+def op12_sentencepiece(spark, sf_dir):
+    return sentence_pieces.piece_digest(
+        sentence_pieces.encode_texts(load_table(spark, sf_dir, "documents"), with_decoded=True))
