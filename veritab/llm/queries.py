@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritab.sources.tables import load_table
 
-from . import (chat, dedup, html_extraction, jaccard, language_model, mixing, packing, quality_rules, secret_scan,
-               sentence_pieces, toxicity)
+from . import (chat, dedup, hard_negatives, html_extraction, jaccard, language_model, mixing, packing, quality_rules, secret_scan,
+               sentence_pieces, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +171,37 @@ def op9_secret_scan(spark, sf_dir):
 def op12_sentencepiece(spark, sf_dir):
     return sentence_pieces.piece_digest(
         sentence_pieces.encode_texts(load_table(spark, sf_dir, "documents"), with_decoded=True))
+
+
+@register("op11_embedding_whitening")
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened_components(load_table(spark, sf_dir, "embeddings"))
+
+
+NEGATIVES_SQL = """
+WITH clean AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other_id,
+         list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM clean a JOIN clean b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT * FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)::INTEGER AS rank
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+@register("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(load_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0,
+                                              label_col=moved)
