@@ -485,6 +485,51 @@ def q_s1(spark, sf):
     return read_dataset(spark, "Orders Dataset", sf)
 
 
+@register("s1_read_csv_line_breaks", """
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus,
+       o_orderpriority || chr(10) || '"' || o_orderstatus || '", ' || o_custkey || chr(13) || chr(10) || '""' AS note
+FROM orders""")
+def q_s1_csv(spark, sf):
+    import uuid
+
+    from veritab.session import checkpoint_dir
+    from veritab.sources.readers import read_dataset
+    note = F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('", '), F.col("o_custkey").cast("string"),
+                    F.lit('\r\n""'))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/veritab-csv/{uuid.uuid4().hex}"
+    (load_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", note.alias("note"))
+     .write.option("header", True).option("escape", '"').csv(f"{root}/order_notes.csv"))
+    read = read_dataset(spark, "Order Notes", root)
+    return read.withColumns({c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")})
+
+
+MIXED_RECORD = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '[' || event_id || ']' WHEN 2 THEN '{"k": "text"}'
+ WHEN 3 THEN '{"k": 1' WHEN 4 THEN '{"k": 1.5, "n": ' || event_id || ', "z": {"a": [1, 2.5]}}'
+ ELSE '{"k": {"deep": true}, "n": 0.5}' END"""
+
+
+@register("s2_read_mixed_records", """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN json_extract_string(props, '$.k') WHEN 2 THEN 'text' WHEN 4 THEN '1.5'
+                 ELSE '{"deep":true}' END AS k,
+       CASE event_id % 6 WHEN 4 THEN event_id::DOUBLE WHEN 5 THEN 0.5 END AS n,
+       CASE event_id % 6 WHEN 4 THEN 2.5 END::DOUBLE AS second
+FROM events WHERE event_id % 6 NOT IN (1, 3)""")
+def q_s2_mixed(spark, sf):
+    from veritab.sources.readers import read_records
+    ev = load_table(spark, sf, "events").select("event_id", F.expr(MIXED_RECORD).alias("record"))
+    return read_records(spark, ev, column="record", keep=["event_id"]).select(
+        "event_id", "k", "n", F.col("z.a")[1].alias("second"))
+
+
+@register("s2_count_records", """
+SELECT count(*) AS records, count(*) FILTER (event_id % 6 NOT IN (1, 3)) AS read, count(*) FILTER (event_id % 6 IN (1, 3)) AS skipped
+FROM events""")
+def q_s2_count(spark, sf):
+    from veritab.sources.readers import count_records
+    ev = load_table(spark, sf, "events").select("event_id", F.expr(MIXED_RECORD).alias("record"))
+    return count_records(spark, ev, "record")
+
+
 @register("s2_read_records", """
 SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def q_s2(spark, sf):
@@ -769,6 +814,70 @@ def q_e6r(spark, sf):
     return rnd(roc_auc(o, "o_orderstatus", "score", positive="F"), 10)
 
 
+CLASS_SCORES = """SELECT CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 7 END AS label,
+       CASE o_orderstatus WHEN 'F' THEN 4 ELSE 0 END + o_orderkey % 7 AS f,
+       CASE o_orderstatus WHEN 'O' THEN 2 ELSE 0 END + o_custkey % 11 AS o,
+       CASE o_orderstatus WHEN 'P' THEN 3 ELSE 0 END + o_orderkey % 5 + o_custkey % 3 AS p
+FROM orders"""
+CLASS_PAIRS_SQL = f"""
+WITH x AS ({CLASS_SCORES}),
+t AS (SELECT 1 AS class, label, o / (f + o + p + 1.0) AS s FROM x UNION ALL SELECT 2, label, f / (f + o + p + 1.0) FROM x
+      UNION ALL SELECT 7, label, p / (f + o + p + 1.0) FROM x),
+g AS (SELECT class, s, label, count(*) AS n, sum(CASE WHEN label = class THEN count(*) ELSE 0 END) OVER (PARTITION BY class, s) AS tied
+      FROM t GROUP BY class, s, label),
+c AS (SELECT *, sum(CASE WHEN label = class THEN n ELSE 0 END) OVER (PARTITION BY class ORDER BY s DESC RANGE UNBOUNDED PRECEDING) AS above
+      FROM g),
+a AS (SELECT class, label AS other, sum(n * (above - tied / 2.0)) AS area, sum(n) AS n_other FROM c GROUP BY class, label),
+pairs AS (SELECT a.class, a.other, a.area / (z.n_other * a.n_other) AS auc, z.n_other::BIGINT AS n_class, a.n_other::BIGINT AS n_other
+          FROM a JOIN a z ON z.class = a.class AND z.other = a.class WHERE a.other <> a.class)"""
+
+
+def class_scores(spark, sf):
+    load_table(spark, sf, "orders").createOrReplaceTempView("__orders_for_auc")
+    x = spark.sql(CLASS_SCORES.replace("FROM orders", "FROM __orders_for_auc"))
+    total = F.col("f") + F.col("o") + F.col("p") + F.lit(1.0)
+    return x.select("label", F.array(*[F.col(c) / total for c in ("o", "f", "p")]).alias("probability"))
+
+
+@register("e6_class_pair_auc", CLASS_PAIRS_SQL + """
+SELECT class, other, round(auc, 10) AS auc, n_class, n_other FROM pairs""")
+def q_e6_pairs(spark, sf):
+    from veritab.operators.evaluate import class_pair_auc
+    return rnd(class_pair_auc(class_scores(spark, sf), "label", labels=[1, 2, 7]), 10)
+
+
+@register("e6_multiclass_auc", CLASS_PAIRS_SQL + """
+SELECT round((SELECT avg(auc) FROM pairs), 10) AS by_pairs,
+       round((SELECT avg(r) FROM (SELECT sum(auc * n_other) / sum(n_other) AS r FROM pairs GROUP BY class)), 10) AS by_classes""")
+def q_e6_multi(spark, sf):
+    from veritab.operators.evaluate import class_pair_auc, multiclass_auc
+    pairs = class_pair_auc(class_scores(spark, sf), "label", labels=[1, 2, 7])
+    out = (multiclass_auc(pairs).withColumnRenamed("roc_auc", "by_pairs")
+           .join(multiclass_auc(pairs, "classes").withColumnRenamed("roc_auc", "by_classes"), F.lit(True)))
+    return rnd(out, 10)
+
+
+@register("e6_auc_labels_1_2", f"""
+WITH x AS (SELECT label, f / (f + o + 1.0) AS s FROM ({CLASS_SCORES}) WHERE label IN (1, 2)),
+r AS (SELECT label, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM x)
+SELECT round((sum(r) FILTER (label = 2) - count(*) FILTER (label = 2) * (count(*) FILTER (label = 2) + 1) / 2.0)
+             / (count(*) FILTER (label = 2) * count(*) FILTER (label = 1)), 10) AS roc_auc FROM r""")
+def q_e6_12(spark, sf):
+    from veritab.operators.evaluate import class_pair_auc, multiclass_auc
+    load_table(spark, sf, "orders").createOrReplaceTempView("__orders_for_auc")
+    x = spark.sql(CLASS_SCORES.replace("FROM orders", "FROM __orders_for_auc")).where("label in (1, 2)")
+    p = F.col("f") / (F.col("f") + F.col("o") + F.lit(1.0))
+    return rnd(multiclass_auc(class_pair_auc(x.select("label", F.array(1 - p, p).alias("probability")), "label", labels=[1, 2])), 10)
+
+
+@register("e6_log_loss", f"""
+WITH x AS (SELECT label, f, o, p, f + o + p + 1.0 AS t FROM ({CLASS_SCORES}))
+SELECT round(avg(-ln(greatest(CASE label WHEN 1 THEN o / t WHEN 2 THEN f / t ELSE p / t END, 1e-15))), 8) AS log_loss FROM x""")
+def q_e6_log_loss(spark, sf):
+    from veritab.operators.evaluate import log_loss
+    return rnd(log_loss(class_scores(spark, sf), "label", labels=[1, 2, 7]), 8)
+
+
 # ---------------------------------------------------------------------------
 # T: tuning
 # ---------------------------------------------------------------------------

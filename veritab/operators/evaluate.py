@@ -9,6 +9,8 @@ of the score.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +21,9 @@ from veritab.functions.exprs import is_numeric_type, qcol
 ACCURACY, PRECISION, RECALL, F1 = "Accuracy", "Precision", "Recall", "F1 Score"
 MSE, RMSE, MAE, R2 = "MSE", "RMSE", "MAE", "R² Score"
 
-#: Ranges per factor of two of the score in the running counts of a ROC curve.
-ROC_RANGES = 256
+#: Ranges per factor of two of the score, and cells per range, in the running
+#: counts of a ROC curve.
+ROC_RANGES, ROC_CELLS = 256, 1 << 20
 
 
 def _name_value(pairs) -> Column:
@@ -153,37 +156,62 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
 
 # E6 -------------------------------------------------------------------------
 
-def _score_range(s: Column) -> Column:
-    """A number that never falls as the score rises: ``ROC_RANGES`` ranges per
-    factor of two, so at most about a million whatever the scores."""
-    size = F.floor(F.greatest(F.least(F.log2(F.abs(s)), F.lit(1025.0)), F.lit(-1075.0)) * ROC_RANGES) + 1100 * ROC_RANGES
-    return F.when(s == 0, F.lit(0)).when(s > 0, size).otherwise(-size).cast("bigint")
+def _score_cells(s: Column) -> tuple[Column, Column]:
+    """Two numbers, the second inside the first, that never fall as the score
+    rises: ``ROC_RANGES`` ranges per factor of two, so at most about a million
+    whatever the scores, and ``ROC_CELLS`` cells in each. A cell holds at most
+    2^24 different doubles, however close to each other scores lie."""
+    size = F.greatest(F.least(F.log2(F.abs(s)), F.lit(1025.0)), F.lit(-1075.0)) * ROC_RANGES
+    coarse = F.floor(size)
+    fine = F.floor((size - coarse) * ROC_CELLS)
+    by_sign = lambda c: F.when(s == 0, F.lit(0)).when(s > 0, c).otherwise(-c).cast("bigint")
+    return by_sign(coarse + 1100 * ROC_RANGES), by_sign(fine)
+
+
+def _running_counts(grouped: DataFrame, counts: list[str], by: list[str]) -> DataFrame:
+    """Running sums ``cum_<count>`` from the highest score ``s`` down, rows of
+    one score together, within each value of the columns ``by``.
+
+    They are sums within a cell of scores, plus the totals of the cells above
+    in its range, plus those of the ranges above, so no task sorts more than
+    the scores of a cell, the cells of a range or the ranges.
+    """
+    wide, narrow = _score_cells(F.col("s"))
+    rows = grouped.withColumn("__wide", wide).withColumn("__narrow", narrow)
+    cells = rows.groupBy(*by, "__wide", "__narrow").agg(*[F.sum(c).alias(c) for c in counts])
+    ranges = cells.groupBy(*by, "__wide").agg(*[F.sum(c).alias(c) for c in counts])
+
+    def above(part: list[str], order: str):
+        w = Window.partitionBy(*part).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(c).over(w), F.lit(0)) for c in counts]
+
+    ranges = ranges.select(*by, "__wide", *[x.alias(f"__r{i}") for i, x in enumerate(above(by, "__wide"))])
+    cells = cells.select(*by, "__wide", "__narrow", *[x.alias(f"__c{i}") for i, x in enumerate(above([*by, "__wide"], "__narrow"))])
+    within = (Window.partitionBy(*by, "__wide", "__narrow").orderBy(F.col("s").desc())
+              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = rows.join(ranges, [*by, "__wide"]).join(cells, [*by, "__wide", "__narrow"])
+    return joined.select(*[qcol(c) for c in grouped.columns],
+                         *[(F.col(f"__r{i}") + F.col(f"__c{i}") + F.sum(c).over(within)).alias(f"cum_{c}")
+                           for i, c in enumerate(counts)])
+
+
+def _is_class(df: DataFrame, label: str, value) -> Column:
+    if is_numeric_type(df.schema[label].dataType) and not isinstance(value, str):
+        return F.coalesce(qcol(label).cast("double") == F.lit(float(value)), F.lit(False))
+    return F.coalesce(qcol(label).cast("string") == F.lit(str(value)), F.lit(False))
+
+
+def _score(c: Column) -> Column:
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
 def _score_counts(df: DataFrame, label: str, score: str, positive) -> DataFrame:
     """Per distinct score: pos, neg and their running counts ``cum_pos``,
-    ``cum_neg`` from the highest score down, and the totals ``n_pos``, ``n_neg``.
-
-    Scores are grouped first. Running counts are sums within a range of scores
-    plus the totals of the ranges above, so only range totals meet in one task.
-    """
-    if is_numeric_type(df.schema[label].dataType) and not isinstance(positive, str):
-        y = F.coalesce(qcol(label).cast("double") == F.lit(float(positive)), F.lit(False))
-    else:
-        y = F.coalesce(qcol(label).cast("string") == F.lit(str(positive)), F.lit(False))
-    s = F.nanvl(qcol(score).cast("double"), F.lit(None).cast("double"))
-    grouped = (df.select(s.alias("s"), y.alias("y")).where(F.col("s").isNotNull())
-               .groupBy(_score_range(F.col("s")).alias("part"), "s")
-               .agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")))
-    above = Window.orderBy(F.col("of").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    parts = grouped.groupBy(F.col("part").alias("of")).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    parts = parts.select("of", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c + "0") for c in "pn"],
-                         *[F.sum(c).over(everything).alias(c + "_all") for c in "pn"])
-    within = Window.partitionBy("part").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return grouped.join(parts, F.col("part") == F.col("of")).select(
-        "s", "pos", "neg", (F.col("p0") + F.sum("pos").over(within)).alias("cum_pos"),
-        (F.col("n0") + F.sum("neg").over(within)).alias("cum_neg"), F.col("p_all").alias("n_pos"), F.col("n_all").alias("n_neg"))
+    ``cum_neg`` from the highest score down, and the totals ``n_pos``, ``n_neg``."""
+    grouped = (df.select(_score(qcol(score)).alias("s"), _is_class(df, label, positive).alias("y")).where(F.col("s").isNotNull())
+               .groupBy("s").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")))
+    totals = grouped.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return _running_counts(grouped, ["pos", "neg"], []).join(F.broadcast(totals), F.lit(True))
 
 
 def _share(part: str, whole: str) -> Column:
@@ -210,13 +238,73 @@ def roc_points(df: DataFrame, label: str, score: str, positive=1, max_points: in
 
 
 def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
-    """Exact area under the ROC curve by the trapezoid rule (one row: roc_auc).
+    """Exact area under the ROC curve by the trapezoid rule (one row: roc_auc),
+    NULL if only one class has scores.
 
     A score's trapezoid is its negatives times the positives above it and half
     of its own, so the area is a sum of whole numbers over one division."""
     c = _score_counts(df, label, score, positive)
     area = F.sum(F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") / 2))
-    return c.agg(F.coalesce(F.try_divide(area, F.max("n_pos").cast("double") * F.max("n_neg")), F.lit(0.0)).alias("roc_auc"))
+    return c.agg(F.try_divide(area, F.max("n_pos").cast("double") * F.max("n_neg")).alias("roc_auc"))
+
+
+def class_pair_auc(df: DataFrame, label: str, probability: str = "probability", labels: list | None = None) -> DataFrame:
+    """(class, other, auc, n_class, n_other) for every ordered pair of classes
+    with rows: how well the probability of ``class`` tells its rows from those
+    of ``other`` (E6 for several classes).
+
+    ``probability`` is a vector or an array with an entry per class, in the
+    order of ``labels``, which is the model's own (``models.label_order``);
+    without it the labels are 0..k-1. Rows without a label or an own class, and
+    missing entries, are left out. One pass makes (class, score) counts for
+    all classes; the curves are then sums over those.
+    """
+    values = vector_to_array(qcol(probability)) if isinstance(df.schema[probability].dataType, VectorUDT) else qcol(probability)
+    if labels is None:
+        own = qcol(label).cast("int")
+    else:
+        own = F.coalesce(*[F.when(_is_class(df, label, v), F.lit(i)) for i, v in enumerate(labels)])
+    stacked = (df.select(own.alias("y"), F.posexplode(values).alias("k", "p")).select("y", "k", _score(F.col("p")).alias("s"))
+               .where(F.col("y").isNotNull() & F.col("s").isNotNull()))
+    grouped = (stacked.groupBy("k", "s", "y").agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("pos", F.when(F.col("y") == F.col("k"), F.col("n")).otherwise(F.lit(0))))
+    ties = F.sum("pos").over(Window.partitionBy("k", "s"))
+    area = F.col("n").cast("double") * (F.col("cum_pos") - F.col("tied") / 2)
+    pairs = (_running_counts(grouped, ["pos"], ["k"]).withColumn("tied", ties)
+             .groupBy("k", "y").agg(F.sum(area).alias("area"), F.sum("n").alias("n")))
+    sizes = pairs.where(F.col("k") == F.col("y")).select("k", F.col("n").alias("n_class"))
+    name = F.col("k") if labels is None else F.element_at(F.array(*map(F.lit, labels)), F.col("k") + 1)
+    other = F.col("y") if labels is None else F.element_at(F.array(*map(F.lit, labels)), F.col("y") + 1)
+    return (pairs.where(F.col("k") != F.col("y")).join(sizes, "k")
+            .select(name.alias("class"), other.alias("other"), (F.col("area") / (F.col("n_class").cast("double") * F.col("n"))).alias("auc"),
+                    "n_class", F.col("n").alias("n_other")))
+
+
+def class_auc(pairs: DataFrame) -> DataFrame:
+    """(class, auc): each class against all others together, from ``class_pair_auc``."""
+    return pairs.groupBy("class").agg(F.try_divide(F.sum(F.col("auc") * F.col("n_other")), F.sum("n_other")).alias("auc"))
+
+
+def multiclass_auc(pairs: DataFrame, average: str = "pairs") -> DataFrame:
+    """One row ``roc_auc``: the mean over the ordered pairs of classes (Hand
+    and Till, 2001) or over the classes against the rest (``average='classes'``);
+    NULL with fewer than two classes."""
+    if average not in ("pairs", "classes"):
+        raise ValueError(f"unknown average {average!r}")
+    return (pairs if average == "pairs" else class_auc(pairs)).agg(F.avg("auc").alias("roc_auc"))
+
+
+def log_loss(df: DataFrame, label: str, probability: str = "probability", labels: list | None = None) -> DataFrame:
+    """One row ``log_loss``: the mean of -log of the own class's probability,
+    at least 1e-15. ``labels`` as in ``class_pair_auc``; a label the model does
+    not know has probability 0, rows without a label are left out."""
+    values = vector_to_array(qcol(probability)) if isinstance(df.schema[probability].dataType, VectorUDT) else qcol(probability)
+    if labels is None:
+        own = qcol(label).cast("int")
+    else:
+        own = F.coalesce(*[F.when(_is_class(df, label, v), F.lit(i)) for i, v in enumerate(labels)], F.lit(-1))
+    p = F.coalesce(F.get(values, own), F.lit(0.0))
+    return df.where(qcol(label).isNotNull()).agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("log_loss"))
 
 
 # E7 -------------------------------------------------------------------------

@@ -9,13 +9,17 @@ over the file on the executors; no sample is pulled to the driver.
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritab.functions.exprs import qcol
+from veritab.session import ship_package
+from veritab.sources.csv_ranges import read_csv_strings
 
 # Text read as missing by the reference's CSV reader.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -86,12 +90,12 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
         checks = []
         for i, c in list(enumerate(df.columns))[start:start + TYPING_COLUMNS]:
             x = qcol(c)
-            present = x.isNotNull()
+            present, whole = x.isNotNull(), x.try_cast("bigint")
             checks += [
-                F.count_if(present & x.try_cast("bigint").isNull()).alias(f"nl{i}"),
+                F.count_if(present & whole.isNull()).alias(f"nl{i}"),
                 F.count_if(present & x.try_cast("double").isNull()).alias(f"nd{i}"),
                 F.count_if(present & ~F.lower(x).isin("true", "false")).alias(f"nb{i}"),
-                F.max(F.abs(x.try_cast("bigint"))).alias(f"mx{i}"),
+                F.min(whole).alias(f"mn{i}"), F.max(whole).alias(f"mx{i}"),
                 F.count(x).alias(f"n{i}"),
             ]
         stats |= df.agg(*checks).first().asDict()
@@ -101,7 +105,7 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
         if stats[f"n{i}"] == 0:
             out.append(x.cast("double").alias(c))     # all missing -> float, as pandas
         elif stats[f"nl{i}"] == 0:
-            small = stats[f"mx{i}"] is not None and stats[f"mx{i}"] < 2 ** 31
+            small = -2 ** 31 <= stats[f"mn{i}"] and stats[f"mx{i}"] < 2 ** 31
             out.append(x.cast("int" if small else "bigint").alias(c))
         elif stats[f"nd{i}"] == 0:
             out.append(x.cast("double").alias(c))
@@ -116,17 +120,29 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
              multi_line: bool = True) -> DataFrame:
     """CSV with header; quotes in quoted fields are doubled; missing tokens ->
     NULL; pandas-like types unless a schema is given (a declared schema is
-    preferred at scale: no typing pass). ``multi_line`` allows line breaks in
-    quoted fields; without them in the data, False lets large files be split."""
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-           .option("multiLine", multi_line).csv(path))
-    nulls = raw.select(*[F.when(qcol(c).isin(NA_TOKENS), None).otherwise(qcol(c)).alias(c)
-                         for c in raw.columns])
+    preferred at scale: no typing pass).
+
+    Files are split at byte ranges; quoted fields may hold line breaks (see
+    ``csv_ranges``). ``multi_line=False`` spares the look at the lines when the
+    data is known to have none. A declared schema is matched by column name:
+    other columns of the file are not read, a missing one is an error.
+    """
+    if multi_line:
+        raw = read_csv_strings(spark, path)
+    else:
+        raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
     if schema is None:
-        return infer_csv_types(nulls)
+        return infer_csv_types(_without_tokens(raw, raw.columns))
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return nulls.select(*[qcol(have).cast(f.dataType).alias(f.name)
-                          for have, f in zip(nulls.columns, declared.fields)])
+    missing = [f.name for f in declared if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"columns {missing} are not in {path}, which has {raw.columns}")
+    nulls = _without_tokens(raw, declared.names)
+    return nulls.select(*[qcol(f.name).cast(f.dataType).alias(f.name) for f in declared])
+
+
+def _without_tokens(raw: DataFrame, columns: list[str]) -> DataFrame:
+    return raw.select(*[F.when(qcol(c).isin(NA_TOKENS), None).otherwise(qcol(c)).alias(c) for c in columns])
 
 
 def read_dataset(spark: SparkSession, name: str, root: str,
@@ -147,19 +163,95 @@ def read_records(spark: SparkSession, source, column: str | None = None,
 
     ``source`` is a path (JSON lines or a JSON array file), or a DataFrame whose
     ``column`` holds one JSON object per row; the object's fields become
-    columns next to the ``keep`` columns. Without a schema, one inference pass
-    reads the JSON text on the executors.
+    columns next to the ``keep`` columns. Records that are no JSON object are
+    left out (``count_records`` counts them). Without a schema, one inference
+    pass on the executors merges the types of all records: whole numbers and
+    others to double, any other mixture to string (its JSON text), objects
+    field by field, arrays by their elements; a field that is always null is a
+    string.
     """
-    if isinstance(source, str):
-        r = spark.read.option("multiLine", _is_json_array(spark, source))
-        return (r.schema(schema) if schema is not None else r).json(source)
-    df: DataFrame = source
+    ship_package(spark)
+    df, column = _record_column(spark, source, column)
+    keep = keep or []
+    records = df.where(_is_object(qcol(column))).select(*map(qcol, keep), qcol(column).alias("__record"))
     if schema is None:
-        kinds = df.agg(F.schema_of_variant_agg(F.try_parse_json(qcol(column))).alias("s")).first()["s"] or ""
-        schema = kinds.replace("OBJECT<", "STRUCT<").replace(": VOID", ": STRING") if kinds.startswith("OBJECT<") else "STRUCT<>"
-    parsed = F.from_json(qcol(column), schema)
-    return df.select(*[qcol(k) for k in (keep or [])], parsed.alias("__rec")).select(
-        *[qcol(k) for k in (keep or [])], "__rec.*")
+        schema = infer_record_type(records, "__record")
+    parsed = F.from_json("__record", schema)
+    return records.select(*map(qcol, keep), parsed.alias("__rec")).select(*map(qcol, keep), "__rec.*")
+
+
+def count_records(spark: SparkSession, source, column: str | None = None) -> DataFrame:
+    """One row: ``records``, and how many of them were ``read`` and
+    ``skipped`` because they are no JSON object."""
+    df, column = _record_column(spark, source, column)
+    good = _is_object(qcol(column))
+    return df.agg(F.count(F.lit(1)).alias("records"), F.count_if(good).alias("read"), F.count_if(~good).alias("skipped"))
+
+
+def _record_column(spark: SparkSession, source, column: str | None) -> tuple[DataFrame, str]:
+    if not isinstance(source, str):
+        return source, column
+    if _is_json_array(spark, source):
+        whole = spark.read.text(source, wholetext=True)
+        return whole.select(F.explode(F.from_json("value", "array<string>")).alias("value")), "value"
+    return spark.read.text(source).where(F.trim("value") != ""), "value"
+
+
+def _is_object(c: Column) -> Column:
+    return F.coalesce(F.ltrim(c).startswith("{") & F.try_parse_json(c).isNotNull(), F.lit(False))
+
+
+def _paths(batches):
+    """Distinct (path, kind) pairs of all values in the records of a task. A
+    path has ``.name`` for a field and ``[]`` for the elements of an array."""
+    found = set()
+
+    def visit(value, path):
+        kind = ("null" if value is None else "boolean" if isinstance(value, bool) else
+                ("long" if -2 ** 63 <= value < 2 ** 63 else "double") if isinstance(value, int) else
+                "double" if isinstance(value, float) else "string" if isinstance(value, str) else
+                "struct" if isinstance(value, dict) else "array")
+        found.add((path, kind))
+        if kind == "struct":
+            for k, v in value.items():
+                visit(v, (*path, "." + k))
+        elif kind == "array":
+            for v in value:
+                visit(v, (*path, "[]"))
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            visit(json.loads(text), ())
+    if found:
+        paths, kinds = zip(*found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(list, paths)), pa.list_(pa.string())), pa.array(kinds)],
+                                         names=["path", "kind"])
+
+
+def infer_record_type(records: DataFrame, column: str) -> T.StructType:
+    """The least type that holds every object of ``column``. Tasks send
+    distinct (path, kind) pairs only; the driver gets one row per path, which
+    is the size of the schema."""
+    pairs = records.select(qcol(column)).mapInArrow(_paths, "path array<string>, kind string")
+    rows = pairs.groupBy("path").agg(F.collect_set("kind").alias("kinds")).collect()
+    kinds = {tuple(r["path"]): set(r["kinds"]) - {"null"} for r in rows}
+    below: dict[tuple, list[tuple]] = {}
+    for path in sorted(kinds):
+        if path:
+            below.setdefault(path[:-1], []).append(path)
+    plain = {"boolean": T.BooleanType(), "long": T.LongType(), "double": T.DoubleType()}
+
+    def merged(path: tuple) -> T.DataType:
+        own, children = kinds.get(path, set()), below.get(path, [])
+        if own == {"long", "double"}:
+            return T.DoubleType()
+        if own == {"struct"} and (children or not path):
+            return T.StructType([T.StructField(p[-1][1:], merged(p)) for p in children])
+        if own == {"array"}:
+            return T.ArrayType(merged((*path, "[]")))
+        return plain.get(next(iter(own)), T.StringType()) if len(own) == 1 else T.StringType()
+
+    return merged(()) if kinds else T.StructType([])
 
 
 def _is_json_array(spark: SparkSession, path: str) -> bool:
