@@ -1314,6 +1314,79 @@ def q_t6(spark, sf):
     return r.agg(F.count("*").alias("combinations"), F.bool_and(F.col("mean_test_score") > 0.8).alias("sensible"))
 
 
+def _customers(spark, sf):
+    """A label in {1, 2}, a third class of it, and numeric features; 1,500 rows for each 0.01 of scale."""
+    c = load_table(spark, sf, "customer")
+    return c.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"),
+                    F.expr("CASE WHEN c_acctbal + 300 * c_nationkey > 8000 THEN 2 ELSE 1 END").alias("target"))
+
+
+def _networks_searched(spark, sf, model_type, objective=None, grid=None):
+    from veritab.plans.prepare import prepare
+    from veritab.plans.search import cross_validate
+    from veritab.operators.tuning import grid_combinations, grid_dict
+    p = prepare(_customers(spark, sf), ("drop_nulls", "normalize"), target="target", key="c_custkey")
+    return cross_validate(p.data, p.features, p.target, model_type, "classification",
+                          grid_combinations(grid or grid_dict(model_type)), 3, objective=objective)
+
+
+@register("t3_grid_search_networks", """
+SELECT CAST(i AS INTEGER) AS combo, CASE i // 9 WHEN 0 THEN '"relu"' ELSE '"tanh"' END AS activation_by_order,
+       true AS ranked, true AS sensible
+FROM range(18) r(i)""")
+def q_t3n(spark, sf):
+    """The default grid of networks, 54 fits in shared passes."""
+    r = _networks_searched(spark, sf, "neural_network").results
+    by_order = F.row_number().over(Window.orderBy(F.col("params")["activation"], F.col("params")["alpha"],
+                                                  F.col("params")["hidden_layer_sizes"]))
+    return r.withColumn("i", by_order - 1).select(
+        F.col("i").cast("int").alias("combo"), F.col("params")["activation"].alias("activation_by_order"),
+        F.col("rank_test_score").between(1, 18).alias("ranked"),
+        (F.col("mean_test_score").between(0.85, 1.0) & (F.col("std_test_score") < 0.1)).alias("sensible"))
+
+
+@register("t3_grid_search_svm", """
+SELECT c AS c, k AS kernel, true AS sensible FROM (VALUES ('0.1'), ('1'), ('10')) a(c), (VALUES ('"linear"'), ('"rbf"')) b(k)""")
+def q_t3s(spark, sf):
+    """The default grid of support vector machines, 18 fits in shared passes."""
+    r = _networks_searched(spark, sf, "svm", objective="f1").results
+    return r.select(F.col("params")["C"].alias("c"), F.col("params")["kernel"].alias("kernel"),
+                    F.col("mean_test_score").between(0.8, 1.0).alias("sensible"))
+
+
+@register("t6_search_auc_own_labels", "SELECT CAST(2 AS BIGINT) AS combinations, true AS sensible")
+def q_t6a(spark, sf):
+    """Labels 1 and 2: the area is that of the second label's probability."""
+    r = _networks_searched(spark, sf, "neural_network", "auc", {"hidden_layer_sizes": [[8]], "activation": ["relu", "tanh"]}).results
+    return r.agg(F.count("*").alias("combinations"), F.bool_and(F.col("mean_test_score") > 0.9).alias("sensible"))
+
+
+@register("m3_svm_poly_kernel", _checked_sql("CASE WHEN (l_quantity - 25) * (l_discount - 0.05) > 0 THEN 1 ELSE 0 END"))
+def q_m3p(spark, sf):
+    """A target that needs a product of two features."""
+    target = "CASE WHEN (l_quantity - 25) * (l_discount - 0.05) > 0 THEN 1 ELSE 0 END"
+    return _checked(_fit(line_table(spark, sf, target), "svm", {"C": 10.0, "kernel": "poly", "degree": 2, "max_iter": 60}))
+
+
+CALIBRATED = "CASE WHEN l_quantity + l_linenumber * 6 + l_orderkey % 17 > 60 THEN 1 ELSE 0 END"
+
+
+@register("m3_svm_calibration", f"""
+SELECT count(*) FILTER (WHERE NOT ({KEY_SPLIT.format(k='l_orderkey')})) AS test_rows, true AS small_error, true AS small_in_bins FROM lineitem""")
+def q_m3c(spark, sf):
+    """Mean difference between the calibrated probability and the share of the
+    label, over ten bins of the test rows, and the largest in a bin of size."""
+    from pyspark.ml.functions import vector_to_array
+    table = load_table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", F.col("l_linenumber").cast("double").alias("line"),
+                                                     F.expr(CALIBRATED).alias("target"))
+    res = _fit(table, "svm", {"C": 1.0, "kernel": "linear", "max_iter": 60})
+    p = vector_to_array("probability")[1]
+    bins = res.predictions.groupBy(F.floor(p * 10).alias("bin")).agg(F.avg("label").alias("y"), F.avg(p).alias("p"), F.count("*").alias("n"))
+    gap, total = F.abs(F.col("y") - F.col("p")), F.sum("n")
+    return bins.agg(total.alias("test_rows"), (F.sum(gap * F.col("n")) / total < 0.06).alias("small_error"),
+                    (F.max(F.when(F.col("n") > 200, gap)) < 0.2).alias("small_in_bins"))
+
+
 @register("g8_robustness_test", _summ("AdversarialTest", "SELECT true AS passed"))
 def q_g8(spark, sf):
     from veritab.operators.gates import robustness_test

@@ -106,6 +106,17 @@ def macro_precision_recall_f1(df: DataFrame, label: str = "label",
     return _all_metrics(df, label, prediction).select("precision", "recall", "f1")
 
 
+def macro_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Macro ``precision``, ``recall``, ``f1`` within each value of ``by``,
+    from rows (by, label, prediction, n)."""
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0.0)
+    both = counts.select(*by, F.inline(F.array(
+        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), F.lit(0.0).alias("predicted"), hit.alias("tp")),
+        F.struct(F.col("prediction").alias("class"), F.lit(0.0).alias("support"), F.col("n").alias("predicted"), F.lit(0.0).alias("tp")))))
+    rates = _with_rates(both.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")]))
+    return rates.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def classification_metrics(df: DataFrame, label: str = "label",
                            prediction: str = "prediction") -> DataFrame:
     """(name, value) rows: Accuracy, Precision, Recall, F1 Score."""
@@ -248,6 +259,11 @@ def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     return c.agg(F.try_divide(area, F.max("n_pos").cast("double") * F.max("n_neg")).alias("roc_auc"))
 
 
+def class_values(df: DataFrame, probability: str) -> Column:
+    """The entries of a vector or array column as an array."""
+    return vector_to_array(qcol(probability)) if isinstance(df.schema[probability].dataType, VectorUDT) else qcol(probability)
+
+
 def class_pair_auc(df: DataFrame, label: str, probability: str = "probability", labels: list | None = None) -> DataFrame:
     """(class, other, auc, n_class, n_other) for every ordered pair of classes
     with rows: how well the probability of ``class`` tells its rows from those
@@ -259,7 +275,7 @@ def class_pair_auc(df: DataFrame, label: str, probability: str = "probability",
     missing entries, are left out. One pass makes (class, score) counts for
     all classes; the curves are then sums over those.
     """
-    values = vector_to_array(qcol(probability)) if isinstance(df.schema[probability].dataType, VectorUDT) else qcol(probability)
+    values = class_values(df, probability)
     if labels is None:
         own = qcol(label).cast("int")
     else:
@@ -298,7 +314,7 @@ def log_loss(df: DataFrame, label: str, probability: str = "probability", labels
     """One row ``log_loss``: the mean of -log of the own class's probability,
     at least 1e-15. ``labels`` as in ``class_pair_auc``; a label the model does
     not know has probability 0, rows without a label are left out."""
-    values = vector_to_array(qcol(probability)) if isinstance(df.schema[probability].dataType, VectorUDT) else qcol(probability)
+    values = class_values(df, probability)
     if labels is None:
         own = qcol(label).cast("int")
     else:

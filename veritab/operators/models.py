@@ -1,36 +1,30 @@
 """Model training and prediction: operators M1-M8 (M9 is a plan).
 
-Random forests, linear SVMs and the sigmoid MLP classifier are Spark ML
-estimators. Spark ML has no kernel SVM and no MLP regressor; for those
-(M4, M6 and relu/tanh M5) ``GradientModel`` runs data-parallel full-batch
-training: the training rows are persisted once, each iteration broadcasts
-the current weights, every partition returns one partial gradient (a
-``mapInPandas`` task, numpy inside), and the partial gradients are summed
-(on the driver up to 256 partitions, else as a two-level tree on the
-executors, see ``sum_partial_gradients``). The RBF kernel is approximated with
-seeded random Fourier features (Rahimi & Recht, 2007), computed as plain
-column expressions.
+Random forests and the sigmoid MLP classifier are Spark ML estimators. Support
+vector machines, the other networks and all regressors are trained by
+``gradient``: L-BFGS over packed blocks, one pass for all models and steps.
+Kernels are feature maps inside those passes: random Fourier features (rbf),
+TensorSketch (poly), Nystroem landmarks (sigmoid).
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (LinearSVC, MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veritab.functions.exprs import as_double, qcol
+from veritab.operators.gradient import (GradientModel, Landmarks, Moments, Net, RandomFourier, Table, TensorSketch, fit_nets,
+                                        fit_platt, pack, wide_columns)
 
 PLAIN_NAME = re.compile(r"[^.`]+")
 SPARK_MAX_DEPTH = 30  # Spark's deepest tree; stands for "unlimited"
@@ -102,119 +96,87 @@ def train_random_forest(df: DataFrame, features: list[str], label: str = "label"
 
 # M3 -------------------------------------------------------------------------
 
-def rbf_gamma(df: DataFrame, features: list[str], gamma="scale") -> float:
+KERNELS = ("linear", "rbf", "poly", "sigmoid")
+
+
+def kernel_gamma(moments: Moments, gamma="scale") -> float:
     """'scale' = 1 / (d * var(X)) over all feature values, 'auto' = 1 / d."""
-    d = len(features)
+    mean, std = moments.mean[:-1], moments.std[:-1]
+    d = len(mean)
     if gamma == "auto":
         return 1.0 / d
     if gamma != "scale":
         return float(gamma)
-    xs = [as_double(c, df.schema[c].dataType) for c in features]
-    row = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
-                 *[F.avg(x * x).alias(f"q{i}") for i, x in enumerate(xs)]).first()
-    mean = sum(row[f"m{i}"] for i in range(d)) / d
-    sq = sum(row[f"q{i}"] for i in range(d)) / d
-    var = sq - mean * mean
+    var = float(np.mean(std ** 2 + mean ** 2) - np.mean(mean) ** 2)
     return 1.0 / (d * var) if var > 0 else 1.0
 
 
-@dataclass
-class RandomFeatures:
-    """Random Fourier features sqrt(2/D) cos(w.x + b), w ~ N(0, 2 gamma), b ~ U(0, 2 pi).
+def kernel_map(kernel: str, table: Table, moments: Moments, df: DataFrame, gamma="scale", coef0: float = 0.0, degree: int = 3,
+               n_components: int = 100, seed: int = 42):
+    """The feature map of a kernel, None for the linear one. Wide one-hot
+    columns stay linear beside the mapped features."""
+    if kernel == "linear":
+        return None
+    if kernel not in KERNELS:
+        raise ValueError(f"kernel {kernel!r} is not supported {KERNELS}")
+    g = kernel_gamma(moments, gamma)
+    if kernel == "rbf":
+        return RandomFourier(g, n_components, seed)
+    if kernel == "poly":
+        return TensorSketch(g, float(coef0), int(degree), n_components, seed)
+    # landmarks: the first rows in the order of a hash, a sample of fixed size
+    x = F.array(*[as_double(c, df.schema[c].dataType) for c in table.dense])
+    rows = df.select(x.alias("x")).orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(n_components).collect()
+    return Landmarks(sorted({tuple(r["x"]) for r in rows if None not in r["x"]}), g, float(coef0))
 
-    The weights are drawn once on the driver (D x d numbers) and inlined as
-    literals, so the projection is a code-generated ``select``.
-    """
-    features: list[str]
-    gamma: float
-    n_components: int = 100
-    seed: int = 42
-
-    @property
-    def names(self) -> list[str]:
-        return [f"rff_{k}" for k in range(self.n_components)]
-
-    def add(self, df: DataFrame) -> DataFrame:
-        rng = np.random.default_rng(self.seed)
-        d = len(self.features)
-        W = rng.normal(0.0, math.sqrt(2.0 * self.gamma), size=(self.n_components, d))
-        b = rng.uniform(0.0, 2.0 * math.pi, size=self.n_components)
-        scale = math.sqrt(2.0 / self.n_components)
-        cols = []
-        for k in range(self.n_components):
-            dot = F.lit(float(b[k]))
-            for j, c in enumerate(self.features):
-                dot = dot + qcol(c).cast("double") * float(W[k, j])
-            cols.append((F.cos(dot) * scale).alias(f"rff_{k}"))
-        return df.select("*", *cols)
 
+CALIBRATION_FOLDS = 3
 
-@dataclass
-class SvmModel:
-    """Fitted SVM: optional RFF projection followed by a Spark ML model."""
-    features: list[str]
-    projection: RandomFeatures | None
-    model: object
-    label: str = "label"
 
-    def project(self, df: DataFrame) -> DataFrame:
-        if self.projection is None:
-            return assemble(df, self.features)
-        return assemble(self.projection.add(df), self.projection.names)
+def svm_net(df: DataFrame, table: Table, task: str = "classification", C: float = 1.0, kernel: str = "rbf", gamma="scale",
+            coef0: float = 0.0, degree: int = 3, n_components: int = 100, seed: int = 42, max_iter: int = 200, epsilon: float = 0.1,
+            classes: int = 2, without_fold: int | None = None) -> Net:
+    feature_map = kernel_map(kernel, table, table.moments[without_fold], df, gamma, coef0, degree, n_components, seed)
+    # the sum of losses is weighed by C against half the squared weights
+    return Net("hinge" if task == "classification" else "epsilon_insensitive", classes=classes, penalty=1.0 / C,
+               raw_penalty=task == "classification", epsilon=epsilon, seed=seed, max_iter=max_iter, tol=1e-6,
+               without_fold=without_fold, feature_map=feature_map)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``prediction``, ``rawPrediction`` (margins) and ``probability``:
-        the logistic of each class's margin, scaled to sum to 1."""
-        out = self.model.transform(self.project(df)).drop("features", *(self.projection.names if self.projection else []))
-        each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-m)))
-        total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
-        return out.withColumn("probability", array_to_vector(F.transform(each, lambda p: p / total)))
-
-
-def train_svm(df: DataFrame, features: list[str], label: str = "label",
-              task: str = "classification", C: float = 1.0, kernel: str = "rbf",
-              gamma="scale", n_components: int = 100, seed: int = 42, max_iter: int = 100,
-              epsilon: float = 0.1):
+
+def train_svm(df: DataFrame, features: list[str], label: str = "label", task: str = "classification", C: float = 1.0,
+              kernel: str = "rbf", gamma="scale", n_components: int = 100, seed: int = 42, max_iter: int = 200,
+              epsilon: float = 0.1, coef0: float = 0.0, degree: int = 3, probability: bool = True,
+              n_classes: int | None = None) -> GradientModel:
     """Support vector machine (M3 classification, M4 regression).
 
-    C is scikit-learn's sum-loss weight: ``regParam = 1 / (C * n_train)``.
-    kernel 'linear' uses the features as they are, 'rbf' random Fourier
-    features; 'poly' and 'sigmoid' have no distributed counterpart here.
-    More than two classes -> one-vs-rest. Regression trains the
-    epsilon-insensitive loss with ``GradientModel``.
+    C weighs the summed loss, as in scikit-learn. Kernels other than the linear
+    one are feature maps of ``n_components`` dimensions. Classes are 0..k-1;
+    with more than two each is told from the others, in one fit. The probabilities are
+    calibrated by Platt's method on margins of three more fits, each without a
+    third of the rows, which share the passes of the first one.
     """
-    if kernel not in ("linear", "rbf"):
-        raise ValueError(f"kernel {kernel!r} is not supported (linear, rbf)")
-    proj = None
-    if kernel == "rbf":
-        proj = RandomFeatures(features, rbf_gamma(df, features, gamma), n_components, seed)
-    if task != "classification":
-        base = df if proj is None else proj.add(df)
-        fcols = features if proj is None else proj.names
-        gm = GradientModel.fit(base, fcols, label, loss="epsilon_insensitive", hidden=(),
-                               alpha=1.0 / C, max_iter=max_iter, seed=seed,
-                               epsilon=epsilon)
-        return RffGradientModel(proj, gm) if proj is not None else gm
-    n = df.count()
-    n_classes = df.select(label).distinct().limit(3).count()
-    svc = LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / (C * max(n, 1)),
-                    standardization=False, maxIter=max_iter)
-    tmp = SvmModel(features, proj, None, label)
-    data = tmp.project(df)
-    est = (OneVsRest(classifier=svc, featuresCol="features", labelCol=label, rawPredictionCol="rawPrediction",
-                     parallelism=4)
-           if n_classes > 2 else svc)
-    tmp.model = est.fit(data)
-    return tmp
-
-
-@dataclass
-class RffGradientModel:
-    projection: RandomFeatures
-    model: GradientModel
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.projection.add(df)).drop(*self.projection.names)
+    if kernel not in KERNELS:
+        raise ValueError(f"kernel {kernel!r} is not supported {KERNELS}")
+    calibrate = task == "classification" and probability
+    table = pack(df, features, label, folds=CALIBRATION_FOLDS if calibrate else 0)
+    try:
+        classes = n_classes or (class_count(df, label) if task == "classification" else 1)
+        parts = [f for f in range(CALIBRATION_FOLDS) if table.moments[f].n] if calibrate else []
+        calibrate = len(parts) == CALIBRATION_FOLDS
+        first = svm_net(df, table, task, C, kernel, gamma, coef0, degree, n_components, seed, max_iter, epsilon, max(classes, 2))
+        # the parts share the map, so that it is computed once
+        nets = [first, *[replace(first, without_fold=f) for f in parts if calibrate]]
+        model, *others = fit_nets(table, nets)
+        if calibrate:
+            model.platt = fit_platt(table, others)
+        return model
+    finally:
+        table.close()
+
+
+def class_count(df: DataFrame, label: str) -> int:
+    most = df.agg(F.max(qcol(label))).first()[0]
+    return 1 if most is None else int(most) + 1
 
 
 # M5 / M6 ----------------------------------------------------------------------
@@ -226,327 +188,54 @@ def parse_hidden(hidden) -> tuple[int, ...]:
     return tuple(int(x) for x in hidden)
 
 
-def _act(name: str):
-    if name == "relu":
-        return (lambda z: np.maximum(z, 0.0)), (lambda a: (a > 0).astype(a.dtype))
-    if name == "tanh":
-        return np.tanh, (lambda a: 1.0 - a * a)
-    if name in ("logistic", "sigmoid"):
-        f = lambda z: 1.0 / (1.0 + np.exp(-z))
-        return f, (lambda a: a * (1.0 - a))
-    if name == "identity":
-        return (lambda z: z), (lambda a: np.ones_like(a))
-    raise ValueError(f"unknown activation {name!r}")
-
-
-def _forward(weights, X, activation):
-    f, _ = _act(activation)
-    acts = [X]
-    a = X
-    for i in range(0, len(weights) - 2, 2):
-        a = f(a @ weights[i] + weights[i + 1])
-        acts.append(a)
-    out = a @ weights[-2] + weights[-1]
-    return acts, out
-
-
-def _batch_grad(weights, X, y, activation, loss, epsilon, n_out):
-    """Sum of loss gradients over one batch (numpy), plus the loss sum."""
-    _, dact = _act(activation)
-    acts, out = _forward(weights, X, activation)
-    if loss == "squared":
-        r = out[:, 0] - y
-        lsum = float(0.5 * np.sum(r * r))
-        delta = r[:, None]
-    elif loss == "epsilon_insensitive":
-        r = out[:, 0] - y
-        lsum = float(np.sum(np.maximum(np.abs(r) - epsilon, 0.0)))
-        delta = (np.sign(r) * (np.abs(r) > epsilon))[:, None]
-    else:  # softmax cross-entropy, y holds class indices
-        z = out - out.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        idx = y.astype(int)
-        lsum = float(-np.sum(np.log(np.clip(p[np.arange(len(idx)), idx], 1e-15, None))))
-        p[np.arange(len(idx)), idx] -= 1.0
-        delta = p
-    grads = [None] * len(weights)
-    for layer in range(len(weights) // 2 - 1, -1, -1):
-        a_in = acts[layer]
-        grads[2 * layer] = a_in.T @ delta
-        grads[2 * layer + 1] = delta.sum(axis=0)
-        if layer > 0:
-            delta = (delta @ weights[2 * layer].T) * dact(acts[layer])
-    return grads, lsum
-
-
-GRADIENT_FANOUT = 64
-
-
-def _array_sum(col: str, size: int) -> Column:
-    """Element-wise sum of the arrays collected in one group."""
-    return F.aggregate(F.collect_list(col), F.array_repeat(F.lit(0.0), size),
-                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-
-
-GRADIENT_COLLECT_MAX_PARTITIONS = 256
-
-
-def sum_partial_gradients(parts: DataFrame, size: int, fanout: int = GRADIENT_FANOUT,
-                          n_partitions: int | None = None):
-    """Sum the one-row-per-partition gradients.
-
-    Up to ``GRADIENT_COLLECT_MAX_PARTITIONS`` partitions the partial arrays
-    are collected and summed on the driver (a proven bound of that many
-    arrays). Above it they are summed on the executors as a two-level tree:
-    groups of partitions first (each group holds at most partitions / fanout
-    arrays), then the ``fanout`` group sums, so only one array of ``size``
-    doubles reaches the driver.
-    """
-    if n_partitions is not None and n_partitions <= GRADIENT_COLLECT_MAX_PARTITIONS:
-        rows = parts.collect()
-        return {"g": np.sum([np.array(r["g"]) for r in rows], axis=0) if rows else np.zeros(size),
-                "l": sum(r["l"] for r in rows)}
-    level1 = (parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(fanout)).alias("t"))
-              .agg(_array_sum("g", size).alias("g"), F.sum("l").alias("l")))
-    return level1.agg(_array_sum("g", size).alias("g"), F.sum("l").alias("l")).first()
-
+def mlp_net(task: str = "classification", hidden="100,50", activation: str = "relu", max_iter: int = 200, alpha: float = 1e-4,
+            seed: int = 42, classes: int = 2, without_fold: int | None = None) -> Net:
+    return Net("softmax" if task == "classification" else "squared", parse_hidden(hidden), activation,
+               classes=max(classes, 2) if task == "classification" else 1, penalty=alpha, seed=seed, max_iter=max_iter, tol=1e-5,
+               without_fold=without_fold)
 
-@dataclass
-class GradientModel:
-    """Distributed full-batch gradient model (linear when ``hidden`` is empty)."""
-    features: list[str]
-    weights: list
-    activation: str
-    loss: str
-    classes: int = 1
-    x_mean: np.ndarray | None = None
-    x_std: np.ndarray | None = None
-    prediction: str = "prediction"
-    history: list | None = None
-    y_mean: float = 0.0
-    y_std: float = 1.0
-
-    @staticmethod
-    def fit(df: DataFrame, features: list[str], label: str, loss: str = "squared",
-            hidden=(100,), activation: str = "relu", alpha: float = 1e-4, max_iter: int = 200,
-            lr: float | None = None, seed: int = 42, epsilon: float = 0.1, n_classes: int | None = None,
-            tol: float = 1e-4, n_iter_no_change: int = 10) -> "GradientModel":
-        """Adam on the full-batch gradient; one Spark job per iteration.
-
-        Networks start at random weights with rate 0.001; linear models start
-        at zero with rate 0.1, which falls to zero along a cosine, so they get
-        to the optimum wherever it lies. A missing feature is an error.
-
-        Stops after ``max_iter`` iterations, or when the loss has not improved
-        by at least ``tol`` for ``n_iter_no_change`` iterations in a row (the
-        stopping rule of scikit-learn's MLP estimators, same defaults).
-        """
-        from veritab.session import ship_package
-        spark = df.sparkSession
-        ship_package(spark)
-        hidden = parse_hidden(hidden)
-        data = df.select(*[as_double(c, df.schema[c].dataType).alias(f"x{i}")
-                           for i, c in enumerate(features)],
-                         qcol(label).cast("double").alias("y"))
-        data = data.where(qcol("y").isNotNull()).persist()
-        rate = lr if lr is not None else 1e-3 if hidden else 0.1
-        try:
-            d = len(features)
-            stats = data.agg(F.count("*").alias("n"), *[F.count(f"x{i}").alias(f"c{i}") for i in range(d)],
-                             *[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)],
-                             *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(d)],
-                             F.avg("y").alias("ym"), F.stddev_pop("y").alias("ys")).first()
-            n = stats["n"]
-            holes = [features[i] for i in range(d) if stats[f"c{i}"] < n]
-            if holes:
-                raise ValueError(f"features with missing values: {holes}; drop or fill them first")
-            if not n:
-                raise ValueError("no rows with a label")
-            mean = np.array([stats[f"m{i}"] or 0.0 for i in range(d)])
-            std = np.array([stats[f"s{i}"] or 0.0 for i in range(d)])
-            std[std == 0] = 1.0
-            # Regression targets are standardised for the optimiser (epsilon
-            # follows in the same units); predictions are mapped back.
-            if loss == "softmax":
-                y_mean, y_std = 0.0, 1.0
-            else:
-                y_mean, y_std = float(stats["ym"] or 0.0), float(stats["ys"] or 1.0) or 1.0
-            eps_scaled = epsilon / y_std
-            if loss == "softmax":
-                k = n_classes or int(data.agg(F.max("y")).first()[0]) + 1
-            else:
-                k = 1
-            sizes = [d, *hidden, k]
-            rng = np.random.default_rng(seed)
-            weights = []
-            for a, b in zip(sizes[:-1], sizes[1:]):
-                bound = math.sqrt(6.0 / (a + b))
-                weights += [rng.uniform(-bound, bound, size=(a, b)) if hidden else np.zeros((a, b)), np.zeros(b)]
-            m = [np.zeros_like(w) for w in weights]
-            v = [np.zeros_like(w) for w in weights]
-            b1, b2, eps = 0.9, 0.999, 1e-8
-            history = []
-            best, stale = float("inf"), 0
-            schema = "g array<double>, l double"
-            shapes = [w.shape for w in weights]
-            n_params = int(sum(np.prod(shp) for shp in shapes))
-            n_parts = data.rdd.getNumPartitions()
-            for it in range(1, max_iter + 1):
-                bw = spark.sparkContext.broadcast([w for w in weights])
-                act, lss, mu, sd, ym, ys = activation, loss, mean, std, y_mean, y_std
-
-                def part_grad(batches, bw=bw, act=act, lss=lss, mu=mu, sd=sd, ym=ym, ys=ys):
-                    import pandas as pd
-                    ws = bw.value
-                    tot = [np.zeros_like(w) for w in ws]
-                    lsum = 0.0
-                    for pdf in batches:
-                        if len(pdf) == 0:
-                            continue
-                        X = (pdf[[f"x{i}" for i in range(len(mu))]].to_numpy() - mu) / sd
-                        yv = (pdf["y"].to_numpy() - ym) / ys
-                        g, ls = _batch_grad(ws, X, yv, act, lss, eps_scaled, k)
-                        tot = [t + gg for t, gg in zip(tot, g)]
-                        lsum += ls
-                    flat = np.concatenate([t.ravel() for t in tot])
-                    yield pd.DataFrame({"g": [flat.tolist()], "l": [lsum]})
-
-                total = sum_partial_gradients(data.mapInPandas(part_grad, schema), n_params,
-                                              n_partitions=n_parts)
-                bw.unpersist()
-                flat = np.array(total["g"])
-                lsum = total["l"]
-                grads, off = [], 0
-                for shp in shapes:
-                    size = int(np.prod(shp))
-                    grads.append(flat[off:off + size].reshape(shp) / n)
-                    off += size
-                reg = sum(float(np.sum(weights[i] ** 2)) for i in range(0, len(weights), 2))
-                history.append(lsum / n + 0.5 * alpha * reg / n)
-                for i in range(len(weights)):
-                    g = grads[i] + (alpha * weights[i] / n if i % 2 == 0 else 0.0)
-                    m[i] = b1 * m[i] + (1 - b1) * g
-                    v[i] = b2 * v[i] + (1 - b2) * g * g
-                    mh = m[i] / (1 - b1 ** it)
-                    vh = v[i] / (1 - b2 ** it)
-                    step = rate if hidden else rate * 0.5 * (1 + math.cos(math.pi * it / max_iter))
-                    weights[i] = weights[i] - step * mh / (np.sqrt(vh) + eps)
-                if hidden and history[-1] > best - tol:
-                    stale += 1
-                    if stale >= n_iter_no_change:
-                        break
-                else:
-                    stale = 0
-                best = min(best, history[-1])
-        finally:
-            data.unpersist()
-        return GradientModel(features, weights, activation, loss, k, mean, std, history=history,
-                             y_mean=y_mean, y_std=y_std)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction`` with an Arrow UDF; for softmax the class index,
-        and ``probability``. A row with a missing feature gets NULL."""
-        from veritab.session import ship_package
-        spark = df.sparkSession
-        ship_package(spark)
-        bw = spark.sparkContext.broadcast(self.weights)
-        act, mu, sd = self.activation, self.x_mean, self.x_std
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def outputs(*cols):
-            import pandas as pd
-            X = (np.column_stack([c.to_numpy(dtype=float) for c in cols]) - mu) / sd
-            _, out = _forward(bw.value, X, act)
-            return pd.Series([None if bad else row for bad, row in zip(np.isnan(X).any(axis=1), out.tolist())])
-
-        xs = [as_double(c, df.schema[c].dataType) for c in self.features]
-        out = df.withColumn("__out", outputs(*xs))
-        if self.loss != "softmax":
-            return out.withColumn(self.prediction, F.col("__out")[0] * self.y_std + self.y_mean).drop("__out")
-        each = F.transform("__out", lambda z: F.exp(z - F.array_max("__out")))
-        total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
-        return (out.withColumn(self.prediction, (F.array_position("__out", F.array_max("__out")) - 1).cast("double"))
-                .withColumn("probability", F.when(F.col("__out").isNotNull(),
-                                                  array_to_vector(F.transform(each, lambda p: p / total))))
-                .drop("__out"))
-
-
-def train_mlp(df: DataFrame, features: list[str], label: str = "label",
-              task: str = "classification", hidden="100,50", activation: str = "relu",
-              max_iter: int = 200, alpha: float = 1e-4, seed: int = 42, lr: float | None = None):
+def train_mlp(df: DataFrame, features: list[str], label: str = "label", task: str = "classification", hidden="100,50",
+              activation: str = "relu", max_iter: int = 200, alpha: float = 1e-4, seed: int = 42, n_classes: int | None = None,
+              lr: float | None = None):
     """Multi-layer perceptron (M5 classification, M6 regression).
 
     Classification with the sigmoid/logistic activation is Spark ML's
-    ``MultilayerPerceptronClassifier``; relu/tanh classification and all
-    regression use ``GradientModel``.
+    ``MultilayerPerceptronClassifier``; the rest is trained by ``gradient``.
+    ``lr``, the rate of a gradient step, is accepted and has no effect: the
+    line search finds the steps.
     """
-    hidden = parse_hidden(hidden)
-    if task == "classification":
-        k = int(df.agg(F.max(qcol(label))).first()[0]) + 1
-        if activation in ("sigmoid", "logistic"):
-            mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label,
-                                                 layers=[len(features), *hidden, k],
-                                                 maxIter=max_iter, seed=seed)
-            return Pipeline(stages=[*assembler(features), mlp]).fit(df)
-        return GradientModel.fit(df, features, label, loss="softmax", hidden=hidden,
-                                 activation=activation, alpha=alpha, max_iter=max_iter,
-                                 lr=lr, seed=seed, n_classes=k)
-    return GradientModel.fit(df, features, label, loss="squared", hidden=hidden,
-                             activation=activation, alpha=alpha, max_iter=max_iter, lr=lr, seed=seed)
+    k = (n_classes or class_count(df, label)) if task == "classification" else 1
+    if task == "classification" and activation in ("sigmoid", "logistic"):
+        width = len(features)
+        if wide := wide_columns(df, features):
+            first = df.select(*wide).first()
+            width += sum(first[c].size for c in wide) - len(wide) if first else 0
+        mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=[width, *parse_hidden(hidden), k],
+                                             maxIter=max_iter, seed=seed)
+        return Pipeline(stages=[*assembler(features), mlp]).fit(df)
+    table = pack(df, features, label)
+    try:
+        return fit_nets(table, [mlp_net(task, hidden, activation, max_iter, alpha, seed, k)])[0]
+    finally:
+        table.close()
 
 
 # Saving ----------------------------------------------------------------------
 
 def model_to_json(model) -> tuple[str, object | None]:
     """(JSON of what this module's classes hold, the Spark ML model inside or None)."""
-    def spec(m):
-        if isinstance(m, RandomFeatures):
-            return {"kind": "features", **vars(m)}, None
-        if isinstance(m, LabelledModel):
-            inner, ml = spec(m.model)
-            return {"kind": "labelled", "labels": m.labels, "model": inner}, ml
-        if isinstance(m, SvmModel):
-            return {"kind": "svm", "features": m.features, "label": m.label,
-                    "projection": spec(m.projection)[0] if m.projection else None}, m.model
-        if isinstance(m, RffGradientModel):
-            return {"kind": "rff_gradient", "projection": spec(m.projection)[0], "model": spec(m.model)[0]}, None
-        if isinstance(m, GradientModel):
-            own = vars(m) | {"weights": [w.tolist() for w in m.weights], "x_mean": m.x_mean.tolist(), "x_std": m.x_std.tolist()}
-            return {"kind": "gradient", **own}, None
-        return {"kind": "ml"}, m
-
-    out, ml = spec(model)
-    if ml is not None:
-        out["ml_class"] = type(ml).__name__
-    return json.dumps(out), ml
+    labels, inner = (model.labels, model.model) if isinstance(model, LabelledModel) else (None, model)
+    if isinstance(inner, GradientModel):
+        return json.dumps({"labels": labels, "gradient": inner.to_dict()}), None
+    return json.dumps({"labels": labels, "ml_class": type(inner).__name__}), inner
 
 
 def model_from_json(text: str, ml_path: str):
-    """The inverse of ``model_to_json``; the Spark ML part is read from ``ml_path``."""
-    from pyspark.ml.classification import LinearSVCModel, OneVsRestModel
-    readers = {"PipelineModel": PipelineModel, "LinearSVCModel": LinearSVCModel, "OneVsRestModel": OneVsRestModel}
-    top = json.loads(text)
-
-    def build(d):
-        d = dict(d)
-        kind = d.pop("kind")
-        d.pop("ml_class", None)
-        if kind == "features":
-            return RandomFeatures(**d)
-        if kind == "labelled":
-            return LabelledModel(build(d["model"]), d["labels"])
-        if kind == "svm":
-            return SvmModel(d["features"], build(d["projection"]) if d["projection"] else None,
-                            readers[top["ml_class"]].load(ml_path), d["label"])
-        if kind == "rff_gradient":
-            return RffGradientModel(build(d["projection"]), build(d["model"]))
-        if kind == "gradient":
-            return GradientModel(**d | {"weights": [np.array(w) for w in d["weights"]], "x_mean": np.array(d["x_mean"]),
-                                        "x_std": np.array(d["x_std"])})
-        return readers[top["ml_class"]].load(ml_path)
-
-    return build(top)
+    """The inverse of ``model_to_json``; a Spark ML model is read from ``ml_path``."""
+    own = json.loads(text)
+    model = GradientModel.from_dict(own["gradient"]) if "gradient" in own else PipelineModel.load(ml_path)
+    return model if own["labels"] is None else LabelledModel(model, own["labels"])
 
 
 # M7 -------------------------------------------------------------------------
@@ -568,6 +257,24 @@ class LabelledModel:
                                                          F.col("prediction").cast("int") + 1))
 
 
+#: Classes that a classifier may have. It holds outputs for each, so more are
+#: a sign of a label that is none.
+MAX_CLASSES = 10_000
+
+
+def class_labels(df: DataFrame, label: str) -> list[float]:
+    """The sorted distinct labels, as doubles."""
+    rows = (df.select(qcol(label).cast("double").alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_CLASSES + 1).collect())
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes; train a regression or group the labels first")
+    return sorted(r["v"] for r in rows)
+
+
+def label_order(model) -> list | None:
+    """The labels in the order of the entries of ``probability``; None stands for 0..k-1."""
+    return model.labels if isinstance(model, LabelledModel) else None
+
+
 def train(df: DataFrame, features: list[str], label: str, model_type: str, task: str,
           params: dict | None = None):
     """Dispatch by family: random_forest, svm, neural_network. Numeric classes
@@ -576,22 +283,33 @@ def train(df: DataFrame, features: list[str], label: str, model_type: str, task:
     params = dict(params or {})
     df = spread_for_iterations(df)
     if task == "classification":
-        labels = sorted(r[0] for r in df.select(qcol(label).cast("double")).where(qcol(label).isNotNull()).distinct().collect())
+        labels = class_labels(df, label)
+        if model_type != "random_forest":
+            params["n_classes"] = len(labels)
         if labels != [float(i) for i in range(len(labels))]:
-            index = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, float(i))]),
-                                 qcol(label).cast("double"))
-            own = df.select(*[index.alias(c) if c == label else qcol(c) for c in df.columns])
-            return LabelledModel(_train(own, features, label, model_type, task, params), labels)
+            return LabelledModel(_train(index_labels(df, label, labels), features, label, model_type, task, params), labels)
     return _train(df, features, label, model_type, task, params)
 
 
+def index_labels(df: DataFrame, label: str, labels: list[float]) -> DataFrame:
+    index = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, float(i))]), qcol(label).cast("double"))
+    return df.select(*[index.alias(c) if c == label else qcol(c) for c in df.columns])
+
+
+def family_params(model_type: str, params: dict) -> dict:
+    """Parameters by this library's names."""
+    params = dict(params)
+    if "hidden_layer_sizes" in params:
+        params["hidden"] = params.pop("hidden_layer_sizes")
+    return params
+
+
 def _train(df: DataFrame, features: list[str], label: str, model_type: str, task: str, params: dict):
+    params = family_params(model_type, params)
     if model_type == "random_forest":
         return train_random_forest(df, features, label, task, **params)
     if model_type == "svm":
         return train_svm(df, features, label, task, **params)
     if model_type in ("neural_network", "mlp"):
-        if "hidden_layer_sizes" in params:
-            params["hidden"] = params.pop("hidden_layer_sizes")
         return train_mlp(df, features, label, task, **params)
     raise ValueError(f"unknown model type {model_type!r}")

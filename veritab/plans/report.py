@@ -37,21 +37,31 @@ def profile_report(df: DataFrame, target: str | None = None, bins: int = 30,
 
 def evaluation_report(predictions: DataFrame, split_table: DataFrame, features: list[str],
                       task: str, label: str = "label", prediction: str = "prediction",
-                      sections=SECTIONS, shift_columns: int | None = None) -> dict[str, DataFrame]:
-    """Metrics, confusion matrix, ROC of two-class probabilities, data quality
-    of the test features and the train/test mean shift of the numeric features
-    (the first ``shift_columns`` of them if given) (E5)."""
+                      sections=SECTIONS, shift_columns: int | None = None, labels: list | None = None) -> dict[str, DataFrame]:
+    """Metrics, confusion matrix, ROC curve and area of the class
+    probabilities, data quality of the test features and the train/test mean
+    shift of the numeric features (the first ``shift_columns`` of them if
+    given) (E5).
+
+    ``labels`` is the order of the classes in ``probability``
+    (``models.label_order``; None: 0..k-1). The curve and the area of two
+    classes are those of the second one; of several classes there is the area
+    over their pairs, and each class's own against the rest (``class_auc``).
+    """
     out = {}
     if task == "classification" and "ClassificationQuality" in sections:
         out["metrics"] = E.classification_metrics(predictions, label, prediction)
         out["confusion_matrix"] = E.confusion_matrix(predictions, label, prediction)
     if (task == "classification" and "ProbClassificationQuality" in sections
             and "probability" in predictions.columns):
-        from pyspark.ml.functions import vector_to_array
-        scored = predictions.withColumn("__p1", vector_to_array("probability")[1])
-        if predictions.select(label).distinct().limit(3).count() <= 2:
-            out["roc_curve"] = E.roc_points(scored, label, "__p1", positive=1)
-            out["roc_auc"] = E.roc_auc(scored, label, "__p1", positive=1)
+        pairs = E.class_pair_auc(predictions, label, "probability", labels)
+        first = predictions.select(F.size(E.class_values(predictions, "probability")).alias("k")).where("k > 0").first()
+        if first is not None and first["k"] == 2:
+            scored = predictions.withColumn("__p1", E.class_values(predictions, "probability")[1])
+            out["roc_curve"] = E.roc_points(scored, label, "__p1", positive=1 if labels is None else labels[1])
+        out["roc_auc"] = E.multiclass_auc(pairs)
+        out["class_auc"] = E.class_auc(pairs)
+        out["log_loss"] = E.log_loss(predictions, label, "probability", labels)
     if task != "classification" and "RegressionQuality" in sections:
         out["metrics"] = E.regression_metrics(predictions, label, prediction)
     if "DataQuality" in sections:

@@ -1,24 +1,29 @@
 """Grid and random search with k-fold cross-validation.
 
-Folds are a hash column (T2) on one persisted copy of the data; each
-(combination, fold) fit is an ordinary distributed Spark job, and up to
-``parallelism`` of them are submitted concurrently from driver threads (as
-``CrossValidator(parallelism=...)`` does). Only the grid x folds score table
-comes back to the driver.
+Folds are a column (T2). Support vector machines and networks of all
+combinations and folds are trained together: one pass over the packed rows
+serves every model that has not ended, and one more pass scores them all.
+Forests are ordinary Spark ML fits on one persisted copy of the data, up to
+``parallelism`` at a time. Only the grid x folds score table comes back to the
+driver.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.exprs import qcol
 from veritab.operators import evaluate as E
-from veritab.operators.models import train
+from veritab.operators import models
+from veritab.operators.gradient import GradientModel, Table, _unpacked, fit_nets, pack
 from veritab.operators.tuning import (assign_folds, grid_combinations, grid_dict, rank_results,
                                       random_search as sample_grid)
 
@@ -34,8 +39,12 @@ class SearchResult:
     scores: DataFrame         # combo, fold, score
 
 
-def score_predictions(pred: DataFrame, label: str, objective: str) -> float:
-    """Higher is better for every objective (errors are returned negated)."""
+def score_predictions(pred: DataFrame, label: str, objective: str, labels: list | None = None) -> float | None:
+    """Higher is better for every objective (errors are returned negated).
+
+    ``labels`` is the order of the classes in ``probability`` (``models.label_order``).
+    ``auc`` is the area for the second of two classes, and the mean over the
+    pairs of several; it is None where only one class has rows."""
     if objective == "accuracy":
         return E.accuracy(pred, label).first()[0]
     if objective in ("f1", "precision", "recall"):
@@ -44,21 +53,99 @@ def score_predictions(pred: DataFrame, label: str, objective: str) -> float:
         m = {r["name"]: r["value"] for r in E.regression_metrics(pred, label).collect()}
         return -(m[E.RMSE] if objective == "rmse" else m[E.MSE])
     if objective == "auc":
-        sc = "probability" if "probability" in pred.columns else "prediction"
-        p = pred
-        if sc == "probability":
-            from pyspark.ml.functions import vector_to_array
-            p = pred.withColumn("__s", vector_to_array("probability")[1])
-            sc = "__s"
-        return E.roc_auc(p, label, sc, positive=1).first()[0]
+        if "probability" not in pred.columns:
+            raise ValueError("auc needs a classifier with probabilities")
+        return E.multiclass_auc(E.class_pair_auc(pred, label, "probability", labels)).first()[0]
     if objective == "log_loss":
-        from pyspark.ml.functions import vector_to_array
-        pr = vector_to_array("probability")
-        p = F.element_at(pr, qcol(label).cast("int") + 1)
-        return -pred.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15))))).first()[0]
+        loss = E.log_loss(pred, label, "probability", labels).first()[0]
+        return None if loss is None else -loss
     raise ValueError(f"unknown objective {objective!r}")
 
 
+def _together(model_type: str, task: str, params: dict, objective: str) -> bool:
+    """Whether the engine that trains many models at once has this one."""
+    if objective not in COUNTED:
+        return False
+    if model_type == "svm":
+        return True
+    return model_type in ("neural_network", "mlp") and not (
+        task == "classification" and params.get("activation", "relu") in ("sigmoid", "logistic"))
+
+
+#: Objectives that follow from counts of (label, prediction) or sums of errors.
+COUNTED = ("accuracy", "f1", "precision", "recall", "rmse", "neg_mean_squared_error")
+
+
+def fit_together(data: DataFrame, features: list[str], label: str, model_type: str, task: str, combos: list[dict], k: int,
+                 objective: str) -> list[tuple[int, int, float | None]]:
+    """(combo, fold, score) of all combinations, trained and scored in shared passes."""
+    labels = models.class_labels(data, label) if task == "classification" else []
+    if labels and labels != [float(i) for i in range(len(labels))]:
+        data = models.index_labels(data, label, labels)
+    jobs = [(ci, f) for ci in range(len(combos)) for f in range(k)]
+    table = pack(data, features, label, fold="fold", folds=k)
+    try:
+        nets = []
+        for ci, f in jobs:
+            own = models.family_params(model_type, combos[ci])
+            if model_type == "svm":
+                own = {c: v for c, v in own.items() if c != "probability"}
+                nets.append(models.svm_net(data.where(F.col("fold") != f), table, task, classes=max(len(labels), 2), without_fold=f, **own))
+            else:
+                own.pop("lr", None)
+                nets.append(models.mlp_net(task, classes=len(labels), without_fold=f, **own))
+        scores = score_together(table, fit_nets(table, nets), [f for _, f in jobs], task, objective)
+    finally:
+        table.close()
+    return [(ci, f, scores.get(j)) for j, (ci, f) in enumerate(jobs)]
+
+
+def score_together(table: Table, fitted: list[GradientModel], folds: list[int], task: str, objective: str) -> dict[int, float]:
+    """Score of every model on the rows of its fold, in one pass."""
+    sent = table.blocks.sparkSession.sparkContext.broadcast((fitted, folds))
+    width, has_wide = len(table.dense), bool(table.wide)
+
+    def part(batches):
+        counts: dict[tuple, list[float]] = {}
+        own, at = sent.value
+        for block in _unpacked(batches, width, has_wide):
+            test = {f: block.rows(block.fold == f) for f in set(at)}
+            for j, (model, f) in enumerate(zip(own, at)):
+                rows = test[f]
+                if not len(rows.y):
+                    continue
+                out = model.margins(rows.x, rows.wide)
+                if task == "classification":
+                    p = (out[:, 0] > 0).astype(float) if out.shape[1] == 1 else out.argmax(axis=1).astype(float)
+                    pairs, n = np.unique(np.column_stack([rows.y, p]), axis=0, return_counts=True)
+                    for (y, q), c in zip(pairs.tolist(), n.tolist()):
+                        counts.setdefault((j, y, q), [0.0, 0.0])[0] += c
+                else:
+                    r = out[:, 0] * model.y_std + model.y_mean - rows.y
+                    total = counts.setdefault((j, 0.0, 0.0), [0.0, 0.0])
+                    total[0] += len(r)
+                    total[1] += float(r @ r)
+        if counts:
+            keys, sums = zip(*counts.items())
+            columns = [*zip(*keys), *zip(*sums)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]],
+                                             names=["job", "label", "prediction", "n", "squares"])
+
+    parts = (table.blocks.mapInArrow(part, "job int, label double, prediction double, n double, squares double")
+             .groupBy("job", "label", "prediction").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares")))
+    if task != "classification":
+        mse = F.col("squares") / F.col("n")
+        out = parts.select("job", (-(F.sqrt(mse) if objective == "rmse" else mse)).alias("score"))
+    elif objective == "accuracy":
+        hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0.0)
+        out = parts.groupBy("job").agg((F.sum(hit) / F.sum("n")).alias("score"))
+    else:
+        out = E.macro_of_counts(parts, ["job"]).select("job", F.col(objective).alias("score"))
+    found = {r["job"]: r["score"] for r in out.collect()}
+    sent.unpersist()
+    return found
+
+
 def cross_validate(df: DataFrame, features: list[str], label: str, model_type: str, task: str,
                    combos: list[dict], k: int = 3, key: str | None = None, seed: int = 42,
                    objective: str | None = None, parallelism: int = 4) -> SearchResult:
@@ -70,6 +157,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
         # Stratified folds read the input three times (class count, cell
         # counts, numbering); keep it for those passes only.
         base = base.persist()
+    together = [i for i, c in enumerate(combos) if _together(model_type, task, c, objective)]
     data = spread_for_iterations(assign_folds(base, k, key, seed, stratify=stratify)).persist()
     try:
         # Materialise once before the concurrent fits, so the threads do not
@@ -77,17 +165,23 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
         data.count()
         if stratify is not None:
             base.unpersist()
+        rows = []
+        if together:
+            found = fit_together(data, features, label, model_type, task, [combos[i] for i in together], k, objective)
+            rows = [(together[i], f, s) for i, f, s in found]
+
         def run(job):
             ci, f = job
             tr = data.where(F.col("fold") != f)
             te = data.where(F.col("fold") == f)
-            model = train(tr, features, label, model_type, task, combos[ci])
-            return ci, f, float(score_predictions(model.transform(te), label, objective))
-        jobs = [(ci, f) for ci in range(len(combos)) for f in range(k)]
+            model = models.train(tr, features, label, model_type, task, combos[ci])
+            return ci, f, score_predictions(model.transform(te), label, objective, models.label_order(model))
+        jobs = [(ci, f) for ci in range(len(combos)) for f in range(k) if ci not in together]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            rows = list(ex.map(run, jobs))
+            rows += list(ex.map(run, jobs))
     finally:
         data.unpersist()
+    rows = sorted((ci, f, None if s is None else float(s)) for ci, f, s in rows)
     spark = df.sparkSession
     scores = spark.createDataFrame(rows, "combo int, fold int, score double")
     params = spark.createDataFrame([(i, {k2: json.dumps(v) for k2, v in c.items()})
@@ -96,9 +190,11 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
     ranked = rank_results(scores).join(F.broadcast(params), "combo")
     means = {}
     for ci, _, s in rows:
-        means.setdefault(ci, []).append(s)
-    best_ci = max(range(len(combos)), key=lambda i: (sum(means[i]) / len(means[i]), -i))
-    best = sum(means[best_ci]) / len(means[best_ci])
+        if s is not None:  # a fold with one class has no area
+            means.setdefault(ci, []).append(s)
+    mean = {i: sum(v) / len(v) for i, v in means.items()}
+    best_ci = max(range(len(combos)), key=lambda i: (mean.get(i, -math.inf), -i))
+    best = mean.get(best_ci, math.nan)
     return SearchResult(ranked, combos[best_ci], best, scores)
 
 
