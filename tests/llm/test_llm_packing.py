@@ -47,7 +47,7 @@ def test_ranges_equal_one_at_a_time(seed):
 
 def test_cached_ids_are_the_tokenizers_own():
     own = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    cached = packing.WordCachedTokenizer.load(packing.TOKENIZER)
+    cached = packing.WordTokenizer.load(packing.TOKENIZER)
     rng = random.Random(1)
     alphabet = [" ", " ", "\n", "\t", " ", " ", "a", "B", "é", "1", "!", "'s", "😀", "the", "\r\n", "\x1c", "\x85"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]

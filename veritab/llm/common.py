@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def byte_slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``limit`` bytes, at least one row each."""
+    if not len(sizes):
+        return iter(())
+    groups = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // limit
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(sizes)]])
+    return zip(edges[:-1].tolist(), edges[1:].tolist())
+
+
 def python_ready(spark: SparkSession) -> None:
     """Make this package importable in the Python workers."""
     ship_package(spark)

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, materialize, python_ready
+from .common import byte_slices, col, materialize, python_ready
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -21,28 +21,31 @@ END_ID = 2
 #: Pieces of one length are ranked in so many groups, so that a hot length
 #: (that of full pieces) is no single task.
 RANK_BUCKETS = 1024
-#: Words whose ids a Python worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
-PUNCTUATION = ".,;:!?%&$#*|()"
+#: Bytes of text that a worker tokenises at once, and words per call.
+SLICE_BYTES, CALL_WORDS = 8 << 20, 4096
+#: White space at a word's start (what a tokenizer may count as such, and more).
+GLUED = "^$|^[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
-class WordCachedTokenizer:
+class WordTokenizer:
     """Token ids of whole texts, the same as the tokenizer's own.
 
     In this byte-level BPE a blank before a character that is no white space
     always starts a new pre-token, so a text may be cut there and each cut
-    tokenised alone and remembered, by the word behind its blank. Cuts in runs
-    of white space are not made. A text with a special token goes to the
-    tokenizer whole.
+    tokenised alone. Arrow cuts the texts of a slice and finds the distinct
+    words; those are tokenised thousands at a time, one behind the other (only
+    a word's first token starts with a blank, which tells them apart), and
+    numpy puts the texts' ids together. Cuts in runs of white space are undone.
+    A text with a special token goes to the tokenizer whole.
     """
 
     def __init__(self, tokenizer, specials: Iterable[str] = ()):
         self.tokenizer, self.specials = tokenizer, tuple(specials)
-        self.run = re.compile(r" \s| \Z")
-        self.cache: dict[str, bytes] = {}
+        self.starts_blank = np.array([t is not None and t.startswith("\u0120") for t in map(
+            tokenizer.id_to_token, range(tokenizer.get_vocab_size()))])
 
     @classmethod
-    def load(cls, name: str) -> WordCachedTokenizer:
+    def load(cls, name: str) -> WordTokenizer:
         from tokenizers import Tokenizer
         path = name
         if not os.path.isabs(name):
@@ -51,75 +54,95 @@ class WordCachedTokenizer:
         tokenizer = Tokenizer.from_file(path)
         return cls(tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes()
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4")
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def cuts(self, text: str) -> tuple[str, list[str]]:
-        """The start of a text up to the first cut, and the words behind the
-        blanks at which it is cut."""
-        if any(s in text for s in self.specials):
-            return text, []
-        parts = text.split(" ")
-        if self.run.search(text):
-            joined = parts[:1]
-            for p in parts[1:]:
-                if not p or p[0].isspace():
-                    joined[-1] += " " + p
+    def distinct_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of words, each behind a blank, that hold no blank and
+        start with no white space."""
+        calls = [" " + " ".join(words[at:at + CALL_WORDS]) for at in range(0, len(words), CALL_WORDS)]
+        parts = [np.zeros(0, "<u4")]
+        for at in range(0, len(calls), 16):
+            parts += [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(calls[at:at + 16], add_special_tokens=False)]
+        ids = np.concatenate(parts)
+        at = np.flatnonzero(self.starts_blank[ids])
+        if len(at) != len(words):
+            raise ValueError("the tokenizer does not start a token at every blank")
+        return ids, np.diff(at, append=len(ids))
+
+    def encode_slice(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of all texts one behind the other, and how
+        many each text has."""
+        whole = [k for k, hit in enumerate(self._special(texts)) if hit]
+        if whole:
+            own = self.raw([texts[k].as_py() for k in whole])
+            texts = pc.if_else(pa.array(np.isin(np.arange(len(texts)), whole)), "", texts)
+        parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        offsets, flat = offsets - offsets[0], parts.flatten().dictionary_encode()
+        distinct, codes = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+        begins = offsets[:-1]
+        first = np.zeros(len(codes), bool)
+        first[begins] = True
+        odd = pc.match_substring_regex(distinct, GLUED).to_numpy(zero_copy_only=False)
+        glued = odd[codes] & ~first
+        words = distinct.to_pylist()
+        starts, extra = [words[c] for c in codes[begins]], {}
+        if glued.any():  # a run of such parts belongs to the word in front of it
+            at = np.flatnonzero(glued)
+            heads = at[np.concatenate([[True], np.diff(at) > 1])] - 1
+            ends = at[np.concatenate([np.diff(at) > 1, [True]])] + 1
+            text_of = np.searchsorted(offsets, heads, side="right") - 1
+            for head, end, k in zip(heads.tolist(), ends.tolist(), text_of.tolist()):
+                joined = " ".join([words[c] for c in codes[head:end]])
+                if first[head]:
+                    starts[k] = joined
                 else:
-                    joined.append(p)
-            parts = joined
-        return parts[0], parts[1:]
-
-    @staticmethod
-    def pieces(word: str) -> list[str]:
-        """A word as keys of the cache. Punctuation behind a letter and a single
-        newline within the word are pre-tokens of their own as well."""
-        left, newline, right = word.partition("\n")
-        if newline and (not left or not right or "\n" in right or left[-1].isspace() or right[0].isspace()):
-            return [word]
-        keys = []
-        for part, lead in ((left, ""), (right, "\n")) if newline else ((word, ""),):
-            stem = part.rstrip(PUNCTUATION)
-            if stem and stem != part and stem[-1].isalpha():
-                keys += [lead + stem, "\t" + part[len(stem):]]
-            else:
-                keys.append(lead + part)
-        return keys
-
-    @staticmethod
-    def spelled(key: str) -> str:
-        return key[1:] if key[:1] == "\t" else key if key[:1] == "\n" else " " + key
+                    codes[head] = len(words) + extra.setdefault(joined, len(extra))
+        keep = ~glued
+        counts = np.add.reduceat(keep.astype(np.int64), begins) if len(codes) else np.zeros(0, np.int64)
+        # entries: the distinct words, the glued ones, and each text's start, which has no blank in front
+        codes[begins] = len(words) + len(extra) + np.arange(len(texts))
+        used = np.unique(codes[keep])
+        used = used[used < len(words)]
+        ids, own_sizes = self.distinct_ids([words[c] for c in used])
+        single = self.raw([" " + w for w in extra]) + self.raw(starts)
+        for k, n in enumerate(whole):
+            single[len(extra) + n] = own[k]
+        sizes = np.zeros(len(words) + len(single), np.int64)
+        sizes[used] = own_sizes
+        sizes[len(words):] = [len(i) for i in single]
+        # the ids lie in the order of the entries, as the used words are sorted
+        pool = np.concatenate([ids, *single])
+        place = np.cumsum(sizes) - sizes
+        codes = codes[keep]
+        size = sizes[codes]
+        ends = np.cumsum(size)
+        gather = np.arange(ends[-1] if len(ends) else 0) + np.repeat(place[codes] - (ends - size), size)
+        return pool[gather], np.add.reduceat(size, np.cumsum(counts) - counts) if len(counts) else counts
+
+    def _special(self, texts: pa.StringArray) -> list[bool]:
+        hits = np.zeros(len(texts), bool)
+        for s in self.specials:
+            hits |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        return hits.tolist()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cuts = [self.cuts(t) for t in texts]
-        seen: set[str] = set()
-        for _, words in cuts:
-            seen.update(words)
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:  # what this batch needs stays
-            cache = self.cache = {w: cache[w] for w in seen if w in cache}
-        new = {w: self.pieces(w) for w in seen.difference(cache)}
-        keys = list({k for own in new.values() for k in own}.difference(cache))
-        cache.update(zip(keys, self.raw([self.spelled(k) for k in keys])))
-        for w, own in new.items():
-            if len(own) > 1:
-                cache[w] = b"".join([cache[k] for k in own])
-        find = cache.__getitem__
-        out = [start + b"".join(map(find, words)) for start, (_, words) in zip(self.raw([c[0] for c in cuts]), cuts)]
-        for w in {w for w in (*keys, *new) if len(w) > CACHE_CHARS}:
-            del cache[w]
-        return out
-
-
-_LOADED: dict[str, WordCachedTokenizer] = {}
-
-
-def _tokenizer(name: str) -> WordCachedTokenizer:
+        if not texts:
+            return []
+        ids, counts = self.encode_slice(pa.array(texts, pa.string()))
+        return [p.tobytes() for p in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+_LOADED: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(name: str) -> WordTokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
     if name not in _LOADED:
-        _LOADED[name] = WordCachedTokenizer.load(name)
+        _LOADED[name] = WordTokenizer.load(name)
     return _LOADED[name]
 
 
@@ -134,21 +157,25 @@ def _pieces(batches: Iterator[pa.RecordBatch], name: str, capacity: int, end_id:
     tokenizer = _tokenizer(name)
     end = np.asarray([end_id], "<u4").tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            ids, rows = part.column("doc_id"), []
-            for k, raw in enumerate(tokenizer.encode(part.column("text").to_pylist())):
-                raw += end
-                for piece, (start, length) in enumerate(piece_bounds(len(raw) // 4, capacity)):
-                    own = raw[4 * start:4 * (start + length)]
-                    rows.append((k, piece, start, length, zlib.crc32(own), own))
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        for first, last in byte_slices(sizes, SLICE_BYTES):
+            part = batch.slice(first, last - first)
+            flat, counts = tokenizer.encode_slice(part.column("text"))
+            raw, at, rows = flat.tobytes(), 0, []
+            for k, n in enumerate(counts.tolist()):
+                for piece, (start, length) in enumerate(piece_bounds(n + 1, capacity)):
+                    # only a text's last piece holds the end id
+                    own = raw[at + 4 * start:at + 4 * min(start + length, n)] + (end if start + length > n else b"")
+                    rows.append((k, piece, start, length, zlib.crc32(own), own if with_ids else None))
+                at += 4 * n
             back, piece, start, length, crc, own = zip(*rows)
-            arrays = [ids.take(pa.array(back, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+            arrays = [part.column("doc_id").take(pa.array(back, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                       pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 arrays, names = [*arrays, pa.array(own, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+            pa.default_memory_pool().release_unused()
 
 
 class CapacityTree:

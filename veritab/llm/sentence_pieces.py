@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, python_ready
+from .common import byte_slices, col, python_ready
 
 MODEL = "piece_bpe_32k.model"
 #: Bytes of text that a worker encodes at once. A longer text is encoded in
@@ -269,13 +269,6 @@ def _codec(name: str) -> PieceCodec:
     return _LOADED[name]
 
 
-def _slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``limit`` bytes, at least one row each."""
-    groups = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // limit
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(sizes)]])
-    return zip(edges[:-1].tolist(), edges[1:].tolist())
-
-
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
@@ -287,8 +280,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], name: str, with_spans: bool, wit
         if not batch.num_rows:
             continue
         text = batch.column("text").cast(pa.binary())
-        sizes = pa.compute.binary_length(text).to_numpy(zero_copy_only=False)
-        for start, end in _slices(sizes, SLICE_BYTES):
+        sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
+        for start, end in byte_slices(sizes, SLICE_BYTES):
             own = text.slice(start, end - start).to_pylist()
             ids = codec.encode(own)
             arrays, names = [batch.column("doc_id").slice(start, end - start), _lists(ids)], ["doc_id", "ids"]
