@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from llm_data import ODD, docs_table
@@ -59,3 +60,57 @@ def test_without_two_classes(spark, labels, score):
 
 def test_empty_table(spark):
     assert T.score_toxicity(docs_table(spark, []), labels_table(spark, [(1, 1), (2, 0)])).count() == 0
+
+
+def test_a_pair_of_harmless_terms_decides(spark):
+    """Either term is as frequent with label 1 as without; only both, or neither, is toxic."""
+    rng = np.random.default_rng(3)
+    fill = ["plain", "words", "stand", "around", "every", "text", "here", "today"]
+    docs, labels = [], []
+    for i in range(1500):
+        a, b = rng.integers(0, 2, 2)
+        words = [*rng.choice(fill, 5), *(["group"] if a else []), *(["verb"] if b else [])]
+        docs.append((i, " ".join(rng.permutation(words).tolist()), "en", "s"))
+        labels.append((i, int(a == b)))
+    out = T.score_toxicity(docs_table(spark, docs), labels_table(spark, labels)).collect()
+    want = dict(labels)
+    held = [r["predicted"] == want[r["doc_id"]] for r in out if r["held_out"]]
+    assert np.mean(held) > 0.95 and len({r["score"] for r in out}) > 2
+
+
+def test_pair_screen_against_brute_force():
+    rng = np.random.default_rng(4)
+    x = (rng.random((900, 7)) < 0.4).astype(np.uint8)
+    y = ((x[:, 1] & x[:, 5]) | (rng.random(900) < 0.2)).astype(int)
+
+    def contrast(i, j):
+        value = variance = 0.0
+        for p, q, sign in ((1, 1, 1), (1, 0, -1), (0, 1, -1), (0, 0, 1)):
+            own = y[(x[:, i] == p) & (x[:, j] == q)]
+            share = (own.sum() + 1) / (len(own) + 2)
+            value, variance = value + sign * share, variance + share * (1 - share) / len(own)
+        return abs(value) / variance ** 0.5
+
+    want = sorted({k for i in range(7) for j in range(7) if i != j and contrast(i, j) >= 4 for k in (i, j)})
+    assert T.interacting_terms(x, y, 4.0).tolist() == want == [1, 5]
+
+
+def test_scores_against_brute_force():
+    rng = np.random.default_rng(5)
+    terms = np.sort(rng.choice(1 << T.HASH_BITS, 40, replace=False)).astype(np.int32)
+    words = ["alpha", "beta", "gammas", "epsilon", "zetas"]
+    terms = np.unique(np.concatenate([terms, [T.word_terms(w)[0] for w in words], T.word_terms("epsilon")])).astype(np.int32)
+    m = T.FactorizationMachine(terms, 0.3, rng.normal(size=len(terms)), rng.normal(size=(len(terms), 3)))
+    for text in ("Alpha beta, epsilon; ALPHA", "zetas", "", "other"):
+        found = [int(np.searchsorted(terms, t)) for w in sorted(T.text_words(text)) for t in T.word_terms(w) if t in terms]
+        z = m.bias + sum(m.linear[i] for i in found)
+        z += sum(m.factors[i] @ m.factors[j] for k, i in enumerate(found) for j in found[k + 1:])
+        shares = [s for w in sorted(T.text_words(text)) if (s := m.word_share(w)) is not None]
+        assert m.score(shares) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_rows_that_repeat_a_labelled_id(spark):
+    docs = docs_table(spark, [(1, "bad word", "en", "s")] * 300 + [(i, "good word", "en", "s") for i in range(2, 40)])
+    labels = labels_table(spark, [(1, 1)] + [(i, 0) for i in range(2, 40)])
+    model = T.fit_toxicity(docs.select("doc_id", "text"), labels.select("doc_id", F.col("toxic").alias("label")))
+    assert model.bias == model.bias and T.score_toxicity(docs, labels).count() == 338

@@ -19,8 +19,12 @@ TRAIN_ROWS = 12_000
 HASH_BITS = 20
 #: A word gives itself and its beginnings of these lengths as terms.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Terms enter the machine from this z-score of their class difference on.
+#: Terms enter the machine from this z-score on: of their own class difference,
+#: or of an interaction with another term.
 MIN_Z = 5.0
+#: Terms that are screened for interactions besides those that differ by
+#: themselves: those that part the sample most evenly. It bounds the pairs.
+PAIR_TERMS = 512
 FACTORS = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 400_000
@@ -155,6 +159,32 @@ def _harmless(batches: Iterator[pa.RecordBatch], model: FactorizationMachine, te
         yield batch.filter(pa.array([s < 0.5 for s in out], pa.bool_()))
 
 
+def interacting_terms(x: np.ndarray, labels: np.ndarray, min_z: float = MIN_Z) -> np.ndarray:
+    """Columns of the 0/1 matrix ``x`` that interact with another one: the
+    shares of label 1 in the four cells of two terms (both, one, the other,
+    neither) differ by more than the sum of the terms' own differences.
+
+    The contrast is p11 - p10 - p01 + p00, over its standard error with each
+    cell's share drawn a little to the middle; cells of fewer than five rows tell
+    nothing.
+    """
+    x = x.astype(np.float32)
+    n, ones = len(x), x.sum(axis=0).astype(float)
+    hit = x[labels == 1]
+    pos = hit.sum(axis=0).astype(float)
+    both, both_pos = (x.T @ x).astype(float), (hit.T @ hit).astype(float)
+    cells = [(both, both_pos), (ones[:, None] - both, pos[:, None] - both_pos), (ones[None] - both, pos[None] - both_pos),
+             (n - ones[:, None] - ones[None] + both, len(hit) - pos[:, None] - pos[None] + both_pos)]
+    contrast, variance, enough = 0.0, 0.0, np.ones(both.shape, bool)
+    for sign, (size, own) in zip((1, -1, -1, 1), cells):
+        share = (own + 1) / (size + 2)
+        contrast = contrast + sign * share
+        variance = variance + share * (1 - share) / np.maximum(size, 1)
+        enough &= size >= 5
+    np.fill_diagonal(enough, False)
+    return np.flatnonzero((enough & (np.abs(contrast) >= min_z * np.sqrt(variance))).any(axis=1))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, label, text`` of at most ``limit`` labelled documents. The
     bounded label table is broadcast; documents are read where they are."""
@@ -166,25 +196,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> FactorizationMachine:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0/1), which
-    holds training rows only. Terms are selected by a two-proportion z-score
-    over the bounded sample; the machine sees the selected ones."""
+    holds training rows only. Terms are screened over the bounded sample, alone
+    (a two-proportion z-score) and in pairs, so that terms which tell something
+    only together enter the machine as well."""
     python_ready(docs.sparkSession)
     rows = training_rows(docs, labels, limit)
     n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
     size = {r["label"]: r["n"] for r in n}
     pos, neg = size.get(1, 0), size.get(0, 0)
-    terms = np.array([], np.int32)
+    alone = frequent = np.array([], np.int32)
     if pos and neg:
         share = (F.col("pos") + F.col("neg")) / (pos + neg)
         z = (F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
         counts = (rows.mapInArrow(_term_counts, "term long, pos long, neg long")
                   .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-        terms = np.array(sorted(r["term"] for r in counts.where(F.abs(z) >= MIN_Z).select("term").collect()), np.int32)
-    got = sorted(rows.mapInArrow(lambda it: _selected(it, terms),
-                                 f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, terms binary")
-                 .collect(), key=lambda r: (r["doc_id"], r["label"], r["terms"]))
-    return FactorizationMachine.fit(terms, [np.frombuffer(r["terms"], "<i4").astype(int) for r in got],
-                                    np.array([r["label"] for r in got], int))
+        differs = F.abs(z) >= MIN_Z
+        alone = np.array([r["term"] for r in counts.where(differs).select("term").collect()], np.int32)
+        evenly = counts.where(~differs).orderBy(F.desc(share * (1 - share)), "term").limit(PAIR_TERMS)
+        frequent = np.array([r["term"] for r in evenly.select("term").collect()], np.int32)
+    terms = np.sort(np.concatenate([alone, frequent]))
+    # one row per id, so that what is collected is bounded by the sample
+    own = (rows.mapInArrow(lambda it: _selected(it, terms),
+                           f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, terms binary")
+           .groupBy("doc_id", "label").agg(F.min("terms").alias("terms")))
+    got = sorted(own.collect(), key=lambda r: (r["doc_id"], r["label"], r["terms"]))
+    at = [np.frombuffer(r["terms"], "<i4").astype(int) for r in got]
+    y = np.array([r["label"] for r in got], int)
+    x = np.zeros((len(got), len(terms)), np.uint8)
+    for k, row in enumerate(at):
+        x[k, row] = 1
+    keep = np.isin(terms, alone)
+    if len(got):
+        keep[interacting_terms(x, y)] = True
+    place = np.cumsum(keep) - 1
+    return FactorizationMachine.fit(terms[keep], [place[row[keep[row]]] for row in at], y)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -197,8 +242,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     A null or empty text has no terms and scores the bias; a null id is held
     out as the empty text is. Labels other than 0 and 1, null ids and labels
-    without a document are ignored; of repeated labels the largest counts;
-    repeated documents weigh as often as they occur. Without labels of both
+    without a document are ignored; of repeated labels the largest counts; of
+    rows that repeat a labelled id one is learnt from. Without labels of both
     classes every score is the (clipped) share of label 1, 0.001 if there are
     none. An empty table gives no rows. Other columns are not read.
     """
