@@ -49,10 +49,12 @@ def test_cached_ids_are_the_tokenizers_own():
     own = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     cached = packing.WordTokenizer.load(packing.TOKENIZER)
     rng = random.Random(1)
-    alphabet = [" ", " ", "\n", "\t", " ", " ", "a", "B", "é", "1", "!", "'s", "😀", "the", "\r\n", "\x1c", "\x85"]
+    alphabet = [" ", " ", "\n", "\t", " ", " ", "a", "B", "é", "1", "!", "'s", "😀", "the", "\r\n", "\x1c", "\x85", "don't", "'LL", "\u00a0", "Ж", "ß", "中", "²", "½", "_", "\u0301", "I've"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]
     texts += [t or "" for _, t, _, _ in ODD] + [" ", "  ", " a", "a ", "x <|endoftext|> y", "a  b", "a \n b", "\n\nb c"]
-    for _ in range(2):
+    assert cached.plain is not None
+    for plain in (cached.plain, None):
+        cached.plain = plain
         assert cached.encode(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
