@@ -171,7 +171,7 @@ def test_grid_scores_equal_single_fits(points, monkeypatch, kind, grid):
     assert len(calls) < 30  # twelve fits in the passes of one
     got = {(r["combo"], r["fold"]): r["score"] for r in found.scores.collect()}
     assert len(got) == 12
-    data = S.assign_folds(own, 3, "key", 42, stratify="side").persist()
+    data = S.boundary_folds(own, 3, "key", 42, stratify="side").persist()
     for (combo, fold), score in list(got.items())[::5]:
         extra = {"probability": False} if kind == "svm" else {}
         model = M.train(data.where(F.col("fold") != fold), FEATURES, "side", kind, "classification",

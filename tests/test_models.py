@@ -131,4 +131,17 @@ def test_load_or_prepare(spark, iris):
     again = train_dataset(iris.limit(0), "random_forest", {"n_estimators": 5, "max_depth": 4}, log=False, stored_as=name)
     assert again.prepared.task_labels == ["setosa", "versicolor", "virginica"]
     assert again.prepared.features == first.prepared.features
+    assert again.prepared.scaler is not None and again.prepared.scaler.collect() == first.prepared.scaler.collect()
     assert again.predictions.count() == first.predictions.count() > 0
+
+
+def test_permutation_importance_of_any_model(spark):
+    from veritab.operators.evaluate import permutation_importance
+    df = spark.range(3000).select((F.col("id") % 13).cast("double").alias("lead"), (F.col("id") % 7).cast("double").alias("idle"),
+                                  (F.col("id") % 13 > 6).cast("int").alias("y"))
+    model = M.train_svm(df, ["lead", "idle"], "y", kernel="linear", probability=False, max_iter=30)
+    got = {r["feature"]: r for r in permutation_importance(model, df, ["lead", "idle"], "y").collect()}
+    assert got["lead"]["importance"] > 0.3 and abs(got["idle"]["importance"]) < 0.02
+    assert got["lead"]["score"] == got["idle"]["score"] > 0.95
+    again = permutation_importance(model, df, ["lead", "idle"], "y").collect()
+    assert sorted(again) == sorted(got.values())

@@ -97,3 +97,23 @@ def test_log_run_and_model_id(spark):
     row = S.load_runs(spark).where(F.col("model_id") == mid).first()
     assert row["metrics"]["Accuracy"] == 0.9
     assert S.model_id("a", "b") != S.model_id("a", "b")
+
+
+def test_a_broken_write_leaves_the_version_before(spark):
+    import uuid
+    name = "versions_" + uuid.uuid4().hex
+    first = spark.createDataFrame([(1, "train"), (2, "test")], "x int, split string")
+    assert S.load_spec(spark, name) is None
+    S.save_prepared(first, name, {"scaler": first.select("x")}, spec={"target": "x"})
+    reading = S.load_prepared(spark, name)
+    broken = spark.range(10).select(F.raise_error(F.lit("broken midway")).cast("int").alias("x"), F.lit("train").alias("split"))
+    with pytest.raises(Exception, match="broken midway"):
+        S.save_prepared(broken, name, spec={"target": "y"})
+    with pytest.raises(Exception, match="broken midway"):  # the table is whole, a parameter table is not
+        S.save_prepared(first, name, {"scaler": broken}, spec={"target": "y"})
+    assert S.load_spec(spark, name) == {"target": "x"} and S.load_prepared(spark, name).count() == 2
+    assert S.load_params(spark, name, "scaler").count() == 2
+    S.save_prepared(first.union(first), name, spec={"target": "z"})
+    assert S.load_spec(spark, name) == {"target": "z"} and S.load_prepared(spark, name, split="train").count() == 2
+    assert reading.count() == 2 and S.load_manifest(spark, name, back=1)["spec"] == {"target": "x"}
+    assert S.load_prepared(spark, name, version=S.load_manifest(spark, name, back=1)["version"]).count() == 2

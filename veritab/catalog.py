@@ -611,6 +611,46 @@ def q_p5(spark, sf):
                         "c_mktsegment")[0]
 
 
+@register("p5_label_encode_many", """
+SELECT o_custkey, dense_rank() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS code, CAST(o_orderkey AS VARCHAR) AS back FROM orders""")
+def q_p5m(spark, sf):
+    """As many labels as orders: codes are ranks from range-dealt values, joined, and joined back."""
+    from veritab.operators.prep import decode_by_table, label_encode
+    o = load_table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("key"))
+    encoded, table = label_encode(o, "key", "code", max_labels=100)
+    return decode_by_table(encoded.select("o_custkey", "code"), "code", table, "back")
+
+
+def _slots(df, vec: str):
+    """(slot of the single one or NULL, number of slots) of a one-hot vector."""
+    from pyspark.ml.functions import vector_to_array
+    v = vector_to_array(vec)
+    return F.nullif(F.array_position(v, F.lit(1.0)), F.lit(0)) - 1, F.size(v)
+
+
+@register("p3_one_hot_wide", """
+SELECT o_orderkey, dense_rank() OVER (ORDER BY CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) - 1 AS slot,
+       (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) + 1 FROM orders) AS slots FROM orders""")
+def q_p3w(spark, sf):
+    """A column of thousands of values becomes sparse vectors with slots in sorted order."""
+    from veritab.operators.prep import one_hot
+    o = load_table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    out = one_hot(o, ["day"])
+    slot, size = _slots(out, "day_vec")
+    return out.select("o_orderkey", slot.cast("long").alias("slot"), size.cast("long").alias("slots"))
+
+
+@register("p4_one_hot_drop_first_wide", """
+SELECT o_orderkey, nullif(dense_rank() OVER (ORDER BY CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) - 1, 0) - 1 AS slot,
+       (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) - 1 FROM orders) AS slots FROM orders""")
+def q_p4w(spark, sf):
+    from veritab.operators.prep import one_hot_drop_first
+    o = load_table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    out = one_hot_drop_first(o, ["day"])
+    slot, size = _slots(out, "day_vec")
+    return out.select("o_orderkey", slot.cast("long").alias("slot"), size.cast("long").alias("slots"))
+
+
 @register("p6_train_test_split", ORDERS_SPLIT_SQL)
 def q_p6(spark, sf):
     from veritab.operators.prep import train_test_split
@@ -650,6 +690,23 @@ def q_p7(spark, sf):
     return rnd(prepare(o, ratio=0.8, key="o_orderkey").data, 6)
 
 
+@register("p7_prepare_all_columns", f"""
+SELECT {_z_pop('o_orderkey', 'orders')}, {_z_pop('o_custkey', 'orders')}, {_z_pop('o_totalprice', 'orders')}, {_dummies('o_orderpriority', PRIORITIES)},
+       CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus,
+       CASE WHEN ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT
+                 < 0.8 * 4294967296 THEN 'train' ELSE 'test' END AS split,
+       dense_rank() OVER (ORDER BY CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) - 1 AS day_slot,
+       (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) + 1 FROM orders) AS day_slots
+FROM orders o""")
+def q_p7a(spark, sf):
+    """All six columns of orders; the date, as text, becomes a sparse vector."""
+    from veritab.plans.prepare import prepare
+    o = load_table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date").cast("string"))
+    data = prepare(o, ratio=0.8, target="o_orderstatus", key="o_orderkey").data
+    slot, size = _slots(data, "o_orderdate_vec")
+    return rnd(data.withColumns({"day_slot": slot.cast("long"), "day_slots": size.cast("long")}).drop("o_orderdate_vec"), 6)
+
+
 @register("p7_dataset_stats", """
 SELECT count(*) AS rows, CAST(5 AS BIGINT) AS columns,
        count(*) FILTER (WHERE ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT
@@ -926,6 +983,21 @@ def q_p6n(spark, sf):
                    (F.abs(train / F.count_if(F.col("k").isNull()) - 0.8) < 0.1).alias("null_keys_on_both_sides"))
 
 
+@register("t2_boundary_folds", """
+WITH x AS (
+  SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS cls,
+         ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT AS h FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY h) - 1 AS i, count(*) OVER (PARTITION BY cls) AS n FROM x)
+SELECT o_orderkey, CAST(((CASE WHEN i >= n // 3 THEN 1 ELSE 0 END) + (CASE WHEN i >= 2 * n // 3 THEN 1 ELSE 0 END)
+       + ('0x' || substr(md5(coalesce('=' || cls, '')), 1, 8))::BIGINT) % 3 AS INTEGER) AS fold
+FROM r""")
+def q_t2b(spark, sf):
+    """Folds by boundary keys, stratified by a class with NULLs."""
+    from veritab.operators.tuning import boundary_folds
+    o = load_table(spark, sf, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("cls"))
+    return boundary_folds(o, 3, key="o_orderkey", stratify="cls").select("o_orderkey", "fold")
+
+
 @register("t4_rank_results", """
 WITH s AS (SELECT l_linenumber AS combo, l_orderkey % 3 AS fold, avg(l_discount) AS score
            FROM lineitem GROUP BY 1, 2),
@@ -1450,3 +1522,150 @@ def q_e2i(spark, sf):
     lab = load_table(spark, sf, "labels").select(F.col("quality").alias("label"),
                                                  F.col("toxic").alias("prediction"))
     return rnd(per_class_metrics(lab), 10)
+
+
+# ---------------------------------------------------------------------------
+# Reports with all their tables, in long form
+# ---------------------------------------------------------------------------
+
+def _long_sql(section: str, sql: str, texts: list[str], numbers: list[str], digits: int = 6) -> str:
+    item = f"concat_ws('|', {', '.join(f'CAST({t} AS VARCHAR)' for t in texts)})" if texts else "''"
+    names = ", ".join(f"'{n}'" for n in numbers)
+    values = ", ".join(f"CAST({n} AS DOUBLE)" for n in numbers)
+    return f"""SELECT section, item, name, round(value, {digits}) AS value FROM (
+  SELECT '{section}' AS section, {item} AS item, unnest([{names}]) AS name, unnest([{values}]) AS value FROM ({sql}) q)"""
+
+
+def _histogram_sql(src: str, x: str, bins: int = 30) -> str:
+    return f"""WITH r AS (SELECT CASE WHEN min({x}) = max({x}) THEN min({x}) - 0.5 ELSE min({x}) END AS lo,
+                  CASE WHEN min({x}) = max({x}) THEN max({x}) + 0.5 ELSE max({x}) END AS hi FROM {src} WHERE {x} IS NOT NULL),
+b AS (SELECT CAST(least(floor(({x} - lo) / (hi - lo) * {bins}), {bins - 1}) AS INTEGER) AS bin, count(*) AS n
+      FROM {src}, r WHERE {x} IS NOT NULL GROUP BY 1)
+SELECT g.bin, lo + g.bin * (hi - lo) / {bins} AS lower, lo + (g.bin + 1) * (hi - lo) / {bins} AS upper, coalesce(b.n, 0) AS count
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range({bins})) g CROSS JOIN r LEFT JOIN b ON g.bin = b.bin"""
+
+
+NUMERIC_PROFILE = ["min", "max", "mean", "median", "std", "skew", "missing", "corr_target"]
+
+
+@register("q11_profile_report_all", "\nUNION ALL\n".join([
+    _long_sql("summary", "SELECT 'p_retailprice' AS target, 'regression' AS problem_type, count(*) AS n_samples, 5 AS n_features FROM part",
+              ["target", "problem_type"], ["n_samples", "n_features"]),
+    _long_sql("features", sql_numeric_profile('part', ['p_partkey', 'p_size'], None), ["column_name", "'numeric'"],
+              [*NUMERIC_PROFILE[:-1]]),
+    _long_sql("features", sql_numeric_profile('part', ['p_partkey', 'p_size'], None), ["column_name", "'numeric'"], ["n_distinct", "most_common_count"])
+    .replace("CAST(n_distinct AS DOUBLE), CAST(most_common_count AS DOUBLE)", "NULL::DOUBLE, NULL::DOUBLE"),
+    _long_sql("features", _sql_cat_profile('part', ['p_name', 'p_brand', 'p_type']), ["column_name", "'categorical'", "most_common"],
+              ["missing", "n_distinct", "most_common_count"]),
+    _long_sql("features", _sql_cat_profile('part', ['p_name', 'p_brand', 'p_type']), ["column_name", "'categorical'", "most_common"],
+              ["min", "max", "mean", "median", "std", "skew"])
+    .replace(", ".join(f"CAST({n} AS DOUBLE)" for n in NUMERIC_PROFILE[:6]), ", ".join(["NULL::DOUBLE"] * 6)),
+    _long_sql("target", f"""SELECT 'p_retailprice' AS column_name, min(p_retailprice) AS min, max(p_retailprice) AS max, avg(p_retailprice) AS mean,
+  quantile_cont(p_retailprice, 0.5) AS median, stddev_samp(p_retailprice) AS std, {sql_skew('p_retailprice')} AS skew FROM part""",
+              ["column_name"], NUMERIC_PROFILE[:6]),
+    _long_sql("target_histogram", _histogram_sql("part", "p_retailprice"), [], ["bin", "lower", "upper", "count"]),
+    _long_sql("correlations", "SELECT 'p_partkey' AS column_name, abs(" + sql_corr('p_partkey', 'p_retailprice') + ") AS abs_corr FROM part"
+              " UNION ALL SELECT 'p_size', abs(" + sql_corr('p_size', 'p_retailprice') + ") FROM part", ["column_name"], ["abs_corr"]),
+]))
+def q_q11a(spark, sf):
+    from veritab.plans.report import profile_report, report_long
+    return rnd(report_long(profile_report(load_table(spark, sf, "part"), "p_retailprice")), 6)
+
+
+FREQUENCY_SQL = f"""SELECT v AS value, coalesce(rp, 0) AS ref_freq, coalesce(cp, 0) AS cur_freq
+FROM (SELECT l_returnflag AS v, count(*) / sum(count(*)) OVER () AS rp FROM {LI_R} WHERE l_returnflag IS NOT NULL GROUP BY 1) x
+FULL OUTER JOIN (SELECT l_returnflag AS v, count(*) / sum(count(*)) OVER () AS cp FROM {LI_C}
+                 WHERE l_returnflag IS NOT NULL GROUP BY 1) y USING (v)"""
+
+
+@register("d5_target_drift_data", "\nUNION ALL\n".join([
+    _long_sql("drift", sql_drift_report(LI_R, LI_C, [], ["l_returnflag"]), ["column_name", "column_type"], ["drift_score", "drift_detected"]),
+    _long_sql("frequencies", FREQUENCY_SQL, ["value"], ["ref_freq", "cur_freq"]),
+    _long_sql("price_drift", sql_drift_report(LI_R, LI_C, ["l_extendedprice"], []), ["column_name", "column_type"],
+              ["drift_score", "drift_detected"]),
+    _long_sql("price_reference_histogram", _histogram_sql(LI_R, "l_extendedprice"), [], ["bin", "lower", "upper", "count"]),
+    _long_sql("price_current_histogram", _histogram_sql(LI_C, "l_extendedprice"), [], ["bin", "lower", "upper", "count"])]))
+def q_d5d(spark, sf):
+    """Drift and distributions of a text target and of a numeric one."""
+    from veritab.plans.report import report_long
+    r, c = lineitem_halves(spark, sf)
+    text, number = D.target_drift_data(r, c, "l_returnflag"), D.target_drift_data(r, c, "l_extendedprice")
+    return rnd(report_long(text | {f"price_{k}": t for k, t in number.items()}), 6)
+
+
+@register("d7_compare_profiles", "\nUNION ALL\n".join([
+    _long_sql("quality", _sql_quality(LI_R, LI_ALL, "reference") + " UNION ALL " + _sql_quality(LI_C, LI_ALL, "current"), ["side"],
+              ["row_count", "column_count", "missing_cells", "missing_pct", "duplicate_rows"]),
+    *[_long_sql(f"numeric_{side}", sql_numeric_profile(src, [c for c in LINE_ALL_NUM if c != "l_extendedprice"], "l_extendedprice"),
+                ["column_name"], NUMERIC_PROFILE) for side, src in (("reference", LI_R), ("current", LI_C))],
+    *[_long_sql(f"categorical_{side}", _sql_cat_profile(src, LINE_ALL_CAT), ["column_name", "most_common"],
+                ["n_distinct", "missing", "most_common_count"]) for side, src in (("reference", LI_R), ("current", LI_C))]]))
+def q_d7p(spark, sf):
+    from veritab.plans.report import report_long
+    r, c = lineitem_halves(spark, sf)
+    return rnd(report_long(D.compare_profiles(r, c, "l_extendedprice")), 6)
+
+
+E5_ROWS = f"""(SELECT *, {KEY_SPLIT.format(k='o_orderkey')} AS train, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS label,
+  least(floor(o_totalprice / 1000) / 500, 1.0) AS p, CASE WHEN least(floor(o_totalprice / 1000) / 500, 1.0) > 0.3 THEN 2 ELSE 1 END AS prediction
+  FROM orders)"""
+E5_TEST = f"(SELECT * FROM {E5_ROWS} WHERE NOT train)"
+E5_ROC = f"""WITH g AS (SELECT p, count(*) FILTER (label = 2) AS pos, count(*) FILTER (label <> 2) AS neg FROM {E5_TEST} GROUP BY p),
+c AS (SELECT p, pos, neg, sum(pos) OVER (ORDER BY p DESC) AS cp, sum(neg) OVER (ORDER BY p DESC) AS cn, sum(pos) OVER () AS np, sum(neg) OVER () AS nn
+      FROM g)"""
+E5_RATES = f"""WITH c AS (SELECT k, count(*) FILTER (label = k AND prediction = k) AS tp, count(*) FILTER (label = k) AS support,
+  count(*) FILTER (prediction = k) AS predicted FROM {E5_TEST}, (VALUES (1), (2)) v(k) GROUP BY k),
+r AS (SELECT tp / predicted AS precision, tp / support AS recall, tp, support FROM c)"""
+
+
+@register("e5_evaluation_report_all", "\nUNION ALL\n".join([
+    _long_sql("metrics", f"""{E5_RATES} SELECT 'Accuracy' AS name_, sum(tp) / sum(support) AS value_ FROM r
+      UNION ALL SELECT 'Precision', avg(precision) FROM r UNION ALL SELECT 'Recall', avg(recall) FROM r
+      UNION ALL SELECT 'F1 Score', avg(2 * precision * recall / (precision + recall)) FROM r""", ["name_"], ["value_"]).replace("['value_']", "['value']"),
+    _long_sql("confusion_matrix", f"""SELECT a || '|' || b AS cell, (SELECT count(*) FROM {E5_TEST} WHERE label = a AND prediction = b) AS count
+      FROM (VALUES (1), (2)) x(a), (VALUES (1), (2)) y(b)""", ["cell"], ["count"]),
+    _long_sql("roc_curve", f"{E5_ROC} SELECT p AS threshold, cn / nn AS fpr, cp / np AS tpr FROM c UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0", [],
+              ["threshold", "fpr", "tpr"]),
+    _long_sql("roc_auc", f"{E5_ROC} SELECT sum(neg * (cp - pos / 2.0)) / (max(np) * max(nn)) AS roc_auc FROM c", [], ["roc_auc"]),
+    _long_sql("class_auc", f"{E5_ROC} SELECT k AS class, sum(neg * (cp - pos / 2.0)) / (max(np) * max(nn)) AS auc FROM c, (VALUES (1), (2)) v(k) GROUP BY k",
+              [], ["class", "auc"]),
+    _long_sql("log_loss", f"SELECT avg(-ln(greatest(CASE label WHEN 2 THEN p ELSE 1 - p END, 1e-15))) AS log_loss FROM {E5_TEST}", [], ["log_loss"]),
+    _long_sql("data_quality", _sql_quality(E5_TEST, ["o_custkey", "o_totalprice", "o_orderpriority"]), [],
+              ["row_count", "column_count", "missing_cells", "missing_pct", "duplicate_rows"]),
+    _long_sql("mean_shift", f"""SELECT column_name, a AS train_mean, b AS test_mean, abs(a - b) / (abs(a) + 1e-10) * 100 AS shift_pct,
+        abs(a - b) / (abs(a) + 1e-10) * 100 > 20 AS shifted FROM (
+          SELECT 'o_custkey' AS column_name, avg(o_custkey) FILTER (train) AS a, avg(o_custkey) FILTER (NOT train) AS b FROM {E5_ROWS}
+          UNION ALL SELECT 'o_totalprice', avg(o_totalprice) FILTER (train), avg(o_totalprice) FILTER (NOT train) FROM {E5_ROWS})""",
+              ["column_name"], ["train_mean", "test_mean", "shift_pct", "shifted"]),
+    _long_sql("drift_detected", f"""SELECT max(s) > 20 AS drift_detected, max(s) AS max_shift_pct FROM (
+          SELECT abs(avg(o_custkey) FILTER (train) - avg(o_custkey) FILTER (NOT train)) / (abs(avg(o_custkey) FILTER (train)) + 1e-10) * 100 AS s FROM {E5_ROWS}
+          UNION ALL SELECT abs(avg(o_totalprice) FILTER (train) - avg(o_totalprice) FILTER (NOT train)) / (abs(avg(o_totalprice) FILTER (train)) + 1e-10)
+            * 100 FROM {E5_ROWS})""", [], ["drift_detected", "max_shift_pct"])]))
+def q_e5a(spark, sf):
+    """Every section, on labels 1 and 2 with probabilities made from the data."""
+    from veritab.operators.prep import train_test_split
+    from veritab.plans.report import evaluation_report, report_long
+    p = F.least(F.floor(F.col("o_totalprice") / 1000) / 500, F.lit(1.0))
+    o = (train_test_split(load_table(spark, sf, "orders"), 0.8, key="o_orderkey")
+         .withColumn("label", F.when(F.col("o_orderstatus") == "F", 2).otherwise(1)).withColumn("probability", F.array(1 - p, p))
+         .withColumn("prediction", F.when(p > 0.3, 2).otherwise(1)))
+    rep = evaluation_report(o.where("split = 'test'"), o, ["o_custkey", "o_totalprice", "o_orderpriority"], "classification", labels=[1, 2])
+    return rnd(report_long(rep), 6)
+
+
+@register("e7_permutation_importance", """
+SELECT kind, feature, feature = 'l_quantity' AS leads FROM (VALUES ('svm'), ('neural_network')) k(kind),
+  (VALUES ('l_orderkey'), ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) v(feature)""")
+def q_e7p(spark, sf):
+    """Importance for models without one of their own; the target is made from the quantity above all."""
+    from veritab.operators.evaluate import permutation_importance
+    out = None
+    for kind, params in (("svm", {"C": 1.0, "kernel": "linear", "max_iter": 30, "probability": False}),
+                         ("neural_network", {"hidden_layer_sizes": "8", "activation": "relu", "max_iter": 30})):
+        res = _fit(line_table(spark, sf, BULKY), kind, params)
+        test = res.prepared.data.where(F.col("split") == "test")
+        first = F.rank().over(Window.orderBy(F.desc("importance"))) == 1
+        own = permutation_importance(res.model, test, res.prepared.features, res.prepared.target).select(
+            F.lit(kind).alias("kind"), "feature", first.alias("leads"))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -121,44 +121,66 @@ def apply_one_hot(df: DataFrame, categories: dict[str, list], drop_first: bool =
     return df.select(*keep, *new)
 
 
-def one_hot(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES,
+def one_hot(df: DataFrame, cols: list[str], max_categories: int | None = None,
             fit_df: DataFrame | None = None) -> DataFrame:
-    """Dense one-hot encoding, NULL as its own ``<col>_nan`` category."""
-    return apply_one_hot(df, fit_categories(fit_df if fit_df is not None else df, cols,
-                                            max_categories))
+    """One-hot encoding, NULL as its own ``<col>_nan`` category.
 
-
-def one_hot_drop_first(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """One-hot without the first sorted category; NULL -> all zeros."""
-    return apply_one_hot(df, fit_categories(df, cols, max_categories), drop_first=True)
+    Columns with more than ``MAX_CATEGORIES`` values become one sparse vector
+    ``<col>_vec`` each; with ``max_categories`` given, wider ones are an error.
+    """
+    fit_on = fit_df if fit_df is not None else df
+    if max_categories is not None:
+        return apply_one_hot(df, fit_categories(fit_on, cols, max_categories))
+    narrow = fit_categories(fit_on, cols, on_wide="skip")
+    out = apply_one_hot(df, narrow)
+    wide = [c for c in cols if c not in narrow]
+    return one_hot_vector(out, wide, fit_df=fit_on) if wide else out
+
+
+def one_hot_drop_first(df: DataFrame, cols: list[str], max_categories: int | None = None) -> DataFrame:
+    """One-hot without the first sorted category; NULL -> all zeros.
+    Wide columns as in ``one_hot``."""
+    if max_categories is not None:
+        return apply_one_hot(df, fit_categories(df, cols, max_categories), drop_first=True)
+    narrow = fit_categories(df, cols, on_wide="skip")
+    out = apply_one_hot(df, narrow, drop_first=True)
+    wide = [c for c in cols if c not in narrow]
+    return one_hot_vector(out, wide, drop_first=True, fit_df=df) if wide else out
+
+
+def sorted_codes(values: DataFrame) -> DataFrame:
+    """(value, code): the rank 0..k-1 of every distinct non-null ``value``, in
+    the order of its type, at any number of values.
+
+    Distinct values are dealt by ranges and written to the checkpoint folder,
+    so that the ranges stay as they are; the counts of the ranges before give
+    each its first code, and values are numbered inside their range.
+    """
+    from veritab.session import checkpoint_dir
+    checkpoint_dir(values.sparkSession)
+    placed = (values.where(F.col("value").isNotNull()).select("value").distinct().repartitionByRange("value")
+              .withColumn("part", F.spark_partition_id()).checkpoint())
+    starts = (placed.groupBy("part").agg(F.count("*").alias("n"))
+              .select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start")))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("value"))
+    return placed.join(F.broadcast(starts), F.col("part") == F.col("of")).select("value", (F.col("start") + nth - 1).alias("code"))
 
 
-CODE_BUCKETS = 4096  # hash buckets in which the values of a wide column are numbered
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): the rank 0..k-1 of every distinct non-missing value, as
+    text, in sorted order."""
+    return sorted_codes(df.select(as_category(column, df.schema[column].dataType).alias("value")))
 
 
-def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): a number 0..k-1 for every distinct non-missing value.
+def one_hot_vector(df: DataFrame, cols: list[str], drop_last: bool = False, fit_df: DataFrame | None = None,
+                   drop_first: bool = False) -> DataFrame:
+    """Wide-column path of P3 and P4: sparse one-hot vectors ``<col>_vec`` in
+    place of the columns.
 
-    Values are numbered inside hash buckets, and counts per bucket give each
-    bucket its first number, so no task and no driver sees all of them.
-    """
-    values = (df.select(as_category(column, df.schema[column].dataType).alias("value"))
-              .where(F.col("value").isNotNull()).distinct()
-              .withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(CODE_BUCKETS))))
-    starts = (values.groupBy("bucket").agg(F.count("*").alias("n"))
-              .select(F.col("bucket").alias("of"), (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start")))
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("value"))
-    return values.join(starts, F.col("bucket") == F.col("of")).select("value", (F.col("start") + nth - 1).alias("code"))
-
-
-def one_hot_vector(df: DataFrame, cols: list[str], drop_last: bool = False,
-                   fit_df: DataFrame | None = None) -> DataFrame:
-    """Wide-column path of P3: sparse one-hot vectors ``<col>_vec`` in place of
-    the columns.
-
-    Codes come from ``category_codes`` of ``fit_df`` (default: ``df``) and are
-    joined by value; they are as many as the values, whatever their number.
-    NULL and values unseen at fit time share one extra last slot.
+    Slots are in the sorted order of the values (``category_codes`` of
+    ``fit_df``, default ``df``), whatever their number; codes are joined by
+    value. NULL and values unseen at fit time share one extra last slot. With
+    ``drop_first`` the first value, NULL and unseen ones are all zeros.
     """
     from pyspark.ml.feature import OneHotEncoder
     out, keep = df, [c for c in df.columns if c not in cols]
@@ -166,23 +188,30 @@ def one_hot_vector(df: DataFrame, cols: list[str], drop_last: bool = False,
         source = fit_df if fit_df is not None else df
         codes = category_codes(source, c).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
         n = codes.count()
-        slots = {"ml_attr": {"type": "nominal", "num_vals": n + 1, "name": f"__i{i}"}}
+        code, slots = F.col(f"__c{i}"), n + 1
+        if drop_first:  # the encoder drops the last slot, which stands for all that is zero
+            code, n, slots = F.when(code > 0, code - 1), max(n - 1, 0), max(n, 1)
+        meta = {"ml_attr": {"type": "nominal", "num_vals": slots, "name": f"__i{i}"}}
         out = (out.join(codes, as_category(c, df.schema[c].dataType) == F.col(f"__v{i}"), "left")
-               .withColumn(f"__i{i}", F.coalesce(F.col(f"__c{i}"), F.lit(n)).cast("double")).withMetadata(f"__i{i}", slots))
+               .withColumn(f"__i{i}", F.coalesce(code, F.lit(n)).cast("double")).withMetadata(f"__i{i}", meta))
     encoder = OneHotEncoder(inputCols=[f"__i{i}" for i in range(len(cols))], outputCols=[f"__o{i}" for i in range(len(cols))],
-                            dropLast=drop_last, handleInvalid="error")
+                            dropLast=drop_last or drop_first, handleInvalid="error")
     return encoder.fit(out).transform(out).select(*[qcol(c) for c in keep],
                                                   *[F.col(f"__o{i}").alias(f"{c}_vec") for i, c in enumerate(cols)])
 
 
 # P5 -------------------------------------------------------------------------
 
+class TooManyLabels(ValueError):
+    """More distinct labels than a list in the plan should hold."""
+
+
 def fit_labels(df: DataFrame, col: str, max_labels: int = MAX_LABELS) -> list:
     """Sorted distinct non-null values of ``col`` (natural order of its type)."""
     rows = (df.select(qcol(col).alias("v")).where(F.col("v").isNotNull()).distinct()
             .orderBy("v").limit(max_labels + 1).collect())
     if len(rows) > max_labels:
-        raise ValueError(f"{col!r} has more than {max_labels} distinct labels")
+        raise TooManyLabels(f"{col!r} has more than {max_labels} distinct labels")
     return [r["v"] for r in rows]
 
 
@@ -201,10 +230,38 @@ def inverse_label_expr(idx: Column, labels: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in labels]), idx.cast("int") + 1)
 
 
-def label_encode(df: DataFrame, col: str, out_col: str | None = None,
-                 labels: list | None = None) -> tuple[DataFrame, list]:
-    """Replace ``col`` by its index among the sorted distinct values (P5)."""
-    labels = labels if labels is not None else fit_labels(df, col)
+def label_table(df: DataFrame, col: str) -> DataFrame:
+    """(value, code) of every distinct non-null value of ``col`` in the order
+    of its type, at any number of them (P5 beyond ``MAX_LABELS``)."""
+    return sorted_codes(df.select(qcol(col).alias("value")))
+
+
+def encode_by_table(df: DataFrame, col: str, table: DataFrame, out_col: str | None = None) -> DataFrame:
+    """Replace ``col`` by its code; NULL and unknown values are NULL."""
+    out_col = out_col or col
+    codes = table.select(F.col("value").alias("__label_value"), F.col("code").alias("__label_code"))
+    joined = df.join(codes, qcol(col) == F.col("__label_value"), "left")
+    keep = [F.col("__label_code").alias(c) if c == out_col else qcol(c) for c in df.columns]
+    return joined.select(*keep, *([] if out_col in df.columns else [F.col("__label_code").alias(out_col)]))
+
+
+def decode_by_table(df: DataFrame, col: str, table: DataFrame, out_col: str | None = None) -> DataFrame:
+    """The inverse: replace codes by their values."""
+    return encode_by_table(df, col, table.select(F.col("code").alias("value"), F.col("value").alias("code")), out_col)
+
+
+def label_encode(df: DataFrame, col: str, out_col: str | None = None, labels: list | None = None,
+                 max_labels: int = MAX_LABELS) -> tuple[DataFrame, list | DataFrame]:
+    """Replace ``col`` by its index among the sorted distinct values (P5).
+
+    Also returns the labels: a list, or with more than ``max_labels`` of them
+    the table (value, code) that they were joined from (``decode_by_table``)."""
+    if labels is None:
+        try:
+            labels = fit_labels(df, col, max_labels)
+        except TooManyLabels:
+            table = label_table(df, col)
+            return encode_by_table(df, col, table, out_col), table
     out_col = out_col or col
     if out_col == col:
         cols = [label_expr(qcol(c), labels).alias(c) if c == col else qcol(c) for c in df.columns]

@@ -102,6 +102,80 @@ def assign_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int =
     return out.select(*[qcol(c) for c in df.columns if c != fold_col], fold_col)
 
 
+#: Classes whose fold boundaries the driver holds (a few numbers each).
+MAX_STRATA = 20_000
+#: Bits of the row key that one round of counting decides: 63 in four rounds.
+ROUND_SHIFTS = (47, 31, 15, 0)
+
+
+def boundary_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int = 42, fold_col: str = "fold",
+                   stratify: str | None = None) -> DataFrame:
+    """Folds of exact sizes without moving a row (T2): within each class of
+    ``stratify`` (all rows without it; NULL is a class), fold sizes differ by at
+    most one, and the larger folds change from class to class.
+
+    A row's place is its 63-bit key: the md5 hash of ``key``, then a hash of
+    the whole row, so that one key may hold any share of the rows. The k - 1
+    keys that part a class into folds are order statistics, found for all
+    classes at once by counting: rounds of 16 bits, each over the rows that
+    share the bits found so far. A fold is then a comparison. Only identical
+    rows at such a key are told apart by number; they alone are exchanged.
+    """
+    names = df.columns
+    place = keyed_hash32(df, key, seed).cast("bigint") * (1 << 31) + F.shiftright(whole_row_hash32(df, seed + 1).cast("bigint"), 1)
+    cls = F.lit("") if stratify is None else F.coalesce(F.concat(F.lit("="), qcol(stratify).cast("string")), F.lit(""))
+    tagged = df.withColumn("__place", place).withColumn("__class", cls)
+    sizes = tagged.groupBy("__class").agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()
+    if len(sizes) > MAX_STRATA:
+        raise ValueError(f"{stratify!r} has more than {MAX_STRATA} classes to stratify by")
+    spark = df.sparkSession
+    # (class, boundary) -> rows still to pass, and the bits found so far
+    found = {(r["__class"], f): (f * r["n"] // k, 0, 0) for r in sizes for f in range(1, k)}
+    before = 63
+    for shift in ROUND_SHIFTS if found else ():
+        prefixes = sorted({(c, bits) for (c, _), (_, bits, _) in found.items()})
+        wanted = spark.createDataFrame(prefixes, "__class string, __bits bigint")
+        cells = (tagged.withColumn("__bits", F.shiftright("__place", before) if before < 63 else F.lit(0).cast("bigint"))
+                 .join(F.broadcast(wanted), ["__class", "__bits"])
+                 .groupBy("__class", "__bits", F.shiftright("__place", shift).alias("next")).agg(F.count(F.lit(1)).alias("n")))
+        # the cell in which each boundary lies: counts up to it, per prefix
+        order = Window.partitionBy("__class", "__bits").orderBy("next")
+        cells = cells.withColumn("upto", F.sum("n").over(order))
+        goals = spark.createDataFrame([(c, f, need, bits) for (c, f), (need, bits, _) in found.items()],
+                                      "__class string, f int, need bigint, __bits bigint")
+        hits = (cells.join(F.broadcast(goals), ["__class", "__bits"])
+                .where((F.col("upto") > F.col("need")) & (F.col("upto") - F.col("n") <= F.col("need"))))
+        for r in hits.select("__class", "f", "need", "next", "n", "upto").collect():
+            found[r["__class"], r["f"]] = (r["need"] - (r["upto"] - r["n"]), r["next"], r["n"])
+        before = shift
+    # a class's boundaries: the key, and how many of the rows equal to it lie before
+    table: dict[str, list] = {r["__class"]: [] for r in sizes}
+    for (c, _), (need, bits, _) in sorted(found.items()):
+        table[c].append((bits, need))
+    bounds = spark.createDataFrame(list(table.items()), "__class string, __bounds array<struct<at:bigint,before:bigint>>")
+    rows = tagged.join(F.broadcast(bounds), "__class")
+    turn = F.conv(F.substring(F.md5(F.col("__class").cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+    def fold(number):
+        passed = F.filter("__bounds", lambda b: (F.col("__place") > b["at"]) | ((F.col("__place") == b["at"]) & (number >= b["before"])))
+        return F.pmod(F.size(passed) + turn, F.lit(k)).cast("int")
+
+    ties = sorted({(c, bits) for (c, _), (need, bits, n) in found.items() if need > 0})
+    if not ties:
+        return rows.select(*map(qcol, [c for c in names if c != fold_col]), fold(F.lit(0)).alias(fold_col))
+    tied = spark.createDataFrame(ties, "__class string, __place bigint")
+    others = rows.join(F.broadcast(tied), ["__class", "__place"], "left_anti").withColumn("__number", F.lit(0).cast("bigint"))
+    same = rows.join(F.broadcast(tied), ["__class", "__place"]).withColumn("__part", F.spark_partition_id())
+    parts = same.groupBy("__class", "__place", "__part").agg(F.count(F.lit(1)).alias("n"))
+    starts = parts.withColumn("__start", F.sum("n").over(Window.partitionBy("__class", "__place").orderBy("__part")) - F.col("n")).drop("n")
+    within = Window.partitionBy("__class", "__place", "__part").orderBy("__part")
+    same = (same.withColumn("__nth", F.row_number().over(within) - 1).join(F.broadcast(starts), ["__class", "__place", "__part"])
+            .withColumn("__number", F.col("__start") + F.col("__nth")))
+    keep = [qcol(c) for c in names if c != fold_col]
+    return (others.select(*keep, fold(F.col("__number")).alias(fold_col))
+            .unionByName(same.select(*keep, fold(F.col("__number")).alias(fold_col))))
+
+
 # T4 -------------------------------------------------------------------------
 
 def rank_results(scores: DataFrame, combo: str = "combo", score: str = "score") -> DataFrame:

@@ -33,7 +33,7 @@ class Prepared:
     features: list[str]
     numeric: list[str]
     categorical: list[str]
-    task_labels: list | None = None  # label encoder classes (None: numeric target)
+    task_labels: list | DataFrame | None = None  # label encoder classes, a table of many (None: numeric target)
     scaler: DataFrame | None = None
     categories: dict = field(default_factory=dict)
 
@@ -82,9 +82,7 @@ def prepare(df: DataFrame, steps=("drop_nulls", "normalize", "one_hot_encode"),
 
     labels = None
     if not is_numeric_type(df.schema[tgt].dataType):
-        labels = prep.fit_labels(df, tgt)
-        df = df.select(*[prep.label_expr(qcol(c), labels).alias(c) if c == tgt else qcol(c)
-                         for c in df.columns])
+        df, labels = prep.label_encode(df, tgt)
 
     features = [c for c in df.columns if c not in (tgt, "split")]
     data = df.select(*[qcol(c) for c in features], qcol(tgt), "split")

@@ -74,3 +74,20 @@ def evaluation_report(predictions: DataFrame, split_table: DataFrame, features:
         out["mean_shift"] = shifts
         out["drift_detected"] = D.mean_shift_detected(shifts)
     return out
+
+
+def report_long(tables: dict[str, DataFrame]) -> DataFrame:
+    """(section, item, name, value): all tables of a report in one. A row's
+    text columns, joined by '|', are its ``item``; each number or flag is a
+    row of its own, NULL included."""
+    parts = []
+    for section, df in tables.items():
+        plain = [c for c in df.columns if is_numeric_type(df.schema[c].dataType) or df.schema[c].dataType.typeName() == "boolean"]
+        text = [qcol(c).cast("string") for c in df.columns if c not in plain]
+        cells = F.array(*[F.struct(F.lit(c).alias("name"), qcol(c).cast("double").alias("value")) for c in plain])
+        item = F.concat_ws("|", *text) if text else F.lit("")
+        parts.append(df.select(F.lit(section).alias("section"), item.alias("item"), F.inline(cells)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

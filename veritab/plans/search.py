@@ -24,7 +24,7 @@ from veritab.functions.exprs import qcol
 from veritab.operators import evaluate as E
 from veritab.operators import models
 from veritab.operators.gradient import GradientModel, Table, _unpacked, fit_nets, pack
-from veritab.operators.tuning import (assign_folds, grid_combinations, grid_dict, rank_results,
+from veritab.operators.tuning import (assign_folds, boundary_folds, grid_combinations, grid_dict, rank_results,
                                       random_search as sample_grid)
 
 # Objectives the tuning UI offers.
@@ -154,11 +154,12 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
     stratify = label if task == "classification" else None
     base = df.select(*map(qcol, dict.fromkeys([*features, label, *([key] if key else [])])))
     if stratify is not None:
-        # Stratified folds read the input three times (class count, cell
-        # counts, numbering); keep it for those passes only.
+        # The boundaries of stratified folds take five reads of the input;
+        # keep it for those only.
         base = base.persist()
     together = [i for i, c in enumerate(combos) if _together(model_type, task, c, objective)]
-    data = spread_for_iterations(assign_folds(base, k, key, seed, stratify=stratify)).persist()
+    folded = assign_folds(base, k, key, seed) if stratify is None else boundary_folds(base, k, key, seed, stratify=stratify)
+    data = spread_for_iterations(folded).persist()
     try:
         # Materialise once before the concurrent fits, so the threads do not
         # each recompute the uncached lineage.

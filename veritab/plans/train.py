@@ -12,7 +12,7 @@ from veritab.operators import evaluate as E
 from veritab.operators.models import train
 from veritab.operators.schema import infer_task
 from veritab.plans.prepare import Prepared, prepare
-from veritab.sources.storage import load_params, load_prepared, load_spec, log_run, save_prepared
+from veritab.sources.storage import load_manifest, load_params, load_prepared, log_run, save_prepared
 
 
 @dataclass
@@ -54,13 +54,20 @@ def train_dataset(df: DataFrame, model_type: str, params: dict | None = None,
 def load_or_prepare(df: DataFrame, stored_as: str | None, steps, ratio: float, target: str | None,
                     key: str | None) -> Prepared:
     spark = df.sparkSession
-    spec = load_spec(spark, stored_as) if stored_as else None
-    if spec is None:
+    manifest = load_manifest(spark, stored_as) if stored_as else None
+    if manifest is None:
         prep = prepare(df, steps, ratio, target, key)
         if not stored_as:
             return prep
-        spec = {f: getattr(prep, f) for f in ("target", "features", "numeric", "categorical", "task_labels", "categories")}
-        save_prepared(prep.data, stored_as, {"stats": prep.stats} | ({"scaler": prep.scaler} if prep.scaler is not None else {}),
-                      spec=spec)
-    data = load_prepared(spark, stored_as)
-    return Prepared(data, load_params(spark, stored_as, "stats"), **spec)
+        many = isinstance(prep.task_labels, DataFrame)
+        spec = {f: getattr(prep, f) for f in ("target", "features", "numeric", "categorical", "categories")}
+        spec["task_labels"] = None if many else prep.task_labels
+        tables = {"stats": prep.stats, "scaler": prep.scaler, "labels": prep.task_labels if many else None}
+        save_prepared(prep.data, stored_as, {k: t for k, t in tables.items() if t is not None}, spec=spec)
+        manifest = load_manifest(spark, stored_as)
+    # one manifest for all parts, so that they are of one version
+    version, tables = manifest["version"], {k: load_params(spark, stored_as, k, version=manifest["version"]) for k in manifest["params"]}
+    own = dict(manifest["spec"])
+    if "labels" in tables:
+        own["task_labels"] = tables["labels"]
+    return Prepared(load_prepared(spark, stored_as, version=version), tables["stats"], scaler=tables.get("scaler"), **own)
