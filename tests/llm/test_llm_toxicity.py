@@ -87,8 +87,8 @@ def test_pair_screen_against_brute_force():
         value = variance = 0.0
         for p, q, sign in ((1, 1, 1), (1, 0, -1), (0, 1, -1), (0, 0, 1)):
             own = y[(x[:, i] == p) & (x[:, j] == q)]
-            share = (own.sum() + 1) / (len(own) + 2)
-            value, variance = value + sign * share, variance + share * (1 - share) / len(own)
+            hits, rest = own.sum() + 0.5, len(own) - own.sum() + 0.5
+            value, variance = value + sign * np.log(hits / rest), variance + 1 / hits + 1 / rest
         return abs(value) / variance ** 0.5
 
     want = sorted({k for i in range(7) for j in range(7) if i != j and contrast(i, j) >= 4 for k in (i, j)})

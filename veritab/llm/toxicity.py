@@ -12,19 +12,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, python_ready
+from .common import col, materialize, python_ready
 
 #: The fit reads at most so many labelled rows, those with the smallest hash of the id.
 TRAIN_ROWS = 12_000
 HASH_BITS = 20
 #: A word gives itself and its beginnings of these lengths as terms.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Terms enter the machine from this z-score on: of their own class difference,
-#: or of an interaction with another term.
-MIN_Z = 5.0
+#: Terms enter the machine from these z-scores on: of their own class difference,
+#: or of an interaction with another term (there are millions of pairs).
+MIN_Z, PAIR_Z = 5.0, 8.0
 #: Terms that are screened for interactions besides those that differ by
 #: themselves: those that part the sample most evenly. It bounds the pairs.
 PAIR_TERMS = 512
+#: Terms of a block of pairs, so that the driver holds few pairs at a time.
+PAIR_BLOCK = 256
 FACTORS = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 400_000
@@ -159,30 +161,36 @@ def _harmless(batches: Iterator[pa.RecordBatch], model: FactorizationMachine, te
         yield batch.filter(pa.array([s < 0.5 for s in out], pa.bool_()))
 
 
-def interacting_terms(x: np.ndarray, labels: np.ndarray, min_z: float = MIN_Z) -> np.ndarray:
-    """Columns of the 0/1 matrix ``x`` that interact with another one: the
-    shares of label 1 in the four cells of two terms (both, one, the other,
+def interacting_terms(x: np.ndarray, labels: np.ndarray, min_z: float = PAIR_Z) -> np.ndarray:
+    """Columns of the 0/1 matrix ``x`` that interact with another one: the log
+    odds of label 1 in the four cells of two terms (both, one, the other,
     neither) differ by more than the sum of the terms' own differences.
 
-    The contrast is p11 - p10 - p01 + p00, over its standard error with each
-    cell's share drawn a little to the middle; cells of fewer than five rows tell
-    nothing.
+    The contrast is l11 - l10 - l01 + l00, with half a row added to each count,
+    over its standard error; cells of fewer than five rows tell nothing.
     """
-    x = x.astype(np.float32)
-    n, ones = len(x), x.sum(axis=0).astype(float)
-    hit = x[labels == 1]
-    pos = hit.sum(axis=0).astype(float)
-    both, both_pos = (x.T @ x).astype(float), (hit.T @ hit).astype(float)
-    cells = [(both, both_pos), (ones[:, None] - both, pos[:, None] - both_pos), (ones[None] - both, pos[None] - both_pos),
-             (n - ones[:, None] - ones[None] + both, len(hit) - pos[:, None] - pos[None] + both_pos)]
-    contrast, variance, enough = 0.0, 0.0, np.ones(both.shape, bool)
-    for sign, (size, own) in zip((1, -1, -1, 1), cells):
-        share = (own + 1) / (size + 2)
-        contrast = contrast + sign * share
-        variance = variance + share * (1 - share) / np.maximum(size, 1)
-        enough &= size >= 5
-    np.fill_diagonal(enough, False)
-    return np.flatnonzero((enough & (np.abs(contrast) >= min_z * np.sqrt(variance))).any(axis=1))
+    n, hits, m = len(x), int((labels == 1).sum()), x.shape[1]
+    ones, pos = x.sum(axis=0, dtype=np.int64).astype(float), x[labels == 1].sum(axis=0, dtype=np.int64).astype(float)
+    found = np.zeros(m, bool)
+    for i in range(0, m, PAIR_BLOCK):
+        left = x[:, i:i + PAIR_BLOCK].astype(np.float32)
+        for j in range(i, m, PAIR_BLOCK):
+            right = x[:, j:j + PAIR_BLOCK].astype(np.float32)
+            both, both_pos = (left.T @ right).astype(float), (left[labels == 1].T @ right[labels == 1]).astype(float)
+            a, b = ones[i:i + PAIR_BLOCK, None], ones[None, j:j + PAIR_BLOCK]
+            p, q = pos[i:i + PAIR_BLOCK, None], pos[None, j:j + PAIR_BLOCK]
+            contrast, variance, enough = 0.0, 0.0, np.ones(both.shape, bool)
+            for sign, size, own in ((1, both, both_pos), (-1, a - both, p - both_pos), (-1, b - both, q - both_pos),
+                                    (1, n - a - b + both, hits - p - q + both_pos)):
+                contrast = contrast + sign * np.log((own + 0.5) / (size - own + 0.5))
+                variance = variance + 1 / (own + 0.5) + 1 / (size - own + 0.5)
+                enough &= size >= 5
+            if i == j:
+                np.fill_diagonal(enough, False)
+            tells = enough & (np.abs(contrast) >= min_z * np.sqrt(variance))
+            found[i:i + PAIR_BLOCK] |= tells.any(axis=1)
+            found[j:j + PAIR_BLOCK] |= tells.any(axis=0)
+    return np.flatnonzero(found)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
@@ -208,8 +216,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) ->
     if pos and neg:
         share = (F.col("pos") + F.col("neg")) / (pos + neg)
         z = (F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
-        counts = (rows.mapInArrow(_term_counts, "term long, pos long, neg long")
-                  .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+        counts = materialize(rows.mapInArrow(_term_counts, "term long, pos long, neg long")
+                             .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-terms")
         differs = F.abs(z) >= MIN_Z
         alone = np.array([r["term"] for r in counts.where(differs).select("term").collect()], np.int32)
         evenly = counts.where(~differs).orderBy(F.desc(share * (1 - share)), "term").limit(PAIR_TERMS)
