@@ -45,6 +45,28 @@ def test_unclosed_and_self_closing_elements_lose_no_text():
         assert texts(f"<p>a</p><{tag}>b") == ["a"] and texts(f"<p>a</p><{tag}/>b</{tag}><p>c</p>") == ["a", "c"], tag
 
 
+def test_quotes_open_values_only_behind_an_equals_sign():
+    def texts(html):
+        return [b.text for b in leaf_blocks(html)]
+
+    assert texts("<p title=it's>First sentence here.</p><p title=that's>Second one.</p>") == ["First sentence here.", "Second one."]
+    assert texts("<a title=Bob's>Bob</a> says <p>hello there</p><p>it's done</p><p>more</p>") == [
+        "Bob says", "hello there", "it's done", "more"]
+    assert texts('<p>a <img alt="5" tall"> b</p><p>"c"</p>') == ["a b", '"c"']
+    assert texts("<p class='x>y' id = \"a>b\" data-z = c>t</p><p '>u</p><p \">v</p><p a=\"open>w</p>") == ["t", "u", "v", "w"]
+    assert texts("<p a= >x</p><p a=b'c\"d>y</p><p =\"z>\">q</p>") == ["x", "y", "q"]
+    assert leaf_blocks('<div title="class=menu" CLASS=big>x</div>')[0].path.names == ("div", ".big")
+    assert len(texts("<p " + "a=b " * 50_000)) == 1 and texts("<p " + 'a="b ' * 20_001 + ">x") == ["x"]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    start = time.perf_counter()
+    for html in ("<div>word" * 100_000, "<li><b>word" * 50_000, "<div class=x>w</b>" * 60_000, "<b><div>w</b>" * 60_000, "<td>w<a>" * 50_000):
+        assert len(leaf_blocks(html)) >= 50_000
+    assert time.perf_counter() - start < 12
+
+
 def test_gradients():
     blocks = leaf_blocks(PAGE)
     model = H.BlockLabeller()
@@ -105,3 +127,12 @@ def test_query_and_awkward_rows(spark):
             bad += r["text"] != "\n".join(b.text for b, y in zip(blocks, H.teacher_labels(blocks)) if y)
     assert bad <= 2
     assert H.extract_text(pages.limit(0)).count() == 0
+
+
+def test_samples_without_landmarks(spark):
+    long = "A sentence that is long enough to be taken for the prose of an article, as it goes on and on. "
+    pages = spark.createDataFrame([(i, "u", f"<div><a href=x>Menu</a></div><div>{long * 2} {i}</div><div><a>Imprint</a></div>") for i in range(30)],
+                                  "page_id long, url string, html string")
+    assert {r["text"] for r in H.extract_text(pages).collect()} == {" ".join(f"{long * 2} {i}".split()) for i in range(30)}
+    short = spark.createDataFrame([(1, "u", "<p>Menu</p><p>b</p>")], "page_id long, url string, html string")
+    assert H.extract_text(short).first()["text"] == "Menu\nb"

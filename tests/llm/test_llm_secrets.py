@@ -89,5 +89,67 @@ def test_values_longer_than_their_base_span_are_whole(spark):
     assert r["base_sha256"] == hashlib.sha256(",".join(base(text)).encode()).hexdigest()
 
 
+def guesses(text, words=("river", "mountain", "required", "there")):
+    return [text[a:b] for a, b, _ in S.guessed_spans(text, S.base_spans(text), S.GuessCost(list(words)))]
+
+
+def test_names_quotes_and_blanks_of_any_kind():
+    host = "u" * 70
+    for text, value in (("pwd =          x7Kq2vR9zL", "x7Kq2vR9zL"), (f"https://{host}:x7Kq2vR9zL4@host/", "x7Kq2vR9zL4"),
+                        ("pwd: Ab9x,K2qL0zW8", "Ab9x,K2qL0zW8"), ("db_password='h7J\"kq2Lx9'", "h7J\"kq2Lx9"), ("pwd = \"h7J'kq2Lx9Vb\"", "h7J'kq2Lx9Vb"),
+                        ("SECRET_KEY = 'x7Kq2!vR9zLmW4pq'", "x7Kq2!vR9zLmW4pq"), ("secret_key: x7Kq2vR9zLmW4pq", "x7Kq2vR9zLmW4pq"),
+                        ("TOKEN_VALUE=x7Kq2vR9zLmW", "x7Kq2vR9zLmW"), ("auth\t:=\tbearer    x7Kq2vR9zLmW", "x7Kq2vR9zLmW"),
+                        ("pwd:x7Kq2vR9zL,user:bob", "x7Kq2vR9zL"), ('{"pwd":"x7Kq;2vR9,zL","user":"bob"}', "x7Kq;2vR9,zL")):
+        assert guesses(text) == [value], text
+    for text in ("login: the river, mountain", "my pin: there", 'pwd: "required" and so on', "token_bucket = river", "auth: mountain,river;there",
+                 "pass: 01-31-2024", "pwd: 12/24/1999", "secret_garden: river"):
+        assert guesses(text) == [], text
+
+
+def test_repeats_of_any_period():
+    cost = S.GuessCost()
+    for block in ("q7xT2mK9p", "q7xT2mK9pLw4", "k2P9xw7Lq0Zb3Vn8"):
+        once = sum(map(S._char_bits, block))
+        assert cost.bits(block * 2) <= once + 1 + S.SEGMENT_BITS + 0.01
+        assert cost.bits(block * 5) <= once + 3 + S.SEGMENT_BITS
+    assert not cost.secret("abcdefghijk" * 3) and cost.bits("q7xT2mK9p" * 20_000) < 80
+
+
+def exhaustive(cost, value):
+    """The least cost over all ways to cut a value into segments."""
+    ends = [[] for _ in range(len(value) + 1)]
+    cost._runs(value.lower(), ends)
+    runs = {}
+    for j, own in enumerate(ends):
+        for i, bits in own:
+            runs[i, j] = min(bits, runs.get((i, j), 1e9))
+
+    def segment(i, j):
+        piece = value[i:j]
+        sorts = [sum(map(S._char_bits, piece)), runs.get((i, j), 1e9)]
+        if len(piece) > 1 and (word := cost.word_bits(piece)) is not None:
+            sorts.append(word)
+        if S.DATE.fullmatch(piece):
+            sorts.append(S.DATE_BITS)
+        if S.YEAR.fullmatch(piece):
+            sorts.append(S.YEAR_BITS)
+        return min(sorts) + S.SEGMENT_BITS
+
+    n = len(value)
+    best = 1e9
+    for cuts in range(1 << (n - 1)):
+        at = [0, *(k + 1 for k in range(n - 1) if cuts >> k & 1), n]
+        best = min(best, sum(segment(i, j) for i, j in zip(at, at[1:])))
+    return best
+
+
+def test_guess_cost_equals_exhaustive_segmentation():
+    cost, rng = S.GuessCost(["river", "there", "an", "the"]), random.Random(8)
+    parts = ["river", "the", "an", "2024", "abc", "qwe", "zz", "xyxy", "7", "K", "!", "01", "There"]
+    for _ in range(60):
+        value = "".join(rng.choices(parts, k=4))[:11]
+        assert abs(cost.bits(value) - exhaustive(cost, value)) < 1e-9, value
+
+
 def test_empty_table(spark):
     assert S.scan_secrets(docs_table(spark, [])).count() == 0

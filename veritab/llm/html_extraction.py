@@ -22,6 +22,9 @@ PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, HIDDEN = 2048, 2048, 16, 8, 20
 EPOCHS, BATCH, RATE, VARIANTS = 8, 16, 0.01, 4
 NUMERIC = 6
 
+#: A block of so many characters is taken for prose where no page has landmarks.
+PROSE_CHARS = 80
+
 # Parameters of the weak teacher: landmarks whose text is the article or is not.
 MAIN_TAGS = {"article", "main"}
 OTHER_TAGS = {"nav", "aside", "footer", "header", "form", "dialog", "button"}
@@ -70,8 +73,7 @@ class BlockFeatures:
         self.words: dict[str, int] = {}
 
     def path(self, block: Block) -> list[int]:
-        tags = [t for t in block.path if t not in ("html", "body")]
-        tokens = [*dict.fromkeys(tags), "^" + (tags[-1] if tags else "")]
+        tokens = [*(t for t in block.path.names if t not in ("html", "body")), "^" + block.path.last]
         return [_bucket(t, PATH_BUCKETS, self.paths) for t in tokens]
 
     def text(self, block: Block) -> list[int]:
@@ -83,7 +85,7 @@ class BlockFeatures:
         for k, b in enumerate(blocks):
             n = len(b.text)
             out[k] = (np.log1p(n) / 6, b.link_chars / n, sum(map(b.text.count, ".,;!?")) * 10 / n,
-                      sum(map(b.text.count, "|»©•·")) * 10 / n, k / len(blocks), len(b.path) / 10)
+                      sum(map(b.text.count, "|»©•·")) * 10 / n, k / len(blocks), b.path.size / 10)
         return out
 
 
@@ -254,8 +256,13 @@ def teacher_labels(blocks: list[Block]) -> list[int]:
     part of such a name, and under nothing that is named as something else."""
     other = {"." + w for names in OTHER_NAMES.values() for w in names}
     named = {"." + w for w in MAIN_NAMES}
-    return [int((not MAIN_TAGS.isdisjoint(b.path) or not named.isdisjoint(b.path))
-                and OTHER_TAGS.isdisjoint(b.path) and other.isdisjoint(b.path)) for b in blocks]
+    return [int((not MAIN_TAGS.isdisjoint(b.path.seen) or not named.isdisjoint(b.path.seen))
+                and OTHER_TAGS.isdisjoint(b.path.seen) and other.isdisjoint(b.path.seen)) for b in blocks]
+
+
+def prose_labels(blocks: list[Block]) -> list[int]:
+    """Weaker labels, for samples without any landmark: long texts with few links."""
+    return [int(len(b.text) >= PROSE_CHARS and b.link_chars < 0.3 * len(b.text)) for b in blocks]
 
 
 def page_variant(main: list[str], spare: list[str], rng: random.Random) -> str:
@@ -318,35 +325,35 @@ def page_variants(own: list[tuple[list[Block], list[int]]], n: int, rng: random.
     return made
 
 
-def fit_labeller(pages: DataFrame, html: str = "html", limit: int = TRAIN_PAGES) -> BlockLabeller:
-    """Fit on a bounded sample of ``pages`` (page_id, html) and a few variants of
-    each page. The labels come from the pages' own landmarks; variants let the
-    labeller meet layouts and parts that the sample does not have."""
-    fit = pages.where((F.length(html) > 0) & (F.length(html) <= TRAIN_CHARS)).withColumn("pick", F.xxhash64("page_id", html))
+def fit_labeller(pages: DataFrame, html: str = "html", limit: int = TRAIN_PAGES, chars: int = TRAIN_CHARS) -> BlockLabeller | None:
+    """Fit on a bounded sample of ``pages`` (page_id, html), whole pages of at
+    most ``chars`` characters, and a few variants of each. The labels come from
+    the pages' own landmarks, or if no page has any from their long texts;
+    variants let the labeller meet layouts and parts that the sample does not
+    have. None without a page that has either."""
+    fit = pages.where((F.length(html) > 0) & (F.length(html) <= chars)).withColumn("pick", F.xxhash64("page_id", html))
     # Only hashes are ranked, so that what reaches the driver is the sample.
     picks = {r["pick"] for r in fit.select("pick").orderBy("pick").limit(limit).collect()}
     sample = (fit.where(F.col("pick").isin(*picks)).groupBy("pick").agg(F.min(html).alias(html))
               .orderBy("pick").select(html).collect()) if picks else []
     rng = random.Random(3)
-    own = []
-    for r in sample:
-        blocks = leaf_blocks(r[0])
-        labels = teacher_labels(blocks)
-        if any(labels):
-            own.append((blocks, labels))
-    training = own + page_variants(own, VARIANTS, rng)
-    labeller = BlockLabeller()
-    labeller.fit([(b[:200], y[:200]) for b, y in training])
-    return labeller
-
-
-def _texts(batches: Iterator[pa.RecordBatch], labeller: BlockLabeller) -> Iterator[pa.RecordBatch]:
+    found = [leaf_blocks(r[0]) for r in sample]
+    for teacher in (teacher_labels, prose_labels):
+        own = [(b, y) for b in found if any(y := teacher(b))]
+        if own:
+            labeller = BlockLabeller()
+            labeller.fit(own + page_variants(own, VARIANTS, rng))
+            return labeller
+    return None
+
+
+def _texts(batches: Iterator[pa.RecordBatch], labeller: BlockLabeller | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             pages = [leaf_blocks(h) for h in part.column("html").to_pylist()]
             texts = ["\n".join(b.text for b, keep in zip(blocks, own) if keep)
-                     for blocks, own in zip(pages, labeller.labels(pages))]
+                     for blocks, own in zip(pages, labeller.labels(pages) if labeller else [[True] * len(p) for p in pages])]
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -363,8 +370,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     A null or empty page, or one without main text, gives an empty text. Null
     ids and urls pass through, repeated rows give equal results, an empty
-    table gives no rows. Without a page that has landmarks the labeller is
-    untrained and says nothing reliable. Other columns are not read.
+    table gives no rows. Where no page of the sample has a landmark or a long
+    text, there is nothing to learn from and all blocks are kept. Other columns
+    are not read.
     """
     python_ready(pages.sparkSession)
     source = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"),

@@ -23,17 +23,21 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_STEMS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE_KINDS = ("assign", "access", "hex")
 
-#: Contexts whose value the guess cost judges: a credential's name with a colon
-#: or an equals sign, an authorization scheme, the password part of an URL.
+#: Contexts whose value the guess cost judges: a credential's name (with any
+#: parts behind it) and a colon or an equals sign, an authorization scheme, the
+#: password part of an URL. A quoted value ends at the same quote; without a
+#: pair of quotes a value ends at white space, a quote or an angle bracket.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|cred|auth(?:orization)?|login"""
-    r"""|(?:api|access|private|client|signing|encryption)[_-]?(?:key|secret|token))["']?[\x20\t]{0,8}(?:=>|[:=])[\x20\t]{0,8}"""
-    r"""(?:(?:bearer|basic)[\x20\t]{1,8})?["']?([^\s"'<>,;]{6,})"""
-    r"""|\bbearer[\x20\t]{1,8}([^\s"'<>,;]{6,})|://[^\s/:@]{1,64}:([^\s/@]{6,})@"""
-    r"""|\b(?:pin|pass[_-]?code)["']?[\x20\t]{0,8}(?:=>|[:=])[\x20\t]{0,8}["']?([0-9]{4,5})(?![^\s"'<>.,;:!?)\]}])""",
+    r"""|(?:api|access|private|client|signing|encryption)[_-]?(?:key|secret|token))(?:[_-][a-z0-9]+)*+["']?[\x20\t]*+(?:=>|:=|[:=])[\x20\t]*+"""
+    r"""(?:(?:bearer|basic)[\x20\t]++)?(?:"([^"\s]{6,})"|'([^'\s]{6,})'|["']?([^\s"'<>]{6,}))"""
+    r"""|\bbearer[\x20\t]++([^\s"'<>]{6,})|://[^\s/:@]*+:([^\s/@]{6,})@"""
+    r"""|\b(?:pin|pass[_-]?code)["']?[\x20\t]*+(?:=>|[:=])[\x20\t]*+["']?([0-9]{4,5})(?![^\s"'<>.,;:!?)\]}])""",
     re.IGNORECASE | re.ASCII)
-#: The group of CONTEXT with numbers of four or five digits.
-SHORT_PIN = 4
+#: The groups of CONTEXT with quoted values, and with numbers of four or five digits.
+QUOTED, SHORT_PIN = (1, 2), 6
+#: What follows a value without white space in between: another name with its value.
+NEXT_NAME = re.compile(r"""[,;&]["']?[a-z_][\w.-]*+["']?(?:=>|[:=])""", re.IGNORECASE | re.ASCII)
 CONTEXT_STEMS = ("pass", "pwd", "pin", "secret", "token", "cred", "auth", "login", "key", "bearer", "://")
 #: Bits of guessing work from which a value is a secret, whatever its length.
 MIN_BITS = 40.0
@@ -68,12 +72,15 @@ def _neighbours() -> dict[str, set[str]]:
 
 NEAR = _neighbours()
 DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
-                  r"|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
+                  r"|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d"
+                  r"|(?:0[1-9]|1[0-2])([-/.]?)(?:0[1-9]|[12]\d|3[01])\3(?:19|20)\d\d")
 YEAR = re.compile(r"(?:19|20)\d\d")
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Bits for a word that the dictionary lacks: a language has about a million.
 UNKNOWN_BITS = 20.0
 DATE_BITS, YEAR_BITS = math.log2(366 * 120), math.log2(120)
+#: Repeats up to this period are tried at every place, longer ones are looked up.
+SHORT_PERIOD = 8
 #: Bits for telling where a segment ends and of which sort it is.
 SEGMENT_BITS = 2.0
 
@@ -178,19 +185,38 @@ class GuessCost:
                 if a == i or j - a <= MAX_WORD:
                     ends[j].append((a, first + math.log2(j - a) + each * (j - a - 1)))
 
-        for period in range(1, 9):  # repeats of one to eight characters
+        def repeat(i: int, j: int, period: int) -> None:
+            block = sum(map(_char_bits, low[i:i + period]))
+            ends[j].append((i, block + math.log2((j - i) / period)))
+            whole = i + (j - i) // period * period
+            if whole != j:
+                ends[whole].append((i, block + math.log2((whole - i) / period)))
+
+        for period in range(1, SHORT_PERIOD + 1):
             i = 0
             while i + period < n:
                 j = i + period
                 while j < n and low[j] == low[j - period]:
                     j += 1
                 if j - i >= max(3, 2 * period):
-                    block = sum(map(_char_bits, low[i:i + period]))
-                    ends[j].append((i, block + math.log2((j - i) / period)))
-                    whole = i + (j - i) // period * period
-                    if whole != j:
-                        ends[whole].append((i, block + math.log2((whole - i) / period)))
+                    repeat(i, j, period)
                 i = max(i + 1, j - period + 1)
+        # longer periods: where a piece longer than the short ones comes again
+        seen: dict[str, int] = {}
+        i = 0
+        while i + SHORT_PERIOD < n:
+            piece = low[i:i + SHORT_PERIOD + 1]
+            before = seen.get(piece)
+            seen[piece] = i
+            period = i - before if before is not None else 0
+            if period > SHORT_PERIOD:
+                j = i + SHORT_PERIOD + 1
+                while j < n and low[j] == low[j - period]:
+                    j += 1
+                if j - before >= 2 * period:
+                    repeat(before, j, period)
+                    i = j - SHORT_PERIOD - 1
+            i += 1
         i = 0
         while i + 1 < n:  # abc, 321
             step, j = ord(low[i + 1]) - ord(low[i]), i + 1
@@ -238,7 +264,11 @@ def guessed_spans(text: str, base: list[tuple[int, int, str]], model: GuessCost,
     for m in CONTEXT.finditer(text):
         group = m.lastindex
         start, end = m.span(group)
-        value = text[start:end].rstrip(".,;:!?)]}'\"")
+        value = text[start:end]
+        if group not in QUOTED:
+            if (other := NEXT_NAME.search(value)) is not None:
+                value = value[:other.start()]
+            value = value.rstrip(".,;:!?)]}'\"")
         end = start + len(value)
         if len(value) < 6 and group != SHORT_PIN or any(a <= start and end <= b for a, b, _ in base):
             continue
