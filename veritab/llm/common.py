@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,21 @@ def byte_slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1].tolist(), edges[1:].tolist())
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """``batches`` of a task; behind the last one, memory that the task has
+    freed goes back to the system. Python workers live on after a task, and what
+    they hold would be missing in the stages behind it."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # no glibc
+            pass
+
+
 def python_ready(spark: SparkSession) -> None:
     """Make this package importable in the Python workers."""
     ship_package(spark)

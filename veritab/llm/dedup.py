@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, lower_ascii, materialize, python_ready, row_struct
+from .common import col, lower_ascii, materialize, python_ready, row_struct, trimmed
 
 #: The top bits of a fingerprint are its quotient: 4,096 runs, each merged by
 #: one task; more for a larger corpus.
@@ -89,7 +89,7 @@ def repeated_fingerprints(fingerprints: DataFrame, quotient_bits: int = QUOTIENT
     once. Each partition builds one filter; a quotient's runs meet in one
     task, a run from a partition being one row however often a value occurs."""
     python_ready(fingerprints.sparkSession)
-    runs = fingerprints.select("fp").mapInPandas(lambda it: _partition_filters(it, quotient_bits),
+    runs = fingerprints.select("fp").mapInPandas(lambda it: trimmed(_partition_filters(it, quotient_bits)),
                                                  "quotient long, remainders binary, counts binary")
     return runs.groupBy("quotient").applyInPandas(lambda pdf: _merge_quotient(pdf, quotient_bits), "fp long, n long")
 

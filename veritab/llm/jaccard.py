@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, materialize, python_ready, small_side
+from .common import col, materialize, python_ready, small_side, trimmed
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -161,7 +161,7 @@ def _members(source: DataFrame, groups: DataFrame, sids: DataFrame, shingle_word
     """The whole sets of ``sids``, from one document of each."""
     wanted = sids.join(groups, "sid").select(F.col("least_id").alias("doc_id")).distinct()
     return materialize(source.join(small_side(materialize(wanted, "jaccard-wanted")), "doc_id", "left_semi")
-                       .mapInArrow(lambda it: _full_sets(it, shingle_words), "sid long, members array<long>")
+                       .mapInArrow(lambda it: trimmed(_full_sets(it, shingle_words)), "sid long, members array<long>")
                        .join(small_side(sids), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-members")
 
 
@@ -196,7 +196,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     python_ready(spark)
     source = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    first = materialize(source.mapInArrow(lambda it: _set_rows(it, shingle_words),
+    first = materialize(source.mapInArrow(lambda it: trimmed(_set_rows(it, shingle_words)),
                                           f"doc_id {kind}, sid long, n long, block int, counters binary"), "jaccard-sets")
     rows = first.where("block is null").select("doc_id", "sid", "n")
     groups = rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("least_id"))
@@ -208,8 +208,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sketch[at:at + SKETCH_BLOCK] = r["counters"]
     shared = spark.sparkContext.broadcast(bytes(sketch))
     index = materialize(source.where("doc_id is not null").mapInArrow(
-        lambda it: _index_rows(it, shingle_words, percent, shared.value),
+        lambda it: trimmed(_index_rows(it, shingle_words, percent, shared.value)),
         "sid long, n int, tokens array<long>, bits array<long>, half array<long>"), "jaccard-index")
+    shared.unpersist()
     one = W.partitionBy("token")
     lists = materialize(index.select("sid", "n", F.posexplode("tokens").alias("pos", "token"))
                         .withColumn("front", F.min("sid").over(one)).withColumn("last", F.max("sid").over(one))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_slices, col, materialize, python_ready
+from .common import byte_slices, col, materialize, python_ready, trimmed
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -307,7 +307,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     python_ready(docs.sparkSession)
     source = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end_id, with_ids),
+    return source.mapInArrow(lambda it: trimmed(_pieces(it, tokenizer, capacity, end_id, with_ids)),
                              f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
                              + ", ids binary" * with_ids)
 

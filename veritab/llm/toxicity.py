@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize, python_ready
+from .common import col, materialize, python_ready, trimmed
 
 #: The fit reads at most so many labelled rows, those with the smallest hash of the id.
 TRAIN_ROWS = 12_000
@@ -29,7 +29,7 @@ PAIR_TERMS = 512
 PAIR_BLOCK = 256
 FACTORS = 4
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def word_terms(word: str) -> list[int]:
@@ -139,8 +139,8 @@ def _text_scores(batches: Iterator[pa.RecordBatch], model: FactorizationMachine,
     shares: dict[str, np.ndarray | None] = {}
     for batch in batches:
         out = []
-        for text in batch.column(text_col).to_pylist():
-            words = text_words(text or "")
+        for cell in batch.column(text_col):  # one text at a time
+            words = text_words(cell.as_py() or "")
             if len(shares) > CACHE_WORDS:
                 shares = {}
             for w in words.difference(shares):
@@ -216,7 +216,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) ->
     if pos and neg:
         share = (F.col("pos") + F.col("neg")) / (pos + neg)
         z = (F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
-        counts = materialize(rows.mapInArrow(_term_counts, "term long, pos long, neg long")
+        counts = materialize(rows.mapInArrow(lambda it: trimmed(_term_counts(it)), "term long, pos long, neg long")
                              .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-terms")
         differs = F.abs(z) >= MIN_Z
         alone = np.array([r["term"] for r in counts.where(differs).select("term").collect()], np.int32)
@@ -224,7 +224,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) ->
         frequent = np.array([r["term"] for r in evenly.select("term").collect()], np.int32)
     terms = np.sort(np.concatenate([alone, frequent]))
     # one row per id, so that what is collected is bounded by the sample
-    own = (rows.mapInArrow(lambda it: _selected(it, terms),
+    own = (rows.mapInArrow(lambda it: trimmed(_selected(it, terms)),
                            f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, terms binary")
            .groupBy("doc_id", "label").agg(F.min("terms").alias("terms")))
     got = sorted(own.collect(), key=lambda r: (r["doc_id"], r["label"], r["terms"]))
@@ -257,7 +257,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     source, model = _fitted(docs, labels, id_col, text_col, label_col, limit)
     kind = source.schema["doc_id"].dataType.simpleString()
-    return (source.mapInArrow(lambda it: _scores(it, model), f"doc_id {kind}, score double")
+    return (source.mapInArrow(lambda it: trimmed(_scores(it, model)), f"doc_id {kind}, score double")
             .select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"),
                     "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")))
 
@@ -279,4 +279,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The rows of ``docs`` that score below 0.5, with all its columns; they
     pass through the scoring and are not joined. Fitted as in ``score_toxicity``."""
     _, model = _fitted(docs, labels, id_col, text_col, label_col, limit)
-    return docs.mapInArrow(lambda it: _harmless(it, model, text_col), docs.schema)
+    return docs.mapInArrow(lambda it: trimmed(_harmless(it, model, text_col)), docs.schema)
