@@ -108,3 +108,11 @@ def test_target_drift_data(spark, halves):
     b = spark.createDataFrame([("y",)], "t string")
     f = {r["value"]: (r["ref_freq"], r["cur_freq"]) for r in D.target_drift_data(a, b, "t")["frequencies"].collect()}
     assert f == {"x": (0.5, 0.0), "y": (0.5, 1.0)}
+
+
+def test_a_reduced_reference_gives_the_same_report(spark, halves):
+    ref, cur = (df.withColumn("word", F.concat(F.lit("w"), (F.col("target") + F.col("width").cast("int") % 3).cast("string"))) for df in halves)
+    reduced = D.reduce_reference(ref, cur)
+    rows = lambda df: sorted((r["column_name"], r["column_type"], r["drift_score"]) for r in df.collect())
+    want = rows(D.drift_report(ref, cur))
+    assert rows(D.drift_report(ref.limit(0), cur, reduced=reduced)) == want and len(want) == 4

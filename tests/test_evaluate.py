@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ def test_roc_auc_perfect_and_ties(spark):
     tied = spark.createDataFrame([(1, 0.5), (0, 0.5)], "label int, score double")
     assert E.roc_auc(tied, "label", "score").first()[0] == pytest.approx(0.5)
     none = spark.createDataFrame([(1, None), (1, float("nan"))], "label int, score double")
-    assert E.roc_auc(none, "label", "score").first()[0] == 0.0
+    assert E.roc_auc(none, "label", "score").first()[0] is None  # nothing to compare
 
 
 def test_roc_is_exact_on_skewed_scores(spark):
@@ -75,3 +78,28 @@ def test_one_scan_for_all_class_metrics(spark):
     assert m["Accuracy"] == pytest.approx(1 / 3) and m["Recall"] == pytest.approx(0.25)
     plan = E.classification_metrics(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_undefined_areas_and_unknown_labels(spark):
+    one = spark.createDataFrame([(1, 0.9), (1, 0.2)], "label int, score double")
+    assert E.roc_auc(one, "label", "score").first()[0] is None
+    rows = [(5, [0.1, 0.9]), (5, [0.3, 0.7]), (3, [0.8, 0.2]), (9, [0.5, 0.5]), (None, [0.5, 0.5]), (3, [None, 0.1])]
+    df = spark.createDataFrame(rows, "label int, probability array<double>")
+    pairs = {(r["class"], r["other"]): (r["auc"], r["n_class"], r["n_other"]) for r in E.class_pair_auc(df, "label", labels=[3, 5]).collect()}
+    assert pairs == {(3, 5): (1.0, 1, 2), (5, 3): (1.0, 2, 2)}
+    assert E.multiclass_auc(E.class_pair_auc(df.where("label = 5"), "label", labels=[3, 5])).first()[0] is None
+    text = df.selectExpr("case label when 5 then 'b' when 3 then 'a' end as label", "probability")
+    assert E.multiclass_auc(E.class_pair_auc(text, "label", labels=["a", "b"]), "classes").first()[0] == 1.0
+    loss = E.log_loss(df.where("label in (3, 5)").where("probability[0] is not null"), "label", labels=[3, 5]).first()[0]
+    assert loss == pytest.approx(-(math.log(0.9) + math.log(0.7) + math.log(0.8)) / 3)
+
+
+def test_running_counts_of_scores_close_together(spark):
+    """Scores a few units in the last place apart, of both signs, against plain counting."""
+    rng = random.Random(1)
+    scores = [rng.choice([1, -1]) * (1 - k * 2.0 ** -53) for k in range(40)] + [0.0, 5e-324, -5e-324, 1e308, -1e308, 0.99999, 0.5, 0.5]
+    rows = [(s, rng.random() < 0.5) for s in scores * 3]
+    df = spark.createDataFrame([(s, int(y)) for s, y in rows], "score double, label int").repartition(3)
+    got = sorted(map(tuple, E._score_counts(df, "label", "score", 1).select("s", "cum_pos", "cum_neg").collect()))
+    want = sorted((s, sum(y for t, y in rows if t >= s), sum(not y for t, y in rows if t >= s)) for s in set(scores))
+    assert got == want

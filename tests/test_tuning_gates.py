@@ -126,3 +126,12 @@ def test_stratified_folds_exact_balance(spark):
         sizes.setdefault(r["y"], []).append(r["count"])
     for y, c in sizes.items():
         assert len(c) == 3 and max(c) - min(c) <= 1, (y, c)
+
+
+def test_fairness_compares_at_least_two_groups(spark):
+    one = spark.createDataFrame([("a", 1, 1), ("a", 0, 0)], "g string, label int, prediction int")
+    assert G.fairness_test(one, "g").first()["passed"] is False
+    some = spark.createDataFrame([("a", 1, 1), ("b", 0, 0), ("c", 1, 1)], "g string, label int, prediction int")
+    cases = {r["case"]: r for r in G.fairness_cases(some, "g").collect()}
+    assert (cases["true_positive_rate"]["groups"], cases["true_positive_rate"]["left_out"]) == (2, 1)
+    assert cases["true_positive_rate"]["passed"] and cases["selection_rate"]["left_out"] == 0

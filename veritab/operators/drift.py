@@ -8,6 +8,8 @@ number of columns.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,36 @@ def route_columns(ref: DataFrame, cur: DataFrame, columns=None) -> tuple[list[st
 
 # D1 -------------------------------------------------------------------------
 
-def numeric_drift(ref: DataFrame, cur: DataFrame, columns=None) -> DataFrame:
+@dataclass
+class ReducedSide:
+    """All that drift needs of a table: one row of moments and the counts of
+    its categories (column_name, value, n)."""
+
+    moments: DataFrame
+    counts: DataFrame
+
+
+def reduce_reference(ref: DataFrame, cur: DataFrame, columns=None) -> ReducedSide:
+    """``ref`` reduced once, for many comparisons with tables of the columns of
+    ``cur``; both parts are written to the checkpoint folder."""
+    from veritab.session import checkpoint_dir
+    checkpoint_dir(ref.sparkSession)
+    num, cat = route_columns(ref, cur, columns)
+    moments = _moments(ref, num, "r") if num else ref.sparkSession.range(1)
+    stacked = _stacked_values(ref, cat, "r") if cat else ref.sparkSession.createDataFrame([], "column_name string, value string")
+    counts = stacked.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    return ReducedSide(moments.checkpoint(), counts.checkpoint())
+
+
+def _moments(df: DataFrame, cols: list[str], p: str) -> DataFrame:
+    aggs = []
+    for i, c in enumerate(cols):
+        x = as_double(c, df.schema[c].dataType)
+        aggs += [F.avg(x).alias(f"{p}m{i}"), F.stddev_samp(x).alias(f"{p}s{i}")]
+    return df.agg(*aggs)
+
+
+def numeric_drift(ref: DataFrame, cur: DataFrame, columns=None, reduced: ReducedSide | None = None) -> DataFrame:
     """Per numeric column: mean of relative |delta mean| and |delta std|.
 
     Columns: column_name, ref_mean, ref_std, cur_mean, cur_std, drift_score.
@@ -50,15 +81,8 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, columns=None) -> DataFrame:
         return spark.createDataFrame([], "column_name string, ref_mean double, ref_std double, "
                                          "cur_mean double, cur_std double, drift_score double")
 
-    def moments(df: DataFrame, p: str) -> DataFrame:
-        aggs = []
-        for i, c in enumerate(cols):
-            x = as_double(c, df.schema[c].dataType)
-            aggs += [F.avg(x).alias(f"{p}m{i}"), F.stddev_samp(x).alias(f"{p}s{i}")]
-        return df.agg(*aggs)
-
     # Two one-row frames: the cross join is between single rows.
-    both = moments(ref, "r").crossJoin(moments(cur, "c"))
+    both = (reduced.moments if reduced else _moments(ref, cols, "r")).crossJoin(_moments(cur, cols, "c"))
     structs = []
     for i, c in enumerate(cols):
         rm, rs, cm, cs = (F.col(f"rm{i}"), F.col(f"rs{i}"), F.col(f"cm{i}"), F.col(f"cs{i}"))
@@ -81,12 +105,16 @@ def _stacked_values(df: DataFrame, cols: list[str], side: str) -> DataFrame:
             .withColumn("side", F.lit(side)))
 
 
-def category_counts(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
+def category_counts(ref: DataFrame, cur: DataFrame, cols: list[str], reduced: ReducedSide | None = None) -> DataFrame:
     """(column_name, value, n_ref, n_cur) over the union of categories.
 
     One shuffle; the aggregation is partial before it, so a hot category
     reaches the exchange as one row per input partition.
     """
+    if reduced:
+        own = _stacked_values(cur, cols, "c").groupBy("column_name", "value").agg(F.count("*").alias("n_cur"))
+        both = own.withColumn("n_ref", F.lit(0)).unionByName(reduced.counts.withColumnRenamed("n", "n_ref").withColumn("n_cur", F.lit(0)))
+        return both.groupBy("column_name", "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     both = _stacked_values(ref, cols, "r").unionByName(_stacked_values(cur, cols, "c"))
     return (both.groupBy("column_name", "value")
             .agg(F.count_if(F.col("side") == "r").alias("n_ref"),
@@ -106,7 +134,7 @@ def category_shares(counts: DataFrame) -> DataFrame:
             .withColumn("p_cur", F.try_divide(F.col("n_cur"), F.col("t_cur"))))
 
 
-def categorical_drift(ref: DataFrame, cur: DataFrame, columns=None) -> DataFrame:
+def categorical_drift(ref: DataFrame, cur: DataFrame, columns=None, reduced: ReducedSide | None = None) -> DataFrame:
     """Jensen-Shannon divergence (natural log) per categorical column.
 
     A zero share becomes 1e-10, the others keep their value; capped at 1.
@@ -116,7 +144,7 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, columns=None) -> DataFrame
     spark = ref.sparkSession
     if not cols:
         return spark.createDataFrame([], "column_name string, drift_score double")
-    shares = category_shares(category_counts(ref, cur, cols))
+    shares = category_shares(category_counts(ref, cur, cols, reduced))
     p = F.when(F.col("p_ref") == 0, F.lit(EPS_SHARE)).otherwise(F.col("p_ref"))
     q = F.when(F.col("p_cur") == 0, F.lit(EPS_SHARE)).otherwise(F.col("p_cur"))
     m = (p + q) / 2
@@ -133,11 +161,12 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, columns=None) -> DataFrame
 # D6 / D3 --------------------------------------------------------------------
 
 def drift_report(ref: DataFrame, cur: DataFrame, columns=None,
-                 threshold: float = DRIFT_THRESHOLD) -> DataFrame:
-    """Per column: column_name, column_type, drift_score, drift_detected."""
-    num = numeric_drift(ref, cur, columns).select(
+                 threshold: float = DRIFT_THRESHOLD, reduced: ReducedSide | None = None) -> DataFrame:
+    """Per column: column_name, column_type, drift_score, drift_detected.
+    With ``reduced`` (``reduce_reference``), ``ref`` gives its columns only."""
+    num = numeric_drift(ref, cur, columns, reduced).select(
         "column_name", F.lit("numeric").alias("column_type"), "drift_score")
-    cat = categorical_drift(ref, cur, columns).select(
+    cat = categorical_drift(ref, cur, columns, reduced).select(
         "column_name", F.lit("categorical").alias("column_type"), "drift_score")
     return (num.unionByName(cat)
             .withColumn("drift_detected",

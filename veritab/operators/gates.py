@@ -215,9 +215,14 @@ def fairness_by_group(df: DataFrame, group: str, label: str = "label",
 
 def fairness_cases(df: DataFrame, group: str, label: str = "label", prediction: str = "prediction",
                    positive=1, max_gap: float = 0.1) -> DataFrame:
-    """One case per rate: gap = max - min over groups, passed when <= max_gap."""
+    """One case per rate: gap = max - min over groups, passed when <= max_gap.
+
+    ``groups`` have the rate, ``left_out`` have none (no row with a positive
+    label). A rate of fewer than two groups compares nothing: its gap is NULL
+    and the case is not passed."""
     g = fairness_by_group(df, group, label, prediction, positive)
-    structs = [F.struct(F.lit(m).alias("case"), (F.max(m) - F.min(m)).alias("value"))
+    structs = [F.struct(F.lit(m).alias("case"), F.when(F.count(m) >= 2, F.max(m) - F.min(m)).alias("value"),
+                        F.count(m).alias("groups"), F.count_if(F.col(m).isNull()).alias("left_out"))
                for m in ("selection_rate", "true_positive_rate", "accuracy")]
     return (g.agg(F.array(*structs).alias("a")).select(F.inline("a"))
             .withColumn("limit", F.lit(float(max_gap)))

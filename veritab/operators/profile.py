@@ -36,6 +36,8 @@ MEDIAN_RANGES = 64  # ranges per factor of two in the first round
 # used (its buffer holds the distinct values of a column, which is bounded
 # by this count); above it, the bucket refinement below.
 MEDIAN_AGG_MAX_ROWS = 1_000_000
+#: Columns whose values one aggregate holds at the same time.
+MEDIAN_COLUMNS = 8
 
 
 def exact_medians(df: DataFrame, columns: list[str], buckets: int = MEDIAN_BUCKETS,
@@ -71,9 +73,10 @@ def exact_medians(df: DataFrame, columns: list[str], buckets: int = MEDIAN_BUCKE
                 *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
                 *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).first()
     small = [i for i in range(len(columns)) if st[f"n{i}"] and st[f"n{i}"] <= agg_max_rows]
-    if small:
-        row = df.agg(*[F.percentile(xs[i], F.lit(0.5)).alias(f"m{i}") for i in small]).first()
-        for i in small:
+    for start in range(0, len(small), MEDIAN_COLUMNS):
+        some = small[start:start + MEDIAN_COLUMNS]
+        row = df.agg(*[F.percentile(xs[i], F.lit(0.5)).alias(f"m{i}") for i in some]).first()
+        for i in some:
             out[columns[i]] = row[f"m{i}"]
     searches = []   # one per (large column, middle rank)
     for i in range(len(columns)):

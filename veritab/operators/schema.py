@@ -172,9 +172,10 @@ def first_n_numeric(df: DataFrame, n: int = 5, exclude: tuple[str, ...] = ()) ->
     return out[:n]
 
 
-def feature_list_label(names: list[str], cap: int = 10) -> list[str]:
-    """Feature names capped at ``cap`` with a trailing '...' marker."""
-    return names[:cap] + (["..."] if len(names) > cap else [])
+def feature_list_label(names: list[str], cap: int | None = None) -> list[str]:
+    """Feature names; with ``cap`` only the first ones, and a trailing '...'
+    marker if there are more (C5)."""
+    return names if cap is None or len(names) <= cap else [*names[:cap], "..."]
 
 
 # C6 -------------------------------------------------------------------------

@@ -92,16 +92,16 @@ def prepare(df: DataFrame, steps=("drop_nulls", "normalize", "one_hot_encode"),
 
 
 def dataset_stats(raw: DataFrame, data: DataFrame, target: str, features: list[str],
-                  categorical: list[str], numeric: list[str]) -> DataFrame:
-    """rows, columns (before dropping), train_size, test_size, features (first
-    10, '...' if more), target, num_features, categorical_features,
-    numerical_features."""
+                  categorical: list[str], numeric: list[str], max_names: int | None = None) -> DataFrame:
+    """rows, columns (before dropping), train_size, test_size, features (all,
+    or the first ``max_names`` and '...'), target, num_features,
+    categorical_features, numerical_features."""
     sizes = data.agg(F.count_if(F.col("split") == "train").alias("train_size"),
                      F.count_if(F.col("split") == "test").alias("test_size"))
     return (raw.agg(F.count("*").alias("rows")).crossJoin(sizes)
             .select("rows", F.lit(len(raw.columns)).cast("bigint").alias("columns"),
                     "train_size", "test_size",
-                    F.array(*[F.lit(x) for x in feature_list_label(features)]).alias("features"),
+                    F.array(*[F.lit(x) for x in feature_list_label(features, max_names)]).alias("features"),
                     F.lit(target).alias("target"),
                     F.lit(len(features)).cast("bigint").alias("num_features"),
                     F.lit(len(categorical)).cast("bigint").alias("categorical_features"),

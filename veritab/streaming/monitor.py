@@ -15,7 +15,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.operators.drift import drift_report
+from veritab.operators.drift import drift_report, reduce_reference
 from veritab.operators.profile import quality_counts
 from veritab.session import checkpoint_dir
 
@@ -27,18 +27,19 @@ def drift_monitor(reference: DataFrame, stream: DataFrame, out_dir: str, name: s
     against ``reference`` to ``<out_dir>/drift`` and the quality counts to
     ``<out_dir>/quality``. Returns the ``StreamingQuery``.
 
-    A batch is kept while its two reports are made. ``reference`` is reduced
-    afresh in every batch; point it at a small table when batches are frequent.
+    ``reference`` is read once, when the query starts: its moments and category
+    counts serve all batches. A batch is kept while its two reports are made.
     """
     spark = stream.sparkSession
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
+    reduced = reduce_reference(reference, stream, columns)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # Written with an idempotent layout: a re-run batch overwrites its own
         # partition, so a retried batch never duplicates rows.
         batch = batch.persist()
         try:
-            rep = drift_report(reference, batch, columns, threshold).withColumn("batch_id", F.lit(batch_id))
+            rep = drift_report(reference, batch, columns, threshold, reduced).withColumn("batch_id", F.lit(batch_id))
             q = quality_counts(batch).withColumn("batch_id", F.lit(batch_id))
             for df, sub in ((rep, "drift"), (q, "quality")):
                 (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
