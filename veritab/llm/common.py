@@ -67,6 +67,15 @@ def byte_slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1].tolist(), edges[1:].tolist())
 
 
+def release_memory() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # no glibc
+        pass
+
+
 def trimmed(batches: Iterator) -> Iterator:
     """``batches`` of a task; behind the last one, memory that the task has
     freed goes back to the system. Python workers live on after a task, and what
@@ -75,11 +84,7 @@ def trimmed(batches: Iterator) -> Iterator:
         yield from batches
     finally:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # no glibc
-            pass
+        release_memory()
 
 
 def python_ready(spark: SparkSession) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_slices, col, materialize, python_ready, trimmed
+from .common import byte_slices, col, materialize, python_ready, release_memory, trimmed
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -23,7 +23,7 @@ END_ID = 2
 #: (that of full pieces) is no single task.
 RANK_BUCKETS = 1024
 #: Bytes of text that a worker tokenises at once, and words per call.
-SLICE_BYTES, CALL_WORDS = 8 << 20, 4096
+SLICE_BYTES, CALL_WORDS = 2 << 20, 4096
 #: White space at a word's start (what a tokenizer may count as such, and more).
 GLUED = "^$|^[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -189,6 +189,7 @@ def _tokenizer(name: str) -> WordTokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
     if name not in _LOADED:
         _LOADED[name] = WordTokenizer.load(name)
+        release_memory()  # the parsed tokenizer file
     return _LOADED[name]
 
 
@@ -221,7 +222,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], name: str, capacity: int, end_id:
             if with_ids:
                 arrays, names = [*arrays, pa.array(own, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
 
 class CapacityTree:
