@@ -262,12 +262,18 @@ class LabelledModel:
 MAX_CLASSES = 10_000
 
 
-def class_labels(df: DataFrame, label: str) -> list[float]:
-    """The sorted distinct labels, as doubles."""
-    rows = (df.select(qcol(label).cast("double").alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_CLASSES + 1).collect())
+def class_counts(df: DataFrame, label: str) -> dict[float, int]:
+    """The sorted distinct labels, as doubles, and their rows."""
+    own = df.select(qcol(label).cast("double").alias("v")).where(F.col("v").isNotNull())
+    rows = own.groupBy("v").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes; train a regression or group the labels first")
-    return sorted(r["v"] for r in rows)
+    return dict(sorted((r["v"], r["n"]) for r in rows))
+
+
+def class_labels(df: DataFrame, label: str) -> list[float]:
+    """The sorted distinct labels, as doubles."""
+    return list(class_counts(df, label))
 
 
 def label_order(model) -> list | None:
@@ -276,14 +282,18 @@ def label_order(model) -> list | None:
 
 
 def train(df: DataFrame, features: list[str], label: str, model_type: str, task: str,
-          params: dict | None = None):
+          params: dict | None = None, spread: bool = True):
     """Dispatch by family: random_forest, svm, neural_network. Numeric classes
-    other than 0..k-1 are indexed for the fit; predictions are the own labels."""
-    from veritab.session import spread_for_iterations
+    other than 0..k-1 are indexed for the fit; predictions are the own labels.
+    Without ``spread`` the rows are trained on in the partitions they have."""
+    from veritab.session import FIT_ROWS, spread_for_iterations
     params = dict(params or {})
-    df = spread_for_iterations(df)
-    if task == "classification":
-        labels = class_labels(df, label)
+    counts = class_counts(df, label) if task == "classification" else None
+    if spread:
+        rows = df.count() if counts is None else sum(counts.values())
+        df = spread_for_iterations(df, rows, FIT_ROWS.get(model_type, FIT_ROWS["svm"]))
+    if counts is not None:
+        labels = list(counts)
         if model_type != "random_forest":
             params["n_classes"] = len(labels)
         if labels != [float(i) for i in range(len(labels))]:

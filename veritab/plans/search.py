@@ -150,7 +150,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
                    combos: list[dict], k: int = 3, key: str | None = None, seed: int = 42,
                    objective: str | None = None, parallelism: int = 4) -> SearchResult:
     objective = objective or ("accuracy" if task == "classification" else "neg_mean_squared_error")
-    from veritab.session import spread_for_iterations
+    from veritab.session import FIT_ROWS, spread_for_iterations
     stratify = label if task == "classification" else None
     base = df.select(*map(qcol, dict.fromkeys([*features, label, *([key] if key else [])])))
     if stratify is not None:
@@ -159,7 +159,12 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
         base = base.persist()
     together = [i for i, c in enumerate(combos) if _together(model_type, task, c, objective)]
     folded = assign_folds(base, k, key, seed) if stratify is None else boundary_folds(base, k, key, seed, stratify=stratify)
-    data = spread_for_iterations(folded).persist()
+    per_task = FIT_ROWS.get(model_type, FIT_ROWS["svm"])
+    size = base.count()
+    data = spread_for_iterations(folded, size, per_task).persist()
+    # a fit with rows for every core has no use for others beside it, which
+    # would all keep their copies of the rows
+    parallelism = parallelism if size < per_task * df.sparkSession.sparkContext.defaultParallelism else 1
     try:
         # Materialise once before the concurrent fits, so the threads do not
         # each recompute the uncached lineage.
@@ -175,7 +180,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
             ci, f = job
             tr = data.where(F.col("fold") != f)
             te = data.where(F.col("fold") == f)
-            model = models.train(tr, features, label, model_type, task, combos[ci])
+            model = models.train(tr, features, label, model_type, task, combos[ci], spread=False)
             return ci, f, score_predictions(model.transform(te), label, objective, models.label_order(model))
         jobs = [(ci, f) for ci in range(len(combos)) for f in range(k) if ci not in together]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:

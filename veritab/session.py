@@ -70,16 +70,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def spread_for_iterations(df):
+#: Rows of a task in an iterative fit. A forest's task holds its sums for every
+#: node and sends them after each level, so it gets more rows than a net's.
+FIT_ROWS = {"random_forest": 3_000_000, "svm": 1_000_000, "neural_network": 1_000_000, "mlp": 1_000_000}
+
+
+def spread_for_iterations(df, rows: int = 0, per_task: int = 1_000_000):
     """Input of an iterative fit (forests, SVMs, gradient models, search),
-    spread over at least the cluster's default parallelism.
+    spread over at least the cluster's default parallelism, and over more tasks
+    where one would get more than ``per_task`` of its ``rows``.
 
     A scan of a few files can yield fewer partitions than cores, and every
     training pass would then run on those few tasks. With at least as many
     input files (the normal case at scale) the frame is returned unchanged, so
     no shuffle is added. Looking at the files runs no job.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
+    target = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task))
     return df if len(df.inputFiles()) >= target else df.repartition(target)
 
 
