@@ -552,7 +552,7 @@ def _columns(block: Block, own: list[tuple]) -> list[list[np.ndarray]]:
     and share a loss: all outputs at all points are columns of one product, and
     the rows that a net leaves out have no part in its columns."""
     net, inputs = own[0][:2]
-    width, scaled, mix = len(own[0][4][0]), inputs.feature_map is None, None
+    width, scaled, mix = own[0][4][0][0], inputs.feature_map is None, None
     if hasattr(inputs.feature_map, "basis"):
         base, mix = inputs.feature_map.basis(block.x)
     else:
