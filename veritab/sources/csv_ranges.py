@@ -63,14 +63,18 @@ class RangeState:
         self.now, self.head, self.tail = [0, 1], [None, None], None
 
     def step(self, line: str, number: int, sep: str) -> None:
-        opens = {s: ends_open(line, bool(s), sep) for s in set(self.now)}
+        was = self.now
+        first = int(ends_open(line, was[0] == 1, sep))
+        # once both walks are in one state, they stay together
+        self.now = [first, first if was[0] == was[1] else int(ends_open(line, was[1] == 1, sep))]
+        if self.now == was:
+            return
         for start in (0, 1):
-            was, self.now[start] = self.now[start], int(opens[self.now[start]])
-            if was and not self.now[start]:
+            if was[start] and not self.now[start]:
                 self.head[start] = None
                 if start and self.tail is None:
                     self.tail = number + 1
-            elif not was and self.now[start]:
+            elif not was[start] and self.now[start]:
                 self.head[start] = number
 
     def row(self) -> tuple:
@@ -90,9 +94,9 @@ def _states(batches: Iterator[pa.RecordBatch], sep: str) -> Iterator[pa.RecordBa
                 if now is not None:
                     done.append(now.row())
                 now = RangeState(int(f[start]), int(b[start]), int(number[start]))
-            own = quoted.slice(start, end - start)
-            for k in np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)):
-                now.step(own[int(k)].as_py(), int(number[start + k]), sep)
+            for line, n in zip(quoted.slice(start, end - start).to_pylist(), number[start:end].tolist()):
+                if line is not None:
+                    now.step(line, n, sep)
     if now is not None:
         done.append(now.row())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=names)
