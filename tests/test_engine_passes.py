@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veritab.operators import gradient as G
 from veritab.operators import models as M
 from veritab.plans import search as S
-from veritab.session import spread_for_iterations
+from veritab.session import FOREST_TASK_BYTES, fit_rows, spread_for_iterations
 
 
 def block(n=3000, width=5):
@@ -110,6 +110,14 @@ def test_tasks_grow_with_the_rows(spark):
     assert spread_for_iterations(df, 1000, 1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_rows_of_a_task_follow_from_their_bytes():
+    # a forest of 20 trees over five features: some 204 bytes a row in memory
+    assert fit_rows("random_forest", 5, [{"n_estimators": 20}]) * 204 <= FOREST_TASK_BYTES < 200e6
+    grid = [{"n_estimators": 20}, {"n_estimators": 200}]
+    assert fit_rows("random_forest", 5, grid) == fit_rows("random_forest", 5, grid[1:]) < fit_rows("random_forest", 5, grid[:1]) / 4
+    assert fit_rows("random_forest", 5, [{}]) == fit_rows("random_forest", 5, [{"n_estimators": 100}])
+
+
 def test_fits_of_a_search_do_not_move_the_rows_again(spark, monkeypatch):
     df = spark.range(400).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
                                  (F.col("id") % 17 > 8).cast("int").alias("y"))

@@ -150,7 +150,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
                    combos: list[dict], k: int = 3, key: str | None = None, seed: int = 42,
                    objective: str | None = None, parallelism: int = 4) -> SearchResult:
     objective = objective or ("accuracy" if task == "classification" else "neg_mean_squared_error")
-    from veritab.session import FIT_ROWS, spread_for_iterations
+    from veritab.session import fit_rows, spread_for_iterations
     stratify = label if task == "classification" else None
     base = df.select(*map(qcol, dict.fromkeys([*features, label, *([key] if key else [])])))
     if stratify is not None:
@@ -159,7 +159,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
         base = base.persist()
     together = [i for i, c in enumerate(combos) if _together(model_type, task, c, objective)]
     folded = assign_folds(base, k, key, seed) if stratify is None else boundary_folds(base, k, key, seed, stratify=stratify)
-    per_task = FIT_ROWS.get(model_type, FIT_ROWS["svm"])
+    per_task = fit_rows(model_type, len(features), combos)
     size = base.count()
     data = spread_for_iterations(folded, size, per_task).persist()
     # a fit with rows for every core has no use for others beside it, which

@@ -70,9 +70,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-#: Rows of a task in an iterative fit. A forest's task holds its sums for every
-#: node and sends them after each level, so it gets more rows than a net's.
-FIT_ROWS = {"random_forest": 3_000_000, "svm": 1_000_000, "neural_network": 1_000_000, "mlp": 1_000_000}
+#: Rows of a task in a fit over packed blocks (SVMs, networks): a Python worker
+#: is given all blocks of a task at once.
+FIT_ROWS = 1_000_000
+#: Bytes that a task of a forest reads in each pass. Its sums for every node are
+#: sent after each level, so fewer and larger tasks send less.
+FOREST_TASK_BYTES = 160_000_000
+
+
+def fit_rows(model_type: str, features: int, params: list[dict]) -> int:
+    """Rows that a task gets in a fit with any of ``params``. A forest keeps a
+    row as objects: about 100 bytes, and four for each feature and each tree."""
+    if model_type != "random_forest":
+        return FIT_ROWS
+    trees = max((int(p.get("n_estimators", 100)) for p in params), default=100)
+    return max(1, FOREST_TASK_BYTES // (104 + 4 * features + 4 * trees))
 
 
 def spread_for_iterations(df, rows: int = 0, per_task: int = 1_000_000):
