@@ -118,6 +118,12 @@ def test_rows_of_a_task_follow_from_their_bytes():
     assert fit_rows("random_forest", 5, [{}]) == fit_rows("random_forest", 5, [{"n_estimators": 100}])
 
 
+@pytest.mark.parametrize("family", ["svm", "neural_network"])
+def test_blocks_of_a_net_task_are_few(family):
+    # a Python worker holds them all: five features, the label and the fold
+    assert fit_rows(family, 5, [{}]) * (5 * 8 + 8 + 4) < 16e6
+
+
 def test_fits_of_a_search_do_not_move_the_rows_again(spark, monkeypatch):
     df = spark.range(400).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
                                  (F.col("id") % 17 > 8).cast("int").alias("y"))

@@ -72,7 +72,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 #: Rows of a task in a fit over packed blocks (SVMs, networks): a Python worker
 #: is given all blocks of a task at once.
-FIT_ROWS = 1_000_000
+FIT_ROWS = 250_000
 #: Bytes that a task of a forest reads in each pass. Its sums for every node are
 #: sent after each level, so fewer and larger tasks send less.
 FOREST_TASK_BYTES = 160_000_000
