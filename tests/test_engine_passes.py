@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veritab.operators import gradient as G
 from veritab.operators import models as M
 from veritab.plans import search as S
-from veritab.session import FOREST_TASK_BYTES, fit_rows, spread_for_iterations
+from veritab.session import FOREST_TASK_BYTES, fit_rows, spread_by_label, spread_for_iterations
 
 
 def block(n=3000, width=5):
@@ -124,6 +124,28 @@ def test_blocks_of_a_net_task_are_few(family):
     assert fit_rows(family, 5, [{}]) * (5 * 8 + 8 + 4) < 16e6
 
 
+def test_a_regression_forest_task_gets_its_own_range_of_labels(spark):
+    # half of the labels are equal, some rows are there many times, some labels are missing
+    df = spark.range(4000).select((F.col("id") % 10).cast("double").alias("__place"),
+                                  F.when(F.col("id") % 2 == 0, 7.0).when(F.col("id") % 101 != 1, F.col("id") % 97 / 1).alias("a.y"))
+    out = spread_by_label(df, "a.y", 4000, 500)
+    assert out.columns == df.columns and sorted(out.collect(), key=str) == sorted(df.collect(), key=str)
+    parts = [[-1.0 if r[1] is None else r[1] for r in p] for p in out.rdd.glom().collect() if p]
+    assert len(parts) == 8 and max(map(len, parts)) < 1000
+    assert all(p == sorted(p) for p in parts)
+    assert all(a[-1] <= b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_regression_forests_are_fitted_on_ranges_of_labels(spark, monkeypatch):
+    df = spark.range(600).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 17 * 3.0).alias("y"))
+    own, whole = [], M.train_random_forest
+    monkeypatch.setattr(M, "train_random_forest", lambda d, *a, **k: own.append(d) or whole(d, *a, **k))
+    model = M.train(df, ["a"], "y", "random_forest", "regression", {"n_estimators": 3, "max_depth": 5})
+    parts = [[r["y"] for r in p] for p in own[0].rdd.glom().collect() if p]
+    assert sum(map(len, parts)) == 600 and all(a[-1] <= b[0] for a, b in zip(parts, parts[1:]))
+    assert model.transform(df).where(F.abs(F.col("prediction") - F.col("y")) > 6).count() == 0
+
+
 def test_fits_of_a_search_do_not_move_the_rows_again(spark, monkeypatch):
     df = spark.range(400).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
                                  (F.col("id") % 17 > 8).cast("int").alias("y"))

@@ -286,12 +286,14 @@ def train(df: DataFrame, features: list[str], label: str, model_type: str, task:
     """Dispatch by family: random_forest, svm, neural_network. Numeric classes
     other than 0..k-1 are indexed for the fit; predictions are the own labels.
     Without ``spread`` the rows are trained on in the partitions they have."""
-    from veritab.session import fit_rows, spread_for_iterations
+    from veritab.session import fit_rows, spread_by_label, spread_for_iterations
     params = dict(params or {})
     counts = class_counts(df, label) if task == "classification" else None
     if spread:
         rows = df.count() if counts is None else sum(counts.values())
-        df = spread_for_iterations(df, rows, fit_rows(model_type, len(features), [params]))
+        per_task = fit_rows(model_type, len(features), [params])
+        by_label = model_type == "random_forest" and task != "classification"
+        df = spread_by_label(df, label, rows, per_task) if by_label else spread_for_iterations(df, rows, per_task)
     if counts is not None:
         labels = list(counts)
         if model_type != "random_forest":
