@@ -282,17 +282,23 @@ def class_pair_auc(df: DataFrame, label: str, probability: str = "probability",
         own = F.coalesce(*[F.when(_is_class(df, label, v), F.lit(i)) for i, v in enumerate(labels)])
     stacked = (df.select(own.alias("y"), F.posexplode(values).alias("k", "p")).select("y", "k", _score(F.col("p")).alias("s"))
                .where(F.col("y").isNotNull() & F.col("s").isNotNull()))
-    grouped = (stacked.groupBy("k", "s", "y").agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("pos", F.when(F.col("y") == F.col("k"), F.col("n")).otherwise(F.lit(0))))
-    ties = F.sum("pos").over(Window.partitionBy("k", "s"))
-    area = F.col("n").cast("double") * (F.col("cum_pos") - F.col("tied") / 2)
-    pairs = (_running_counts(grouped, ["pos"], ["k"]).withColumn("tied", ties)
-             .groupBy("k", "y").agg(F.sum(area).alias("area"), F.sum("n").alias("n")))
-    sizes = pairs.where(F.col("k") == F.col("y")).select("k", F.col("n").alias("n_class"))
+    pairs = pair_auc_of_counts(stacked.groupBy("k", "s", "y").agg(F.count(F.lit(1)).alias("n")), [])
     name = F.col("k") if labels is None else F.element_at(F.array(*map(F.lit, labels)), F.col("k") + 1)
     other = F.col("y") if labels is None else F.element_at(F.array(*map(F.lit, labels)), F.col("y") + 1)
-    return (pairs.where(F.col("k") != F.col("y")).join(sizes, "k")
-            .select(name.alias("class"), other.alias("other"), (F.col("area") / (F.col("n_class").cast("double") * F.col("n"))).alias("auc"),
+    return pairs.select(name.alias("class"), other.alias("other"), "auc", "n_class", "n_other")
+
+
+def pair_auc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, k, y, auc, n_class, n_other) within each value of ``by``, from rows
+    (by, k, s, y, n): ``n`` rows of class y whose probability of class k is s."""
+    grouped = counts.withColumn("pos", F.when(F.col("y") == F.col("k"), F.col("n")).otherwise(F.lit(0)))
+    ties = F.sum("pos").over(Window.partitionBy(*by, "k", "s"))
+    area = F.col("n").cast("double") * (F.col("cum_pos") - F.col("tied") / 2)
+    pairs = (_running_counts(grouped, ["pos"], [*by, "k"]).withColumn("tied", ties)
+             .groupBy(*by, "k", "y").agg(F.sum(area).alias("area"), F.sum("n").alias("n")))
+    sizes = pairs.where(F.col("k") == F.col("y")).select(*by, "k", F.col("n").alias("n_class"))
+    return (pairs.where(F.col("k") != F.col("y")).join(sizes, [*by, "k"])
+            .select(*by, "k", "y", (F.col("area") / (F.col("n_class").cast("double") * F.col("n"))).alias("auc"),
                     "n_class", F.col("n").alias("n_other")))
 
 

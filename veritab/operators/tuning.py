@@ -108,8 +108,16 @@ MAX_STRATA = 20_000
 ROUND_SHIFTS = (47, 31, 15, 0)
 
 
+def fold_places(df: DataFrame, key: str | None = None, seed: int = 42, stratify: str | None = None) -> DataFrame:
+    """``df`` with what ``boundary_folds`` reads of a row in every round, its
+    place and its class, so that a caller can keep them."""
+    place = keyed_hash32(df, key, seed).cast("bigint") * (1 << 31) + F.shiftright(whole_row_hash32(df, seed + 1).cast("bigint"), 1)
+    cls = F.lit("") if stratify is None else F.coalesce(F.concat(F.lit("="), qcol(stratify).cast("string")), F.lit(""))
+    return df.withColumn("__place", place).withColumn("__class", cls)
+
+
 def boundary_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int = 42, fold_col: str = "fold",
-                   stratify: str | None = None) -> DataFrame:
+                   stratify: str | None = None, placed: bool = False) -> DataFrame:
     """Folds of exact sizes without moving a row (T2): within each class of
     ``stratify`` (all rows without it; NULL is a class), fold sizes differ by at
     most one, and the larger folds change from class to class.
@@ -120,11 +128,10 @@ def boundary_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int
     classes at once by counting: rounds of 16 bits, each over the rows that
     share the bits found so far. A fold is then a comparison. Only identical
     rows at such a key are told apart by number; they alone are exchanged.
+    ``placed``: ``df`` is from ``fold_places``.
     """
-    names = df.columns
-    place = keyed_hash32(df, key, seed).cast("bigint") * (1 << 31) + F.shiftright(whole_row_hash32(df, seed + 1).cast("bigint"), 1)
-    cls = F.lit("") if stratify is None else F.coalesce(F.concat(F.lit("="), qcol(stratify).cast("string")), F.lit(""))
-    tagged = df.withColumn("__place", place).withColumn("__class", cls)
+    tagged = df if placed else fold_places(df, key, seed, stratify)
+    names = [c for c in tagged.columns if c not in ("__place", "__class")]
     sizes = tagged.groupBy("__class").agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()
     if len(sizes) > MAX_STRATA:
         raise ValueError(f"{stratify!r} has more than {MAX_STRATA} classes to stratify by")
@@ -149,16 +156,16 @@ def boundary_folds(df: DataFrame, k: int = 3, key: str | None = None, seed: int
             found[r["__class"], r["f"]] = (r["need"] - (r["upto"] - r["n"]), r["next"], r["n"])
         before = shift
     # a class's boundaries: the key, and how many of the rows equal to it lie before
-    table: dict[str, list] = {r["__class"]: [] for r in sizes}
-    for (c, _), (need, bits, _) in sorted(found.items()):
-        table[c].append((bits, need))
-    bounds = spark.createDataFrame(list(table.items()), "__class string, __bounds array<struct<at:bigint,before:bigint>>")
-    rows = tagged.join(F.broadcast(bounds), "__class")
+    at, before = [f"__at{f}" for f in range(1, k)], [f"__before{f}" for f in range(1, k)]
+    table = [(r["__class"], *[x for f in range(1, k) for x in (found[r["__class"], f][1], found[r["__class"], f][0])]) for r in sizes]
+    bounds = spark.createDataFrame(table, ", ".join(["__class string", *[f"{a} bigint, {b} bigint" for a, b in zip(at, before)]]))
     turn = F.conv(F.substring(F.md5(F.col("__class").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    rows = tagged.join(F.broadcast(bounds.withColumn("__turn", turn)), "__class")
 
     def fold(number):
-        passed = F.filter("__bounds", lambda b: (F.col("__place") > b["at"]) | ((F.col("__place") == b["at"]) & (number >= b["before"])))
-        return F.pmod(F.size(passed) + turn, F.lit(k)).cast("int")
+        place = F.col("__place")
+        passed = [((place > F.col(a)) | ((place == F.col(a)) & (number >= F.col(b)))).cast("int") for a, b in zip(at, before)]
+        return F.pmod(sum(passed, F.col("__turn")), F.lit(k)).cast("int")
 
     ties = sorted({(c, bits) for (c, _), (need, bits, n) in found.items() if need > 0})
     if not ties:

@@ -1,9 +1,10 @@
 """Grid and random search with k-fold cross-validation.
 
-Folds are a column (T2). Support vector machines and networks of all
-combinations and folds are trained together: one pass over the packed rows
-serves every model that has not ended, and one more pass scores them all.
-Forests are ordinary Spark ML fits on one persisted copy of the data, up to
+Folds are a column (T2). Models of all combinations and folds are trained
+together: one pass over the packed rows serves every support vector machine,
+network or classification forest that has not ended, and one more pass scores
+them all. Other models (regression forests, very deep ones, those of a single
+combination, sigmoid networks) are ordinary Spark ML fits on one persisted copy of the data, up to
 ``parallelism`` at a time. Only the grid x folds score table comes back to the
 driver.
 """
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from veritab.functions.exprs import qcol
 from veritab.operators import evaluate as E
-from veritab.operators import models
-from veritab.operators.gradient import GradientModel, Table, _unpacked, fit_nets, pack
-from veritab.operators.tuning import (assign_folds, boundary_folds, grid_combinations, grid_dict, rank_results,
+from veritab.operators import forests, models
+from veritab.operators.gradient import GradientModel, Table, _unpacked, fit_nets, pack, wide_columns
+from veritab.operators.tuning import (assign_folds, boundary_folds, fold_places, grid_combinations, grid_dict, rank_results,
                                       random_search as sample_grid)
 
 # Objectives the tuning UI offers.
@@ -133,6 +134,13 @@ def score_together(table: Table, fitted: list[GradientModel], folds: list[int],
 
     parts = (table.blocks.mapInArrow(part, "job int, label double, prediction double, n double, squares double")
              .groupBy("job", "label", "prediction").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares")))
+    found = _counted_scores(parts, task, objective)
+    sent.unpersist()
+    return found
+
+
+def _counted_scores(parts: DataFrame, task: str, objective: str) -> dict[int, float]:
+    """Score of every job from its counts of (label, prediction) or its sums of squared errors."""
     if task != "classification":
         mse = F.col("squares") / F.col("n")
         out = parts.select("job", (-(F.sqrt(mse) if objective == "rmse" else mse)).alias("score"))
@@ -141,36 +149,173 @@ def score_together(table: Table, fitted: list[GradientModel], folds: list[int],
         out = parts.groupBy("job").agg((F.sum(hit) / F.sum("n")).alias("score"))
     else:
         out = E.macro_of_counts(parts, ["job"]).select("job", F.col(objective).alias("score"))
-    found = {r["job"]: r["score"] for r in out.collect()}
+    return {r["job"]: r["score"] for r in out.collect()}
+
+
+# Forests ---------------------------------------------------------------------
+
+#: Scores that a task holds before it counts equal ones.
+HELD_SCORES = 1 << 20
+
+
+def _forest_together(model_type: str, task: str, params: dict, features: int, classes: int) -> bool:
+    """Whether a forest is one of those that are grown level by level together."""
+    return (model_type == "random_forest" and task == "classification" and classes > 0
+            and set(params) <= {"n_estimators", "max_depth", "min_samples_split", "seed"}
+            and forests.fits(models._depth(params.get("max_depth")), classes, features))
+
+
+def fit_forests_together(data: DataFrame, features: list[str], label: str, combos: list[dict], k: int, objective: str,
+                         labels: list[float], rows: int) -> list[tuple[int, int, float | None]]:
+    """(combo, fold, score) of forests, grown and scored in shared passes."""
+    if labels != [float(i) for i in range(len(labels))]:
+        data = models.index_labels(data, label, labels)
+    jobs = [(ci, f) for ci in range(len(combos)) for f in range(k)]
+    table = forests.pack(data, features, label, k, len(labels), rows)
+    try:
+        plans = []
+        for ci, f in jobs:
+            own = combos[ci]
+            plans.append(forests.Forest(int(own.get("n_estimators", 100)), models._depth(own.get("max_depth")),
+                                        max(1, int(own.get("min_samples_split", 2)) // 2), int(own.get("seed", 42)), f))
+        trees, fitted = forests.fit_forests(table, plans)
+        scores = score_forests(table, trees, fitted, objective)
+    finally:
+        table.close()
+    return [(ci, f, scores.get(j)) for j, (ci, f) in enumerate(jobs)]
+
+
+def score_forests(table: forests.Table, trees: list[tuple], fitted: list[forests.ForestModel], objective: str) -> dict[int, float]:
+    """Score of every forest on the rows of its fold, in one pass."""
+    sent, read = table.blocks.sparkSession.sparkContext.broadcast((trees, fitted)), forests.Table(None, table.features, table.classes,
+                                                                                                  table.folds, []).read
+    # classes with rows outside a fold, which a forest without it knows
+    known = [(table.sizes.sum(axis=0) - table.sizes[m.view] > 0) for m in fitted]
+
+    def batch(names, rows):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=names)
+
+    def predicted(batches):
+        own, counts = sent.value, {}
+        for block in read(batches):
+            for j, y, p in forests.probabilities(block, *own):
+                n = np.bincount(y.astype(np.int64) * p.shape[1] + p.argmax(axis=1), minlength=p.shape[1] ** 2)
+                counts[j] = counts.get(j, 0) + n
+        rows = []
+        for j, n in counts.items():
+            at, classes = np.flatnonzero(n), math.isqrt(len(n))
+            rows.append((np.full(len(at), j, np.int32), at // classes / 1.0, at % classes / 1.0, n[at] / 1.0, np.zeros(len(at))))
+        if rows:
+            yield batch(["job", "label", "prediction", "n", "squares"], rows)
+
+    def losses(batches):
+        own, sums = sent.value, {}
+        for block in read(batches):
+            for j, y, p in forests.probabilities(block, *own):
+                loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-15)).sum()
+                n, s = sums.get(j, (0, 0.0))
+                sums[j] = n + len(y), s + float(loss)
+        if sums:
+            yield batch(["job", "n", "loss"], [(np.array([j], np.int32), np.array([n / 1.0]), np.array([s])) for j, (n, s) in sums.items()])
+
+    def shares(batches):
+        names, own, held, size = ["job", "k", "s", "y", "n"], sent.value, {}, 0
+
+        def counted():
+            rows = []
+            for j, parts in held.items():
+                y, p = (np.concatenate(c) for c in zip(*parts))
+                for c in np.flatnonzero(known[j]):
+                    s, at = np.unique(p[:, c], return_inverse=True)
+                    n = np.bincount(at.ravel() * p.shape[1] + y, minlength=len(s) * p.shape[1])
+                    full = np.flatnonzero(n)
+                    label = full % p.shape[1]
+                    full, label = full[known[j][label]], label[known[j][label]]
+                    rows.append((np.full(len(full), j, np.int32), np.full(len(full), c, np.int32), s[full // p.shape[1]],
+                                 label.astype(np.int32), n[full]))
+            return batch(names, rows)
+
+        for block in read(batches):
+            for j, y, p in forests.probabilities(block, *own):
+                held.setdefault(j, []).append((y.astype(np.int64), p))
+                size += p.size
+            if size >= HELD_SCORES:
+                yield counted()
+                held, size = {}, 0
+        if held:
+            yield counted()
+
+    if objective == "auc":
+        counts = table.blocks.mapInArrow(shares, "job int, k int, s double, y int, n bigint").groupBy("job", "k", "s", "y").agg(F.sum("n").alias("n"))
+        rows = E.pair_auc_of_counts(counts, ["job"]).groupBy("job").agg(F.avg("auc").alias("score")).collect()
+    elif objective == "log_loss":
+        sums = table.blocks.mapInArrow(losses, "job int, n double, loss double").groupBy("job")
+        rows = sums.agg((-F.sum("loss") / F.sum("n")).alias("score")).collect()
+    else:
+        parts = (table.blocks.mapInArrow(predicted, "job int, label double, prediction double, n double, squares double")
+                 .groupBy("job", "label", "prediction").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares")))
+        return _counted_scores(parts, "classification", objective)
     sent.unpersist()
-    return found
+    return {r["job"]: r["score"] for r in rows}
 
 
 def cross_validate(df: DataFrame, features: list[str], label: str, model_type: str, task: str,
                    combos: list[dict], k: int = 3, key: str | None = None, seed: int = 42,
                    objective: str | None = None, parallelism: int = 4) -> SearchResult:
     objective = objective or ("accuracy" if task == "classification" else "neg_mean_squared_error")
-    from veritab.session import fit_rows, spread_for_iterations
     stratify = label if task == "classification" else None
     base = df.select(*map(qcol, dict.fromkeys([*features, label, *([key] if key else [])])))
     if stratify is not None:
         # The boundaries of stratified folds take five reads of the input;
         # keep it for those only.
-        base = base.persist()
-    together = [i for i, c in enumerate(combos) if _together(model_type, task, c, objective)]
-    folded = assign_folds(base, k, key, seed) if stratify is None else boundary_folds(base, k, key, seed, stratify=stratify)
-    per_task = fit_rows(model_type, len(features), combos)
+        base = fold_places(base, key, seed, stratify).persist()
+    folded = assign_folds(base, k, key, seed) if stratify is None else boundary_folds(base, k, key, seed, stratify=stratify, placed=True)
     size = base.count()
+    rows, left = [], range(len(combos))
+    if model_type == "random_forest" and stratify is not None and not wide_columns(base, features):
+        labels = models.class_labels(base, label)
+        own = [i for i in left if _forest_together(model_type, task, combos[i], len(features), len(labels))]
+        if len(own) > 1:  # the folds of one combination are fits as M1 makes them
+            found = fit_forests_together(folded, features, label, [combos[i] for i in own], k, objective, labels, size)
+            rows = [(own[i], f, s) for i, f, s in found]
+            left = [i for i in left if i not in own]
+    if left:
+        rows += _fits(folded, base, features, label, model_type, task, {i: combos[i] for i in left}, k, objective, size, parallelism)
+    if stratify is not None:
+        base.unpersist()
+    rows = sorted((ci, f, None if s is None else float(s)) for ci, f, s in rows)
+    spark = df.sparkSession
+    scores = spark.createDataFrame(rows, "combo int, fold int, score double")
+    params = spark.createDataFrame([(i, {k2: json.dumps(v) for k2, v in c.items()})
+                                    for i, c in enumerate(combos)],
+                                   "combo int, params map<string,string>")
+    ranked = rank_results(scores).join(F.broadcast(params), "combo")
+    means = {}
+    for ci, _, s in rows:
+        if s is not None:  # a fold with one class has no area
+            means.setdefault(ci, []).append(s)
+    mean = {i: sum(v) / len(v) for i, v in means.items()}
+    best_ci = max(range(len(combos)), key=lambda i: (mean.get(i, -math.inf), -i))
+    best = mean.get(best_ci, math.nan)
+    return SearchResult(ranked, combos[best_ci], best, scores)
+
+
+def _fits(folded: DataFrame, base: DataFrame, features: list[str], label: str, model_type: str, task: str, combos: dict[int, dict],
+          k: int, objective: str, size: int, parallelism: int) -> list[tuple[int, int, float | None]]:
+    """(combo, fold, score) of support vector machines and networks in shared
+    passes, of others one by one. ``base``, below ``folded``, is let go once read."""
+    from veritab.session import fit_rows, spread_for_iterations
+    together = [i for i, c in combos.items() if _together(model_type, task, c, objective)]
+    per_task = fit_rows(model_type, len(features), list(combos.values()))
     data = spread_for_iterations(folded, size, per_task).persist()
     # a fit with rows for every core has no use for others beside it, which
     # would all keep their copies of the rows
-    parallelism = parallelism if size < per_task * df.sparkSession.sparkContext.defaultParallelism else 1
+    parallelism = parallelism if size < per_task * folded.sparkSession.sparkContext.defaultParallelism else 1
     try:
         # Materialise once before the concurrent fits, so the threads do not
         # each recompute the uncached lineage.
         data.count()
-        if stratify is not None:
-            base.unpersist()
+        base.unpersist()
         rows = []
         if together:
             found = fit_together(data, features, label, model_type, task, [combos[i] for i in together], k, objective)
@@ -182,26 +327,12 @@ def cross_validate(df: DataFrame, features: list[str], label: str, model_type: s
             te = data.where(F.col("fold") == f)
             model = models.train(tr, features, label, model_type, task, combos[ci], spread=False)
             return ci, f, score_predictions(model.transform(te), label, objective, models.label_order(model))
-        jobs = [(ci, f) for ci in range(len(combos)) for f in range(k) if ci not in together]
+        jobs = [(ci, f) for ci in combos for f in range(k) if ci not in together]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
             rows += list(ex.map(run, jobs))
     finally:
         data.unpersist()
-    rows = sorted((ci, f, None if s is None else float(s)) for ci, f, s in rows)
-    spark = df.sparkSession
-    scores = spark.createDataFrame(rows, "combo int, fold int, score double")
-    params = spark.createDataFrame([(i, {k2: json.dumps(v) for k2, v in c.items()})
-                                    for i, c in enumerate(combos)],
-                                   "combo int, params map<string,string>")
-    ranked = rank_results(scores).join(F.broadcast(params), "combo")
-    means = {}
-    for ci, _, s in rows:
-        if s is not None:  # a fold with one class has no area
-            means.setdefault(ci, []).append(s)
-    mean = {i: sum(v) / len(v) for i, v in means.items()}
-    best_ci = max(range(len(combos)), key=lambda i: (mean.get(i, -math.inf), -i))
-    best = mean.get(best_ci, math.nan)
-    return SearchResult(ranked, combos[best_ci], best, scores)
+    return rows
 
 
 def grid_search(df: DataFrame, features: list[str], label: str, model_type: str, task: str,
