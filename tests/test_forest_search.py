@@ -134,3 +134,11 @@ def test_folds_from_kept_places_are_the_same(spark):
     kept = T.boundary_folds(T.fold_places(df, None, 42, "y"), 4, stratify="y", placed=True)
     assert kept.columns == [*df.columns, "fold"]
     assert sorted(kept.collect()) == sorted(T.boundary_folds(df, 4, stratify="y").collect())
+
+
+def test_the_best_mean_needs_no_fit_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(M, "train_random_forest", lambda *a, **k: pytest.fail("a fit of its own"))
+    found = S.grid_search(rows(spark), ["a.x", "b", "c"], "y", "random_forest", "classification",
+                          {"n_estimators": [2, 4], "max_depth": [2, 4]}, 3)
+    means = [r["mean_test_score"] for r in found.results.collect()]
+    assert len(means) == 4 and S.cross_val_score(found) == pytest.approx(max(means))
