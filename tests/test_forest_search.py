@@ -142,3 +142,11 @@ def test_the_best_mean_needs_no_fit_of_its_own(spark, monkeypatch):
                           {"n_estimators": [2, 4], "max_depth": [2, 4]}, 3)
     means = [r["mean_test_score"] for r in found.results.collect()]
     assert len(means) == 4 and S.cross_val_score(found) == pytest.approx(max(means))
+
+
+def test_areas_of_a_random_search_come_from_shared_passes(spark, monkeypatch):
+    monkeypatch.setattr(M, "train_random_forest", lambda *a, **k: pytest.fail("a fit of its own"))
+    found = S.random_search(rows(spark), ["a.x", "b", "c"], "y", "random_forest", "classification", 2,
+                            {"n_estimators": [2, 4], "max_depth": [2, 4]}, 3, objective="auc")
+    scores = found.scores.collect()
+    assert len(scores) == 6 and all(0.7 < r["score"] <= 1 for r in scores)
